@@ -13,7 +13,9 @@ from loomgraph.sources.shared import cut
 
 STAGES = [
     ("language_id", stages.identify_language),
+    ("line_dedup", stages.drop_repeated_lines),
     ("simhash_near_dedup", stages.drop_near_copies),
+    ("mix_sources", stages.mix_sources),
     ("bpe", stages.encode),
 ]
 

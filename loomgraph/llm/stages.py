@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import bpe, langid, simhash
+from loomgraph.llm import bpe, langid, linededup, mixing, simhash
 
 #: A document goes when no language has this share of the corrected hits: with four languages, less than chance plus a little.
 LEAST_SCORE = 0.3
@@ -20,6 +20,11 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return kept.withColumn("lang", F.col("__pred")).select(docs.columns)
 
 
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop lines that repeat an earlier line of the corpus but for two edits, and documents that have nothing left."""
+    return linededup.dedup_lines(docs)
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies keep the document with the smallest id; rows without an id stay."""
     groups = simhash.near_duplicates(docs)
@@ -27,6 +32,11 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix to target weights takes it."""
+    return mixing.repeat(docs)
+
+
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document."""
     return bpe.encode_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
