@@ -3,10 +3,10 @@
 A document of a source is taken ``target / source_size`` times on average: once for each whole part, and
 for the fractional part p it is taken once more with probability p. Dependent rounding pairs two fractional
 documents i, j of sizes s_i, s_j and moves mass between them so that s_i p_i + s_j p_j stays as
-it is and one of them becomes 0 or 1; the direction is drawn so that each expectation stays too. What
-is left of a block is one fractional document at most. The blocks' residuals are paired in turn, up
-a tree of fan-in ``fan_in``, until one document of the source is left, which is rounded by its
-probability; so the words taken from a source differ from its target by less than one document.
+it is and one of them becomes 0 or 1. In a block, the largest document is paired with all smaller ones together,
+then the next, so that what is left is one small fractional document. The blocks' residuals are paired
+in turn, up a tree of fan-in ``fan_in``, until one document of the source is left, which is rounded by
+its probability; so the words taken from a source differ from its target by a small document.
 
 Draws are hashes of the seed and the pair, and blocks depend on ids alone, so reruns agree
 whatever the partitioning. A source's rows are dealt over as many blocks as its count asks for.
@@ -73,6 +73,32 @@ def pivot(rows: list[tuple[str, int, float]], seed: int) -> list[float]:
     return out
 
 
+def settle(rows: list[tuple[str, int, float]], seed: int) -> list[float]:
+    """The first level, for rows of one fraction p, largest first: each row is paired with all smaller ones together.
+
+    The row becomes 0 or 1 (1 with the pool's current fraction), and the mass moves from or to the pool, which keeps one
+    fraction. Where the pool can take up only one of the two outcomes, that one is chosen, so that the sum holds even when
+    p is close to 0 or 1; a row too large for both ends as drawn. The smallest row keeps what is left as its fraction.
+    """
+    pool = sum(size for _, size, _ in rows)
+    words = sum(size * p for _, size, p in rows)
+    out = []
+    for key, size, _ in rows:
+        if not size:
+            out.append(0.0)
+            continue
+        share = min(1.0, max(0.0, words / pool))
+        if pool == size:
+            out.append(share if 1e-9 < share < 1 - 1e-9 else float(round(share)))
+            continue
+        can_take, can_leave = words >= size - 1e-6, words <= pool - size + 1e-6
+        take = _draw(seed, key) < share if can_take == can_leave else can_take
+        out.append(float(take))
+        pool -= size
+        words = min(float(pool), max(0.0, words - size * take))
+    return out
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (3, 1, 2), total_share: float = 1.5, most: float = 2.0, seed: int = 17, block: int = 4096, fan_in: int = 32) -> DataFrame:
     """``id_col, source, size, source_size, target, copies, taken`` for each row.
 
@@ -99,7 +125,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         order = sorted(range(len(keys)), key=lambda k: (-sizes[k], keys[k]))  # largest first: what is left in the end is small
         table = table.take(pa.array(order, pa.int64()))
         rows = list(zip([keys[k] for k in order], table.column("size").to_pylist(), table.column("p").to_pylist(), strict=True))
-        return table.set_column(table.schema.get_field_index("p"), "p", pa.array(pivot(rows, seed), pa.float64()))
+        return table.set_column(table.schema.get_field_index("p"), "p", pa.array((settle if len({p for _, _, p in rows}) == 1 else pivot)(rows, seed), pa.float64()))
 
     done, rest = [], start
     while True:
