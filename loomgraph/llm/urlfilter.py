@@ -91,7 +91,7 @@ class UrlModel:
         z = self.bias + (self.weights[f].sum() / np.sqrt(len(f)) if len(f) else 0.0)
         return float(1 / (1 + np.exp(-np.clip(z, -50, 50))))
 
-    def fit(self, urls: list[tuple[str, bool]], steps: int = 400, rate: float = 2.0, shrink: float = 1e-4) -> UrlModel:
+    def fit(self, urls: list[tuple[str, bool]], steps: int = 600, rate: float = 10.0, shrink: float = 1e-4) -> UrlModel:
         rows = [self.features(*split_url(u)) for u, _ in urls]
         y = np.array([b for _, b in urls], float)
         own = np.repeat(np.arange(len(rows)), [len(r) for r in rows])

@@ -42,7 +42,7 @@ def test_normaliser_makes_members_and_an_index(spark, tmp_path):
     import json
 
     raw = open(out.file.removeprefix("file://"), "rb").read()
-    index = [json.loads(x) for x in open(out.index.removeprefix("file://"))]
+    index = [json.loads(x) for x in open(out["index"].removeprefix("file://"))]
     assert [zlib.decompress(raw[e["offset"] : e["offset"] + e["length"]], warc.GZIP) for e in index] == records
     assert b"".join(warc.inflate(pa.BufferReader(raw))) == b"".join(records)
     with pytest.raises(ValueError, match="the stream ends"):

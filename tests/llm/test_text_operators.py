@@ -177,7 +177,7 @@ def change(rng, text, n):
     out = list(text)
     for _ in range(n):
         at = rng.randrange(len(out) + 1)
-        out[at : at + rng.randrange(2)] = rng.choice(["", "x", "é", "日"])
+        out[at : at + rng.randrange(2)] = rng.choice(["", "x", "t", "é", "日"])
     return "".join(out)
 
 
@@ -192,7 +192,7 @@ def test_edit_distance_automaton(spark):
 
 def test_line_classes(spark):
     rng = random.Random(4)
-    lines = ["".join(rng.choice("ab ") for _ in range(rng.randrange(18, 40))) for _ in range(40)]
+    lines = ["".join(rng.choice("ea ") for _ in range(rng.randrange(18, 40))) for _ in range(40)]
     lines += [change(rng, rng.choice(lines), rng.randrange(4)) for _ in range(200)]
     rows = [(i, "\n".join(lines[i * 5 : i * 5 + 5])) for i in range(48)] + [(90, None), (91, ""), (92, " \n\r\n"), (93, lines[0] + "\r\n" + lines[0])]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
