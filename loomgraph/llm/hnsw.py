@@ -3,7 +3,7 @@
 Vectors are dealt to shards by a hash of their id; each shard's graph is built once and written as a table. Blocks of
 queries (all vectors) then visit every shard. A beam that is still full of links is widened for
 its query, and a block's beams are widened together until an audit against brute force on a part of
-the block finds at least ``audit_recall`` of its links; beams that would be wider than a 32nd of the shard
+the block finds at least ``audit_recall`` of its links; beams that would be wider than a 128th of the shard
 become a scan of the shard, which misses nothing. Cosines are
 verified in double precision. A task gives back each query's number of links and a spanning forest
 of what it linked, never pairs.
@@ -165,7 +165,7 @@ def range_links(graph: SmallWorld, x: np.ndarray, ids: np.ndarray, q: np.ndarray
         truth = (q[rows[checked]] @ x.T >= least) & (q_ids[rows[checked], None] != ids[None, :])
         wide, todo, hits = width, np.arange(len(rows)), {}
         while len(todo):
-            if wide * 32 >= n and wide > width:  # a scan of the shard costs less than beams as wide as that
+            if wide * 128 >= n and wide > width:  # a scan of the shard costs less than beams as wide as that
                 for b in range(0, len(todo), 64):
                     r, c = np.nonzero(q[rows[todo[b : b + 64]]] @ x.T >= least - margin)
                     for k in range(len(todo[b : b + 64])):
@@ -199,7 +199,7 @@ def _unit(column: pa.ChunkedArray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = 0.9, shard: int = 4096, block: int = 8192) -> DataFrame:
+def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = 0.9, shard: int = 16_384, block: int = 8192) -> DataFrame:
     """Every row with ``n_links, component_id, kept``.
 
     n_links: other vectors found at a cosine of ``least`` or more; component_id: smallest id reachable by links. Vectors that are
