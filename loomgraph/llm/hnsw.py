@@ -250,8 +250,8 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     found = cut(left.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(search, "src bigint, dst bigint, n bigint"), "vector-links")
     counts = found.where("dst is null").groupBy("src").agg(F.sum("n").alias("n_links"))
     labels = connected_components(found.where("dst is not null"))
-    known = cut(counts.join(labels, F.col("src") == F.col("node"), "full").select(F.coalesce("src", "node").alias("src"), F.col("n_links").alias("__n"), F.col("component").alias("__c")), "vector-labels")
+    known = cut(counts.join(labels, F.col("src") == F.col("node"), "full").select(F.coalesce("src", "node").alias("__id"), F.col("n_links").alias("__n"), F.col("component").alias("__c")), "vector-labels")
     kept = vectors.drop("n_links", "component_id", "kept")
     own = F.col(id_col).cast("long")
-    out = kept.join(known, own == F.col("src"), "left").withColumns({"n_links": F.coalesce("__n", F.lit(0)), "component_id": F.coalesce("__c", own)})
+    out = kept.join(known, own == F.col("__id"), "left").withColumns({"n_links": F.coalesce("__n", F.lit(0)), "component_id": F.coalesce("__c", own)})
     return out.withColumn("kept", F.coalesce(F.col("component_id") == own, F.lit(True))).select(*kept.columns, "n_links", "component_id", "kept")

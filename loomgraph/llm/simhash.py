@@ -167,17 +167,20 @@ def link_shard(fps: np.ndarray, keys: np.ndarray, r: int, max_bits: int, leaf: i
 def hamming_components(points: DataFrame, max_bits: int = 3, halves: int = 2, sample: int = 20_000, shard: int = 20_000) -> DataFrame:
     """``fp, component``: for distinct fingerprints ``fp, rep``, the smallest ``rep`` reachable by links.
 
-    points: distinct non-null ``fp`` (long) each with a distinct ``rep`` (long). sample: at most about
-    so many fingerprints fit the upper trees; shard: points a leaf is meant to hold.
+    points: distinct non-null ``fp`` (long) with a ``rep`` (long) each; equal reps are one node. sample: at most about
+    so many fingerprints, and a quarter of all, fit the upper trees; shard: points a leaf is meant to hold.
     """
     spark = points.sparkSession
     ship(spark)
     n = points.count()
-    picked = points.where(F.pmod(F.xxhash64(F.lit(7), "fp"), F.lit(max(1, n))) < sample).select("fp") if n > sample else points.select("fp")
-    known = np.sort(np.array([r.fp for r in picked.collect()], np.int64)).view(np.uint64)
     r = max_bits // halves
-    leaf = max(32, int(len(known) * shard / max(1, n)))
-    trees = [build_tree(np.unique(_slice(known, k, halves)), r, leaf) for k in range(halves)]
+    trees: list = [None] * halves
+    if n > shard:
+        size = min(sample, n // 4)
+        drawn = points.where(F.pmod(F.xxhash64(F.lit(7), "fp"), F.lit(n)) < size).select("fp").collect()
+        known = np.sort(np.array([x.fp for x in drawn], np.int64)).view(np.uint64)
+        leaf = max(32, int(len(known) * shard / n))
+        trees = [build_tree(np.unique(_slice(known, k, halves)), r, leaf) for k in range(halves)]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
