@@ -203,7 +203,8 @@ def read_archives(normal: DataFrame, run_length: int = 4096) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names)
 
     schema = "page_id bigint, url string, record_type string, refers_to bigint, payload_bytes bigint, payload_digest string, file string, offset bigint, length bigint"
-    return runs.repartition("file", "first").mapInArrow(run, schema)
+    # an explicit number of partitions: rows of this table are tiny, and AQE would put all the reading into one task
+    return runs.repartition(max(1, min(runs.count(), 10_000)), "file", "first").mapInArrow(run, schema)
 
 
 def plan_revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = LEAST_REVISIT) -> DataFrame:
