@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import bpe, langid, linededup, mixing, simhash
+from loomgraph.llm import bpe, langid, linededup, mixing, shingles
 from loomgraph.sources.shared import cut
 
 #: A document goes when no language has this share of the corrected hits: with four languages, less than chance plus a little.
@@ -27,8 +27,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies keep the document with the smallest id; of rows that repeat an id one; rows without an id stay."""
-    groups = cut(simhash.near_duplicates(docs).where("doc_id is not null"), "copies")
+    """Of each group of near copies (five-word shingles, similarity 0.8) keep the document with the smallest id; of rows that repeat an id one; rows without an id stay."""
+    groups = cut(shingles.near_copies(docs).where("doc_id is not null"), "copies")
     kept = docs.join(groups.where("doc_id != component_id").select("doc_id"), "doc_id", "left_anti").select(docs.columns)
     twice = groups.groupBy("doc_id").count().where("count > 1").select("doc_id")
     if twice.isEmpty():

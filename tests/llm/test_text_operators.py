@@ -14,7 +14,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from loomgraph.llm import bpe, langid, linededup, mixing, simhash, tokencount
+from loomgraph.llm import bpe, langid, linededup, mixing, shingles, simhash, stages, tokencount
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 LIBRARY = Tokenizer.from_file(PATH)
@@ -163,6 +163,36 @@ def test_trees_lose_no_link(spark, seed):
     assert [forest.root(i) for i in range(len(arr))] == label.tolist()
 
 
+def test_near_copies_of_the_pipeline(spark):
+    """All pairs by brute force: few words changed, boilerplate, short texts, chains of copies."""
+    rng = random.Random(6)
+    word = lambda: f"w{rng.randrange(3000)}"
+    texts = [" ".join(word() for _ in range(rng.choice((2, 6, 30, 200, 400)))) for _ in range(40)]
+    for _ in range(160):
+        w = rng.choice(texts).split()
+        for _ in range(rng.randrange(6)):
+            w[rng.randrange(len(w))] = word()
+        texts.append(" ".join(w))
+    common = " ".join(word() for _ in range(60))
+    texts += [common + " " + " ".join(word() for _ in range(8 * i)) for i in range(12)] + ["", None, " \n"]
+    own = [set(simhash.shingle_hashes(t, 5).tolist()) for t in texts]
+    near = [[j for j in range(len(texts)) if own[i] == own[j] or len(own[i] & own[j]) >= 0.8 * len(own[i] | own[j]) > 0] for i in range(len(texts))]
+    label = list(range(len(texts)))
+    while (new := [min(label[j] for j in js) for js in near]) != label:
+        label = new
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    far = sum((plain_fingerprint(texts[i]) ^ plain_fingerprint(texts[j])).bit_count() > 3 for i in range(len(texts)) for j in near[i])
+    assert far > 100
+    for sample in (20_000, 0):
+        got = {r.doc_id: r.component_id for r in shingles.near_copies(docs, sample=sample).collect()}
+        assert [got[i] for i in range(len(texts))] == label
+    kept = {r.doc_id for r in stages.drop_near_copies(spark, docs, SF).collect()}
+    assert kept == set(label)
+    none = docs.withColumn("doc_id", F.when(F.col("doc_id") >= 0, None).otherwise(F.col("doc_id")))
+    assert shingles.near_copies(none).where("component_id is null").count() == len(texts)
+    assert shingles.near_copies(docs.where("false")).count() == 0
+
+
 def edits(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
