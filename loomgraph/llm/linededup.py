@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.operators.components import connected_components
@@ -36,8 +36,8 @@ def _hashed(lines: DataFrame) -> DataFrame:
 
 def _position() -> Column:
     """Order of lines in the corpus: by id (null last), then line number."""
-    none = F.lit("9223372036854775808").cast("decimal(20,0)")
-    return (F.coalesce(F.col("id").cast("decimal(20,0)"), none) * F.lit(2**31).cast("decimal(11,0)") + F.col("line_no").cast("decimal(11,0)")).cast(POSITION)
+    none = F.lit("9223372036854775808").cast("decimal(28,0)")
+    return (F.coalesce(F.col("id").cast("decimal(28,0)"), none) * F.lit(2**31).cast("decimal(11,0)") + F.col("line_no").cast("decimal(11,0)")).cast(POSITION)
 
 
 def distinct_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -199,6 +199,25 @@ def line_classes(docs: DataFrame, tau: int = 2, least: int = LEAST_CHARS, id_col
     return lines.join(known, "position", "left").withColumns({"n_links": F.coalesce("n_links", F.lit(0)), "class": F.coalesce("class", "position")})
 
 
+def _ids_of_rows(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str]:
+    """(docs, name of a column that tells all rows apart): the id itself where no id is null or repeats, else one in the order of
+    the ids (null last), then of a hash of the text, then of a tie number for equal rows."""
+    twice = docs.groupBy(id_col).count().where(F.col(id_col).isNull() | (F.col("count") > 1)).select(F.col(id_col).alias("__twice"))
+    twice = cut(twice, "line-ids")
+    if twice.isEmpty():
+        return docs, id_col
+    rows = cut(docs.withColumn("__row", F.monotonically_increasing_id()), "line-docs")
+    same = rows.join(twice, F.col(id_col).eqNullSafe(F.col("__twice")), "left_semi").select(F.col(id_col).alias("i"), F.xxhash64(text_col).alias("h"), F.col("__row").alias("r"))
+    # ties are counted within buckets of the texts, so that rows without an id are no hot task
+    bucket = F.pmod("h", F.lit(1024))
+    order = F.row_number().over(Window.partitionBy("i", bucket).orderBy("h", "r"))
+    ties = same.select(F.col("r").alias("__r"), (order.cast("long") * 1024 + bucket).alias("__tie"))
+    known = rows.join(ties, F.col("__row") == F.col("__r"), "left")
+    whole = F.coalesce(F.col(id_col).cast("decimal(20,0)"), F.lit("9223372036854775808").cast("decimal(20,0)"))
+    own = whole * F.lit(10**8).cast("decimal(9,0)") + F.coalesce("__tie", F.lit(0)).cast("decimal(9,0)")
+    return cut(known.withColumn("__row", own.cast("decimal(28,0)")).drop("__r", "__tie"), "line-docs"), "__row"
+
+
 def near_duplicate_lines(docs: DataFrame, tau: int = 2, least: int = LEAST_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each distinct line: ``doc_id, line_no`` of its first occurrence, ``n_chars, n_copies, n_links, class_doc_id, class_line_no``.
 
@@ -223,8 +242,11 @@ def dedup_lines(docs: DataFrame, tau: int = 2, least: int = LEAST_CHARS, id_col:
     """``docs`` without the lines that repeat, exactly or nearly, a line before them in the corpus; same columns.
 
     Only lines of ``least`` characters or more go; blank and short lines stay where they are. A document that loses lines
-    and has no letter or digit left goes too; others stay, also null and empty ones.
+    and has no letter or digit left goes too; others stay, also null and empty ones. Rows without an id or that repeat one are
+    rows of their own.
     """
+    columns = docs.columns
+    docs, id_col = _ids_of_rows(docs, id_col, text_col)
     classes = line_classes(docs, tau, least, id_col, text_col).where(F.col("n_chars") >= least)
     firsts = cut(classes.where((F.col("n_copies") > 1) | (F.col("position") != F.col("class"))).select("h1", "h2", F.col("class")), "line-firsts")
     at = _hashed(explode_lines(docs, id_col, text_col)).select("id", "line_no", "h1", "h2", _position().alias("position"))
@@ -236,4 +258,4 @@ def dedup_lines(docs: DataFrame, tau: int = 2, least: int = LEAST_CHARS, id_col:
     keep = F.array_except(F.sequence(F.lit(0), F.size(body) - 1), F.col("__gone"))
     left = F.array_join(F.transform(keep, lambda k: F.get(body, k)), "\n")
     text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(left)
-    return joined.withColumn(text_col, text).where(F.col("__gone").isNull() | F.col(text_col).rlike(r"[\p{L}\p{N}]")).select(docs.columns)
+    return joined.withColumn(text_col, text).where(F.col("__gone").isNull() | F.col(text_col).rlike(r"[\p{L}\p{N}]")).select(columns)

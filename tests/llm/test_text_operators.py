@@ -260,6 +260,20 @@ def test_line_classes(spark):
     assert linededup.near_duplicate_lines(docs.where("false")).count() == 0 and linededup.dedup_lines(docs.where("false")).count() == 0
 
 
+def test_lines_of_rows_that_share_an_id(spark):
+    """Null and repeated ids: each row loses its own lines only, and equal rows all but one."""
+    line = lambda k: f"line {k} " + hashlib.sha256(str(k).encode()).hexdigest()
+    lists = [(1, [0, 1]), (None, [2, 1, 3]), (None, [4, 5, 6]), (2, [1, 7, 8]), (2, [9, 10, 11]), (None, [12]), (None, [12]), (2, [5, 13, 14]), (3, [15, 16])]
+    docs = spark.createDataFrame([(i, "\n".join(map(line, ks))) for i, ks in lists], "doc_id long, text string")
+    got = linededup.dedup_lines(docs)
+    assert got.columns == docs.columns
+    lines = Counter(x for r in got.collect() for x in r.text.split("\n"))
+    assert lines == Counter(map(line, range(17)))
+    texts = {(r.doc_id, r.text) for r in got.collect()}
+    assert (1, f"{line(0)}\n{line(1)}") in texts and (None, f"{line(2)}\n{line(3)}") in texts and (None, f"{line(4)}\n{line(6)}") in texts
+    assert (2, f"{line(7)}\n{line(8)}") in texts and (2, f"{line(9)}\n{line(10)}\n{line(11)}") in texts and len(texts) == got.count() == 8
+
+
 def water_fill(sizes, weights, total, most):
     """Reshare what is over the caps until nothing is."""
     target, fixed = dict.fromkeys(sizes, 0.0), set()
