@@ -40,6 +40,16 @@ def _position() -> Column:
     return (F.coalesce(F.col("id").cast("decimal(28,0)"), none) * F.lit(2**31).cast("decimal(11,0)") + F.col("line_no").cast("decimal(11,0)")).cast(POSITION)
 
 
+def _doc(c: str) -> Column:
+    """The document of a position; null where the line's row has no id."""
+    return F.expr(f"try_cast(floor({c} / cast({2**31} as decimal(11,0))) as bigint)")
+
+
+def _no(c: str) -> Column:
+    """The line number of a position."""
+    return F.pmod(F.col(c), F.lit(2**31).cast("decimal(11,0)")).cast("bigint")
+
+
 def distinct_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``h1, h2, position, n_chars, n_copies``: one row for each distinct line, at its first occurrence."""
     lines = _hashed(explode_lines(docs, id_col, text_col))
@@ -227,15 +237,18 @@ def near_duplicate_lines(docs: DataFrame, tau: int = 2, least: int = LEAST_CHARS
     of equal positions the texts are told apart by identity alone. Ids must be integers.
     """
     classes = line_classes(docs, tau, least, id_col, text_col)
-    half = F.lit(2**31).cast("decimal(11,0)")
+    return classes.select(_doc("position").alias("doc_id"), _no("position").alias("line_no"), F.col("n_chars").cast("bigint").alias("n_chars"), "n_copies", "n_links", _doc("class").alias("class_doc_id"), _no("class").alias("class_line_no"))
 
-    def doc(c: str) -> Column:
-        return F.expr(f"try_cast(floor({c} / cast({2**31} as decimal(11,0))) as bigint)")
 
-    def no(c: str) -> Column:
-        return F.pmod(F.col(c), half).cast("bigint")
+def line_members(docs: DataFrame, tau: int = 2, least: int = LEAST_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each line of each document that isn't blank: ``doc_id, line_no, n_chars, n_copies, n_links, class_doc_id, class_line_no``.
 
-    return classes.select(doc("position").alias("doc_id"), no("position").alias("line_no"), F.col("n_chars").cast("bigint").alias("n_chars"), "n_copies", "n_links", doc("class").alias("class_doc_id"), no("class").alias("class_line_no"))
+    The columns after line_no are those of the line's text in :func:`near_duplicate_lines`, n_links being counted between distinct lines.
+    """
+    classes = line_classes(docs, tau, least, id_col, text_col)
+    known = classes.select("h1", "h2", F.col("n_chars").cast("bigint").alias("n_chars"), "n_copies", "n_links", _doc("class").alias("class_doc_id"), _no("class").alias("class_line_no"))
+    at = _hashed(explode_lines(docs, id_col, text_col)).select(F.col("id").alias("doc_id"), F.col("line_no").cast("bigint").alias("line_no"), "h1", "h2")
+    return at.join(known, ["h1", "h2"]).drop("h1", "h2")
 
 
 def dedup_lines(docs: DataFrame, tau: int = 2, least: int = LEAST_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -38,8 +38,8 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, line_no, n_chars, n_copies, n_links, class_doc_id, class_line_no of each distinct line."""
-    return linededup.near_duplicate_lines(table(spark, sf_dir, "documents"))
+    """doc_id, line_no, n_chars, n_copies, n_links, class_doc_id, class_line_no of each line of each document."""
+    return linededup.line_members(table(spark, sf_dir, "documents"))
 
 
 def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

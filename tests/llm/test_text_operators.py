@@ -14,7 +14,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from loomgraph.llm import bpe, langid, linededup, mixing, shingles, simhash, stages, tokencount
+from loomgraph.llm import bpe, langid, linededup, mixing, queries, shingles, simhash, stages, tokencount
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 LIBRARY = Tokenizer.from_file(PATH)
@@ -260,6 +260,14 @@ def test_line_classes(spark):
     assert linededup.near_duplicate_lines(docs.where("false")).count() == 0 and linededup.dedup_lines(docs.where("false")).count() == 0
 
 
+def test_every_occurrence_of_a_line_is_a_member(docs, spark):
+    """Against the classes of distinct lines: no occurrence and no document is left out."""
+    at = {(r.doc_id, k): s for r in docs.collect() for k, x in enumerate((r.text or "").split("\n")) if (s := x.rstrip("\r")).strip(" ")}
+    first = {at[r.doc_id, r.line_no]: tuple(r)[2:] for r in linededup.near_duplicate_lines(docs).collect()}
+    got = queries.op5_line_dedup(spark, SF).collect()
+    assert len(at) > len(first) and Counter(tuple(r) for r in got) == Counter((*key, *first[s]) for key, s in at.items())
+
+
 def test_lines_of_rows_that_share_an_id(spark):
     """Null and repeated ids: each row loses its own lines only, and equal rows all but one."""
     line = lambda k: f"line {k} " + hashlib.sha256(str(k).encode()).hexdigest()
