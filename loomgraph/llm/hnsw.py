@@ -1,11 +1,10 @@
 """Embedding near-dedup with one navigable small-world graph for each shard.
 
 Vectors are dealt to shards by a hash of their id; each shard's graph is built once and written as a table. Blocks of
-queries (all vectors) then visit every shard. A beam that is still full of links is widened for
-its query, and a block's beams are widened together until an audit against brute force on a part of
-the block finds at least ``audit_recall`` of its links; beams that would be wider than a 128th of the shard
-become a scan of the shard, which misses nothing. Cosines are
-verified in double precision. A task gives back each query's number of links and a spanning forest
+queries (all distinct vectors) then visit every shard. Beams are used at the least width at which an audit of the block against
+brute force proves that they find ``audit_recall`` of the links; where too few audited queries have links to prove it, or the beams
+would be wider than a 128th of the shard, the shard is scanned, which misses nothing. A beam that is full of links is widened for its query.
+Equal vectors are one node. Cosines are verified in double precision. A task gives back each query's number of links and a spanning forest
 of what it linked, never pairs.
 
 All searches advance many queries in step: one numpy operation handles a beam step of a whole block.
@@ -155,37 +154,64 @@ class SmallWorld:
         return cls(np.ascontiguousarray(x, np.float32), [z[f"l{k}"] for k in range(len(z.files) - 1)], int(z["entry"]))
 
 
-def range_links(graph: SmallWorld, x: np.ndarray, ids: np.ndarray, q: np.ndarray, q_ids: np.ndarray, least: float, width: int = 32, audit: int = 48, audit_recall: float = 0.99, margin: float = 1e-4) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(query row, data row) arrays of links with cosine >= least in double precision; unit vectors x and q."""
+def _candidates(graph: SmallWorld, x32: np.ndarray, q32: np.ndarray, least: float, wide: int) -> tuple[np.ndarray, np.ndarray]:
+    """(query row, data row) of what beams of that width find; full beams are widened, at last to a scan; width 0: a scan."""
+    n, first, todo, left, right = len(x32), wide, np.arange(len(q32)), [], []
+    while len(todo):
+        if not wide or wide * 128 >= n and wide > first:
+            for b in range(0, len(todo), 64):
+                r, c = np.nonzero(q32[todo[b : b + 64]] @ x32.T >= least)
+                left.append(todo[b : b + 64][r])
+                right.append(c)
+            break
+        found, sims = graph.search(q32[todo], wide)
+        near = (found >= 0) & (sims >= least)
+        full = near[:, -1]
+        r, c = np.nonzero(near & ~full[:, None])
+        left.append(todo[r])
+        right.append(found[r, c])
+        todo, wide = todo[full], wide * 2
+    none = np.empty(0, np.int64)
+    return np.concatenate([none, *left]), np.concatenate([none, *right]).astype(np.int64)
+
+
+def _proven(graph: SmallWorld, x: np.ndarray, x32: np.ndarray, ids: np.ndarray, q: np.ndarray, q_ids: np.ndarray, least: float, wide: int, audit: int, audit_recall: float, margin: float, rows_with_links: int = 64) -> int:
+    """The least beam width, from ``wide`` on, that an audit over all queries proves; 0 when none below a 128th of the shard is.
+
+    Every ``512 // audit``-th query is compared with the whole shard. A width is proven when at least ``rows_with_links`` audited queries have links and
+    the beams find ``audit_recall`` of the links, both of all and on average over those queries, so that a large group can't hide small ones.
+    """
     n = len(x)
+    checked = np.arange(0, len(q), max(1, 512 // audit))
+    truth = [np.flatnonzero((q[k] @ x.T >= least) & (ids != q_ids[k])) for k in checked]
+    linked = [k for k in range(len(checked)) if len(truth[k])]
+    if len(linked) < rows_with_links:
+        return 0
+    rows = checked[linked]
+    while wide * 128 < n:
+        shares, hit, total = [], 0, 0
+        for b in range(0, len(rows), 512):
+            i, j = _candidates(graph, x32, q[rows[b : b + 512]].astype(np.float32), least - margin, wide)
+            for k, t in enumerate(linked[b : b + 512]):
+                got = np.count_nonzero(np.isin(truth[t], j[i == k]))
+                shares.append(got / len(truth[t]))
+                hit, total = hit + got, total + len(truth[t])
+        if hit >= audit_recall * total and np.mean(shares) >= audit_recall:
+            return wide
+        wide *= 2
+    return 0
+
+
+def range_links(graph: SmallWorld, x: np.ndarray, ids: np.ndarray, q: np.ndarray, q_ids: np.ndarray, least: float, width: int = 32, audit: int = 48, audit_recall: float = 0.99, margin: float = 1e-4) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(query row, data row) arrays of links with cosine >= least in double precision; unit vectors x and q.
+
+    Beams are used only at a width that :func:`_proven` accepts for these queries; otherwise the shard is scanned, which misses nothing.
+    """
+    x32 = np.ascontiguousarray(x, np.float32)
+    proven = _proven(graph, x, x32, ids, q, q_ids, least, width, audit, audit_recall, margin) if len(q) else 0
     for a in range(0, len(q), 512):
-        rows = np.arange(a, min(a + 512, len(q)))
-        q32 = q[rows].astype(np.float32)
-        checked = np.unique(np.linspace(0, len(rows) - 1, min(audit, len(rows))).astype(int))
-        truth = (q[rows[checked]] @ x.T >= least) & (q_ids[rows[checked], None] != ids[None, :])
-        wide, todo, hits = width, np.arange(len(rows)), {}
-        while len(todo):
-            if wide * 128 >= n and wide > width:  # a scan of the shard costs less than beams as wide as that
-                for b in range(0, len(todo), 64):
-                    r, c = np.nonzero(q[rows[todo[b : b + 64]]] @ x.T >= least - margin)
-                    for k in range(len(todo[b : b + 64])):
-                        hits[todo[b + k]] = c[r == k]
-                break
-            found, sims = graph.search(q32[todo], wide)
-            near = (found >= 0) & (sims >= least - margin)
-            for k, t in enumerate(todo):
-                hits[t] = found[k][near[k]]
-            full = todo[near[:, -1]]
-            missed = total = 0
-            for k, t in enumerate(checked):
-                if t not in full:
-                    got = np.zeros(n, bool)
-                    got[hits[t]] = True
-                    missed, total = missed + np.count_nonzero(truth[k] & ~got), total + np.count_nonzero(truth[k])
-            todo = np.arange(len(rows)) if total and missed > (1 - audit_recall) * total else full
-            wide *= 2
-        left = np.repeat(rows, [len(hits[k]) for k in range(len(rows))])
-        right = np.concatenate([hits[k] for k in range(len(rows))]).astype(np.int64)
+        left, right = _candidates(graph, x32, q[a : a + 512].astype(np.float32), least - margin, proven)
+        left += a
         for b in range(0, len(left), 65536):
             i, j = left[b : b + 65536], right[b : b + 65536]
             good = (np.einsum("nd,nd->n", q[i], x[j]) >= least) & (q_ids[i] != ids[j])
@@ -211,7 +237,9 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     v = F.col(vector_col)
     fine = v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     rows = vectors.where(fine & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), v.alias("x"))
-    rows = cut(rows.groupBy("id").agg(F.min("x").alias("x")).withColumn("dim", F.size("x")), "vectors")
+    single = cut(rows.groupBy("id").agg(F.min("x").alias("x")), "vectors")
+    # equal vectors are one node, by their smallest id: in a graph, copies would shut each other out of the neighbour lists
+    rows = cut(single.groupBy("x").agg(F.min("id").alias("id"), F.count("*").alias("copies")).withColumn("dim", F.size("x")), "vectors")
     n = rows.count()
     shards, blocks = max(1, -(-n // shard)), max(1, -(-n // block))
     home = rows.withColumn("shard", F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(shards)).cast("int"))
@@ -219,9 +247,9 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     def build(table: pa.Table) -> pa.Table:
         table = table.sort_by("id")
         x, first = _unit(table.column("x")), table.slice(0, 1)
-        return pa.table({"dim": first.column("dim"), "shard": first.column("shard"), "ids": [table.column("id").to_numpy().astype("<i8").tobytes()], "vecs": [x.astype("<f8").tobytes()], "graph": [SmallWorld.build(x).to_bytes()]})
+        return pa.table({"dim": first.column("dim"), "shard": first.column("shard"), "ids": [table.column("id").to_numpy().astype("<i8").tobytes()], "copies": [table.column("copies").to_numpy().astype("<i8").tobytes()], "vecs": [x.astype("<f8").tobytes()], "graph": [SmallWorld.build(x).to_bytes()]})
 
-    graphs = cut(home.groupBy("dim", "shard").applyInArrow(build, "dim int, shard int, ids binary, vecs binary, graph binary"), "small-worlds")
+    graphs = cut(home.groupBy("dim", "shard").applyInArrow(build, "dim int, shard int, ids binary, copies binary, vecs binary, graph binary"), "small-worlds")
     left = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     asked = rows.withColumn("block", F.pmod(F.xxhash64(F.lit(2), "id"), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
 
@@ -231,12 +259,13 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
             return pa.table({"src": empty, "dst": empty, "n": empty})
         one = stored.to_pylist()[0]
         ids = np.frombuffer(one["ids"], "<i8")
+        copies = np.frombuffer(one["copies"], "<i8")
         x = np.frombuffer(one["vecs"], "<f8").reshape(len(ids), -1)
         q_ids = queries.column("id").to_numpy()
         number, row = np.unique(np.concatenate((ids, q_ids)), return_inverse=True)
         forest, links = Forest(len(number)), np.zeros(len(q_ids), np.int64)
         for i, j in range_links(SmallWorld.from_bytes(one["graph"], x), x, ids, _unit(queries.column("x")), q_ids, least):
-            links += np.bincount(i, minlength=len(q_ids))
+            np.add.at(links, i, copies[j])
             for a, b in zip(row[len(ids) + i].tolist(), row[j].tolist(), strict=True):
                 forest.join(a, b)
         roots = np.array([forest.root(k) for k in range(len(number))])
@@ -250,7 +279,9 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     found = cut(left.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(search, "src bigint, dst bigint, n bigint"), "vector-links")
     counts = found.where("dst is null").groupBy("src").agg(F.sum("n").alias("n_links"))
     labels = connected_components(found.where("dst is not null"))
-    known = cut(counts.join(labels, F.col("src") == F.col("node"), "full").select(F.coalesce("src", "node").alias("__id"), F.col("n_links").alias("__n"), F.col("component").alias("__c")), "vector-labels")
+    known = rows.join(counts, F.col("id") == F.col("src"), "left").join(labels, F.col("id") == F.col("node"), "left")
+    known = known.select("x", (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias("__n"), F.coalesce("component", "id").alias("__c"))
+    known = cut(single.join(known, "x").select(F.col("id").alias("__id"), "__n", "__c"), "vector-labels")
     kept = vectors.drop("n_links", "component_id", "kept")
     own = F.col(id_col).cast("long")
     out = kept.join(known, own == F.col("__id"), "left").withColumns({"n_links": F.coalesce("__n", F.lit(0)), "component_id": F.coalesce("__c", own)})

@@ -81,6 +81,23 @@ def test_embedding_groups(spark):
     assert hnsw.near_duplicates(df.where("false")).count() == 0
 
 
+def test_sparse_links_are_not_missed(spark):
+    """Few groups, some of equal vectors, among many vectors without links."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(6000, 64))
+    at = rng.permutation(6000)[:310].tolist()
+    for size in (20, 30, 45, 60):
+        for noise in (0, 0.03):
+            group, at = at[:size], at[size:]
+            x[group] = x[group[0]] + noise * rng.normal(size=(size, 64))
+    x = x.astype(np.float32).astype(float)
+    near = brute_links(x)
+    got = {r.vec_id: r for r in hnsw.near_duplicates(vectors(spark, [(i, v.tolist(), "") for i, v in enumerate(x)])).collect()}
+    assert [got[i].n_links for i in range(len(x))] == near.sum(1).tolist()
+    for i in np.flatnonzero(near.any(1)).tolist():
+        assert got[i].component_id == min(i, int(np.flatnonzero(near[i])[0]))
+
+
 def test_small_world_recall():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(1500, 24))
