@@ -13,6 +13,7 @@ from loomgraph.operators import evaluate, graph, stats
 from loomgraph.plans import workflow
 from loomgraph.plans.providers import HashingEncoder, Policy, encode
 from loomgraph.sources import readers, writers
+from loomgraph.sources.shared import cut
 
 
 def provider(name: str):
@@ -33,9 +34,9 @@ def parser() -> argparse.ArgumentParser:
             p.add_argument(f"--{n.replace('_', '-')}", default=d, type=type(d) if d is not None else str)
         return p
 
-    stage("retrieve", "questions", "triples", "output", "provider", other=None, top_k=100, attempts=3, concurrency=10)
+    stage("retrieve", "questions", "triples", "output", "provider", other=None, encoder=None, top_k=100, attempts=3, concurrency=10)
     stage("enrich", "input", "output", "provider", template=None, delay=0.1, attempts=3, concurrency=2)
-    stage("reason", "input", "output", "provider", formats="", max_triples=10, attempts=3, concurrency=10)
+    stage("reason", "input", "output", "provider", formats="", max_triples=10, attempts=3, concurrency=10, batch=10_000)
     stage("progress", "input", "output")
     stage("evaluate", "input", "output")
     stage("build", "triples", "output")
@@ -62,8 +63,9 @@ def main(argv: list[str] | None = None) -> None:
     a = parser().parse_args(argv)
     spark = SparkSession.builder.appName(f"loomgraph {a.stage}").getOrCreate()
     if a.stage == "retrieve":
-        triples = readers.load_subfield_triples(spark, a.triples, a.other).withColumn("triple_id", F.monotonically_increasing_id())
-        encoded = lambda df, text: encode(df, HashingEncoder(), text)
+        triples = cut(readers.load_subfield_triples(spark, a.triples, a.other).withColumn("triple_id", F.monotonically_increasing_id()), "triples")
+        encoder = provider(a.encoder) if a.encoder else HashingEncoder()
+        encoded = lambda df, text: encode(df, encoder, text)
         questions = readers.read_questions(spark, a.questions)
         out = workflow.retrieve(encoded(questions, "question"), encoded(triples, "text"), provider(a.provider), a.top_k, Policy(attempts=a.attempts, at_once=a.concurrency))
         writers.write_subjects(out, a.output)
@@ -72,7 +74,7 @@ def main(argv: list[str] | None = None) -> None:
         writers.write_subjects(workflow.enrich(spark.read.parquet(a.input), provider(a.provider), Policy(attempts=a.attempts, at_once=a.concurrency, delay=a.delay), template), a.output)
     elif a.stage == "reason":
         formats = [f for f in a.formats.split(",") if f] or [workflow.DIRECT, *FORMATS]
-        n = workflow.reason_into(spark.read.parquet(a.input), a.output, provider(a.provider), formats, n=a.max_triples, policy=Policy(attempts=a.attempts, at_once=a.concurrency))
+        n = workflow.reason_into(spark.read.parquet(a.input), a.output, provider(a.provider), formats, a.batch, n=a.max_triples, policy=Policy(attempts=a.attempts, at_once=a.concurrency))
         print(f"{n} samples were left to do")
     elif a.stage == "progress":
         workflow.progress(spark, a.output, spark.read.parquet(a.input).groupBy("subject").agg(F.count("*").alias("total"))).show(100, False)

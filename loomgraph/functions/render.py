@@ -28,10 +28,17 @@ def complete(triples: Column) -> Column:
     return F.filter(stripped(triples), lambda x: (x["h"] != "") & (x["r"] != "") & (x["t"] != ""))
 
 
+def json_triples(text: Column) -> Column:
+    """A JSON list of objects, their keys capitalised or not, as head/relation/tail structs; null when it is no such list."""
+    part = lambda x, k: F.coalesce(x[k], x[k.capitalize()]).alias(k)
+    return F.transform(F.from_json(text, "array<map<string,string>>"), lambda x: F.struct(part(x, "head"), part(x, "relation"), part(x, "tail")))
+
+
 def short_triples(triples: Column) -> Column:
-    """head/relation/tail structs as h/r/t, those with an empty part left out."""
-    short = F.transform(F.coalesce(triples, F.array().cast("array<struct<head:string,relation:string,tail:string>>")), lambda x: F.struct(x["head"].alias("h"), x["relation"].alias("r"), x["tail"].alias("t")))
-    return F.filter(short, lambda x: (F.coalesce(x["h"], F.lit("")) != "") & (F.coalesce(x["r"], F.lit("")) != "") & (F.coalesce(x["t"], F.lit("")) != ""))
+    """head/relation/tail structs (of any further fields) as h/r/t, those with an empty part left out; null gives none."""
+    short = F.transform(triples, lambda x: F.struct(x["head"].cast("string").alias("h"), x["relation"].cast("string").alias("r"), x["tail"].cast("string").alias("t")))
+    full = F.filter(short, lambda x: (F.coalesce(x["h"], F.lit("")) != "") & (F.coalesce(x["r"], F.lit("")) != "") & (F.coalesce(x["t"], F.lit("")) != ""))
+    return F.coalesce(full, F.array().cast(TRIPLE_LIST))
 
 
 def cap_triples(related: Column, hierarchical: Column, enriched: Column, n: int = 10) -> Column:

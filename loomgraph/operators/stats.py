@@ -57,9 +57,12 @@ def call_stats(results: DataFrame) -> DataFrame:
 
 
 def sample_exact(df: DataFrame, n: int, seed: int = 0, key: list[str | Column] | None = None) -> DataFrame:
-    """n rows without replacement (all if fewer), the same for the same seed: the n smallest hashes, kept by a bounded heap in each task."""
-    columns = key or df.columns
-    return df.orderBy(F.xxhash64(F.lit(seed), *columns), *columns).limit(n)
+    """n rows without replacement (all if fewer), the same for the same seed: the n smallest hashes, kept by a bounded heap in each task.
+
+    The hash is MD5 of the seed and the columns as text, which other engines have too; equal rows are interchangeable.
+    """
+    columns = [F.col(c) if isinstance(c, str) else c for c in key or df.columns]
+    return df.orderBy(F.md5(F.concat_ws("\x01", F.lit(str(seed)), *[c.cast("string") for c in columns])), *columns).limit(n)
 
 
 def sample_rows(df: DataFrame, n: int, seed: int = 0, subset: list[str] | None = None) -> DataFrame:

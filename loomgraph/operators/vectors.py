@@ -43,15 +43,16 @@ def classify(rows: DataFrame, vector: str, classes: DataFrame, name: str, thresh
     return best.select(*rows.columns, F.col("__best.sim").alias("best_sim"), label.alias("label"))
 
 
-def routed_top_k(questions: DataFrame, triples: DataFrame, k: int = 100) -> DataFrame:
+def routed_top_k(questions: DataFrame, triples: DataFrame, k: int = 100, own: bool = True) -> DataFrame:
     """``question_id, rank, triple_id, similarity``: each question's k most similar triples of its subfields.
 
     questions: ``question_id, q, subfields``; triples: ``triple_id, subfield, x``. A subfield without triples is skipped.
-    Ties go to later subfields of the list, then to larger triple ids. The join is on the subfield; the top k of each
+    own: whether a triple with the question's own id counts. Ties go to later subfields of the list, then to larger triple ids. The join is on the subfield; the top k of each
     partition are taken before the shuffle by question.
     """
     asked = questions.select("question_id", unit(as_doubles(F.col("q"))).alias("q"), F.posexplode("subfields").alias("at", "subfield"))
     pairs = asked.join(triples.select("triple_id", "subfield", unit(as_doubles(F.col("x"))).alias("x")), "subfield")
+    pairs = pairs if own else pairs.where(F.col("question_id") != F.col("triple_id"))
     scored = pairs.select("question_id", "at", "triple_id", dot(F.col("q"), F.col("x")).alias("similarity"))
     rank = F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("similarity"), F.desc("at"), F.desc("triple_id")))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("question_id", "rank", "triple_id", "similarity")

@@ -84,7 +84,7 @@ SAMPLE_LINES = """li AS (SELECT l_orderkey AS id, l_linenumber AS n, l_linenumbe
         'e' || ((l_orderkey + l_linenumber * 3) % 7) AS head,
         CASE WHEN (l_orderkey + l_linenumber) % 6 = 0 THEN '' ELSE 'r<' || (l_linenumber % 3) || '>' END AS relation,
         'e' || ((l_orderkey * 2 + l_linenumber) % 7) || CASE WHEN l_linenumber % 4 = 0 THEN ' (x,y)' ELSE '' END AS tail
-        FROM lineitem WHERE l_orderkey % 8 = 0),
+        FROM lineitem),
     t AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY (m + 2) % 3, n, head, relation, tail) AS i FROM li),
     ids AS (SELECT DISTINCT id FROM li), good AS (SELECT * FROM t WHERE relation <> '')"""
 PATHS = f"""{SAMPLE_LINES}, ed AS (SELECT DISTINCT id, head, tail FROM t),
@@ -155,10 +155,10 @@ ORACLE_SQL = {
     "kg_isa_dedup": f"""WITH {KG}, i AS (SELECT * FROM kg WHERE {ISA}), t AS (SELECT head, relation, tail, pos FROM i UNION ALL SELECT head, 'ISA', tail, pos + 1000000000 FROM i WHERE pos % 3 = 0)
         SELECT head AS src, tail AS dst, arg_max(relation, pos) AS relation FROM t GROUP BY ALL""",
     "kg_components": f"WITH RECURSIVE {CC} SELECT * FROM cc",
-    "kg_component_index": f"""WITH RECURSIVE {_components("'orders'")}, ed AS (SELECT DISTINCT head, tail FROM kg WHERE domain = 'orders'),
-        n AS (SELECT component, count(*) AS node_count, array_to_string(list(node ORDER BY node)[:5], '|') AS sample_nodes FROM cc GROUP BY 1), s AS (SELECT component, count(*) AS edge_count FROM ed JOIN cc ON cc.node = ed.head GROUP BY 1)
+    "kg_component_index": f"""WITH RECURSIVE {CC}, whole AS (SELECT domain || ':' || component AS component, domain || ':' || node AS node FROM cc), ed AS (SELECT DISTINCT domain || ':' || head AS head, tail FROM kg),
+        n AS (SELECT component, count(*) AS node_count, array_to_string(list(node ORDER BY node)[:5], '|') AS sample_nodes FROM whole GROUP BY 1), s AS (SELECT component, count(*) AS edge_count FROM ed JOIN whole ON whole.node = ed.head GROUP BY 1)
         SELECT component, node_count, edge_count, {BUCKET.format(n='node_count', a='', b='', c='', d='')} AS size_group, sample_nodes FROM n JOIN s USING (component)""",
-    "kg_size_histogram": f"""WITH RECURSIVE {_components("'geo', 'customer', 'parttype', 'orders'")}, s AS (SELECT domain, component, count(*) AS n FROM cc GROUP BY ALL)
+    "kg_size_histogram": f"""WITH RECURSIVE {CC}, s AS (SELECT domain, component, count(*) AS n FROM cc GROUP BY ALL)
         SELECT domain, {BUCKET.format(n='n', a=' (>=1000)', b=' (100-999)', c=' (10-99)', d=' (<10)')} AS bucket, count(*) AS components, sum(n)::BIGINT AS nodes FROM s GROUP BY ALL""",
     "kg_connectivity_by_domain": f"WITH RECURSIVE {CONNECT} SELECT domain, triples, components, nodes, largest_component, large, medium, small, tiny, edges, round(connectivity_rate, 6) AS connectivity_rate FROM joined",
     "kg_connectivity_summary": f"WITH RECURSIVE {CONNECT} SELECT sum(triples)::BIGINT AS triples, sum(components)::BIGINT AS components, round(avg(connectivity_rate), 6) AS mean_rate FROM joined",
@@ -168,11 +168,11 @@ ORACLE_SQL = {
     "kg_sample_stats": f"WITH {KG} SELECT count(DISTINCT head) AS heads, count(DISTINCT relation) AS relations, count(DISTINCT tail) AS tails, (SELECT count(*) FROM (SELECT head FROM kg UNION SELECT tail FROM kg)) AS entities FROM kg",
     "kg_degrees": f"""WITH {KG}, p AS (SELECT DISTINCT domain, head, tail FROM kg), u AS (SELECT domain, head AS node, 0 AS i, 1 AS o FROM p UNION ALL SELECT domain, tail, 1, 0 FROM p)
         SELECT domain, node, sum(i)::BIGINT AS in_degree, sum(o)::BIGINT AS out_degree FROM u GROUP BY ALL""",
-    "kg_merge_union": f"WITH {KG} SELECT head, relation, tail, CASE WHEN domain <> 'customer' THEN pos END AS pos, domain AS source_file FROM kg WHERE domain IN ('geo', 'brand', 'customer')",
+    "kg_merge_union": f"WITH {KG} SELECT head, relation, tail, CASE WHEN domain <> 'customer' THEN pos END AS pos, domain AS source_file FROM kg",
     "kg_class_counts": f"WITH {KG} SELECT {_sub('pos')} AS label, count(*) FILTER ({ISA}) AS isa, count(*) FILTER (NOT {ISA}) AS non_isa, count(*) AS total FROM kg GROUP BY 1",
     "kg_component_classify": f"""WITH {KG}, {VEC}, {PROTO}, g AS (SELECT *, min(head) OVER (PARTITION BY domain, tail) AS mh FROM kg WHERE domain IN ('geo', 'brand')),
         c AS (SELECT domain, tail, least(min(head), tail) AS component, arg_min(head, pos) AS head, count(*) AS edges FROM g GROUP BY domain, tail),
-        n AS (SELECT *, (split_part(head, '#', 2)::BIGINT + CASE WHEN domain = 'geo' THEN 0 ELSE 25 END) % 500 AS vec_id FROM c),
+        n AS (SELECT *, (split_part(head, '#', 2)::BIGINT + CASE WHEN domain = 'geo' THEN 0 ELSE 25 END) % (SELECT count(*) FROM embeddings) AS vec_id FROM c),
         s AS (SELECT component, edges, cl.label, list_cosine_similarity(v.vec, cl.p) AS sim, row_number() OVER (PARTITION BY component ORDER BY list_cosine_similarity(v.vec, cl.p) DESC, cl.label) AS rn FROM n JOIN v USING (vec_id), cl)
         SELECT component, CASE WHEN sim >= 0 THEN 'class' || label ELSE 'Other' END AS label, edges FROM s WHERE rn = 1""",
     "kg_paths_bounded": f"WITH RECURSIVE {PATHS} SELECT * FROM out",
@@ -199,10 +199,10 @@ ORACLE_SQL = {
     "vec_prototypes": f"WITH {VEC}, {PROTO} SELECT label, i::INT AS i, round(v, 6) AS v FROM pr",
     "vec_classify": f"""WITH {VEC}, {PROTO}, s AS (SELECT vec_id, cl.label, list_cosine_similarity(vec, p) AS sim FROM v, cl), b AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY sim DESC, label) AS rn FROM s)
         SELECT vec_id, round(sim, 6) AS best_sim, CASE WHEN sim >= 0.3 THEN 'class' || label ELSE 'Other' END AS label FROM b WHERE rn = 1""",
-    "vec_topk": f"""WITH {VEC}, s AS (SELECT q.vec_id AS question_id, d.vec_id AS triple_id, list_cosine_similarity(q.vec, d.vec) AS similarity, 0 AS place FROM v q JOIN v d ON q.is_query AND NOT d.is_query),
+    "vec_topk": f"""WITH {VEC}, s AS (SELECT q.vec_id AS question_id, d.vec_id AS triple_id, list_cosine_similarity(q.vec, d.vec) AS similarity, 0 AS place FROM v q JOIN v d ON q.is_query AND d.vec_id <> q.vec_id),
         r AS (SELECT *, row_number() OVER {RANKED} AS rank FROM s) SELECT question_id, rank::INT AS rank, triple_id, round(similarity, 6) AS similarity FROM r WHERE rank <= 10""",
     "retrieve_routed_topk": f"""WITH {VEC}, q AS (SELECT vec_id, vec, 0 AS place, 's' || label AS sub FROM v WHERE is_query UNION ALL SELECT vec_id, vec, 1, 's' || ((label + 3) % 12) FROM v WHERE is_query),
-        s AS (SELECT q.vec_id AS question_id, d.vec_id AS triple_id, list_cosine_similarity(q.vec, d.vec) AS similarity, place FROM q JOIN v d ON NOT d.is_query AND q.sub = 's' || d.label),
+        s AS (SELECT q.vec_id AS question_id, d.vec_id AS triple_id, list_cosine_similarity(q.vec, d.vec) AS similarity, place FROM q JOIN v d ON d.vec_id <> q.vec_id AND q.sub = 's' || d.label),
         r AS (SELECT *, row_number() OVER {RANKED} AS rank FROM s) SELECT question_id, rank::INT AS rank, triple_id, round(similarity, 6) AS similarity FROM r WHERE rank <= 7""",
     "parse_router_strict": _router(True),
     "parse_router_lenient": _router(False),
@@ -225,13 +225,19 @@ ORACLE_SQL = {
         SELECT event_type, len(v)::BIGINT AS n, v[1] AS min, v[-1] AS max, round(list_avg(v), 6) AS mean, """ + ", ".join(f"v[least(floor(len(v) * {q})::BIGINT, len(v) - 1) + 1] AS p{round(q * 100)}" for q in (0.5, 0.9, 0.95, 0.99)) + " FROM l",
     "call_success_stats": """SELECT count(*) AS calls, count(*) FILTER (event_id % 7 <> 0) AS successes, count(*) FILTER (event_id % 7 = 0) AS failures, sum(event_id % 3 + 1)::BIGINT AS attempts,
         round(count(*) FILTER (event_id % 7 <> 0) / count(*)::DOUBLE, 6) AS success_rate FROM events""",
-    "sample_remainder": "SELECT count(*) - 50 AS rest, 50::BIGINT AS taken FROM part",
+    "sample_exact_n": f"WITH {KG} SELECT domain, head, relation, tail, pos FROM kg ORDER BY md5(concat_ws(chr(1), '7', domain, head, relation, tail, pos)), domain, pos LIMIT 50",
+    "sample_remainder": f"""WITH {KG}, taken AS (SELECT domain, pos FROM kg ORDER BY md5(concat_ws(chr(1), '7', domain, head, relation, tail, pos)), domain, pos LIMIT 50)
+        SELECT count(*) AS rest, 50::BIGINT AS taken FROM kg WHERE (domain, pos) NOT IN (SELECT domain, pos FROM taken)""",
+    "reason_caps": f"""WITH {SAMPLE_LINES}, k AS (SELECT *, row_number() OVER (PARTITION BY id, m ORDER BY i) AS r FROM good), s AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY i) AS q FROM k WHERE r <= 2)
+        SELECT ids.id, coalesce(string_agg(head || '|' || relation || '|' || tail, ';' ORDER BY i), '') AS triples FROM ids LEFT JOIN (SELECT * FROM s WHERE q <= 4) s USING (id) GROUP BY ids.id""",
+    "workflow_progress": "SELECT o_orderpriority AS subject, count(*) FILTER (o_orderkey % 3 = 0) AS processed, count(*) AS total, round(100.0 * count(*) FILTER (o_orderkey % 3 = 0) / count(*), 6) AS percentage FROM orders GROUP BY 1",
     "taxonomy_lookup": f"""WITH x(subfield, ord) AS (VALUES {TAX_ROWS}), f AS (SELECT *, {FIELD} AS field FROM x)
         SELECT field, lower(replace(replace(field, ' & ', '_'), ' ', '_')) AS field_path, subfield, lower(replace(replace(subfield, ' & ', '_'), ' ', '_')) AS subfield_path, ord::INT AS ord, field AS looked_up, 'Other' AS unknown FROM f""",
     "field_directories": "SELECT p_partkey AS id, lower(replace(replace(p_type || ' & Co', ' & ', '_'), ' ', '_')) AS dir FROM part",
-    "textualized_triples": f"""WITH {KG}, k AS (SELECT domain, pos, head AS h, coalesce(CASE WHEN pos % 4 <> 0 THEN relation END, 'nan') AS r, tail AS t FROM kg WHERE domain IN ('geo', 'brand'))
+    "textualized_triples": f"""WITH {KG}, k AS (SELECT domain, pos, head AS h, coalesce(CASE WHEN pos % 4 <> 0 THEN relation END, 'nan') AS r, tail AS t FROM kg)
         SELECT domain, pos, h || ' ' || r || ' ' || t AS retrieval, h || ' -> ' || r || ' -> ' || t AS classification FROM k""",
     "json_triple_lists": "SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN 0 ELSE 1 END::INT AS n, CASE WHEN p_partkey % 3 <> 0 THEN p_brand END AS first_head FROM part",
     "resume_equivalence": "SELECT o_orderpriority AS dataset, CASE WHEN o_orderkey % 2 = 0 THEN 'done' ELSE 'rest' END AS part, count(*) AS n, count(DISTINCT o_orderkey) AS ids FROM orders GROUP BY ALL",
-    "prediction_sections": "SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn)::INT AS position, coalesce(trim(text) <> '' AND lower(trim(text)) <> 'nan', false) AS valid FROM conversations",
+    "scalar_accessors": """SELECT p_partkey AS id, coalesce(CASE WHEN p_partkey % 3 <> 0 THEN p_brand END, '') AS scalar_text, CASE WHEN p_partkey % 4 <> 0 THEN p_name ELSE '' END AS scalar_list,
+        p_partkey % 3 <> 0 AS present_text, p_partkey % 4 <> 0 AS present_list FROM part""",
 }

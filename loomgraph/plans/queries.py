@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from loomgraph.functions import render, text
 from loomgraph.functions.taxonomy import SUBFIELDS, directory_name, field_of, taxonomy
 from loomgraph.operators import evaluate, graph, paths, stats, vectors
-from loomgraph.plans import views
+from loomgraph.plans import views, workflow
 from loomgraph.sources.readers import json_list
+from loomgraph.sources.shared import new_dir
 
 QUERIES = {}
 
@@ -94,7 +94,7 @@ def kg_isa_split(spark, sf_dir):
 
 @query
 def kg_isa_dedup(spark, sf_dir):
-    isa = graph.split_isa(views.kg(spark, sf_dir, "geo", "parttype", "brand"))[0]
+    isa = graph.split_isa(views.kg(spark, sf_dir))[0]
     twice = isa.unionByName(isa.where("pos % 3 = 0").withColumns({"relation": F.lit("ISA"), "pos": F.col("pos") + 10**9}))
     return graph.simple_digraph(twice)
 
@@ -106,14 +106,16 @@ def kg_components(spark, sf_dir):
 
 @query
 def kg_component_index(spark, sf_dir):
-    triples = views.kg(spark, sf_dir, "orders")
+    """Domains are graphs of their own, so nodes carry their domain's name."""
+    own = lambda c: F.concat_ws(":", "domain", c)
+    triples = views.kg(spark, sf_dir).withColumns({"head": own("head"), "tail": own("tail")})
     edges = graph.simple_digraph(triples)
     return graph.component_index(edges, graph.components(triples))
 
 
 @query
 def kg_size_histogram(spark, sf_dir):
-    sizes = graph.components(views.kg(spark, sf_dir, "geo", "customer", "parttype", "orders"), "domain").groupBy("domain", "component").agg(F.count("*").alias("n"))
+    sizes = graph.components(views.kg(spark, sf_dir), "domain").groupBy("domain", "component").agg(F.count("*").alias("n"))
     return sizes.groupBy("domain", graph.size_bucket(F.col("n"), labelled=True).alias("bucket")).agg(F.count("*").alias("components"), F.sum("n").alias("nodes"))
 
 
@@ -155,7 +157,7 @@ def kg_degrees(spark, sf_dir):
 
 @query
 def kg_merge_union(spark, sf_dir):
-    parts = {d: views.kg(spark, sf_dir, d).drop("domain") for d in ("geo", "brand")} | {"customer": views.kg(spark, sf_dir, "customer").drop("domain", "pos").toDF("Head", "Relation", "Tail")}
+    parts = {d: views.kg(spark, sf_dir, d).drop("domain") for d in ("geo", "parttype", "brand", "orders", "supply")} | {"customer": views.kg(spark, sf_dir, "customer").drop("domain", "pos").toDF("Head", "Relation", "Tail")}
     return stats.union_all(parts)
 
 
@@ -174,7 +176,7 @@ def kg_component_classify(spark, sf_dir):
     first = graph.representative_edges(triples, labels)
     embedded = views.vec(spark, sf_dir)
     classes = vectors.prototypes(embedded, ["label"], "vec").select(F.concat(F.lit("class"), F.col("label")).alias("name"), F.col("label").alias("ord"), "prototype")
-    size = 500
+    size = embedded.count()
     number = F.when(F.col("tail").startswith("region#"), F.substring_index("head", "#", -1).cast("long")).otherwise(F.substring_index("head", "#", -1).cast("long") + 25) % size
     placed = first.withColumn("vec_id", number).join(embedded.select("vec_id", "vec"), "vec_id")
     chosen = vectors.classify(placed, "vec", classes, "name").select("component", F.col("label"))
@@ -223,8 +225,8 @@ def vec_classify(spark, sf_dir):
 def vec_topk(spark, sf_dir):
     v = views.vec(spark, sf_dir)
     asked = v.where("is_query").select(F.col("vec_id").alias("question_id"), F.col("vec").alias("q"), F.array(F.lit("all")).alias("subfields"))
-    rest = v.where("not is_query").select(F.col("vec_id").alias("triple_id"), F.lit("all").alias("subfield"), F.col("vec").alias("x"))
-    return _rounded(vectors.routed_top_k(asked, rest, 10), "similarity")
+    rest = v.select(F.col("vec_id").alias("triple_id"), F.lit("all").alias("subfield"), F.col("vec").alias("x"))
+    return _rounded(vectors.routed_top_k(asked, rest, 10, own=False), "similarity")
 
 
 @query
@@ -233,8 +235,8 @@ def retrieve_routed_topk(spark, sf_dir):
     sub = F.concat(F.lit("s"), F.col("label"))
     routes = F.array(sub, F.concat(F.lit("s"), (F.col("label") + 3) % 12))
     asked = v.where("is_query").select(F.col("vec_id").alias("question_id"), F.col("vec").alias("q"), routes.alias("subfields"))
-    rest = v.where("not is_query").select(F.col("vec_id").alias("triple_id"), sub.alias("subfield"), F.col("vec").alias("x"))
-    return _rounded(vectors.routed_top_k(asked, rest, 7), "similarity")
+    rest = v.select(F.col("vec_id").alias("triple_id"), sub.alias("subfield"), F.col("vec").alias("x"))
+    return _rounded(vectors.routed_top_k(asked, rest, 7, own=False), "similarity")
 
 
 @query
@@ -285,11 +287,8 @@ def format_prompt_triples(spark, sf_dir):
 @query
 def row_counts(spark, sf_dir):
     names = ("region", "nation", "customer", "orders", "documents")
-    out = None
-    for n in names:
-        part = views.table(spark, sf_dir, n).agg(F.count("*").alias("rows")).select(F.lit(n).alias("table_name"), "rows")
-        out = part if out is None else out.unionByName(part)
-    return out
+    files = {n: stats.row_counts(views.table(spark, sf_dir, n)) for n in names}
+    return stats.union_all(files, "table_name").groupBy("table_name").agg(F.sum("rows").alias("rows"))
 
 
 @query
@@ -305,15 +304,15 @@ def call_success_stats(spark, sf_dir):
 
 @query
 def sample_exact_n(spark, sf_dir):
-    return stats.sample_exact(views.kg(spark, sf_dir, "brand").select("head", "relation", "tail"), 50, seed=7)
+    return stats.sample_exact(views.kg(spark, sf_dir), 50, seed=7)
 
 
 @query
 def sample_remainder(spark, sf_dir):
-    """What a sample and its remainder hold together is the whole, whichever rows were drawn."""
-    whole = views.kg(spark, sf_dir, "brand").select("head", "relation", "tail")
+    """The rows whose keys a sample doesn't hold."""
+    whole = views.kg(spark, sf_dir)
     taken = stats.sample_exact(whole, 50, seed=7)
-    return stats.remainder(whole, taken, ["head", "relation", "tail"]).agg(F.count("*").alias("rest")).crossJoin(taken.agg(F.count("*").alias("taken")))
+    return stats.remainder(whole, taken, ["domain", "pos"]).agg(F.count("*").alias("rest")).crossJoin(taken.agg(F.count("*").alias("taken")))
 
 
 @query
@@ -329,7 +328,7 @@ def field_directories(spark, sf_dir):
 
 @query
 def textualized_triples(spark, sf_dir):
-    k = views.kg(spark, sf_dir, "geo", "brand").withColumn("relation", F.when(F.col("pos") % 4 != 0, F.col("relation")))
+    k = views.kg(spark, sf_dir).withColumn("relation", F.when(F.col("pos") % 4 != 0, F.col("relation")))
     h, r, t = (F.col(c) for c in ("head", "relation", "tail"))
     return k.select("domain", "pos", text.textualize(h, r, t).alias("retrieval"), text.textualize(h, r, t, " -> ").alias("classification"))
 
@@ -345,15 +344,36 @@ def json_triple_lists(spark, sf_dir):
 def resume_equivalence(spark, sf_dir):
     """Half the samples done before, the rest found by their keys: together each sample once."""
     wide = views.qa_wide(spark, sf_dir).select("dataset", "id", F.coalesce("origin_prediction", F.lit("")).alias("prediction"))
-    done = wide.where("id % 2 = 0")
-    rest = wide.join(done.select("dataset", "id"), ["dataset", "id"], "left_anti")
+    path = new_dir(spark, "done")
+    wide.where("id % 2 = 0").write.parquet(path)
+    done, rest = spark.read.parquet(path), workflow.pending(wide, path, ("dataset", "id"))
     whole = done.withColumn("part", F.lit("done")).unionByName(rest.withColumn("part", F.lit("rest")))
     return whole.groupBy("dataset", "part").agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids"))
 
 
 @query
-def prediction_sections(spark, sf_dir):
-    """Positions of a conversation's turns, as an ordered list (used for batch fan-out and prompt audits)."""
-    c = views.table(spark, sf_dir, "conversations")
-    rank = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))
-    return c.select("conv_id", "turn", rank.alias("position"), text.valid_prediction(F.col("text")).alias("valid"))
+def workflow_progress(spark, sf_dir):
+    """A third of the samples done; subjects without any count too."""
+    subjects = views.qa_wide(spark, sf_dir).select(F.col("dataset").alias("subject"), "id")
+    path = new_dir(spark, "progress")
+    subjects.where("id % 3 = 0").write.partitionBy("subject").parquet(path)
+    totals = subjects.groupBy("subject").agg(F.count("*").alias("total"))
+    return _rounded(workflow.progress(spark, path, totals), "percentage")
+
+
+@query
+def reason_caps(spark, sf_dir):
+    """Caps over the columns as the stages store them: structs of five and four fields, and JSON text with capitalised keys."""
+    s = views.samples(spark, sf_dir)
+    wider = lambda c, *more: F.transform(c, lambda x: F.struct(x["head"].alias("head"), x["relation"].alias("relation"), x["tail"].alias("tail"), *[F.lit(0.5).alias(m) for m in more]))
+    capital = F.to_json(F.transform("enriched", lambda x: F.struct(x["head"].alias("Head"), x["relation"].alias("Relation"), x["tail"].alias("Tail"))))
+    stored = s.select("id", wider("related", "text", "similarity").alias("relatedTriples"), wider("hierarchical", "source").alias("hierarchical_enhancements"), capital.alias("enrich_triples"))
+    capped = render.cap_triples(*workflow.triple_columns(stored), 2)
+    return stored.select("id", F.array_join(F.transform(capped, lambda x: F.concat_ws("|", x["h"], x["r"], x["t"])), ";").alias("triples"))
+
+
+@query
+def scalar_accessors(spark, sf_dir):
+    k = F.col("p_partkey")
+    one, many = F.when(k % 3 != 0, F.col("p_brand")), F.when(k % 4 != 0, F.array("p_name", "p_type")).otherwise(F.array().cast("array<string>"))
+    return views.table(spark, sf_dir, "part").select(k.alias("id"), text.scalar(one).alias("scalar_text"), text.scalar(many, "array<string>").alias("scalar_list"), text.present(one).alias("present_text"), text.present(many, "array<string>").alias("present_list"))

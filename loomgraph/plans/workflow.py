@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
-from loomgraph.functions.render import FORMATS, cap_triples, render
+from loomgraph.functions.render import FORMATS, cap_triples, json_triples, render
 from loomgraph.functions.taxonomy import SUBFIELDS
 from loomgraph.functions.text import OPTIONS, PROMPTS, format_triples, parse_answer, parse_enrichment, parse_router, prompt, question_with_options
 from loomgraph.operators.vectors import routed_top_k
 from loomgraph.plans.providers import Policy, Provider, call_provider
-from loomgraph.sources.shared import cut
+from loomgraph.sources.readers import exists
+from loomgraph.sources.shared import cut, drop
 
 DIRECT = "origin"
 ENRICHED = "array<struct<head:string,relation:string,tail:string,source:string>>"
@@ -25,19 +25,16 @@ def check_formats(formats: list[str]) -> None:
 
 def pending(rows: DataFrame, path: str, keys: tuple[str, ...] = ("subject", "id")) -> DataFrame:
     """Rows whose keys aren't in the output yet; all when there is none."""
-    try:
-        done = rows.sparkSession.read.parquet(path).select(*keys)
-    except AnalysisException:
+    spark = rows.sparkSession
+    if not exists(spark, path):
         return rows
-    return rows.join(done, list(keys), "left_anti")
+    return rows.join(spark.read.parquet(path).select(*keys), list(keys), "left_anti")
 
 
 def progress(spark: SparkSession, path: str, totals: DataFrame) -> DataFrame:
     """``subject, processed, total, percentage``, from what the output holds."""
-    try:
-        done = spark.read.parquet(path).groupBy("subject").agg(F.count("*").alias("processed"))
-    except AnalysisException:
-        done = spark.createDataFrame([], "subject string, processed bigint")
+    seen = spark.read.parquet(path).select("subject") if exists(spark, path) else spark.createDataFrame([], "subject string")
+    done = seen.groupBy("subject").agg(F.count("*").alias("processed"))
     out = totals.join(done, "subject", "left").withColumn("processed", F.coalesce("processed", F.lit(0)))
     return out.withColumn("percentage", F.coalesce(F.try_divide(100.0 * F.col("processed"), F.col("total")), F.lit(0.0))).select("subject", "processed", "total", "percentage")
 
@@ -69,6 +66,12 @@ def enrich(retrieved: DataFrame, model: Provider, policy: Policy | None = None,
     return called.join(parsed, "__key", "left").drop("__key").withColumns({c: F.coalesce(F.col(c), empty) for c in ("enrich_triples", "hierarchical_enhancements")})
 
 
+def triple_columns(samples: DataFrame) -> list[Column]:
+    """The three sources of triples as lists of structs, whether they are stored so or as JSON text."""
+    text = {f.name for f in samples.schema if f.dataType.simpleString() == "string"}
+    return [json_triples(F.col(c)) if c in text else F.col(c) for c in ("relatedTriples", "hierarchical_enhancements", "enrich_triples")]
+
+
 def reason(samples: DataFrame, model: Provider, formats: list[str] | None = None, n: int = 10, policy: Policy | None = None) -> DataFrame:
     """A row for each sample with ``<format>_knowledge, _prompt, _prediction, _response``, ``origin_prediction, _response`` and ``triple_count``.
 
@@ -77,7 +80,7 @@ def reason(samples: DataFrame, model: Provider, formats: list[str] | None = None
     formats = formats or [DIRECT, *FORMATS]
     check_formats(formats)
     options = {k: F.col(k) for k in OPTIONS if k in samples.columns}
-    base = samples.withColumn("__q", question_with_options(F.col("question"), options)).withColumn("__t", cap_triples(F.col("relatedTriples"), F.col("hierarchical_enhancements"), F.col("enrich_triples"), n))
+    base = samples.withColumn("__q", question_with_options(F.col("question"), options)).withColumn("__t", cap_triples(*triple_columns(samples), n))
     knowledge = lambda f: F.lit(None).cast("string") if f == DIRECT else render(f, F.col("__t"))
     long = base.select("subject", "id", "__q", F.explode(F.array(*[F.struct(F.lit(f).alias("format"), knowledge(f).alias("knowledge")) for f in formats])).alias("x")).select("subject", "id", "__q", "x.*")
     asked = F.when(F.col("format") == DIRECT, prompt(PROMPTS["qa"], question=F.col("__q"))).when(F.col("knowledge") != "", prompt(PROMPTS["qa_knowledge"], question=F.col("__q"), knowledge=F.col("knowledge"))).otherwise("")
@@ -89,11 +92,19 @@ def reason(samples: DataFrame, model: Provider, formats: list[str] | None = None
     return own.join(wide, ["subject", "id"])
 
 
-def reason_into(samples: DataFrame, path: str, model: Provider, formats: list[str] | None = None, **options) -> int:
-    """Reason about what the output lacks and append it; the number of samples that were left to do."""
+def reason_into(samples: DataFrame, path: str, model: Provider, formats: list[str] | None = None, batch: int = 10_000, **options) -> int:
+    """Reason about what the output lacks and append it batch by batch; the number of samples that were left to do.
+
+    A batch of about ``batch`` samples, dealt by a hash of their keys, is in the output as soon as it ends, so that a run that
+    breaks off loses the calls of one batch at most; the next run takes what is missing.
+    """
     check_formats(formats or FORMATS)
-    left = cut(pending(samples, path), "pending")
+    left = pending(samples, path)
+    left = cut(left.withColumn("__batch", F.xxhash64("subject", "id")), "pending")
     n = left.count()
-    if n:
-        reason(left, model, formats, **options).write.mode("append").partitionBy("subject").parquet(path)
+    batches = -(-n // batch)
+    for k in range(batches):
+        part = left.where(F.pmod("__batch", F.lit(batches)) == k).drop("__batch")
+        reason(part, model, formats, **options).write.mode("append").partitionBy("subject").parquet(path)
+    drop(left)
     return n

@@ -23,6 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
         return base.rstrip("/")
     if base := spark.sparkContext.getCheckpointDir():
         return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     base = f"file://{tempfile.mkdtemp(prefix='loomgraph-')}"
     spark.sparkContext.setCheckpointDir(base)
     return spark.sparkContext.getCheckpointDir().rstrip("/")
@@ -61,10 +63,10 @@ def drop(df: DataFrame) -> None:
 
 
 def ship(spark: SparkSession) -> None:
-    """Let executors import this package when they don't already see the repository."""
-    app = spark.sparkContext.applicationId
-    seen = [os.path.realpath(p) for p in os.environ.get("PYTHONPATH", "").split(":") if p]
-    if app in _shipped or str(ROOT) in seen or os.path.realpath(os.getcwd()) == str(ROOT):
+    """Let executors import this package; only a local master's workers may already see the repository."""
+    app, master = spark.sparkContext.applicationId, spark.sparkContext.master
+    seen = [os.path.realpath(p) for p in [*os.environ.get("PYTHONPATH", "").split(":"), os.getcwd()] if p]
+    if app in _shipped or master.startswith("local[") and str(ROOT) in seen:
         return
     target = Path(tempfile.mkdtemp(prefix="loomgraph-")) / "loomgraph.zip"
     with zipfile.ZipFile(target, "w") as out:

@@ -14,7 +14,7 @@ def write_subjects(df: DataFrame, path: str, append: bool = False) -> None:
 
 
 def write_classes(df: DataFrame, path: str, label: str, sublabel: str | None = None, rows_per_file: int = 1_000_000) -> None:
-    """CSV by class folder; rows are spread by a hash within each class, so a large class is written by many tasks."""
+    """CSV by class folder; each task writes its own part of a class, so a large class is spread as the rows are."""
     keys = {f"{c}_dir": directory_name(F.col(c)) for c in (label, sublabel) if c}
     df.withColumns(keys).write.mode("append").option("header", True).option("maxRecordsPerFile", rows_per_file).partitionBy(*keys).csv(path)
 
