@@ -1,11 +1,14 @@
 """Line dedup by a segment-partition edit join, in DataFrame operations only.
 
-Two lines within ``tau`` edits: cut the shorter into tau + 1 segments; one of them occurs unchanged in the longer.
-Each line is indexed under (segment number, length, segment) and probes, for each length from its own down
-to tau less, the substrings where such a segment may stand: at most i edits lie left of segment i and at
-most tau - i right of it, which leaves a window of few starts. Candidates are verified by edit distance after
-common ends are cut off: for e = 0..tau a word of 2 tau + 1 bits holds the diagonals that e edits can reach, and
-one step takes a character on all diagonals at once. Links between distinct lines give classes; equal lines are one node.
+Lines are sequences of units: characters, or words from :data:`LONG` words on. How many edits tau two lines may be apart grows with the
+shorter one's length n (:func:`edits_of`). Of a line tau + 1 segments are taken, the first half counted from its start, the
+others from its end, all of a size L that is the same for all lengths between two points of a grid (:func:`grid`). If two lines
+are within tau edits, take the first segment i of one such that segments 0 to i hold at most i edits: it holds none, exactly i edits stand left of it, and at
+most tau - i right of it. So it occurs in the other line, counted from the same end, within min(i, tau - i) units of its own place. A line is
+indexed under (length class, segment number, segment) and probes the few places near by; a line just above a point of the grid
+does so for the class below too. Candidates have lengths within tau and parities of their units that tau edits can reach; they are
+verified by edit distance: for e = 0..tau a word of 2 tau + 1 bits holds the diagonals that e edits can reach, and one step
+takes a unit on all diagonals at once. Links between distinct lines give classes; equal lines are one node.
 """
 
 from __future__ import annotations
@@ -18,8 +21,11 @@ from pyspark.sql import functions as F
 from loomgraph.operators.components import connected_components
 from loomgraph.sources.shared import cut, drop
 
-#: Lines of fewer characters are compared for equality only.
-LEAST_CHARS = 24
+#: Lines of so many words (parts between blanks) or more are compared by words, others by characters.
+LONG = 16
+#: (least length, edits) in characters and in words; shorter lines link with nothing. Least lengths must be points of the grid.
+CHAR_EDITS = ((8, 1), (24, 2))
+WORD_EDITS = ((16, 2), (48, 4), (96, 6), (192, 8))
 POSITION = "decimal(38,0)"
 
 
@@ -29,9 +35,12 @@ def explode_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return lines.withColumn("line", F.expr("rtrim('\\r', line)")).where(F.trim("line") != "")
 
 
-def _hashed(lines: DataFrame) -> DataFrame:
-    """With a 128-bit identity of the line's text."""
-    return lines.withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(1), "line")})
+def lines_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id, line_no, h1, h2, n_chars, n_words, line`` of every line, written once: texts are split and hashed a single time."""
+    lines = explode_lines(docs, id_col, text_col)
+    words = F.char_length("line") - F.char_length(F.replace(F.col("line"), F.lit(" "), F.lit(""))) + 1
+    # h1 and h2 are a 128-bit identity of the line's text
+    return cut(lines.withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(1), "line"), "n_chars": F.char_length("line"), "n_words": words}), "lines-of-docs")
 
 
 def _position() -> Column:
@@ -50,54 +59,75 @@ def _no(c: str) -> Column:
     return F.pmod(F.col(c), F.lit(2**31).cast("decimal(11,0)")).cast("bigint")
 
 
-def distinct_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``h1, h2, position, n_chars, n_copies``: one row for each distinct line, at its first occurrence."""
-    lines = _hashed(explode_lines(docs, id_col, text_col))
-    return lines.select("h1", "h2", _position().alias("position"), F.char_length("line").alias("n_chars")).groupBy("h1", "h2").agg(
+def distinct_lines(at: DataFrame) -> DataFrame:
+    """``h1, h2, position, n_chars, n_copies``: one row for each distinct line of :func:`lines_table`, at its first occurrence."""
+    return at.select("h1", "h2", _position().alias("position"), "n_chars").groupBy("h1", "h2").agg(
         F.min("position").alias("position"), F.min("n_chars").alias("n_chars"), F.count("*").alias("n_copies"))
 
 
-def _segment(length: Column, i: int, parts: int) -> tuple[Column, Column]:
-    """(start from 0, size) of segment i of a line of that length; the last ones take the remainder."""
-    size = F.floor(length / parts).cast("int")
-    small = F.lit(parts) - (length % parts)
-    return i * size + F.greatest(F.lit(0), F.lit(i) - small), size + (F.lit(i) >= small).cast("int")
+def grid(n: Column) -> Column:
+    """The largest number 2**k or 3 * 2**k up to n, for n from 2 on."""
+    power = F.call_function("shiftleft", F.lit(1), F.length(F.bin(n.cast("long"))) - 1)
+    return F.when(n >= power + F.shiftright(power, 1), power + F.shiftright(power, 1)).otherwise(power)
 
 
-def signatures(lines: DataFrame, tau: int) -> tuple[DataFrame, DataFrame]:
-    """(index, probes) of ``h1, n, line``: ``key, h1, letters`` rows, keys being hashes of (segment number, length, text)."""
-    n, index, probes = F.col("n"), [], []
-    for i in range(tau + 1):
-        start, size = _segment(n, i, tau + 1)
-        index.append(F.xxhash64(F.lit(i), n, F.substring(F.col("line"), start + 1, size)))
-        for less in range(tau + 1):
-            start, size = _segment(n - less, i, tau + 1)
-            for move in range(max(-i, less - (tau - i)), min(i, less + tau - i) + 1):
-                probes.append(F.xxhash64(F.lit(i), n - less, F.substring(F.col("line"), start + move + 1, size)))
-    # bound to a variable, the counts are computed once a line; as a column beside explode() they would be once a key
-    rows = lambda keys: _let(letter_counts(F.col("line")), lambda x: F.transform(F.array(*keys), lambda k: F.struct(k.alias("key"), x.alias("letters"))))
-    part = lambda keys: lines.select("h1", F.explode(rows(keys)).alias("x")).select("x.key", "h1", "x.letters")
-    return part(index), part(probes)
+def edits_of(n: Column, bands: tuple[tuple[int, int], ...]) -> Column:
+    """The edits that lines of n units may be apart; 0 below all bands."""
+    out = F.lit(0)
+    for least, tau in bands:
+        out = F.when(n >= least, F.lit(tau)).otherwise(out)
+    return out
 
 
-#: Letters whose counts are compared before two texts are; any sixteen would do.
-LETTERS = "etaoinsrhldcumgp"
+def places(tau: int) -> list[tuple[int, int]]:
+    """(segment, move) of all that a line looks up; those with move 0 are what it is indexed under too."""
+    return [(i, move) for i in range(tau + 1) for move in range(-min(i, tau - i), min(i, tau - i) + 1)]
 
 
-def letter_counts(line: Column) -> Column:
-    """How often each of the letters occurs, modulo 16, four bits for each."""
-    count = lambda c: (F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit("")))).cast("long").bitwiseAND(F.lit(15))
-    out = count(LETTERS[0])
-    for k, c in enumerate(LETTERS[1:], 1):
-        out = out.bitwiseOR(F.shiftleft(count(c), 4 * k))
-    return out
+def _keys(units: Column, n: Column, parity: Column, bands: tuple[tuple[int, int], ...], salt: int) -> Column:
+    """An array of ``key, n, parity, own`` for a line of n units; own: whether the line is indexed there."""
+
+    def rows(top: Column, tau: int) -> Column:
+        size = F.floor(top / (tau + 1)).cast("int")
+
+        def row(x: Column) -> Column:
+            i, move = x["i"], x["move"]
+            begin = F.when(i <= tau // 2, i * size + move).otherwise(n - (tau - i + 1) * size + move)
+            return F.struct(F.xxhash64(F.lit(salt), top, i, F.slice(units, begin + 1, size)).alias("key"), n.alias("n"), parity.alias("parity"), (move == 0).alias("own"))
+
+        return F.transform(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(m).alias("move")) for i, m in places(tau)]), row)
+
+    def of(length: Column) -> Column:
+        """The rows of the class that ``length`` belongs to."""
+        tau, out = edits_of(length, bands), F.array().cast("array<struct<key:bigint,n:int,parity:bigint,own:boolean>>")
+        return _let(grid(length), lambda top: F.coalesce(*[F.when(tau == t, rows(top, t)) for _, t in bands], out))
+
+    below = grid(n) - 1
+    return F.concat(of(n), F.when(n - below <= edits_of(below, bands), of(below)).otherwise(of(F.lit(2))))
+
+
+def _parity(units: Column) -> Column:
+    """64 bits: whether an odd number of units has each hash; an edit changes two of them at most."""
+    return F.aggregate(units, F.lit(0).cast("long"), lambda s, x: s.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.xxhash64(x).bitwiseAND(F.lit(63)).cast("int"))))
+
 
+def chars(line: Column) -> Column:
+    """The characters of a line as an array."""
+    return F.when(line == "", F.array().cast("array<string>")).otherwise(F.split(line, ""))
 
-def letters_apart(a: Column, b: Column) -> Column:
-    """At most the sum of the differences of all counts; an edit changes two of them by one each at most."""
-    four = lambda x, k: F.shiftright(x, 4 * k).bitwiseAND(F.lit(15))
-    apart = [F.abs(four(a, k) - four(b, k)) for k in range(len(LETTERS))]
-    return sum((F.least(d, 16 - d) for d in apart[1:]), F.least(apart[0], 16 - apart[0]))
+
+def words(line: Column) -> Column:
+    return F.split(line, " ")
+
+
+def signatures(lines: DataFrame) -> DataFrame:
+    """``key, h1, n, parity, own`` of ``h1, line, n_words``. Two character edits change the number of words by two at
+    most, so lines of up to LONG + 1 words look for characters too."""
+    none = F.array().cast("array<struct<key:bigint,n:int,parity:bigint,own:boolean>>")
+    keyed = lambda units, bands, salt: _let(units, lambda u: _let(_parity(u), lambda p: _let(F.size(u), lambda n: _keys(u, n, p, bands, salt))))
+    by_char = F.when(F.col("n_words") < LONG + CHAR_EDITS[-1][1], keyed(chars(F.col("line")), CHAR_EDITS, 0)).otherwise(none)
+    by_word = F.when(F.col("n_words") >= LONG, keyed(words(F.col("line")), WORD_EDITS, 1)).otherwise(none)
+    return lines.select("h1", F.explode(F.concat(by_char, by_word)).alias("x")).select("x.key", "h1", "x.n", "x.parity", "x.own")
 
 
 def _members(keys: DataFrame, bits: int = 22) -> Callable[[Column], Column]:
@@ -121,15 +151,8 @@ def _let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def _common(a: Column, b: Column) -> Column:
-    """Length of the common prefix of two variables, by doubling steps."""
-    grow = lambda most: lambda at, p: F.when((at + p <= most) & (F.substring(a, at + 1, p) == F.substring(b, at + 1, p)), at + p).otherwise(at)
-    steps = lambda most: F.transform(F.sequence(F.ceil(F.log2(most + 2)).cast("int"), F.lit(0)), lambda k: F.pow(F.lit(2), k).cast("int"))
-    return _let(F.least(F.char_length(a), F.char_length(b)), lambda most: F.aggregate(steps(most), F.lit(0), grow(most)))
-
-
 def _banded(x: Column, y: Column, tau: int) -> Column:
-    """Whether two arrays of characters are within tau edits: an automaton whose bit d of word e says that the characters
+    """Whether two arrays of units are within tau edits: an automaton whose bit d of word e says that the units
     of y so far match as many of x plus d - tau with at most e edits. Both arrays must be variables."""
     full = (1 << (2 * tau + 1)) - 1
     first = [1 << tau]
@@ -158,50 +181,59 @@ def _banded(x: Column, y: Column, tau: int) -> Column:
     return F.coalesce((F.abs(apart) <= tau) & (F.get(run, F.lit(tau)).bitwiseAND(bit) != 0), F.lit(False))
 
 
-def within(a: Column, b: Column, tau: int) -> Column:
-    """Whether two strings are within tau edits: common ends are cut off, the rest goes through :func:`_banded`."""
-    pair = lambda x, y: F.struct(x.alias("a"), y.alias("b"))
-    drop_left = lambda p: _let(_common(p["a"], p["b"]), lambda k: pair(*(F.substring(p[c], k + 1, F.char_length(p[c])) for c in "ab")))
-    turned = lambda p: pair(F.reverse(p["a"]), F.reverse(p["b"]))
-    chars = lambda p: pair(*(F.when(p[c] == "", F.array().cast("array<string>")).otherwise(F.split(p[c], "")) for c in "ab"))
-    middle = _let(_let(_let(pair(a, b), drop_left), turned), drop_left)
-    return _let(_let(middle, chars), lambda p: _let(p["a"], lambda x: _let(p["b"], lambda y: _banded(x, y, tau))))
+def within(x: Column, y: Column, tau: int) -> Column:
+    """Whether two arrays of units are within tau edits."""
+    return _let(x, lambda a: _let(y, lambda b: _banded(a, b, tau)))
+
+
+def near(a: Column, b: Column) -> Column:
+    """Whether two lines link: by words if both are long, else by characters, within the edits of the shorter one."""
+
+    def by(units: Callable[[Column], Column], bands: tuple[tuple[int, int], ...]) -> Column:
+        def check(x: Column, y: Column) -> Column:
+            tau = edits_of(F.least(F.size(x), F.size(y)), bands)
+            return F.coalesce(*[F.when(tau == t, _banded(x, y, t)) for _, t in bands], F.lit(False))
+
+        return _let(units(a), lambda x: _let(units(b), lambda y: check(x, y)))
+
+    long = lambda x: F.size(words(x)) >= LONG
+    return F.when(long(a) & long(b), by(words, WORD_EDITS)).otherwise(by(chars, CHAR_EDITS))
 
 
-def edit_links(docs: DataFrame, lines: DataFrame, tau: int = 2, least: int = LEAST_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``src, dst``: positions of distinct lines within tau edits of each other, each pair once.
+def edit_links(at: DataFrame, lines: DataFrame) -> DataFrame:
+    """``src, dst``: positions of distinct lines that link, each pair once.
 
-    lines: the result of :func:`distinct_lines`. A line that occurs once goes to the join straight from its document; those that may
-    occur more often are reduced to one first, so copies never meet. Lines whose counts of letters are too far apart for tau edits
-    are no candidates, though they share a segment: variants of one passage would else all meet. Candidates carry one hash of 64 bits each; lines
-    that share it by accident are only verified more often, as verification reads the texts.
+    at: of :func:`lines_table`; lines: of :func:`distinct_lines`. A line that occurs once goes to the join as it is; those that may
+    occur more often are reduced to one first, so copies never meet. One exchange of keys serves both sides of the join. Candidates carry
+    one hash of 64 bits each; lines that share it by accident are only verified more often, as verification reads the texts.
     """
-    if least < 4 * (tau + 1):
-        raise ValueError("lines must have four characters at least for each segment")
-    at = _hashed(explode_lines(docs, id_col, text_col)).withColumn("n", F.char_length("line")).where(F.col("n") >= least)
-    often = _members(lines.where((F.col("n_copies") > 1) & (F.col("n_chars") >= least)).select("h1"))
-    once = at.where(~often(F.col("h1"))).select("h1", "n", "line")
-    copied = at.where(often(F.col("h1"))).groupBy("h1", "h2").agg(F.min("n").alias("n"), F.min("line").alias("line")).select("h1", "n", "line")
-    index, probes = ([one.unionByName(more) for one, more in zip(signatures(once, tau), signatures(copied, tau), strict=True)])
-    right = probes.withColumnsRenamed({"h1": "b", "letters": "lb"})
-    alike = (F.col("a") != F.col("b")) & (letters_apart(F.col("la"), F.col("lb")) <= 2 * tau)
-    pairs = index.withColumnsRenamed({"h1": "a", "letters": "la"}).join(right, "key").where(alike)
-    pairs = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "line-candidates")
+    often = _members(lines.where(F.col("n_copies") > 1).select("h1"))
+    once = at.where(~often(F.col("h1"))).select("h1", "n_words", "line")
+    copied = at.where(often(F.col("h1"))).groupBy("h1", "h2").agg(F.min("n_words").alias("n_words"), F.min("line").alias("line")).select("h1", "n_words", "line")
+    keys = signatures(once.unionByName(copied))
+    left, right = (keys.withColumnsRenamed({c: f"{c}{k}" for c in ("h1", "n", "parity", "own")}) for k in "ab")
+    # a condition on one side alone would be pushed below its exchange, and the two sides would no longer share one
+    once_each = F.when(F.col("ownb"), F.col("owna") & (F.col("h1a") < F.col("h1b"))).otherwise(F.col("owna") & (F.col("h1a") != F.col("h1b")))
+    # what the lengths allow is at most the largest tau; verification has the pair's own
+    most = F.greatest(edits_of(F.greatest("na", "nb"), CHAR_EDITS), edits_of(F.greatest("na", "nb"), WORD_EDITS))
+    alike = (F.abs(F.col("na") - F.col("nb")) <= most) & (F.bit_count(F.col("paritya").bitwiseXOR(F.col("parityb"))) <= 2 * most)
+    pairs = left.join(right, "key").where(alike & once_each)
+    pairs = cut(pairs.select(F.least("h1a", "h1b").alias("a"), F.greatest("h1a", "h1b").alias("b")).distinct(), "line-candidates")
     ends = cut(pairs.select(F.col("a").alias("h1")).union(pairs.select("b")).distinct(), "line-ends")
     texts = at.where(_members(ends)(F.col("h1"))).groupBy("h1", "h2").agg(F.min("line").alias("line"), F.min(_position()).alias("position"))
     texts = cut(texts.join(ends, "h1", "left_semi"), "line-texts")
     a = texts.select(F.col("h1").alias("a"), F.col("line").alias("la"), F.col("position").alias("src"))
     b = texts.select(F.col("h1").alias("b"), F.col("line").alias("lb"), F.col("position").alias("dst"))
-    links = cut(pairs.join(a, "a").join(b, "b").where(within(F.col("la"), F.col("lb"), tau)).select("src", "dst"), "line-links")
+    links = cut(pairs.join(a, "a").join(b, "b").where(near(F.col("la"), F.col("lb"))).select("src", "dst"), "line-links")
     for t in (pairs, ends, texts):
         drop(t)
     return links
 
 
-def line_classes(docs: DataFrame, tau: int = 2, least: int = LEAST_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def line_classes(at: DataFrame) -> DataFrame:
     """``h1, h2, position, n_chars, n_copies, n_links, class``: each distinct line with its links and its class's first position."""
-    lines = cut(distinct_lines(docs, id_col, text_col), "lines")
-    links = edit_links(docs, lines, tau, least, id_col, text_col)
+    lines = cut(distinct_lines(at), "lines")
+    links = edit_links(at, lines)
     ends = links.select(F.col("src").alias("position")).union(links.select("dst")).groupBy("position").agg(F.count("*").alias("n_links"))
     labels = connected_components(links).withColumnsRenamed({"node": "position", "component": "class"})
     known = cut(ends.join(labels, "position"), "line-labels")
@@ -228,43 +260,43 @@ def _ids_of_rows(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame
     return cut(known.withColumn("__row", own.cast("decimal(28,0)")).drop("__r", "__tie"), "line-docs"), "__row"
 
 
-def near_duplicate_lines(docs: DataFrame, tau: int = 2, least: int = LEAST_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each distinct line: ``doc_id, line_no`` of its first occurrence, ``n_chars, n_copies, n_links, class_doc_id, class_line_no``.
 
-    n_links: other distinct lines within ``tau`` edits; class: the first line reachable by links, itself included. Lines of
-    fewer than ``least`` characters link with nothing. Blank lines, null and empty texts give no rows; an
-    empty table gives none. Rows without an id come last and show a null id; rows that repeat an id share positions, so that
-    of equal positions the texts are told apart by identity alone. Ids must be integers.
+    n_links: other distinct lines it links with (:func:`near`); class: the first line reachable by links, itself included. Lines of
+    fewer than 8 characters link with nothing. Blank lines, null and empty texts give no rows; an empty table gives none; other columns
+    are ignored, whatever their names. Rows without an id come last and show a null id; rows that repeat an id share positions, so that
+    of equal positions the texts are told apart by identity alone. Ids must be integers. Texts of any length are taken whole.
     """
-    classes = line_classes(docs, tau, least, id_col, text_col)
+    classes = line_classes(lines_table(docs, id_col, text_col))
     return classes.select(_doc("position").alias("doc_id"), _no("position").alias("line_no"), F.col("n_chars").cast("bigint").alias("n_chars"), "n_copies", "n_links", _doc("class").alias("class_doc_id"), _no("class").alias("class_line_no"))
 
 
-def line_members(docs: DataFrame, tau: int = 2, least: int = LEAST_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def line_members(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each line of each document that isn't blank: ``doc_id, line_no, n_chars, n_copies, n_links, class_doc_id, class_line_no``.
 
     The columns after line_no are those of the line's text in :func:`near_duplicate_lines`, n_links being counted between distinct lines.
     """
-    classes = line_classes(docs, tau, least, id_col, text_col)
+    at = lines_table(docs, id_col, text_col)
+    classes = line_classes(at)
     known = classes.select("h1", "h2", F.col("n_chars").cast("bigint").alias("n_chars"), "n_copies", "n_links", _doc("class").alias("class_doc_id"), _no("class").alias("class_line_no"))
-    at = _hashed(explode_lines(docs, id_col, text_col)).select(F.col("id").alias("doc_id"), F.col("line_no").cast("bigint").alias("line_no"), "h1", "h2")
-    return at.join(known, ["h1", "h2"]).drop("h1", "h2")
+    return at.select(F.col("id").alias("doc_id"), F.col("line_no").cast("bigint").alias("line_no"), "h1", "h2").join(known, ["h1", "h2"]).drop("h1", "h2")
 
 
-def dedup_lines(docs: DataFrame, tau: int = 2, least: int = LEAST_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the lines that repeat, exactly or nearly, a line before them in the corpus; same columns.
 
-    Only lines of ``least`` characters or more go; blank and short lines stay where they are. A document that loses lines
-    and has no letter or digit left goes too; others stay, also null and empty ones. Rows without an id or that repeat one are
-    rows of their own.
+    Blank lines stay where they are. A document that loses lines and has no letter or digit left goes too; others stay, also null and
+    empty ones. Rows without an id or that repeat one are rows of their own. An empty table gives an empty one.
     """
     columns = docs.columns
     docs, id_col = _ids_of_rows(docs, id_col, text_col)
-    classes = line_classes(docs, tau, least, id_col, text_col).where(F.col("n_chars") >= least)
+    at = lines_table(docs, id_col, text_col)
+    classes = line_classes(at)
     firsts = cut(classes.where((F.col("n_copies") > 1) | (F.col("position") != F.col("class"))).select("h1", "h2", F.col("class")), "line-firsts")
-    at = _hashed(explode_lines(docs, id_col, text_col)).select("id", "line_no", "h1", "h2", _position().alias("position"))
-    gone = at.join(firsts, ["h1", "h2"]).where(F.col("position") != F.col("class"))
+    gone = at.select("id", "line_no", "h1", "h2", _position().alias("position")).join(firsts, ["h1", "h2"]).where(F.col("position") != F.col("class"))
     marks = cut(gone.groupBy("id").agg(F.sort_array(F.collect_set("line_no")).alias("__gone")), "line-gone")
+    drop(at)
     # lists of line numbers are far larger in memory than as files, which is what Spark's size check sees: no broadcast
     joined = docs.join(marks.withColumnRenamed("id", "__id").hint("merge"), F.col(id_col).eqNullSafe(F.col("__id")), "left")
     body = F.split(F.col(text_col), "\n")

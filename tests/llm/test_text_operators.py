@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
 import public_tokenizers
@@ -216,16 +217,34 @@ def test_edit_distance_automaton(spark):
     rows = [(a := "".join(rng.choice("abé日") for _ in range(rng.randrange(25))), change(rng, a, rng.randrange(5))) for _ in range(800)] + [("", ""), ("", "a"), ("abc", "")]
     df = spark.createDataFrame(rows, "a string, b string")
     for tau in (1, 2, 3):
-        got = df.select("a", "b", linededup.within(F.col("a"), F.col("b"), tau).alias("w")).collect()
+        got = df.select("a", "b", linededup.within(linededup.chars(F.col("a")), linededup.chars(F.col("b")), tau).alias("w")).collect()
         assert all(r.w == (edits(r.a, r.b) <= tau) for r in got)
 
 
+def linked(a, b):
+    """By the definition, in plain Python."""
+    x, y = a.split(" "), b.split(" ")
+    bands = linededup.WORD_EDITS if min(len(x), len(y)) >= linededup.LONG else linededup.CHAR_EDITS
+    x, y = (x, y) if bands is linededup.WORD_EDITS else (a, b)
+    tau = max([t for least, t in bands if min(len(x), len(y)) >= least], default=0)
+    return tau and abs(len(x) - len(y)) <= tau and edits(x, y) <= tau
+
+
 def test_line_classes(spark):
     rng = random.Random(4)
-    lines = ["".join(rng.choice("ea ") for _ in range(rng.randrange(18, 40))) for _ in range(40)]
+    lines = ["".join(rng.choice("ea ") for _ in range(rng.randrange(18, 40))) for _ in range(40)] + ["".join(rng.choice("ab") for _ in range(rng.randrange(3, 13))) for _ in range(20)]
     lines += [change(rng, rng.choice(lines), rng.randrange(4)) for _ in range(200)]
-    rows = [(i, "\n".join(lines[i * 5 : i * 5 + 5])) for i in range(48)] + [(90, None), (91, ""), (92, " \n\r\n"), (93, lines[0] + "\r\n" + lines[0])]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for n in (14, 15, 16, 17, 18, 30, 47, 48, 49, 50, 95, 97, 100, 191, 193, 196, 210):
+        base = [rng.choice(["on", "a", "the", "it", "is", f"w{rng.randrange(400)}"]) for _ in range(n)]
+        for k in range(8):
+            w = list(base)
+            for _ in range(rng.randrange(1, 10) if k else 0):
+                at = rng.randrange(len(w))
+                w[at : at + rng.randrange(2)] = [f"n{rng.randrange(9)}"] * rng.randrange(2)
+            lines.append(" ".join(w))
+    rng.shuffle(lines)
+    rows = [(i, "\n".join(lines[i * 5 : i * 5 + 5])) for i in range(-(-len(lines) // 5))] + [(190, None), (191, ""), (192, " \n\r\n"), (193, lines[0] + "\r\n" + lines[0])]
+    docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, line string, h1 long")
     first, copies = {}, Counter()
     for i, text in rows:
         for k, line in enumerate((text or "").split("\n")):
@@ -234,10 +253,12 @@ def test_line_classes(spark):
                 first.setdefault(line, (i, k))
                 copies[line] += 1
     near = defaultdict(list)
-    for a in first:
-        for b in first:
-            if a != b and min(len(a), len(b)) >= 24 and abs(len(a) - len(b)) <= 2 and edits(a, b) <= 2:
-                near[a].append(b)
+    for a, b in combinations(first, 2):
+        if linked(a, b):
+            near[a].append(b)
+            near[b].append(a)
+    long = [len(a.split(" ")) for a in near if len(a.split(" ")) >= linededup.LONG]
+    assert {max(t for least, t in linededup.WORD_EDITS if n >= least) for n in long} == {2, 4, 6, 8}
     label = dict(first)
     moved = True
     while moved:
@@ -250,7 +271,7 @@ def test_line_classes(spark):
     assert got == want
     kept = {r.doc_id: r.text for r in linededup.dedup_lines(docs).collect()}
     for i, text in rows:
-        left = [x for k, x in enumerate(text.split("\n")) if not (len(s := x.rstrip("\r")) >= 24 and s.strip(" ") and label[s] != (i, k))] if text else []
+        left = [x for k, x in enumerate(text.split("\n")) if not ((s := x.rstrip("\r")).strip(" ") and label[s] != (i, k))] if text else []
         if text is None or left == text.split("\n") or text == "":
             assert kept[i] == text
         elif any(c.isalnum() for x in left for c in x):
