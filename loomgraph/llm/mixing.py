@@ -2,13 +2,13 @@
 
 A document of a source is taken ``target / source_size`` times on average: once for each whole part, and
 for the fractional part p it is taken once more with probability p. Dependent rounding pairs two fractional
-documents i, j of sizes s_i, s_j and moves mass between them so that s_i p_i + s_j p_j stays as
-it is and one of them becomes 0 or 1. In a block, the largest document is paired with all smaller ones together,
-then the next, so that what is left is one small fractional document. The blocks' residuals are paired
-in turn, up a tree of fan-in ``fan_in``, until one document of the source is left, which is rounded by
-its probability; so the words taken from a source differ from its target by a small document.
+copies i, j of sizes s_i, s_j and moves mass between them so that s_i p_i + s_j p_j stays as
+it is, both keep their expectations and one of them becomes 0 or 1. In a block all fractions are equal, and the largest document is paired
+with the pool of all smaller ones, which takes up the mass evenly and so keeps one fraction; then the next. What is left is one fractional document,
+a small one unless the pool ran full or empty. The blocks' residuals are paired with each other, up a tree of fan-in
+``fan_in``, until one document of the source is left, which is rounded by its probability.
 
-Draws are hashes of the seed and the pair, and blocks depend on ids alone, so reruns agree
+Draws are hashes of the seed and the documents, and blocks depend on ids and texts alone, so reruns agree
 whatever the partitioning. A source's rows are dealt over as many blocks as its count asks for.
 """
 
@@ -74,28 +74,29 @@ def pivot(rows: list[tuple[str, int, float]], seed: int) -> list[float]:
 
 
 def settle(rows: list[tuple[str, int, float]], seed: int) -> list[float]:
-    """The first level, for rows of one fraction p, largest first: each row is paired with all smaller ones together.
+    """The same for rows of one fraction, largest first, each paired with the pool of all smaller ones.
 
-    The row becomes 0 or 1 (1 with the pool's current fraction), and the mass moves from or to the pool, which keeps one
-    fraction. Where the pool can take up only one of the two outcomes, that one is chosen, so that the sum holds even when
-    p is close to 0 or 1; a row too large for both ends as drawn. The smallest row keeps what is left as its fraction.
+    Mass moves to the row, from the pool, as far as the row's 1 or the pool's 0 allows, or the other way round; the two are drawn so that
+    no expectation changes. Usually the row becomes 0 or 1 and the pool goes on at a new fraction; else the pool is rounded as a whole and the
+    row is what is left.
     """
-    pool = sum(size for _, size, _ in rows)
-    words = sum(size * p for _, size, p in rows)
-    out = []
-    for key, size, _ in rows:
-        if not size:
-            out.append(0.0)
+    rest = sum(size for _, size, _ in rows)
+    p = rows[0][2] if rows else 0.0
+    out: list[float] = []
+    for k, (key, size, _) in enumerate(rows):
+        rest -= size
+        if not size or p in (0.0, 1.0):
+            out.append(p if size else 0.0)
             continue
-        share = min(1.0, max(0.0, words / pool))
-        if pool == size:
-            out.append(share if 1e-9 < share < 1 - 1e-9 else float(round(share)))
+        if not rest:
+            out.append(p)
             continue
-        can_take, can_leave = words >= size - 1e-6, words <= pool - size + 1e-6
-        take = _draw(seed, key) < share if can_take == can_leave else can_take
-        out.append(float(take))
-        pool -= size
-        words = min(float(pool), max(0.0, words - size * take))
+        up, down = min(1 - p, p * rest / size), min(p, (1 - p) * rest / size)
+        shift = up if _draw(seed, key, k) * (up + down) < down else -down
+        own, pool = p + shift, p - shift * size / rest
+        own, pool = (0.0 if x < 1e-12 else 1.0 if x > 1 - 1e-12 else x for x in (own, pool))
+        out.append(own)
+        p = pool
     return out
 
 
@@ -103,57 +104,64 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """``id_col, source, size, source_size, target, copies, taken`` for each row.
 
     size: words of the text (null: 0); copies: how often the mix takes the whole document (0 to ``most``, rounded up);
-    taken: size * copies. Empty documents are taken 0 times. Null and repeated ids are rows like others (equal rows
-    are interchangeable, so that the result is the same whichever of them is taken); an empty table gives no rows.
+    taken: size * copies. Null and empty texts have size 0 and are taken 0 times. Null and repeated ids are rows like others, told apart by their texts (equal rows
+    are interchangeable, so that the result is the same whichever of them is taken); an empty table gives no rows. Other columns are
+    ignored. ``text_hash`` is a hash of the text. Weights repeat over the sources, which are ranked in one task: a row a source.
     """
     spark = docs.sparkSession
     ship(spark)
-    thin = cut(docs.select(F.col(id_col), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size")), "mix-sizes")
+    words = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
+    thin = cut(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), words.alias("size"), F.xxhash64(F.col(text_col)).alias("text_hash")), "mix-sizes")
     sources = cut(targets(thin.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs")), weights, total_share, most), "mix-targets")
     share = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    start = (
+    whole = (
         thin.join(sources.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s", "weight")
-        .withColumn("whole", F.floor(share).cast("long")).withColumn("p", share - F.floor(share))
+        .withColumn("whole", F.floor(share).cast("long")).withColumn("p", F.when(F.col("size") > 0, share - F.floor(share)).otherwise(0.0))
         .withColumn("blocks", F.ceil(F.col("n_docs") / block))
-        .withColumn("block", F.pmod(F.xxhash64(F.lit(seed), F.col(id_col).cast("string"), "size"), F.col("blocks"))).drop("n_docs")
+        .withColumn("block", F.pmod(F.xxhash64(F.lit(seed), F.col("id").cast("string"), "text_hash"), F.col("blocks"))).drop("n_docs")
     )
-    schema = start.schema
+    schema = whole.schema
+    # documents without words or with a whole number of copies have nothing to round
+    start = whole.where("p > 0")
 
     def round_block(table: pa.Table) -> pa.Table:
         sizes = table.column("size").to_pylist()
-        keys = [f"{i}|{n}" for i, n in zip(table.column(id_col).to_pylist(), sizes, strict=True)]
+        keys = [f"{i}|{h}" for i, h in zip(table.column("id").to_pylist(), table.column("text_hash").to_pylist(), strict=True)]
         order = sorted(range(len(keys)), key=lambda k: (-sizes[k], keys[k]))  # largest first: what is left in the end is small
         table = table.take(pa.array(order, pa.int64()))
         rows = list(zip([keys[k] for k in order], table.column("size").to_pylist(), table.column("p").to_pylist(), strict=True))
         return table.set_column(table.schema.get_field_index("p"), "p", pa.array((settle if len({p for _, _, p in rows}) == 1 else pivot)(rows, seed), pa.float64()))
 
-    done, rest = [], start
+    done, rest = [whole.where("p = 0")], start
     while True:
         level = cut(rest.groupBy("source", "block").applyInArrow(round_block, schema), "mix-level")
         done.append(level.where("p = 0 or p = 1"))
         rest = level.where("p > 0 and p < 1").withColumn("blocks", F.ceil(F.col("blocks") / fan_in)).withColumn("block", F.floor(F.col("block") / fan_in)).select([F.col(f.name).cast(f.dataType) for f in schema])
-        if not level.where("blocks > 1").limit(1).count():
+        if level.where("blocks > 1").isEmpty():
             break
-    last = F.xxhash64(F.lit(seed), F.lit("last"), F.col("source"), F.col(id_col).cast("string"))
+    last = F.xxhash64(F.lit(seed), F.lit("last"), F.col("source"), F.col("id").cast("string"), "text_hash")
     done.append(rest.withColumn("p", (F.pmod(last, F.lit(1_000_000)) / 1_000_000 < F.col("p")).cast("double")))
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part)
     copies = F.when(F.col("size") > 0, F.col("whole") + F.col("p").cast("long")).otherwise(0)
-    return out.select(F.col(id_col), "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return out.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), "text_hash")
 
 
 def repeat(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The mix itself: each row as often as it is taken, with the columns of ``docs``.
 
-    Rows that share id, source and size are numbered by their text, so that each gets one of their decisions.
+    Rows that share id, source and text are numbered, so that each gets one of their decisions; other columns of such rows may be told
+    apart by nothing, so which of them is taken is open.
     """
-    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    key = lambda i, source, n: F.to_json(F.struct(i.cast("string").alias("i"), source.alias("s"), n.alias("n")))
+    key = lambda i, source, h: F.to_json(F.struct(i.cast("string").alias("i"), source.alias("s"), h.alias("h")))
     mixed = mix(docs, id_col, text_col, source_col, **options).where("copies > 0")
-    plan = mixed.groupBy(key(F.col(id_col), F.col("source"), F.col("size")).alias("__key")).agg(F.sort_array(F.collect_list("copies"), asc=False).alias("__copies"))
-    rows = docs.withColumn("__key", key(F.col(id_col), F.col(source_col), size)).join(plan, "__key")
-    number = F.row_number().over(Window.partitionBy("__key").orderBy(F.xxhash64(text_col)))
+    plan = mixed.groupBy(key(F.col(id_col), F.col("source"), F.col("text_hash")).alias("__key")).agg(F.sort_array(F.collect_list("copies"), asc=False).alias("__copies"))
+    rows = docs.withColumn("__key", key(F.col(id_col), F.col(source_col), F.xxhash64(F.col(text_col)))).join(plan, "__key")
+    number = F.row_number().over(Window.partitionBy("__key").orderBy(F.lit(0)))
+    # the rare keys of several rows are numbered, so that no other row passes a window
+    twice = F.size("__copies") > 1
+    several = rows.where(twice).withColumn("__k", number)
+    rows = rows.where(~twice).withColumn("__k", F.lit(1)).unionByName(several)
     times = F.coalesce(F.get(F.col("__copies"), F.col("__k") - 1), F.lit(0)).cast("int")
-    taken = rows.withColumn("__k", number).withColumn("__n", F.explode(F.array_repeat(F.lit(1), times)))
-    return taken.select(docs.columns)
+    return rows.withColumn("__n", F.explode(F.array_repeat(F.lit(1), times))).select(docs.columns)
