@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 
 from loomgraph.sources.shared import ship
 
-#: Fixed values of the vocabulary file: its word pattern for printable ASCII in lower case, and what counts as white space in it.
+#: The word pattern of a vocabulary file, what it comes to for printable ASCII in lower case, and what counts as white space in it.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
 SPACE = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 NOT_SPACE = re.compile(f"[^{SPACE}]+")
@@ -55,6 +56,9 @@ class WordBPE:
             self.names[number] = text
         self.split_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         library = Tokenizer.from_file(path)
+        # the short cut for ASCII holds for one pattern only; other files go through the library's components
+        split = (spec["pre_tokenizer"].get("pretokenizers") or [{}])[0]
+        self.ascii_words = split.get("pattern", {}).get("Regex") == PATTERN and any(n["type"] == "Lowercase" for n in (spec["normalizer"] or {}).get("normalizers", []))
         self.normalize, self.pre_tokenize = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         self.rules = {(self.ids[a], self.ids[b]): (rank, self.ids[a + b]) for rank, (a, b) in enumerate(pairs)}
@@ -83,6 +87,7 @@ class WordBPE:
                 for head in {body[:1], body[:2]}:
                     self.longest[head] = max(self.longest.get(head, 0), len(body))
         self.left, self.right, self.made = left, right, made
+        self.longest_end = max(map(len, self.end), default=0)
         keys = np.array([a * size + b for a, b in self.rules], np.int64)
         order = np.argsort(keys)
         #: whether a rule always comes after those that make its parts, so that rank order is time order; else all is merged exactly
@@ -137,9 +142,9 @@ class WordBPE:
     def propose(self, word: str) -> list[int] | None:
         """Greedy longest match; None where no token fits."""
         out, at, n = [], 0, len(word)
-        end, middle, longest = self.end, self.middle, self.longest
+        end, middle, longest, longest_end = self.end, self.middle, self.longest, self.longest_end
         while True:
-            if (token := end.get(word[at:] if at else word)) is not None:
+            if n - at <= longest_end and (token := end.get(word[at:] if at else word)) is not None:
                 out.append(token)
                 return out
             for size in range(min(longest.get(word[at : at + 2]) or longest.get(word[at : at + 1], 0), n - at - 1), 0, -1):
@@ -195,7 +200,7 @@ class WordBPE:
 
     def _pieces(self, chunk: str) -> list[str | int]:
         """A chunk without white space as words in the vocabulary's alphabet, or ids of special strings."""
-        if chunk.isascii() and chunk.isprintable() and "<|" not in chunk:
+        if self.ascii_words and chunk.isascii() and chunk.isprintable() and "<|" not in chunk:
             return ASCII_WORDS.findall(chunk.lower())
         out: list[str | int] = []
         for part in self.split_special.split(chunk) if self.split_special else [chunk]:
@@ -261,7 +266,9 @@ def encode_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", te
     """``id_col, n_tokens, ids_sha256, decoded_sha256`` for each row, whole texts; ``ids`` (array) with keep_ids.
 
     Null and empty texts have no tokens (digests of the empty string). Ids may be null or repeat;
-    rows stay as they are; other columns are ignored. Ids become a list only where asked for.
+    rows stay as they are; other columns are ignored, whatever their names; an empty table gives no rows. Very long texts and words are
+    taken whole, in time that grows with their length (a word that fails verification: with its logarithm too). Ids become a
+    list only where asked for.
     """
     ship(docs.sparkSession)
 

@@ -2,9 +2,10 @@
 
 A document of over ``chunk`` characters is encoded as overlapping chunks with character offsets. Neighbouring
 chunks are spliced at a common stable boundary: a place where both start a token and which follows white
-space. No token or rule of a tokenizer with white-space words reaches over such a place, so what
+space or, if the file's pre-tokenizer takes each digit alone, stands beside an ASCII digit. No token or rule reaches over such a place, so what
 stands left of it doesn't depend on what follows and the other way round. Where the overlap
-has none, it is widened, up to the whole rest of the document.
+has none, the chunk is widened to twice its size each time, up to the whole rest of the document, so that
+the work stays in proportion to the text.
 
 Smaller documents are cut at all their stable boundaries at once; each distinct piece is encoded once.
 """
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 from loomgraph.llm.bpe import NOT_SPACE, SEPARATORS, slices
 from loomgraph.sources.shared import ship
 
+DIGITS = frozenset("0123456789")
 WHITE = frozenset(chr(c) for c in [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
 
 
@@ -36,37 +38,48 @@ class TokenCounter:
         self.chunk, self.overlap, self.limit = chunk, min(overlap, chunk // 2), cache
         self.known: dict[str, int] = {}
         self.widened = 0
+        cutter = self.library.pre_tokenizer
+        self.digits_alone = [x for x, _ in cutter.pre_tokenize_str("a1b23!4'5s")] == [*"a1b23!4'5s"] if cutter else False
 
     def _starts(self, text: str, begin: int, end: int) -> list[int]:
         """Where tokens of text[begin:end] start, in the whole text's offsets."""
         return [begin + a for a, _ in self.library.encode(text[begin:end], add_special_tokens=False).offsets]
 
-    @staticmethod
-    def _common(text: str, left: list[int], right: list[int], begin: int, end: int) -> int | None:
+    def _stable(self, text: str, p: int) -> bool:
+        if text[p - 1] in WHITE:
+            return text[p] not in WHITE
+        return self.digits_alone and (text[p] in DIGITS or text[p - 1] in DIGITS) and text[p] not in WHITE
+
+    def _common(self, text: str, left: list[int], right: list[int], begin: int, end: int) -> int | None:
         """The first stable boundary in [begin, end) that both encodings have."""
-        seen = {p for p in left if begin < p < end and text[p - 1] in WHITE and text[p] not in WHITE}
+        seen = {p for p in left if begin < p < end and self._stable(text, p)}
         return min((p for p in right if p in seen), default=None)
 
     def count_long(self, text: str) -> int:
         """Tokens of a text of any length, spliced from overlapping chunks."""
         n, step = len(text), self.chunk - self.overlap
-        spans = [(a, min(a + self.chunk, n)) for a in range(0, max(1, n - self.overlap), step)]
-        parts = self.library.encode_batch([text[a:b] for a, b in spans], add_special_tokens=False)
-        starts = [[a + x for x, _ in part.offsets] for (a, _), part in zip(spans, parts, strict=True)]
-        total, begin, (first, last), own = 0, 0, spans[0], starts[0]
-        for (a, b), other in zip(spans[1:], starts[1:], strict=True):
-            if b <= last:
-                continue  # a widened chunk already holds it
-            wide = self.overlap
-            while (cut := self._common(text, own, other, a, last)) is None and last < b:
-                wide *= 2
-                last = min(b, last + wide)
+        total, begin, first = 0, 0, 0
+        last = min(self.chunk, n)
+        own = self._starts(text, first, last)
+        while last < n:
+            a = last - self.overlap
+            end = min(a + self.chunk, n)
+            other = self._starts(text, a, end)
+            cut = self._common(text, own, other, a, last)
+            while cut is None and last < n:
+                # what is known so far is widened; the next chunk starts before its new end, where a boundary may be
+                last = min(n, last + max(last - first, step))
                 own = self._starts(text, first, last)
                 self.widened += 1
+                a = max(a, last - self.chunk)
+                end = min(a + self.chunk + self.overlap, n)
+                if last < n:
+                    other = self._starts(text, a, end)
+                    cut = self._common(text, own, other, a, last)
             if cut is None:
-                continue  # the chunk at hand now reaches over the whole next one
+                break  # the chunk at hand reaches to the end of the text
             total += sum(begin <= p < cut for p in own)
-            begin, (first, last), own = cut, (a, b), other
+            begin, first, last, own = cut, a, end, other
         return total + sum(p >= begin for p in own)
 
     def counts(self, texts: list[str]) -> list[int]:
@@ -90,7 +103,8 @@ def count_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
     """``id_col, n_bytes, n_tokens, over_limit`` for each row, whole texts.
 
     Null and empty texts have 0 bytes and 0 tokens. Ids may be null or repeat; rows stay as they are; other
-    columns are ignored. tokenizer: a ``.json`` file of the tokenizers library whose words end at white space.
+    columns are ignored, whatever their names; an empty table gives no rows. Very long texts are counted whole, in time and memory that grow with
+    their length, also without white space. tokenizer: a ``.json`` file of the tokenizers library whose words end at white space.
     """
     ship(docs.sparkSession)
 

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter, defaultdict
 from itertools import combinations
 
@@ -96,6 +97,26 @@ def test_overlaps_are_widened():
     assert counter.count_long(text) == len(ids(text)) and counter.widened
 
 
+@pytest.mark.parametrize("text", ["a" * 300_000, "ab1" * 70_000, "x!y?" * 60_000, ("q" * 900 + "7") * 200, "日本" * 40_000, "no" * 20_000 + " " + "yes " * 9_000 + "z" * 50_000])
+def test_counts_without_white_space(text):
+    counter = tokencount.TokenCounter(PATH, chunk=4096, overlap=64)
+    assert counter.count_long(text) == len(ids(text))
+
+
+def test_long_words_take_time_in_proportion(coder):
+    """A MB of letters without a blank: far less than a quadratic algorithm would take."""
+    rng = random.Random(9)
+    letters = "".join(rng.choices("etaoinshrdlu", k=1_000_000))
+    began = time.process_time()
+    got = coder.encode(letters)
+    spent = time.process_time() - began
+    mixed = "".join(rng.choices("etaoin1!", k=1_000_000))
+    began = time.process_time()
+    counted = tokencount.TokenCounter(PATH).count_long(mixed), tokencount.TokenCounter(PATH).count_long(letters)
+    assert spent < 30 and time.process_time() - began < 60
+    assert counted == (len(ids(mixed)), len(ids(letters))) and got == ids(letters)
+
+
 def test_language_of_held_out_documents(spark, docs, odd):
     model = langid.train(docs.where(~langid.held_out()))
     got = langid.predict(docs, model).where(langid.held_out()).toPandas()
