@@ -1,8 +1,9 @@
 """URL filtering: rules on host and path prefixes first, then a logistic regression on hashed character n-grams.
 
 Features of a URL are the n-grams of its host and of its path, told apart by a mark, hashed into ``2**bits`` buckets and
-scaled to unit length. The regression is trained on the driver from a small labelled table, by full-batch
-gradient steps, so that the same table always gives the same weights.
+scaled to unit length; those of a whole batch are found by array operations. The regression is trained on the driver from a small
+labelled table, by full-batch gradient steps, so that the same table always gives the same weights. Rows of the table are not weighted
+by class: it holds more harmless than unwanted URLs, so one that says nothing known is allowed.
 """
 
 from __future__ import annotations
@@ -19,11 +20,24 @@ from pyspark.sql import functions as F
 
 from loomgraph.sources.shared import ship
 
-#: Words of the labelled table; invented for this repository.
-BAD_WORDS = "spam farm cheap pills casino bonus free money adult dating replica watches loan payday torrent crack keygen betting lottery viagra".split()
-GOOD_WORDS = "news docs library school wiki garden music travel recipes science history weather forum city museum health maps books cinema sports".split()
-LANGUAGES = "en fr de es".split()
-ENDS = "com org net".split()
+#: Words that hosts of unwanted kinds are made of, by kind; general knowledge of what URL block lists hold.
+UNWANTED = {
+    "adult": "adult porn sex xxx nude erotic escort camgirls",
+    "gambling": "casino poker bet bets slots lottery jackpot roulette",
+    "medicine": "pills viagra cialis steroids pharma weightloss",
+    "piracy": "torrent warez crack keygen cracked serials nulled",
+    "lures": "free win bonus prize cheap discount giveaway replica",
+    "spam": "spam farm seo backlinks linkfarm clickbait",
+    "advertising": "ads adserver track tracker banner popup clicks",
+    "money": "loan loans payday forex credit quickcash",
+}
+HARMLESS = (
+    "news docs library school wiki garden music travel recipes science history weather forum city museum health maps books cinema sports "
+    "university hospital research theatre radio journal gallery kitchen nature physics chemistry biology poetry language village council "
+    "archive station bakery bicycle mountain river forest harbour market bridge castle orchestra painting philosophy mathematics geology"
+).split()
+PATHS = "articles archive about posts items topics en fr de es".split()
+ENDS = "com org net info eu".split()
 
 
 @dataclass(frozen=True)
@@ -37,22 +51,29 @@ class Rule:
         return self.host + self.path
 
 
+def _name(k: int) -> str:
+    """A pronounceable host name that means nothing, by rule: two or three syllables of onset, vowel and coda."""
+    onsets, codas = "b d f g k l m n p r s t v z th sh ch st tr pl".split(), ["", "n", "r", "s", "", "nt", "nd", "st", "l"]
+    return "".join(onsets[(k * a + 3) % 20] + "aeiou"[(k * b + k // 7) % 5] + codas[(k * c + k // 5) % 9] for a, b, c in ((7, 2, 1), (3, 3, 2), (9, 4, 5))[: 2 + k % 2])
+
+
+def _url(host: str, k: int) -> str:
+    lead, tail = ("", "www.", "blog.", "m.")[k % 4], ("", "/", ".html", "?page=2")[k // 3 % 4]
+    return f"http{'s' * (k % 2)}://{lead}{host}.{('', 'example.')[k // 2 % 2]}{ENDS[k % 5]}/{PATHS[k % 10]}/{(37 * k) % 997}{tail}"
+
+
 def labelled_urls() -> list[tuple[str, bool]]:
-    """A small table of (url, blocked) by rule: hosts of one or two words, with common prefixes, languages, numbers and endings."""
-    out = []
-    for words, blocked in ((GOOD_WORDS, False), (BAD_WORDS, True)):
-        for k, word in enumerate(words):
-            for j, host in enumerate((word, f"{word}-{words[(k + 1) % len(words)]}", f"{word}{words[(k + 7) % len(words)]}")):
-                lead = ("", "www.", "blog.", "m.")[(k + j) % 4]
-                mid = ("", "example.")[(k + j) % 2]
-                tail = ("", "/", ".html")[(k + 2 * j) % 3]
-                out.append((f"http{'s' * (k % 2)}://{lead}{host}.{mid}{ENDS[(k + j) % 3]}/{LANGUAGES[(k + j) % 4]}/{(37 * k + 11 * j) % 997}{tail}", blocked))
-    # plain hosts of letter groups stand for the many hosts that say nothing
-    groups = "th an in er re st ou ti on ha es nd".split()
-    for k in range(60):
-        host = groups[k % 12] + groups[(5 * k + 1) % 12] + groups[(7 * k + 3) % 12]
-        out.append((f"https://{('', 'www.', 'blog.', 'm.')[k % 4]}{host}.example.{ENDS[k % 3]}/{LANGUAGES[k % 4]}/{(53 * k) % 997}", False))
-    return out
+    """A small table of (url, blocked) by rule: hosts of one or two words of a kind or of neighbouring kinds, against hosts of harmless words and of names."""
+    kinds = [w.split() for w in UNWANTED.values()]
+    bad = [h for k, words in enumerate(kinds) for j, w in enumerate(words) for h in (w, f"{w}-{words[(j + 1) % len(words)]}", f"{w}{kinds[(k + 1) % len(kinds)][j % 6]}", f"{w}-{kinds[(k + 3) % len(kinds)][(j + 2) % 6]}", f"best{w}")]
+    good = [h for j, w in enumerate(HARMLESS) for h in (w, f"{w}-{HARMLESS[(j + 1) % len(HARMLESS)]}", f"{w}{HARMLESS[(j + 7) % len(HARMLESS)]}", f"best{w}")]
+    good += [f"{_name(k)}{('', '-' + _name(k + 40))[k % 3 == 0]}" for k in range(20 * len(HARMLESS))]
+    return [(_url(h, 7 * k), blocked) for hosts, blocked in ((bad, True), (good, False)) for k, h in enumerate(hosts)]
+
+
+def held_out(url: str) -> bool:
+    """A quarter of the labelled hosts, by their hash; for measuring."""
+    return zlib.crc32(split_url(url)[0].encode()) % 4 == 2
 
 
 URL = re.compile(r"[^/?#]*")
@@ -71,38 +92,45 @@ def split_url(url: str | None) -> tuple[str, str]:
 class UrlModel:
     """Weights over hashed n-grams; ``fit`` is deterministic."""
 
-    def __init__(self, bits: int = 14, sizes: tuple[int, ...] = (3, 4, 5)):
+    def __init__(self, bits: int = 16, sizes: tuple[int, ...] = (3, 4, 5)):
         self.bits, self.sizes = bits, sizes
         self.weights, self.bias = np.zeros(1 << bits), 0.0
 
-    def features(self, host: str, path: str) -> np.ndarray:
-        """Buckets of the URL's n-grams, repeats included; an empty URL has none."""
-        mask = (1 << self.bits) - 1
-        out = []
-        for mark, part in ((b"h", host), (b"p", path)):
-            raw = b"^" + part.encode("utf-8", "surrogatepass") + b"$" if part else b""
-            for n in self.sizes:
-                out += [zlib.crc32(mark + raw[i : i + n]) & mask for i in range(len(raw) - n + 1)]
-        return np.array(out, np.int64)
-
-    def score(self, host: str, path: str) -> float:
-        """Probability that the URL is to be blocked."""
-        f = self.features(host, path)
-        z = self.bias + (self.weights[f].sum() / np.sqrt(len(f)) if len(f) else 0.0)
-        return float(1 / (1 + np.exp(-np.clip(z, -50, 50))))
-
-    def fit(self, urls: list[tuple[str, bool]], steps: int = 600, rate: float = 10.0, shrink: float = 1e-4) -> UrlModel:
-        rows = [self.features(*split_url(u)) for u, _ in urls]
+    def features(self, urls: list[tuple[str, str]]) -> tuple[np.ndarray, np.ndarray]:
+        """(number of a URL, bucket) of every n-gram of (host, path) pairs, repeats included; an empty URL has none."""
+        parts = [b"^" + x.encode("utf-8", "surrogatepass") + b"$" if x else b"" for pair in urls for x in pair]
+        length = np.array([len(x) for x in parts], np.int64)
+        codes = np.frombuffer(b"".join(parts), np.uint8).astype(np.uint64)
+        part = np.repeat(np.arange(len(parts)), length)
+        left = np.repeat(np.cumsum(length), length) - np.arange(len(codes))  # bytes of the part from here on
+        owners, buckets = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for n in self.sizes:
+            at = np.flatnonzero(left >= n)
+            hashed = (part[at] % 2 + 1).astype(np.uint64)
+            for j in range(n):
+                hashed = (hashed ^ codes[at + j]) * np.uint64(0x100000001B3)
+            hashed = (hashed ^ hashed >> np.uint64(29)) * np.uint64(0x9E3779B97F4A7C15)
+            owners.append(part[at] // 2)
+            buckets.append((hashed >> np.uint64(64 - self.bits)).astype(np.int64))
+        return np.concatenate(owners), np.concatenate(buckets)
+
+    def _sums(self, owner: np.ndarray, bucket: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        scale = 1 / np.sqrt(np.maximum(1, np.bincount(owner, minlength=n)))
+        return self.bias + np.bincount(owner, self.weights[bucket], n) * scale, scale
+
+    def scores(self, urls: list[tuple[str, str]]) -> np.ndarray:
+        """Probabilities that (host, path) pairs are to be blocked."""
+        z = self._sums(*self.features(urls), len(urls))[0]
+        return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
+
+    def fit(self, urls: list[tuple[str, bool]], steps: int = 600, rate: float = 40.0, shrink: float = 1e-5) -> UrlModel:
         y = np.array([b for _, b in urls], float)
-        own = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-        flat = np.concatenate(rows) if rows else np.empty(0, np.int64)
-        scale = 1 / np.sqrt(np.maximum(1, np.bincount(own, minlength=len(rows))))
-        balance = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))
+        owner, bucket = self.features([split_url(u) for u, _ in urls])
         for _ in range(steps if len(urls) else 0):
-            z = self.bias + np.bincount(own, self.weights[flat], len(rows)) * scale
-            g = balance * (1 / (1 + np.exp(-z)) - y)
-            self.weights -= rate * (np.bincount(flat, (g * scale)[own], 1 << self.bits) + shrink * self.weights)
-            self.bias -= rate * g.sum()
+            z, scale = self._sums(owner, bucket, len(urls))
+            g = (1 / (1 + np.exp(-z)) - y) / len(urls)
+            self.weights -= rate * (np.bincount(bucket, (g * scale)[owner], 1 << self.bits) + shrink * self.weights)
+            self.bias -= rate / 10 * g.sum()
         return self
 
 
@@ -116,7 +144,8 @@ def judge(pages: DataFrame, rules: list[Rule], model: UrlModel, id_col: str = "p
     """``id_col, host, path, rule, verdict, score`` for each row; other columns are ignored.
 
     A null url or one without ``://`` has an empty host and path; no rule fits it, and the model judges it by its
-    bias alone. score: the model's probability of block (given also where a rule decides). Ids may be null or repeat.
+    bias alone. score: the model's probability of block (given also where a rule decides). Ids may be null or repeat, urls be of any
+    length; an empty table gives no rows.
     """
     spark = pages.sparkSession
     ship(spark)
@@ -125,13 +154,14 @@ def judge(pages: DataFrame, rules: list[Rule], model: UrlModel, id_col: str = "p
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, trained = shared.value
         for batch in batches:
-            out = []
-            for url in batch.column(1):
-                host, path = split_url(url.as_py())
-                rule, p = match(host, path, known), trained.score(host, path)
-                out.append((host, path, rule.text if rule else None, "allow" if (rule.allow if rule else p < threshold) else "block", p))
-            kinds = [pa.string()] * 4 + [pa.float64()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)]], [id_col, "host", "path", "rule", "verdict", "score"])
+            for a in range(0, batch.num_rows, 1024):
+                part = batch.slice(a, 1024)
+                urls = [split_url(url) for url in part.column(1).to_pylist()]
+                scores = trained.scores(urls)
+                rules = [match(*url, known) for url in urls]
+                verdicts = ["allow" if (rule.allow if rule else p < threshold) else "block" for rule, p in zip(rules, scores.tolist(), strict=True)]
+                texts = [pa.array(x, pa.string()) for x in ([u[0] for u in urls], [u[1] for u in urls], [rule.text if rule else None for rule in rules], verdicts)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *texts, pa.array(scores)], [id_col, "host", "path", "rule", "verdict", "score"])
 
     picked = pages.select(F.col(id_col), F.col(url_col).cast("string"))
     return picked.mapInArrow(run, f"`{id_col}` {picked.schema[0].dataType.simpleString()}, host string, path string, rule string, verdict string, score double")
