@@ -6,14 +6,19 @@ others from its end, all of a size L that is the same for all lengths between tw
 are within tau edits, take the first segment i of one such that segments 0 to i hold at most i edits: it holds none, exactly i edits stand left of it, and at
 most tau - i right of it. So it occurs in the other line, counted from the same end, within min(i, tau - i) units of its own place. A line is
 indexed under (length class, segment number, segment) and probes the few places near by; a line just above a point of the grid
-does so for the class below too. Candidates have lengths within tau and parities of their units that tau edits can reach; they are
+does so for the class below too. Candidates have lengths within tau and parities of their units (by hash) that tau edits can reach; they are
 verified by edit distance: for e = 0..tau a word of 2 tau + 1 bits holds the diagonals that e edits can reach, and one step
 takes a unit on all diagonals at once. Links between distinct lines give classes; equal lines are one node.
+
+Variants of one line share their segments, so the lines under a key are first tried against one of them, then what is left against
+another and against the likeliest one of those that have found each other; only lines of different such groups are then
+compared in pairs. A class so takes about as many verifications as it has lines, and no link between classes is lost.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,8 +30,7 @@ from loomgraph.sources.shared import cut, drop
 LONG = 16
 #: (least length, edits) in characters and in words; shorter lines link with nothing. Least lengths must be points of the grid.
 CHAR_EDITS = ((8, 1), (24, 2))
-WORD_EDITS = ((16, 2), (48, 4), (96, 6), (192, 8))
-POSITION = "decimal(38,0)"
+WORD_EDITS = ((16, 2), (48, 3), (96, 4))
 
 
 def explode_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -40,28 +44,40 @@ def lines_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     lines = explode_lines(docs, id_col, text_col)
     words = F.char_length("line") - F.char_length(F.replace(F.col("line"), F.lit(" "), F.lit(""))) + 1
     # h1 and h2 are a 128-bit identity of the line's text
-    return cut(lines.withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(1), "line"), "n_chars": F.char_length("line"), "n_words": words}), "lines-of-docs")
+    return cut(lines.withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(1), "line"), "n_chars": F.char_length("line"), "n_words": words}), "lines-of-docs", dictionary=False)
 
 
-def _position() -> Column:
-    """Order of lines in the corpus: by id (null last), then line number."""
-    none = F.lit("9223372036854775808").cast("decimal(28,0)")
-    return (F.coalesce(F.col("id").cast("decimal(28,0)"), none) * F.lit(2**31).cast("decimal(11,0)") + F.col("line_no").cast("decimal(11,0)")).cast(POSITION)
+class Positions:
+    """Places of lines in the corpus as one number: by id (null last), then line number. A long if ids and numbers fit into it, else a decimal."""
 
+    def __init__(self, at: DataFrame):
+        low, high, lines = at.agg(F.min("id"), F.max("id"), F.max("line_no")).first()
+        self.low, self.null, self.bits = int(low or 0), int(high or 0) - int(low or 0) + 1, max(1, int(lines or 0)).bit_length()
+        self.fits = (self.null + 1) << self.bits < 1 << 63
 
-def _doc(c: str) -> Column:
-    """The document of a position; null where the line's row has no id."""
-    return F.expr(f"try_cast(floor({c} / cast({2**31} as decimal(11,0))) as bigint)")
+    def of(self, id_: Column, line_no: Column) -> Column:
+        if self.fits:
+            return F.coalesce(id_.cast("long") - self.low, F.lit(self.null)) * (1 << self.bits) + line_no.cast("long")
+        none = F.lit("9223372036854775808").cast("decimal(28,0)")
+        return (F.coalesce(id_.cast("decimal(28,0)"), none) * F.lit(2**31).cast("decimal(11,0)") + line_no.cast("decimal(11,0)")).cast("decimal(38,0)")
 
+    def doc(self, c: str) -> Column:
+        """The document of a position; null where the line's row has no id."""
+        if self.fits:
+            above = F.shiftright(c, self.bits)
+            return F.when(above < self.null, above + self.low)
+        return F.expr(f"try_cast(floor({c} / cast({2**31} as decimal(11,0))) as bigint)")
 
-def _no(c: str) -> Column:
-    """The line number of a position."""
-    return F.pmod(F.col(c), F.lit(2**31).cast("decimal(11,0)")).cast("bigint")
+    def line(self, c: str) -> Column:
+        """The line number of a position."""
+        if self.fits:
+            return F.col(c).bitwiseAND(F.lit((1 << self.bits) - 1).cast("long"))
+        return F.pmod(F.col(c), F.lit(2**31).cast("decimal(11,0)")).cast("bigint")
 
 
-def distinct_lines(at: DataFrame) -> DataFrame:
+def distinct_lines(at: DataFrame, places: Positions) -> DataFrame:
     """``h1, h2, position, n_chars, n_copies``: one row for each distinct line of :func:`lines_table`, at its first occurrence."""
-    return at.select("h1", "h2", _position().alias("position"), "n_chars").groupBy("h1", "h2").agg(
+    return at.select("h1", "h2", places.of(F.col("id"), F.col("line_no")).alias("position"), "n_chars").groupBy("h1", "h2").agg(
         F.min("position").alias("position"), F.min("n_chars").alias("n_chars"), F.count("*").alias("n_copies"))
 
 
@@ -79,31 +95,42 @@ def edits_of(n: Column, bands: tuple[tuple[int, int], ...]) -> Column:
     return out
 
 
-def places(tau: int) -> list[tuple[int, int]]:
+def places_of(tau: int) -> list[tuple[int, int]]:
     """(segment, move) of all that a line looks up; those with move 0 are what it is indexed under too."""
     return [(i, move) for i in range(tau + 1) for move in range(-min(i, tau - i), min(i, tau - i) + 1)]
 
 
-def _keys(units: Column, n: Column, parity: Column, bands: tuple[tuple[int, int], ...], salt: int) -> Column:
-    """An array of ``key, n, parity, own`` for a line of n units; own: whether the line is indexed there."""
-
-    def rows(top: Column, tau: int) -> Column:
-        size = F.floor(top / (tau + 1)).cast("int")
-
-        def row(x: Column) -> Column:
-            i, move = x["i"], x["move"]
-            begin = F.when(i <= tau // 2, i * size + move).otherwise(n - (tau - i + 1) * size + move)
-            return F.struct(F.xxhash64(F.lit(salt), top, i, F.slice(units, begin + 1, size)).alias("key"), n.alias("n"), parity.alias("parity"), (move == 0).alias("own"))
-
-        return F.transform(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(m).alias("move")) for i, m in places(tau)]), row)
+def signatures(lines: DataFrame) -> DataFrame:
+    """``key, h1, role`` of ``h1, line, n_chars, n_words``: what each line is indexed under (bit 0 of role) and looks up; bit 1: compared by words.
 
-    def of(length: Column) -> Column:
-        """The rows of the class that ``length`` belongs to."""
-        tau, out = edits_of(length, bands), F.array().cast("array<struct<key:bigint,n:int,parity:bigint,own:boolean>>")
-        return _let(grid(length), lambda top: F.coalesce(*[F.when(tau == t, rows(top, t)) for _, t in bands], out))
+    Two character edits change the number of words by two at most, so lines of up to LONG + 1 words look for characters too.
+    """
 
-    below = grid(n) - 1
-    return F.concat(of(n), F.when(n - below <= edits_of(below, bands), of(below)).otherwise(of(F.lit(2))))
+    def classes(n: str, unit: int, bands: tuple[tuple[int, int], ...], fits: Column) -> list[Column]:
+        """The length class of a line, and the one below where a line there may link with it."""
+        below = grid(F.col(n)) - 1
+        entry = lambda top: F.struct(F.lit(unit).alias("unit"), F.col(n).alias("n"), top.alias("top"))
+        own = F.when(fits & (F.col(n) >= bands[0][0]), entry(grid(F.col(n))))
+        return [own, F.when(fits & (F.col(n) > bands[0][0]) & (F.col(n) - below <= edits_of(below, bands)), entry(grid(below)))]
+
+    found = classes("n_chars", 0, CHAR_EDITS, F.col("n_words") < LONG + CHAR_EDITS[-1][1]) + classes("n_words", 1, WORD_EDITS, F.col("n_words") >= LONG)
+    rows = lines.select("h1", "line", F.explode(F.array_compact(F.array(*found))).alias("c")).select("h1", "line", "c.*")
+    edits = F.when(F.col("unit") == 1, edits_of(F.col("top"), WORD_EDITS)).otherwise(edits_of(F.col("top"), CHAR_EDITS))
+    rows = rows.withColumn("tau", edits).withColumn("size", F.floor(F.col("top") / (F.col("tau") + 1)).cast("int"))
+    n, size, line, cut_words = F.col("n"), F.col("size"), F.col("line"), lambda x, k: F.call_function("substring_index", x, F.lit(" "), k)
+
+    def segment(unit: int, tau: int, i: int, move: int) -> Column:
+        if not unit:
+            return F.substring(line, (i * size if i <= tau // 2 else n - (tau - i + 1) * size) + (move + 1), size)
+        if i <= tau // 2:
+            left = cut_words(line, i * size + (move + F.col("size")))
+            return cut_words(left, -size) if i else left
+        right = cut_words(line, -((tau - i) * size - move + size))
+        return cut_words(right, size) if i < tau else right
+
+    keys = lambda unit, tau: F.array(*[F.struct(F.xxhash64(F.lit(unit * 100 + i), F.col("top"), segment(unit, tau, i, move)).alias("key"), F.lit((move == 0) + 2 * unit).cast("byte").alias("role")) for i, move in places_of(tau)])
+    all_ = F.coalesce(*[F.when((F.col("unit") == unit) & (F.col("tau") == tau), keys(unit, tau)) for unit, bands in ((0, CHAR_EDITS), (1, WORD_EDITS)) for _, tau in bands])
+    return rows.select("h1", F.explode(all_).alias("x")).select("x.key", "h1", "x.role")
 
 
 def _parity(units: Column) -> Column:
@@ -120,16 +147,6 @@ def words(line: Column) -> Column:
     return F.split(line, " ")
 
 
-def signatures(lines: DataFrame) -> DataFrame:
-    """``key, h1, n, parity, own`` of ``h1, line, n_words``. Two character edits change the number of words by two at
-    most, so lines of up to LONG + 1 words look for characters too."""
-    none = F.array().cast("array<struct<key:bigint,n:int,parity:bigint,own:boolean>>")
-    keyed = lambda units, bands, salt: _let(units, lambda u: _let(_parity(u), lambda p: _let(F.size(u), lambda n: _keys(u, n, p, bands, salt))))
-    by_char = F.when(F.col("n_words") < LONG + CHAR_EDITS[-1][1], keyed(chars(F.col("line")), CHAR_EDITS, 0)).otherwise(none)
-    by_word = F.when(F.col("n_words") >= LONG, keyed(words(F.col("line")), WORD_EDITS, 1)).otherwise(none)
-    return lines.select("h1", F.explode(F.concat(by_char, by_word)).alias("x")).select("x.key", "h1", "x.n", "x.parity", "x.own")
-
-
 def _members(keys: DataFrame, bits: int = 22) -> Callable[[Column], Column]:
     """A test for hashes that may be among ``keys`` (one long column): a bitmap of fixed size, the same for any input.
 
@@ -151,18 +168,18 @@ def _let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def _banded(x: Column, y: Column, tau: int) -> Column:
-    """Whether two arrays of units are within tau edits: an automaton whose bit d of word e says that the units
-    of y so far match as many of x plus d - tau with at most e edits. Both arrays must be variables."""
-    full = (1 << (2 * tau + 1)) - 1
-    first = [1 << tau]
-    for _ in range(tau):
+def _banded(x: Column, y: Column, most: int, tau: Column) -> Column:
+    """Whether two arrays of units are within tau edits, tau being ``most`` at most: an automaton whose bit d of word e says that the units
+    of y so far match as many of x plus d - most with at most e edits. Both arrays must be variables."""
+    full = (1 << (2 * most + 1)) - 1
+    first = [1 << most]
+    for _ in range(most):
         first.append((first[-1] | first[-1] << 1) & full)
 
     def step(at: Column, j: Column) -> Column:
-        def words(same: Column) -> Column:
+        def words_of(same: Column) -> Column:
             made: list[Column] = []
-            for e in range(tau + 1):
+            for e in range(most + 1):
                 old = F.get(at, F.lit(e))
                 word = old.bitwiseAND(same)
                 if e:
@@ -171,74 +188,135 @@ def _banded(x: Column, y: Column, tau: int) -> Column:
                 made.append(word)
             return F.array(*made)
 
-        same = sum((F.when(F.get(x, j + (d - tau)) == F.get(y, j), F.lit(1 << d)).otherwise(F.lit(0)) for d in range(2 * tau + 1)), F.lit(0))
-        return _let(same, words)
+        same = sum((F.when(F.get(x, j + (d - most)) == F.get(y, j), F.lit(1 << d)).otherwise(F.lit(0)) for d in range(2 * most + 1)), F.lit(0))
+        return _let(same, words_of)
 
     start = F.array(*[F.lit(w) for w in first])
     run = F.when(F.size(y) == 0, start).otherwise(F.aggregate(F.sequence(F.lit(0), F.size(y) - 1), start, step))
     apart = F.size(x) - F.size(y)
-    bit = F.get(F.array(*[F.lit(1 << k) for k in range(2 * tau + 1)]), apart + tau)
-    return F.coalesce((F.abs(apart) <= tau) & (F.get(run, F.lit(tau)).bitwiseAND(bit) != 0), F.lit(False))
+    bit = F.get(F.array(*[F.lit(1 << k) for k in range(2 * most + 1)]), apart + most)
+    return F.coalesce((F.abs(apart) <= tau) & (F.get(run, tau).bitwiseAND(bit) != 0), F.lit(False))
+
+
+def _middle(x: Column, y: Column, use: Callable[[Column, Column], Column]) -> Column:
+    """use(x, y) without the units that both start with."""
+    first = F.array_position(F.zip_with(x, y, lambda p, q: p.eqNullSafe(q)), False)
+    same = lambda k: F.when(k > 0, k - 1).otherwise(F.least(F.size(x), F.size(y))).cast("int")
+    rest = lambda z, k: F.slice(z, k + 1, F.size(z))
+    return _let(_let(first, same), lambda k: _let(rest(x, k), lambda u: _let(rest(y, k), lambda v: use(u, v))))
 
 
-def within(x: Column, y: Column, tau: int) -> Column:
-    """Whether two arrays of units are within tau edits."""
-    return _let(x, lambda a: _let(y, lambda b: _banded(a, b, tau)))
+def within(x: Column, y: Column, most: int, tau: Column | None = None) -> Column:
+    """Whether two arrays of units are within tau edits (``most`` at most): common ends are cut off, the rest goes through :func:`_banded`."""
+    tau = F.lit(most) if tau is None else tau
+    turned = lambda u, v: _let(F.reverse(u), lambda p: _let(F.reverse(v), lambda q: _middle(p, q, lambda m, n: _banded(m, n, most, tau))))
+    return _let(x, lambda p: _let(y, lambda q: _middle(p, q, turned)))
 
 
 def near(a: Column, b: Column) -> Column:
     """Whether two lines link: by words if both are long, else by characters, within the edits of the shorter one."""
 
     def by(units: Callable[[Column], Column], bands: tuple[tuple[int, int], ...]) -> Column:
-        def check(x: Column, y: Column) -> Column:
-            tau = edits_of(F.least(F.size(x), F.size(y)), bands)
-            return F.coalesce(*[F.when(tau == t, _banded(x, y, t)) for _, t in bands], F.lit(False))
-
+        check = lambda x, y: _let(edits_of(F.least(F.size(x), F.size(y)), bands), lambda tau: (tau > 0) & within(x, y, bands[-1][1], tau))
         return _let(units(a), lambda x: _let(units(b), lambda y: check(x, y)))
 
     long = lambda x: F.size(words(x)) >= LONG
     return F.when(long(a) & long(b), by(words, WORD_EDITS)).otherwise(by(chars, CHAR_EDITS))
 
 
+def _alike(a: str, b: str) -> Column:
+    """Whether structs a and b (n, parity) may link by what their lengths and parity say; verification has the pair's own edits."""
+    longest = F.greatest(F.col(f"{a}.n"), F.col(f"{b}.n"))
+    most = F.greatest(edits_of(longest, CHAR_EDITS), edits_of(longest, WORD_EDITS))
+    return (F.abs(F.col(f"{a}.n") - F.col(f"{b}.n")) <= most) & (_apart(a, b) <= 2 * most)
+
+
+def _apart(a: str, b: str) -> Column:
+    return F.bit_count(F.col(f"{a}.parity").bitwiseXOR(F.col(f"{b}.parity")))
+
+
+def shared_keys(lines: DataFrame, hot_share: int = 1000, sample: int = 64) -> DataFrame:
+    """``key, h1, role``: of ``h1, line, n_chars, n_words``, a row for each line and key that another line has too, one of them as its own.
+
+    A key that one in ``hot_share`` of a sample's lines or more has (a ``sample``-th, by hash) is hot: its rows are dealt by line too and all kept. The
+    sample decides only where rows go, and hot keys are at most ``hot_share`` times a line's number of keys.
+    """
+    drawn = lines.where(F.pmod(F.xxhash64(F.lit(3), "h1"), F.lit(sample)) == 0)
+    counts = cut(signatures(drawn).groupBy("key").agg(F.count_distinct("h1").alias("c")), "line-hot-keys")
+    hot = counts.where(F.col("c") > max(64, drawn.select("h1").count() // hot_share)).select("key", F.lit(True).alias("hot"))
+    rows = signatures(lines).join(F.broadcast(hot), "key", "left")
+    deal = Window.partitionBy("key", F.when(F.col("hot"), F.pmod(F.xxhash64("h1"), F.lit(1024)) + 1).otherwise(F.lit(0)))
+    own = F.max(F.col("role").bitwiseAND(F.lit(1).cast("byte"))).over(deal) == 1
+    alive = F.coalesce("hot", (F.min("h1").over(deal) < F.max("h1").over(deal)) & own)
+    found = cut(rows.withColumn("alive", alive).where("alive").groupBy("key", "h1").agg(F.max("role").alias("role")), "line-keys")
+    drop(counts)
+    return found
+
+
 def edit_links(at: DataFrame, lines: DataFrame) -> DataFrame:
-    """``src, dst``: positions of distinct lines that link, each pair once.
+    """``src, dst``: h1 of lines that link; enough links to connect all lines that are reachable by links, not all of them.
 
     at: of :func:`lines_table`; lines: of :func:`distinct_lines`. A line that occurs once goes to the join as it is; those that may
-    occur more often are reduced to one first, so copies never meet. One exchange of keys serves both sides of the join. Candidates carry
-    one hash of 64 bits each; lines that share it by accident are only verified more often, as verification reads the texts.
+    occur more often are reduced to one first, so copies never meet. Lines are told apart here by one hash of 64 bits each.
     """
     often = _members(lines.where(F.col("n_copies") > 1).select("h1"))
-    once = at.where(~often(F.col("h1"))).select("h1", "n_words", "line")
-    copied = at.where(often(F.col("h1"))).groupBy("h1", "h2").agg(F.min("n_words").alias("n_words"), F.min("line").alias("line")).select("h1", "n_words", "line")
-    keys = signatures(once.unionByName(copied))
-    left, right = (keys.withColumnsRenamed({c: f"{c}{k}" for c in ("h1", "n", "parity", "own")}) for k in "ab")
-    # a condition on one side alone would be pushed below its exchange, and the two sides would no longer share one
-    once_each = F.when(F.col("ownb"), F.col("owna") & (F.col("h1a") < F.col("h1b"))).otherwise(F.col("owna") & (F.col("h1a") != F.col("h1b")))
-    # what the lengths allow is at most the largest tau; verification has the pair's own
-    most = F.greatest(edits_of(F.greatest("na", "nb"), CHAR_EDITS), edits_of(F.greatest("na", "nb"), WORD_EDITS))
-    alike = (F.abs(F.col("na") - F.col("nb")) <= most) & (F.bit_count(F.col("paritya").bitwiseXOR(F.col("parityb"))) <= 2 * most)
-    pairs = left.join(right, "key").where(alike & once_each)
-    pairs = cut(pairs.select(F.least("h1a", "h1b").alias("a"), F.greatest("h1a", "h1b").alias("b")).distinct(), "line-candidates")
-    ends = cut(pairs.select(F.col("a").alias("h1")).union(pairs.select("b")).distinct(), "line-ends")
-    texts = at.where(_members(ends)(F.col("h1"))).groupBy("h1", "h2").agg(F.min("line").alias("line"), F.min(_position()).alias("position"))
-    texts = cut(texts.join(ends, "h1", "left_semi"), "line-texts")
-    a = texts.select(F.col("h1").alias("a"), F.col("line").alias("la"), F.col("position").alias("src"))
-    b = texts.select(F.col("h1").alias("b"), F.col("line").alias("lb"), F.col("position").alias("dst"))
-    links = cut(pairs.join(a, "a").join(b, "b").where(near(F.col("la"), F.col("lb"))).select("src", "dst"), "line-links")
-    for t in (pairs, ends, texts):
+    fields = ["h1", "line", "n_chars", "n_words"]
+    once = at.where(~often(F.col("h1"))).select(fields)
+    copied = at.where(often(F.col("h1"))).groupBy("h1", "h2").agg(*[F.min(c).alias(c) for c in fields[1:]]).select(fields)
+    found = shared_keys(once.unionByName(copied))
+    ends = cut(found.select("h1").distinct(), "line-ends")
+    texts = cut(at.where(_members(ends)(F.col("h1"))).join(ends, "h1", "left_semi").groupBy("h1").agg(F.min("line").alias("line")), "line-texts")
+    sketch = lambda units: _let(units, lambda u: F.struct(F.size(u).alias("n"), _parity(u).alias("parity")))
+    sketches = texts.select("h1", sketch(chars(F.col("line"))).alias("c"), sketch(words(F.col("line"))).alias("w"))
+    x = F.when(F.col("role").bitwiseAND(F.lit(2).cast("byte")) == 0, F.col("c")).otherwise(F.col("w"))
+    x = F.struct(x["n"].alias("n"), x["parity"].alias("parity"), (F.col("role").bitwiseAND(F.lit(1).cast("byte")) == 1).alias("own"))
+    keys = cut(found.join(sketches, "h1").select("key", "h1", x.alias("x")), "line-keys")
+    drop(found)
+    a, b = (texts.select(F.col("h1").alias(c), F.col("line").alias(f"l{c}")) for c in "ab")
+    pair = lambda x, y: [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+    linked = near(F.col("la"), F.col("lb"))
+    verified = lambda pairs: cut(pairs.join(a, "a").join(b, "b").where(linked).select("a", "b"), "line-links")
+
+    state, links = keys.withColumn("group", F.lit(None).cast("long")), []
+    for _ in range(2):
+        open_, closed = state.where("group is null"), state.where("group is not null")
+        first = open_.where("x.own").groupBy("key").agg(F.min(F.struct("h1", "x")).alias("r")).select("key", F.col("r.h1").alias("to"), F.col("r.x").alias("y"))
+        trials = open_.join(first, "key").where((F.col("h1") != F.col("to")) & _alike("x", "y")).select("key", "h1", "to", F.col("to").alias("group"))
+        if links:
+            mine = closed.select("key", F.col("h1").alias("to"), F.col("x").alias("y"), F.col("group").alias("g"))
+            met = open_.join(mine, "key").where((F.col("x.own") | F.col("y.own")) & _alike("x", "y"))
+            best = met.groupBy("key", "h1").agg(F.min(F.struct(_apart("x", "y").alias("d"), "to", "g")).alias("m"))
+            trials = trials.unionByName(best.select("key", "h1", F.col("m.to").alias("to"), F.col("m.g").alias("group")))
+        trials = cut(trials, "line-trials")
+        links.append(verified(trials.select(*pair("h1", "to")).distinct()))
+        good = trials.withColumns({"a": F.least("h1", "to"), "b": F.greatest("h1", "to")}).join(links[-1], ["a", "b"], "left_semi").select("key", "h1", "group")
+        won = good.unionByName(first.select("key", F.col("to").alias("h1"), F.col("to").alias("group"))).groupBy("key", "h1").agg(F.min("group").alias("won"))
+        before, state = state, cut(state.join(won, ["key", "h1"], "left").withColumn("group", F.coalesce("group", "won")).drop("won"), "line-state")
+        drop(trials)
+        if before is not keys and len(links) > 1:
+            drop(before)
+    left = state.select("key", F.col("h1").alias("p"), "x", F.col("group").alias("gp"))
+    right = state.select("key", F.col("h1").alias("q"), F.col("x").alias("y"), F.col("group").alias("gq"))
+    apart = ~F.coalesce(F.col("gp") == F.col("gq"), F.lit(False))
+    pairs = left.join(right, "key").where((F.col("p") < F.col("q")) & (F.col("x.own") | F.col("y.own")) & apart & _alike("x", "y"))
+    links.append(verified(pairs.select(F.col("p").alias("a"), F.col("q").alias("b")).distinct()))
+    out = cut(reduce(DataFrame.unionByName, links).select(F.col("a").alias("src"), F.col("b").alias("dst")), "line-links")
+    for t in (keys, ends, texts, state, *links):
         drop(t)
-    return links
+    return out
 
 
-def line_classes(at: DataFrame) -> DataFrame:
-    """``h1, h2, position, n_chars, n_copies, n_links, class``: each distinct line with its links and its class's first position."""
-    lines = cut(distinct_lines(at), "lines")
+def line_classes(at: DataFrame, places: Positions) -> DataFrame:
+    """``h1, h2, position, n_chars, n_copies, class``: each distinct line with its class's first position."""
+    lines = cut(distinct_lines(at, places), "lines")
     links = edit_links(at, lines)
-    ends = links.select(F.col("src").alias("position")).union(links.select("dst")).groupBy("position").agg(F.count("*").alias("n_links"))
-    labels = connected_components(links).withColumnsRenamed({"node": "position", "component": "class"})
-    known = cut(ends.join(labels, "position"), "line-labels")
+    labels = cut(connected_components(links), "line-labels")
     drop(links)
-    return lines.join(known, "position", "left").withColumns({"n_links": F.coalesce("n_links", F.lit(0)), "class": F.coalesce("class", "position")})
+    known = lines.join(labels, F.col("h1") == F.col("node")).select("h1", "h2", "component", "position")
+    classes = known.groupBy("component").agg(F.min("position").alias("class"))
+    of = cut(known.join(classes, "component").select("h1", "h2", "class"), "line-classes")
+    drop(labels)
+    return lines.join(of, ["h1", "h2"], "left").withColumn("class", F.coalesce("class", "position"))
 
 
 def _ids_of_rows(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str]:
@@ -261,25 +339,28 @@ def _ids_of_rows(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame
 
 
 def near_duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each distinct line: ``doc_id, line_no`` of its first occurrence, ``n_chars, n_copies, n_links, class_doc_id, class_line_no``.
+    """One row for each distinct line: ``doc_id, line_no`` of its first occurrence, ``n_chars, n_copies, class_doc_id, class_line_no``.
 
-    n_links: other distinct lines it links with (:func:`near`); class: the first line reachable by links, itself included. Lines of
+    Lines link as :func:`near` says; class: the first line reachable by links, itself included. Lines of
     fewer than 8 characters link with nothing. Blank lines, null and empty texts give no rows; an empty table gives none; other columns
     are ignored, whatever their names. Rows without an id come last and show a null id; rows that repeat an id share positions, so that
     of equal positions the texts are told apart by identity alone. Ids must be integers. Texts of any length are taken whole.
     """
-    classes = line_classes(lines_table(docs, id_col, text_col))
-    return classes.select(_doc("position").alias("doc_id"), _no("position").alias("line_no"), F.col("n_chars").cast("bigint").alias("n_chars"), "n_copies", "n_links", _doc("class").alias("class_doc_id"), _no("class").alias("class_line_no"))
+    at = lines_table(docs, id_col, text_col)
+    places = Positions(at)
+    classes = line_classes(at, places)
+    return classes.select(places.doc("position").alias("doc_id"), places.line("position").alias("line_no"), F.col("n_chars").cast("bigint").alias("n_chars"), "n_copies", places.doc("class").alias("class_doc_id"), places.line("class").alias("class_line_no"))
 
 
 def line_members(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each line of each document that isn't blank: ``doc_id, line_no, n_chars, n_copies, n_links, class_doc_id, class_line_no``.
+    """One row for each line of each document that isn't blank: ``doc_id, line_no, n_chars, n_copies, class_doc_id, class_line_no``.
 
-    The columns after line_no are those of the line's text in :func:`near_duplicate_lines`, n_links being counted between distinct lines.
+    The columns after line_no are those of the line's text in :func:`near_duplicate_lines`.
     """
     at = lines_table(docs, id_col, text_col)
-    classes = line_classes(at)
-    known = classes.select("h1", "h2", F.col("n_chars").cast("bigint").alias("n_chars"), "n_copies", "n_links", _doc("class").alias("class_doc_id"), _no("class").alias("class_line_no"))
+    places = Positions(at)
+    classes = line_classes(at, places)
+    known = classes.select("h1", "h2", F.col("n_chars").cast("bigint").alias("n_chars"), "n_copies", places.doc("class").alias("class_doc_id"), places.line("class").alias("class_line_no"))
     return at.select(F.col("id").alias("doc_id"), F.col("line_no").cast("bigint").alias("line_no"), "h1", "h2").join(known, ["h1", "h2"]).drop("h1", "h2")
 
 
@@ -292,9 +373,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     columns = docs.columns
     docs, id_col = _ids_of_rows(docs, id_col, text_col)
     at = lines_table(docs, id_col, text_col)
-    classes = line_classes(at)
+    places = Positions(at)
+    classes = line_classes(at, places)
     firsts = cut(classes.where((F.col("n_copies") > 1) | (F.col("position") != F.col("class"))).select("h1", "h2", F.col("class")), "line-firsts")
-    gone = at.select("id", "line_no", "h1", "h2", _position().alias("position")).join(firsts, ["h1", "h2"]).where(F.col("position") != F.col("class"))
+    gone = at.select("id", "line_no", "h1", "h2", places.of(F.col("id"), F.col("line_no")).alias("position")).join(firsts, ["h1", "h2"]).where(F.col("position") != F.col("class"))
     marks = cut(gone.groupBy("id").agg(F.sort_array(F.collect_set("line_no")).alias("__gone")), "line-gone")
     drop(at)
     # lists of line numbers are far larger in memory than as files, which is what Spark's size check sees: no broadcast

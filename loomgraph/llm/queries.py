@@ -38,7 +38,7 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, line_no, n_chars, n_copies, n_links, class_doc_id, class_line_no of each line of each document."""
+    """doc_id, line_no, n_chars, n_copies, class_doc_id, class_line_no of each line of each document."""
     return linededup.line_members(table(spark, sf_dir, "documents"))
 
 
