@@ -1,7 +1,7 @@
 """Connected components by label propagation with pointer jumping.
 
-Every round is two joins between written tables and one aggregation with map-side combine.
-Both join inputs are plain exchanges, so AQE can split a hub's rows over many tasks, and a
+Every round writes one table: a join with the neighbours' labels and one aggregation with map-side combine, on labels that have jumped
+once to their label's own. Join inputs are plain exchanges, so AQE can split a hub's rows over many tasks, and a
 round starts from files in the shared folder, so a lost executor costs one round at most.
 """
 
@@ -21,19 +21,19 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     """
     pairs = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null")
     links = cut(pairs.union(pairs.select("b", "a")).distinct(), "links")
-    labels = cut(links.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "node"), "labels")
+    labels = links.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "node")
+    before = None
     while True:
         near = links.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("near"))
         moved = labels.join(near.withColumnRenamed("a", "node"), "node", "left").select(
             "node", F.col("label").alias("old"), F.least("label", F.coalesce("near", "label")).alias("label"))
         step = cut(moved, "labels")
-        up = step.select(F.col("node").alias("label"), F.col("label").alias("top"))
-        jumped = cut(step.join(up, "label", "left").select(
-            "node", F.least("label", F.coalesce("top", "label")).alias("label"),
-            (F.least("label", F.coalesce("top", "label")) != F.col("old")).cast("long").alias("changed")), "labels")
-        drop(step)
-        drop(labels)
-        labels = jumped.select("node", "label")
-        if not jumped.agg(F.sum("changed")).first()[0]:
+        if before is not None:
+            drop(before)
+        # when no label moved, all neighbours share theirs
+        if step.where("label != old").isEmpty():
             drop(links)
-            return labels.withColumnRenamed("label", "component")
+            return step.select("node", F.col("label").alias("component"))
+        up = step.select(F.col("node").alias("label"), F.col("label").alias("top"))
+        labels = step.join(up, "label", "left").select("node", F.least("label", F.coalesce("top", "label")).alias("label"))
+        before = step

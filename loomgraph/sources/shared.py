@@ -43,15 +43,15 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back.
+def cut(df: DataFrame, name: str, dictionary: bool = True) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and read it back; without dictionaries where values hardly repeat.
 
     Later stages start from files that every executor can read, and Spark knows the
     table's size, so a join against it is broadcast only when it is small.
     """
     spark = df.sparkSession
     path = new_dir(spark, name)
-    df.write.parquet(path)
+    df.write.option("parquet.enable.dictionary", dictionary).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
