@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.functions.render import FORMATS
-from loomgraph.operators import evaluate, graph, stats
-from loomgraph.plans import workflow
+from loomgraph.functions.taxonomy import DEFAULT_FIELD, TAXONOMY
+from loomgraph.operators import evaluate, graph, stats, vectors
+from loomgraph.plans import classification, workflow
 from loomgraph.plans.providers import HashingEncoder, Policy, encode
 from loomgraph.sources import readers, writers
 from loomgraph.sources.shared import cut
@@ -40,6 +41,10 @@ def parser() -> argparse.ArgumentParser:
     stage("progress", "input", "output")
     stage("evaluate", "input", "output")
     stage("build", "triples", "output")
+    stage("label", "triples", "output", "provider", domain=None, rows=10, seed=0, attempts=3, concurrency=10)
+    stage("classify", "triples", "prototypes", "output", encoder=None, threshold=0.0)
+    stage("subclassify", "classified", "prototypes", "output", encoder=None, threshold=0.0)
+    stage("merge", "folder", "output")
     stage("connectivity", "triples", "output")
     stage("entities", "triples", "output")
     stage("sample", "csv", "output", rows=10, seed=0)
@@ -59,6 +64,20 @@ def _domains(spark: SparkSession, base: str) -> DataFrame:
     return out
 
 
+def _embedded(triples: DataFrame, encoder: str | None) -> DataFrame:
+    """With ``vec``, of the text that classification embeds."""
+    return encode(classification.text_of(triples, "__text"), provider(encoder) if encoder else HashingEncoder(), "__text").drop("__text")
+
+
+def _prototypes(spark: SparkSession, path: str, encoder: str | None, key: str | None = None) -> DataFrame:
+    """``[key,] name, ord, prototype`` of labelled triples in class folders, or in key folders of class folders."""
+    rows = spark.read.options(**readers.CSV_OPTIONS).option("recursiveFileLookup", "true").csv(path)
+    keys = [key] if key else []
+    means = vectors.prototypes(_embedded(rows, encoder), [*keys, "label"], "vec")
+    order = F.coalesce(F.array_position(F.array(*[F.lit(x) for f, subs in TAXONOMY.items() for x in (f, *subs)]), F.col("label")), F.lit(0))
+    return means.select(*keys, F.col("label").alias("name"), order.alias("ord"), "prototype")
+
+
 def main(argv: list[str] | None = None) -> None:
     a = parser().parse_args(argv)
     spark = SparkSession.builder.appName(f"loomgraph {a.stage}").getOrCreate()
@@ -89,6 +108,26 @@ def main(argv: list[str] | None = None) -> None:
         edges, labels = graph.simple_digraph(isa), graph.components(isa)
         writers.write_components(edges, labels, graph.component_index(edges, labels), a.output)
         writers.write_batches(other, f"{a.output}/non_isa")
+    elif a.stage == "label":
+        sample = stats.sample_rows(_domains(spark, a.triples).drop("source_file", "domain"), a.rows, a.seed, readers.TRIPLE)
+        names = TAXONOMY[a.domain] if a.domain else [f for f in TAXONOMY]
+        labelled = classification.label_triples(sample, provider(a.provider), names, None if a.domain else DEFAULT_FIELD, Policy(attempts=a.attempts, at_once=a.concurrency))
+        writers.write_classes(labelled, a.output, "label")
+    elif a.stage == "classify":
+        triples = cut(_domains(spark, a.triples).withColumn("pos", F.monotonically_increasing_id()), "triples")
+        done = classification.classify_triples(_embedded(triples, a.encoder), _prototypes(spark, a.prototypes, a.encoder), a.threshold).drop("vec", "pos", "domain")
+        done = cut(done, "classified")
+        writers.write_classes(done, a.output, "label")
+        stats.class_counts(done, "label", "type").show(100, False)
+    elif a.stage == "subclassify":
+        rows = spark.read.option("header", True).csv(a.classified).withColumnRenamed("label", "field").drop("label_dir")
+        done = cut(classification.sub_classify(_embedded(rows, a.encoder), _prototypes(spark, a.prototypes, a.encoder, "field"), "field", a.threshold).drop("vec", "best_sim"), "subclassified")
+        writers.write_classes(done, a.output, "field", "label")
+        done.groupBy("field", "label").count().show(1000, False)
+    elif a.stage == "merge":
+        merged = cut(classification.merge_folder(spark, a.folder), "merged")
+        writers.write_report(merged, a.output)
+        stats.distinct_counts(merged).show()
     elif a.stage == "connectivity":
         writers.write_report(graph.connectivity(_domains(spark, a.triples), "domain"), a.output)
     elif a.stage == "entities":

@@ -3,6 +3,7 @@
 import pytest
 
 from loomgraph.__main__ import main
+from loomgraph.plans.providers import RuleProvider
 
 
 @pytest.fixture
@@ -28,6 +29,27 @@ def test_build_and_entities(spark, triples, tmp_path):
     assert [r[0] for r in spark.read.text(str(tmp_path / "ents/domain=law")).collect()] == ["a", "b", "c"]
 
 
+def judge():
+    return RuleProvider(lambda p: "[Humanities]" if "q -> " in p else "[Social Sciences] and [unknown]")
+
+
+def test_label_classify_subclassify_merge(spark, triples, tmp_path, capsys):
+    main(["label", "--triples", triples, "--output", str(tmp_path / "protos"), "--provider", "test_cli:judge", "--rows", "9"])
+    labelled = spark.read.option("header", True).csv(str(tmp_path / "protos"))
+    assert {(r.head, r.label) for r in labelled.collect()} == {("a", "Social Sciences"), ("b", "Social Sciences"), ("q", "Humanities")}
+    main(["classify", "--triples", triples, "--prototypes", str(tmp_path / "protos"), "--output", str(tmp_path / "classified")])
+    done = spark.read.option("header", True).csv(str(tmp_path / "classified"))
+    assert {(r.head, r.type, r.component_id, r.label) for r in done.collect()} == {("a", "ISA_Component", "a", "Social Sciences"), ("b", "Non_ISA", None, "Social Sciences"), ("q", "ISA_Component", "q", "Humanities")}
+    protos = [("a", "isa", "b", "Social Sciences", "law"), ("b", "r", "c", "Social Sciences", "sociology")]
+    spark.createDataFrame(protos, "head string, relation string, tail string, field string, label string").write.option("header", True).csv(str(tmp_path / "subs"))
+    main(["subclassify", "--classified", str(tmp_path / "classified"), "--prototypes", str(tmp_path / "subs"), "--output", str(tmp_path / "out")])
+    subs = spark.read.option("header", True).csv(str(tmp_path / "out"))
+    assert {(r.head, r.field, r.label) for r in subs.collect()} == {("a", "Social Sciences", "law"), ("b", "Social Sciences", "sociology")}
+    main(["merge", "--folder", triples, "--output", str(tmp_path / "merged")])
+    merged = spark.read.option("header", True).csv(str(tmp_path / "merged"))
+    assert sorted((r.head, r.source_file) for r in merged.collect()) == [("a", "a.csv"), ("b", "a.csv"), ("q", "x.csv")]
+
+
 def test_evaluate(spark, tmp_path):
     rows = [("s", 1, "A", "A"), ("s", 2, "B", "x")]
     spark.createDataFrame(rows, "subject string, id long, answer string, origin_prediction string").write.parquet(str(tmp_path / "in"))

@@ -1,7 +1,9 @@
 import pytest
 
-from loomgraph.plans.oracles import ORACLE_SQL
-from loomgraph.plans.queries import QUERIES
+from loomgraph.plans import oracles, queries, roundtrips
+
+ORACLE_SQL = oracles.ORACLE_SQL | roundtrips.ORACLE_SQL
+QUERIES = queries.QUERIES | roundtrips.QUERIES
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
