@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from loomgraph.llm.names import unused
 from loomgraph.sources.shared import cut, ship
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -155,13 +156,13 @@ def repeat(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
     apart by nothing, so which of them is taken is open.
     """
     key = lambda i, source, h: F.to_json(F.struct(i.cast("string").alias("i"), source.alias("s"), h.alias("h")))
+    name, list_, number, each = unused(docs, "key", "copies", "number", "each")
     mixed = mix(docs, id_col, text_col, source_col, **options).where("copies > 0")
-    plan = mixed.groupBy(key(F.col(id_col), F.col("source"), F.col("text_hash")).alias("__key")).agg(F.sort_array(F.collect_list("copies"), asc=False).alias("__copies"))
-    rows = docs.withColumn("__key", key(F.col(id_col), F.col(source_col), F.xxhash64(F.col(text_col)))).join(plan, "__key")
-    number = F.row_number().over(Window.partitionBy("__key").orderBy(F.lit(0)))
+    plan = mixed.groupBy(key(F.col(id_col), F.col("source"), F.col("text_hash")).alias(name)).agg(F.sort_array(F.collect_list("copies"), asc=False).alias(list_))
+    rows = docs.withColumn(name, key(F.col(id_col), F.col(source_col), F.xxhash64(F.col(text_col)))).join(plan, name)
     # the rare keys of several rows are numbered, so that no other row passes a window
-    twice = F.size("__copies") > 1
-    several = rows.where(twice).withColumn("__k", number)
-    rows = rows.where(~twice).withColumn("__k", F.lit(1)).unionByName(several)
-    times = F.coalesce(F.get(F.col("__copies"), F.col("__k") - 1), F.lit(0)).cast("int")
-    return rows.withColumn("__n", F.explode(F.array_repeat(F.lit(1), times))).select(docs.columns)
+    twice = F.size(list_) > 1
+    several = rows.where(twice).withColumn(number, F.row_number().over(Window.partitionBy(name).orderBy(F.lit(0))))
+    rows = rows.where(~twice).withColumn(number, F.lit(1)).unionByName(several)
+    times = F.coalesce(F.get(F.col(list_), F.col(number) - 1), F.lit(0)).cast("int")
+    return rows.withColumn(each, F.explode(F.array_repeat(F.lit(1), times))).select(docs.columns)
