@@ -11,7 +11,7 @@ verified by edit distance: for e = 0..tau a word of 2 tau + 1 bits holds the dia
 takes a unit on all diagonals at once. Links between distinct lines give classes; equal lines are one node.
 
 Variants of one line share their segments, so the lines under a key are first tried against one of them, then what is left against
-another and against the likeliest one of those that have found each other; only lines of different such groups are then
+another and against the likeliest one of those that have found each other; only lines that are not connected by then are
 compared in pairs. A class so takes about as many verifications as it has lines, and no link between classes is lost.
 """
 
@@ -23,6 +23,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomgraph.llm.names import unused
 from loomgraph.operators.components import connected_components
 from loomgraph.sources.shared import cut, drop
 
@@ -254,7 +255,7 @@ def shared_keys(lines: DataFrame, hot_share: int = 1000, sample: int = 64) -> Da
 
 
 def edit_links(at: DataFrame, lines: DataFrame) -> DataFrame:
-    """``src, dst``: h1 of lines that link; enough links to connect all lines that are reachable by links, not all of them.
+    """``src, dst``: h1 of lines, so many pairs as it takes to connect all that are reachable by links.
 
     at: of :func:`lines_table`; lines: of :func:`distinct_lines`. A line that occurs once goes to the join as it is; those that may
     occur more often are reduced to one first, so copies never meet. Lines are told apart here by one hash of 64 bits each.
@@ -295,12 +296,15 @@ def edit_links(at: DataFrame, lines: DataFrame) -> DataFrame:
         drop(trials)
         if before is not keys and len(links) > 1:
             drop(before)
+    # what is connected by now, through whatever key, needs no further pair
+    known = connected_components(reduce(DataFrame.unionByName, links), "a", "b")
+    state = cut(state.join(known, F.col("h1") == F.col("node"), "left").select("key", "h1", "x", F.coalesce("component", "h1").alias("group")), "line-state")
     left = state.select("key", F.col("h1").alias("p"), "x", F.col("group").alias("gp"))
     right = state.select("key", F.col("h1").alias("q"), F.col("x").alias("y"), F.col("group").alias("gq"))
-    apart = ~F.coalesce(F.col("gp") == F.col("gq"), F.lit(False))
-    pairs = left.join(right, "key").where((F.col("p") < F.col("q")) & (F.col("x.own") | F.col("y.own")) & apart & _alike("x", "y"))
+    pairs = left.join(right, "key").where((F.col("p") < F.col("q")) & (F.col("x.own") | F.col("y.own")) & (F.col("gp") != F.col("gq")) & _alike("x", "y"))
     links.append(verified(pairs.select(F.col("p").alias("a"), F.col("q").alias("b")).distinct()))
-    out = cut(reduce(DataFrame.unionByName, links).select(F.col("a").alias("src"), F.col("b").alias("dst")), "line-links")
+    out = links[-1].select(F.col("a").alias("src"), F.col("b").alias("dst")).unionByName(known.select(F.col("node").alias("src"), F.col("component").alias("dst")))
+    out = cut(out, "line-links")
     for t in (keys, ends, texts, state, *links):
         drop(t)
     return out
@@ -322,20 +326,21 @@ def line_classes(at: DataFrame, places: Positions) -> DataFrame:
 def _ids_of_rows(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str]:
     """(docs, name of a column that tells all rows apart): the id itself where no id is null or repeats, else one in the order of
     the ids (null last), then of a hash of the text, then of a tie number for equal rows."""
-    twice = docs.groupBy(id_col).count().where(F.col(id_col).isNull() | (F.col("count") > 1)).select(F.col(id_col).alias("__twice"))
+    row, same_id, tie = unused(docs, "row", "same", "tie")
+    twice = docs.groupBy(id_col).count().where(F.col(id_col).isNull() | (F.col("count") > 1)).select(F.col(id_col).alias(same_id))
     twice = cut(twice, "line-ids")
     if twice.isEmpty():
         return docs, id_col
-    rows = cut(docs.withColumn("__row", F.monotonically_increasing_id()), "line-docs")
-    same = rows.join(twice, F.col(id_col).eqNullSafe(F.col("__twice")), "left_semi").select(F.col(id_col).alias("i"), F.xxhash64(text_col).alias("h"), F.col("__row").alias("r"))
+    rows = cut(docs.withColumn(row, F.monotonically_increasing_id()), "line-docs")
+    same = rows.join(twice, F.col(id_col).eqNullSafe(F.col(same_id)), "left_semi").select(F.col(id_col).alias("i"), F.xxhash64(text_col).alias("h"), F.col(row).alias("r"))
     # ties are counted within buckets of the texts, so that rows without an id are no hot task
     bucket = F.pmod("h", F.lit(1024))
     order = F.row_number().over(Window.partitionBy("i", bucket).orderBy("h", "r"))
-    ties = same.select(F.col("r").alias("__r"), (order.cast("long") * 1024 + bucket).alias("__tie"))
-    known = rows.join(ties, F.col("__row") == F.col("__r"), "left")
+    ties = same.select(F.col("r").alias(same_id), (order.cast("long") * 1024 + bucket).alias(tie))
+    known = rows.join(ties, F.col(row) == F.col(same_id), "left")
     whole = F.coalesce(F.col(id_col).cast("decimal(20,0)"), F.lit("9223372036854775808").cast("decimal(20,0)"))
-    own = whole * F.lit(10**8).cast("decimal(9,0)") + F.coalesce("__tie", F.lit(0)).cast("decimal(9,0)")
-    return cut(known.withColumn("__row", own.cast("decimal(28,0)")).drop("__r", "__tie"), "line-docs"), "__row"
+    own = whole * F.lit(10**8).cast("decimal(9,0)") + F.coalesce(tie, F.lit(0)).cast("decimal(9,0)")
+    return cut(known.withColumn(row, own.cast("decimal(28,0)")).drop(same_id, tie), "line-docs"), row
 
 
 def near_duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -371,18 +376,19 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     empty ones. Rows without an id or that repeat one are rows of their own. An empty table gives an empty one.
     """
     columns = docs.columns
+    gone_lines, of = unused(docs, "gone", "of")
     docs, id_col = _ids_of_rows(docs, id_col, text_col)
     at = lines_table(docs, id_col, text_col)
     places = Positions(at)
     classes = line_classes(at, places)
     firsts = cut(classes.where((F.col("n_copies") > 1) | (F.col("position") != F.col("class"))).select("h1", "h2", F.col("class")), "line-firsts")
     gone = at.select("id", "line_no", "h1", "h2", places.of(F.col("id"), F.col("line_no")).alias("position")).join(firsts, ["h1", "h2"]).where(F.col("position") != F.col("class"))
-    marks = cut(gone.groupBy("id").agg(F.sort_array(F.collect_set("line_no")).alias("__gone")), "line-gone")
+    marks = cut(gone.groupBy("id").agg(F.sort_array(F.collect_set("line_no")).alias(gone_lines)), "line-gone")
     drop(at)
     # lists of line numbers are far larger in memory than as files, which is what Spark's size check sees: no broadcast
-    joined = docs.join(marks.withColumnRenamed("id", "__id").hint("merge"), F.col(id_col).eqNullSafe(F.col("__id")), "left")
+    joined = docs.join(marks.withColumnRenamed("id", of).hint("merge"), F.col(id_col).eqNullSafe(F.col(of)), "left")
     body = F.split(F.col(text_col), "\n")
-    keep = F.array_except(F.sequence(F.lit(0), F.size(body) - 1), F.col("__gone"))
+    keep = F.array_except(F.sequence(F.lit(0), F.size(body) - 1), F.col(gone_lines))
     left = F.array_join(F.transform(keep, lambda k: F.get(body, k)), "\n")
-    text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(left)
-    return joined.withColumn(text_col, text).where(F.col("__gone").isNull() | F.col(text_col).rlike(r"[\p{L}\p{N}]")).select(columns)
+    text = F.when(F.col(gone_lines).isNull(), F.col(text_col)).otherwise(left)
+    return joined.withColumn(text_col, text).where(F.col(gone_lines).isNull() | F.col(text_col).rlike(r"[\p{L}\p{N}]")).select(columns)
