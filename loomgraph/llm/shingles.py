@@ -1,4 +1,8 @@
-"""Near copies by exact Jaccard similarity of word shingles: prefix filter, verification, components.
+"""Near copies by exact Jaccard similarity of word shingles: SimHash, prefix filter, verification, components.
+
+First SimHash: documents whose fingerprints over the same shingles are linked by the vantage-point trees of :mod:`simhash` are compared with their
+group's smallest set, exactly. A fingerprint of 64 bits tells a similarity of 0.8 from others only at radii where trees
+prune nothing, so what it misses is found by a prefix filter:
 
 Two sets at a similarity of ``least`` or more share a shingle among the first n - ceil(least n) + 1 of each, whatever the one
 order is in which all sets are sorted. The order puts shingles that are frequent in a bounded sample last; it decides
@@ -18,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.simhash import shingle_hashes
+from loomgraph.llm.simhash import hamming_components, majority, shingle_hashes
 from loomgraph.operators.components import connected_components
 from loomgraph.sources.shared import cut, drop, ship
 
@@ -29,7 +33,7 @@ def prefix_size(n: int, least: float) -> int:
 
 
 def shingle_sets(docs: DataFrame, id_col: str, text_col: str, words: int, least: float, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """``id, key, n, prefix, hashes``: a row for each row; ``key`` is the 128-bit identity of the set, ``hashes`` the whole set in the common order.
+    """``id, key, n, fp, prefix, hashes``: a row for each row; ``key`` is the 128-bit identity of the set, ``fp`` the text's fingerprint, ``hashes`` the whole set in the common order.
 
     frequent: sorted hashes and their counts. Texts of fewer words are one shingle; texts without words are the empty set.
     """
@@ -39,9 +43,11 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, words: int, least:
         for batch in batches:
             for a in range(0, batch.num_rows, 512):
                 part = batch.slice(a, 512)
-                keys, sizes, firsts, sets = [], [], [], []
+                keys, sizes, fps, firsts, sets = [], [], [], [], []
                 for text in part.column(1):
-                    h = np.unique(shingle_hashes(text.as_py(), words))
+                    h = shingle_hashes(text.as_py(), words)
+                    fps.append(majority(h))
+                    h = np.unique(h)
                     keys.append(xxhash.xxh3_128_digest(h.astype("<u8").tobytes()))
                     if len(known) and len(h):
                         at = np.minimum(np.searchsorted(known, h), len(known) - 1)
@@ -50,10 +56,10 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, words: int, least:
                     firsts.append(h[: prefix_size(len(h), least)].view(np.int64))
                     sets.append(h.view(np.int64))
                 lists = [pa.ListArray.from_arrays(np.cumsum([0, *map(len, x)]).astype(np.int32), np.concatenate(x)) for x in (firsts, sets)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), *lists], ["id", "key", "n", "prefix", "hashes"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(np.array(fps, np.uint64).view(np.int64)), *lists], ["id", "key", "n", "fp", "prefix", "hashes"])
 
     picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string"))
-    return picked.mapInArrow(run, f"id {picked.schema[0].dataType.simpleString()}, key binary, n int, prefix array<bigint>, hashes array<bigint>")
+    return picked.mapInArrow(run, f"id {picked.schema[0].dataType.simpleString()}, key binary, n int, fp bigint, prefix array<bigint>, hashes array<bigint>")
 
 
 def frequent_shingles(docs: DataFrame, text_col: str, words: int, sample: int, most: int = 100_000) -> tuple[np.ndarray, np.ndarray]:
@@ -128,19 +134,32 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return links
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8, sample: int = 20_000) -> DataFrame:
+def _by_fingerprint(sets: DataFrame, least: float, max_bits: int) -> DataFrame:
+    """``a, b``: pairs of each group of linked fingerprints' smallest set with its others, to be verified."""
+    points = cut(sets.groupBy("fp").agg(F.min("fp").alias("rep")), "points")
+    groups = hamming_components(points, max_bits)
+    members = sets.select("fp", "key", "n").dropDuplicates(["key"]).join(groups, "fp")
+    first = members.groupBy("component").agg(F.min(F.struct("n", "key")).alias("f")).select("component", F.col("f.key").alias("a"), F.col("f.n").alias("na"))
+    return members.join(first, "component").where((F.col("key") != F.col("a")) & (F.col("na") >= least * F.col("n") - 1e-9)).select("a", F.col("key").alias("b"))
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8, sample: int = 20_000, max_bits: int = 3) -> DataFrame:
     """``id_col, component_id`` of every row: the smallest id reachable by links of Jaccard similarity ``least`` or more.
 
-    Rows without an id take the component of their text; a component that only such rows have is null. Rows that repeat an id stay repeated.
+    Rows without an id take the component of their text; a component that only such rows have is null. Rows that repeat an id stay repeated. Null and blank texts are copies of each
+    other; texts of any length are taken whole; an empty table gives no rows; other columns are ignored. sample: documents from which frequent
+    shingles are learned, which only orders the work.
     """
     ship(docs.sparkSession)
     sets = cut(shingle_sets(docs, id_col, text_col, words, least, frequent_shingles(docs, text_col, words, sample)), "shingle-sets")
+    alike = cut(_by_fingerprint(sets, least, max_bits), "shingle-pairs")
+    early = _verified(alike, sets, least)
     groups = cut(_groups(sets), "shingle-groups")
     fits = F.col("na") >= least * F.col("nb") - 1e-9
     first = F.col("members")[0]
     star = groups.select(first["key"].alias("a"), first["n"].alias("na"), F.explode(F.slice("members", 2, F.size("members") - 1)).alias("m"))
     star = cut(star.select("a", "na", F.col("m.key").alias("b"), F.col("m.n").alias("nb")).where(fits).select("a", "b").distinct(), "shingle-pairs")
-    links = _verified(star, sets, least)
+    links = early.union(_verified(star.join(alike, ["a", "b"], "left_anti"), sets, least))
     known = connected_components(links)
     labelled = groups.select("gid", F.explode("members").alias("m")).select("gid", F.col("m.n").alias("n"), F.col("m.key").alias("key"))
     labelled = labelled.join(known, F.col("key") == F.col("node"), "left").select("gid", "n", "key", F.coalesce("component", "key").alias("c"))
@@ -155,6 +174,6 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     labels = connected_components(links.union(more))
     rows = sets.select(F.col("id").alias(id_col), "key").join(labels, F.col("key") == F.col("node"), "left").select(id_col, F.coalesce("component", "key").alias("c"))
     rows = cut(rows, "shingle-rows")
-    for t in (sets, groups, star, open_, rest, links, more):
+    for t in (sets, alike, groups, star, open_, rest, links, more):
         drop(t)
     return rows.join(rows.groupBy("c").agg(F.min(id_col).alias("component_id")), "c").select(id_col, "component_id")

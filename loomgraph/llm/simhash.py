@@ -48,7 +48,11 @@ def shingle_hashes(text: str | None, words: int, seed: int = 42) -> np.ndarray:
 
 def fingerprint(text: str | None, words: int = 3) -> int:
     """Bit i is 1 when over half the shingle hashes have it; no words: 0."""
-    hashes = shingle_hashes(text, words)
+    return majority(shingle_hashes(text, words))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The fingerprint of shingle hashes."""
     if not len(hashes):
         return 0
     rows = hashes.byteswap().view(np.uint8).reshape(-1, 8)
@@ -164,11 +168,13 @@ def link_shard(fps: np.ndarray, keys: np.ndarray, r: int, max_bits: int, leaf: i
     return forest
 
 
-def hamming_components(points: DataFrame, max_bits: int = 3, halves: int = 2, sample: int = 20_000, shard: int = 20_000) -> DataFrame:
+def hamming_components(points: DataFrame, max_bits: int = 3, halves: int = 2, sample: int = 200_000, shard: int = 20_000) -> DataFrame:
     """``fp, component``: for distinct fingerprints ``fp, rep``, the smallest ``rep`` reachable by links.
 
     points: distinct non-null ``fp`` (long) with a ``rep`` (long) each; equal reps are one node. sample: at most about
-    so many fingerprints, and a quarter of all, fit the upper trees; shard: points a leaf is meant to hold.
+    so many fingerprints, and a quarter of all, fit the upper trees; shard: points a leaf is meant to hold. A leaf has 32 points of the sample at
+    least, so from 32 / sample of the points on it is that share of all: 1.6 million of 10**10, still a few hundred MB in a task, which
+    splits them by trees of its own.
     """
     spark = points.sparkSession
     ship(spark)

@@ -205,6 +205,8 @@ def test_near_copies_of_the_pipeline(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     far = sum((plain_fingerprint(texts[i]) ^ plain_fingerprint(texts[j])).bit_count() > 3 for i in range(len(texts)) for j in near[i])
     assert far > 100
+    close = shingles._by_fingerprint(shingles.shingle_sets(docs, "doc_id", "text", 5, 0.8, (np.empty(0, np.uint64), np.empty(0))), 0.8, 3)
+    assert 0 < close.count() < len(texts)
     for sample in (20_000, 0):
         got = {r.doc_id: r.component_id for r in shingles.near_copies(docs, sample=sample).collect()}
         assert [got[i] for i in range(len(texts))] == label
