@@ -1,10 +1,11 @@
 """Embedding near-dedup with one navigable small-world graph for each shard.
 
-Vectors are dealt to shards by a hash of their id; each shard's graph is built once and written as a table. Blocks of
-queries (all distinct vectors) then visit every shard. Beams are used at the least width at which an audit of the block against
+Vectors are dealt to shards by a hash of their id; each shard's graph is built once and written as a table. The vectors of each
+shard then query the graph of their own shard and of every later one, so each pair of shards meets once, and a pair of vectors is found by one search
+and counts for both. Beams are used at the least width at which an audit of the pair of shards against
 brute force proves that they find ``audit_recall`` of the links; where too few audited queries have links to prove it, or the beams
 would be wider than a 128th of the shard, the shard is scanned, which misses nothing. A beam that is full of links is widened for its query.
-Equal vectors are one node. Cosines are verified in double precision. A task gives back each query's number of links and a spanning forest
+Equal vectors are one node. Cosines are verified in double precision. A task gives back numbers of links and a spanning forest
 of what it linked, never pairs.
 
 All searches advance many queries in step: one numpy operation handles a beam step of a whole block.
@@ -20,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.llm.names import unused
 from loomgraph.llm.simhash import Forest
 from loomgraph.operators.components import connected_components
 from loomgraph.sources.shared import cut, ship
@@ -225,12 +227,13 @@ def _unit(column: pa.ChunkedArray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = 0.9, shard: int = 16_384, block: int = 8192) -> DataFrame:
+def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = 0.9, shard: int = 16_384) -> DataFrame:
     """Every row with ``n_links, component_id, kept``.
 
-    n_links: other vectors found at a cosine of ``least`` or more; component_id: smallest id reachable by links. Vectors that are
+    n_links: other vectors found at a cosine of ``least`` or more, a pair that is found counting for both; component_id: smallest id reachable by links. Vectors that are
     null, empty, zero or hold null or non-finite components link with nothing, nor do vectors of different lengths or rows
-    without an id (null component, kept). Rows that repeat an id count as one vector, the smallest.
+    without an id (null component, kept). Rows that repeat an id count as one vector, the smallest; equal vectors all link. An empty table gives
+    no rows; columns named like the results are replaced. shard: vectors a graph is meant to hold, which bounds a task's memory.
     """
     spark = vectors.sparkSession
     ship(spark)
@@ -240,8 +243,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     single = cut(rows.groupBy("id").agg(F.min("x").alias("x")), "vectors")
     # equal vectors are one node, by their smallest id: in a graph, copies would shut each other out of the neighbour lists
     rows = cut(single.groupBy("x").agg(F.min("id").alias("id"), F.count("*").alias("copies")).withColumn("dim", F.size("x")), "vectors")
-    n = rows.count()
-    shards, blocks = max(1, -(-n // shard)), max(1, -(-n // block))
+    shards = max(1, -(-rows.count() // shard))
     home = rows.withColumn("shard", F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(shards)).cast("int"))
 
     def build(table: pa.Table) -> pa.Table:
@@ -250,39 +252,44 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         return pa.table({"dim": first.column("dim"), "shard": first.column("shard"), "ids": [table.column("id").to_numpy().astype("<i8").tobytes()], "copies": [table.column("copies").to_numpy().astype("<i8").tobytes()], "vecs": [x.astype("<f8").tobytes()], "graph": [SmallWorld.build(x).to_bytes()]})
 
     graphs = cut(home.groupBy("dim", "shard").applyInArrow(build, "dim int, shard int, ids binary, copies binary, vecs binary, graph binary"), "small-worlds")
-    left = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    asked = rows.withColumn("block", F.pmod(F.xxhash64(F.lit(2), "id"), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    asked = graphs.withColumn("asking", F.explode(F.sequence(F.lit(0), F.col("shard"))))
+    asking = home.withColumnRenamed("shard", "asking").withColumn("shard", F.explode(F.sequence(F.col("asking"), F.lit(shards - 1))))
 
     def search(stored: pa.Table, queries: pa.Table) -> pa.Table:
         empty = pa.array([], pa.int64())
         if not len(stored) or not len(queries):
             return pa.table({"src": empty, "dst": empty, "n": empty})
         one = stored.to_pylist()[0]
-        ids = np.frombuffer(one["ids"], "<i8")
-        copies = np.frombuffer(one["copies"], "<i8")
+        ids, copies = np.frombuffer(one["ids"], "<i8"), np.frombuffer(one["copies"], "<i8")
         x = np.frombuffer(one["vecs"], "<f8").reshape(len(ids), -1)
-        q_ids = queries.column("id").to_numpy()
+        q_ids, q_copies = queries.column("id").to_numpy(), queries.column("copies").to_numpy()
         number, row = np.unique(np.concatenate((ids, q_ids)), return_inverse=True)
-        forest, links = Forest(len(number)), np.zeros(len(q_ids), np.int64)
+        forest, links = Forest(len(number)), np.zeros(len(number), np.int64)
         for i, j in range_links(SmallWorld.from_bytes(one["graph"], x), x, ids, _unit(queries.column("x")), q_ids, least):
-            np.add.at(links, i, copies[j])
-            for a, b in zip(row[len(ids) + i].tolist(), row[j].tolist(), strict=True):
+            if one["shard"] == one["asking"]:  # both ends ask here: the pair belongs to the larger id
+                ahead = q_ids[i] > ids[j]
+                i, j = i[ahead], j[ahead]
+            left, right = row[len(ids) + i], row[j]
+            np.add.at(links, left, copies[j])
+            np.add.at(links, right, q_copies[i])
+            for a, b in zip(left.tolist(), right.tolist(), strict=True):
                 forest.join(a, b)
         roots = np.array([forest.root(k) for k in range(len(number))])
         own = np.flatnonzero(roots != np.arange(len(number)))
         counted = np.flatnonzero(links)
-        src = np.concatenate((number[own], q_ids[counted]))
+        src = np.concatenate((number[own], number[counted]))
         dst = pa.array(np.concatenate((number[roots[own]], np.zeros(len(counted), np.int64))), mask=np.arange(len(src)) >= len(own))
         return pa.table({"src": src, "dst": dst, "n": np.concatenate((np.zeros(len(own), np.int64), links[counted]))})
 
-    keys = ["dim", "shard", "block"]
-    found = cut(left.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(search, "src bigint, dst bigint, n bigint"), "vector-links")
+    keys = ["dim", "shard", "asking"]
+    found = cut(asked.groupBy(*keys).cogroup(asking.groupBy(*keys)).applyInArrow(search, "src bigint, dst bigint, n bigint"), "vector-links")
     counts = found.where("dst is null").groupBy("src").agg(F.sum("n").alias("n_links"))
     labels = connected_components(found.where("dst is not null"))
-    known = rows.join(counts, F.col("id") == F.col("src"), "left").join(labels, F.col("id") == F.col("node"), "left")
-    known = known.select("x", (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias("__n"), F.coalesce("component", "id").alias("__c"))
-    known = cut(single.join(known, "x").select(F.col("id").alias("__id"), "__n", "__c"), "vector-labels")
     kept = vectors.drop("n_links", "component_id", "kept")
+    of, number, group = unused(kept, "id", "n", "c")
+    known = rows.join(counts, F.col("id") == F.col("src"), "left").join(labels, F.col("id") == F.col("node"), "left")
+    known = known.select("x", (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias(number), F.coalesce("component", "id").alias(group))
+    known = cut(single.join(known, "x").select(F.col("id").alias(of), number, group), "vector-labels")
     own = F.col(id_col).cast("long")
-    out = kept.join(known, own == F.col("__id"), "left").withColumns({"n_links": F.coalesce("__n", F.lit(0)), "component_id": F.coalesce("__c", own)})
+    out = kept.join(known, own == F.col(of), "left").withColumns({"n_links": F.coalesce(number, F.lit(0)), "component_id": F.coalesce(group, own)})
     return out.withColumn("kept", F.coalesce(F.col("component_id") == own, F.lit(True))).select(*kept.columns, "n_links", "component_id", "kept")
