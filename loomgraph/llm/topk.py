@@ -1,7 +1,7 @@
 """Exact top-k by inner product as a Voronoi kNN join.
 
 Rows are assigned to the nearest of a bounded set of pivots. A summary of each cell (size, radius about
-its pivot) bounds every score in it: q.x = q.p + q.(x - p) <= q.p + |q| r. A first pass solves each
+its pivot, greatest length) bounds every score in it: q.x = q.p + q.(x - p) <= q.p + |q| r, and q.x <= |q| |x|. A first pass solves each
 query in one block of the cell that its bound ranks first, which gives a k-th best score to beat; a query is then
 sent only to cells whose bound reaches that score, and solved there. Cells are cut into blocks of bounded
 size, so a cell that holds a third of all rows spreads over many tasks. As queries are few and data is
@@ -33,8 +33,10 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
 
 
 def _scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Exact integer inner products; in doubles where no sum can pass 2**53."""
+    """Exact integer inner products; in doubles where no sum can pass 2**53. Sums that don't fit into 64 bits raise."""
     most = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * q.shape[1]
+    if most >= 2**62 and np.abs(q.astype(np.float64) @ x.T.astype(np.float64)).max(initial=0) >= 2**62:
+        raise OverflowError("a score doesn't fit into 64 bits")
     return (q.astype(np.float64) @ x.T.astype(np.float64)).astype(np.int64) if most < 2**53 else q @ x.T
 
 
@@ -55,11 +57,12 @@ def best(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: in
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
-def exact_top_k(data: DataFrame, queries: DataFrame, k: int = 10, pivots: int = 64, block: int = 8192) -> DataFrame:
+def exact_top_k(data: DataFrame, queries: DataFrame, k: int = 10, pivots: int = 64, block: int = 8192, query_block: int = 65_536) -> DataFrame:
     """``query_id, rank, id, score``: each query's k best rows of ``data`` (both ``id, x`` with equal lengths of x).
 
     All rows if there are fewer; ties go to smaller ids; a query's own id is no candidate. Repeated rows of data count as they
     come; of queries that share an id the one with the smallest vector counts. Vectors of another length than the smallest id's are left out. Empty data or queries give no rows.
+    A task holds at most about ``block`` rows of data and ``query_block`` queries.
     """
     spark = data.sparkSession
     ship(spark)
@@ -81,20 +84,23 @@ def exact_top_k(data: DataFrame, queries: DataFrame, k: int = 10, pivots: int =
                 d = (x * x).sum(1)[:, None] + norms[None, :] - 2 * (x @ p.T)
                 cell = d.argmin(1)
                 far = np.sqrt(np.maximum(0, ((x - p[cell]) ** 2).sum(1)))
-                yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(cell, pa.int32()), pa.array(far)], ["id", "x", "cell", "far"])
+                long = np.sqrt((x * x).sum(1))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(cell, pa.int32()), pa.array(far), pa.array(long)], ["id", "x", "cell", "far", "long"])
 
-    placed = cut(data.select("id", "x").mapInArrow(assign, "id bigint, x array<bigint>, cell int, far double"), "voronoi")
-    summary = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("r")).collect()  # one row a pivot at most
-    radius, blocks = np.full(len(p), -1.0), np.zeros(len(p), np.int64)
+    placed = cut(data.select("id", "x").mapInArrow(assign, "id bigint, x array<bigint>, cell int, far double, long double"), "voronoi")
+    summary = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("r"), F.max("long").alias("l")).collect()  # one row a pivot at most
+    radius, longest, blocks = np.full(len(p), -1.0), np.zeros(len(p)), np.zeros(len(p), np.int64)
     for s in summary:
-        radius[s.cell], blocks[s.cell] = s.r, -(-s.n // block)
+        radius[s.cell], longest[s.cell], blocks[s.cell] = s.r, s.l, -(-s.n // block)
+    groups = max(1, -(-queries.count() // query_block))
     held = np.flatnonzero(blocks)
 
     def bounds(q: np.ndarray) -> np.ndarray:
         """Above every score of q in each cell; a little is added for rounding."""
         q = q.astype(np.float64)
         length = np.sqrt((q * q).sum(1))
-        return q @ p[held].T + length[:, None] * radius[held][None, :] + 1e-9 * (1 + length[:, None] * (radius[held] + np.sqrt(norms[held]))[None, :])
+        about = np.minimum(q @ p[held].T + length[:, None] * radius[held][None, :], length[:, None] * longest[held][None, :])
+        return about + 1e-9 * (1 + length[:, None] * (radius[held] + np.sqrt(norms[held]))[None, :])
 
     base = np.cumsum(blocks) - blocks  # a cell's first task
     slot = F.create_map(*[F.lit(int(v)) for c in held for v in (c, base[c])])
@@ -131,7 +137,9 @@ def exact_top_k(data: DataFrame, queries: DataFrame, k: int = 10, pivots: int =
         return pa.table(dict(zip(("query_id", "id", "score"), best(*part(q), *part(x), k), strict=True)))
 
     def join(sent: DataFrame) -> DataFrame:
-        return sent.groupBy("task").cogroup(dealt.groupBy("task")).applyInArrow(solve, "query_id bigint, id bigint, score bigint")
+        asked = sent.withColumn("group", F.pmod(F.xxhash64(F.lit(4), "id"), F.lit(groups)))
+        stored = dealt.withColumn("group", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
+        return asked.groupBy("task", "group").cogroup(stored.groupBy("task", "group")).applyInArrow(solve, "query_id bigint, id bigint, score bigint")
 
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     one = cut(join(queries.select("id", "x").mapInArrow(first, "id bigint, x array<bigint>, task bigint")), "topk-first")
