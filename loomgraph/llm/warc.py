@@ -132,11 +132,11 @@ def write_monolithic(rows: DataFrame, folder: str, level: int = 1) -> DataFrame:
     return cut(rows.select("page_id", "url", "payload", "refers_to").mapInArrow(run, "file string, records bigint"), "warc-files")
 
 
-def normalise(files: DataFrame, folder: str, level: int = 6, remove: bool = False) -> DataFrame:
+def normalise(files: DataFrame, folder: str, level: int = 6, remove: bool = False, run_length: int = 4096) -> DataFrame:
     """Rewrite each of ``file`` (gzip, monolithic or not) with a member for each record, and a sidecar index.
 
-    Returns ``file, index, records`` as a table: the new files, their sidecars, and counts. A stream that is cut
-    off or no WARC raises. remove: delete a source file once its copy is complete; sources are not read again.
+    Returns ``file, index, records, runs`` as a table: the new files, their sidecars, counts, and where in the sidecar each run of ``run_length``
+    records begins, with the sidecar's end as last entry. A stream that is cut off or no WARC raises; an empty one has no records. remove: delete a source file once its copy is complete; sources are not read again.
     """
     spark = files.sparkSession
     ship(spark)
@@ -148,42 +148,47 @@ def normalise(files: DataFrame, folder: str, level: int = 6, remove: bool = Fals
                 name = f"{folder}/records-{uuid.uuid4().hex}.warc.gz"
                 to, target = _open(name)
                 to.create_dir(target.rsplit("/", 1)[0], recursive=True)
-                at = n = 0
+                at = n = place = 0
+                runs = []
                 with fs.open_input_stream(path, compression=None) as file, to.open_output_stream(target, compression=None) as out, to.open_output_stream(f"{target}.idx", compression=None) as index:
                     for head, record in split_records(inflate(file)):
                         z = zlib.compressobj(level, zlib.DEFLATED, GZIP)
                         member = z.compress(record) + z.flush()
                         out.write(member)
-                        index.write(json.dumps({"offset": at, "length": len(member), "id": head.get("warc-record-id"), "type": head.get("warc-type")}).encode() + b"\n")
-                        at += len(member)
-                        n += 1
-                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([f"{name}.idx"]), pa.array([n], pa.int64())], ["file", "index", "records"])
+                        entry = json.dumps({"offset": at, "length": len(member), "id": head.get("warc-record-id"), "type": head.get("warc-type")}).encode() + b"\n"
+                        if n % run_length == 0:
+                            runs.append(place)
+                        index.write(entry)
+                        at, place, n = at + len(member), place + len(entry), n + 1
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([f"{name}.idx"]), pa.array([n], pa.int64()), pa.array([[*runs, place]], pa.list_(pa.int64()))], ["file", "index", "records", "runs"])
 
     spread = files.select("file").repartition(max(1, files.count()), "file")  # a file is a task's work at least; count of files, not of records
-    done = cut(spread.mapInArrow(run, "file string, index string, records bigint"), "warc-normal")
+    done = cut(spread.mapInArrow(run, "file string, index string, records bigint, runs array<bigint>"), "warc-normal")
     if remove:
         for folder_of in {r.d for r in files.select(F.regexp_extract("file", "^(.*)/[^/]*$", 1).alias("d")).distinct().collect()}:
             delete(spark, folder_of)
     return done
 
 
-def read_archives(normal: DataFrame, run_length: int = 4096) -> DataFrame:
+def read_archives(normal: DataFrame) -> DataFrame:
     """Read normalised archives through their sidecars: a row for each record.
 
     ``page_id, url, record_type, refers_to, payload_bytes, payload_digest, file, offset, length``; a revisit's payload figures are
-    those its header states, a response's are taken from its payload. run_length: records that one row of work covers.
+    those its header states, a response's are taken from its payload. A run of records is a row of work, which reads its part of
+    the sidecar and of the archive alone.
     """
     ship(normal.sparkSession)
-    runs = normal.select("file", "index", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.col("records") - 1), F.lit(run_length))).alias("first"), "records").where("records > 0")
+    steps = F.arrays_zip(F.slice("runs", 1, F.size("runs") - 1).alias("first"), F.slice("runs", 2, F.size("runs") - 1).alias("end"))
+    runs = normal.where("records > 0").select("file", "index", F.explode(steps).alias("r")).select("file", "index", "r.first", "r.end")
     names = ["page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest", "file", "offset", "length"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, sidecar, first in zip(*(c.to_pylist() for c in batch.columns[:3]), strict=True):
+            for name, sidecar, first, end in zip(*(c.to_pylist() for c in batch.columns[:4]), strict=True):
                 fs, path = _open(name)
-                with fs.open_input_stream(_open(sidecar)[1], compression=None) as file:
-                    lines = file.read().split(b"\n")[first : first + run_length]
-                entries = [json.loads(x) for x in lines if x]
+                with fs.open_input_file(_open(sidecar)[1]) as file:
+                    file.seek(first)
+                    entries = [json.loads(x) for x in file.read(end - first).splitlines()]
                 rows = []
                 with fs.open_input_file(path) as file:
                     file.seek(entries[0]["offset"])
@@ -224,7 +229,11 @@ def plan_revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
 
 
 def archive_pages(pages: DataFrame, folder: str | None = None) -> DataFrame:
-    """Write pages to monolithic archives, normalise these, and read the result back; see :func:`read_archives`."""
+    """Write pages to monolithic archives, normalise these, and read the result back; see :func:`read_archives`.
+
+    A row for each row of pages, also for null ids, urls and html (an empty payload) and for equal rows, which decide alike; other columns are ignored. An empty
+    table gives no rows. A record is held in memory as a whole, so the longest page is the bound.
+    """
     spark: SparkSession = pages.sparkSession
     base = folder or new_dir(spark, "warc")
     files = write_monolithic(plan_revisits(pages), f"{base}/whole")

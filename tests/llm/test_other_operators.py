@@ -72,10 +72,11 @@ def test_embedding_groups(spark):
         label = new
     odd = [(1000, None, ""), (1001, [], ""), (1002, [0.0] * 16, ""), (1003, [float("nan")] * 16, ""), (1004, [None] * 16, ""), (1005, [1.0, 2.0], ""), (None, [1.0] * 16, "")]
     df = vectors(spark, [(i, v.tolist(), "") for i, v in enumerate(x)] + odd)
-    got = {r.vec_id: r for r in hnsw.near_duplicates(df, shard=200, block=300).collect()}
+    got = {r.vec_id: r for r in hnsw.near_duplicates(df, shard=200).collect()}
     assert len(got) == len(x) + len(odd)
     found, true = sum(got[i].n_links for i in range(len(x))), near.sum()
     assert 0.98 * true <= found <= true and all(got[i].n_links <= near[i].sum() for i in range(len(x)))
+    assert found % 2 == 0 and all((got[i].n_links == 0) == (near[i].sum() == 0) for i in range(len(x)))
     assert np.mean([got[i].component_id == label[i] for i in range(len(x))]) >= 0.99
     assert all(got[i].n_links == 0 and got[i].component_id == i and got[i].kept for i in range(1000, 1006)) and got[None].kept
     assert hnsw.near_duplicates(df.where("false")).count() == 0
@@ -98,6 +99,21 @@ def test_sparse_links_are_not_missed(spark):
         assert got[i].component_id == min(i, int(np.flatnonzero(near[i])[0]))
 
 
+def test_recall_over_shards(spark):
+    """Queries with an id divisible by 50 against all rows, in four shards that beams search: groups of 2 to 40 near vectors."""
+    rng = np.random.default_rng(12)
+    x = []
+    while len(x) < 12_000:
+        base = rng.normal(size=32)
+        x += [base + 0.12 * rng.normal(size=32) for _ in range(int(rng.integers(2, 41)))]
+    x = np.array(x)[rng.permutation(len(x))].astype(np.float32).astype(float)
+    near = brute_links(x)
+    got = {r.vec_id: r.n_links for r in hnsw.near_duplicates(vectors(spark, [(i, v.tolist(), "") for i, v in enumerate(x)]), shard=8192).collect()}
+    ask = range(0, len(x), 50)
+    true, found = sum(near[i].sum() for i in ask), sum(got[i] for i in ask)
+    assert true > 2000 and 0.99 * true <= found <= true, found / true
+
+
 def test_small_world_recall():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(1500, 24))
@@ -108,6 +124,25 @@ def test_small_world_recall():
     assert np.mean(found[:, 0] == np.argmax(q @ x.T, axis=1)) >= 0.9
 
 
+def test_archives_of_many_pages(spark, tmp_path):
+    """Brute force over mixed pages: payloads around the limit, many copies, nulls; in runs of a few records."""
+    rng = np.random.default_rng(4)
+    bodies = [None, "", *[c * n for c in "aé日" for n in (1, 333, 334, 499, 500, 999, 1000, 5000)]]
+    rows = [(i, f"http://h/{i}", bodies[int(k)]) for i, k in enumerate(rng.integers(0, len(bodies), 400))]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    raw = {i: (h or "").encode() for i, _, h in rows}
+    last = {}
+    for i, h in raw.items():
+        last[h] = max(i, last.get(h, i))
+    want = {(i, len(h), hashlib.sha1(h).hexdigest(), "revisit" if len(h) >= 1000 and last[h] != i else "response", last[h] if len(h) >= 1000 and last[h] != i else None) for i, h in raw.items()}
+    assert sum(w[3] == "revisit" for w in want) > 100
+    files = warc.write_monolithic(warc.plan_revisits(pages), f"file://{tmp_path}/whole")
+    for length in (4096, 7, 1):
+        normal = warc.normalise(files, f"file://{tmp_path}/records{length}", run_length=length)
+        got = [(r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.read_archives(normal).collect()]
+        assert len(got) == len(want) and set(got) == want
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(400, 8))
@@ -122,6 +157,8 @@ def test_top_k(spark):
         best = sorted((i for i in range(400) if i != q), key=lambda i: (-s[i], i))[:10]
         want += [(q, r + 1, i, int(s[i])) for r, i in enumerate(best)]
     assert sorted(map(tuple, got)) == sorted(want)
+    again = topk.exact_top_k(data, data.where("id % 50 = 0"), k=10, pivots=7, block=30, query_block=3).collect()
+    assert sorted(map(tuple, again)) == sorted(want)
     few = data.where("id < 4")
     assert topk.exact_top_k(few, few.where("id = 0")).count() == 3
     assert topk.exact_top_k(data.where("false"), data).count() == 0 and topk.exact_top_k(data, data.where("false")).count() == 0
@@ -130,6 +167,8 @@ def test_top_k(spark):
 def test_huge_components_stay_exact():
     a, b = np.array([[2**40, 3]]), np.array([[2**20, 1], [1, 2**20]])
     assert topk._scores(a, b).tolist() == [[2**60 + 3, 2**40 + 3 * 2**20]]
+    with pytest.raises(OverflowError):
+        topk._scores(np.array([[2**40]]), np.array([[2**30]]))
 
 
 @pytest.mark.parametrize(("url", "host", "path", "rule"), [
