@@ -34,20 +34,29 @@ def class_counts(classified: DataFrame, label: str, kind: str) -> DataFrame:
     return classified.groupBy(label).agg(F.count_if(F.col(kind) == "ISA_Component").alias("isa"), F.count_if(F.col(kind) == "Non_ISA").alias("non_isa"), F.count("*").alias("total"))
 
 
-def latency(df: DataFrame, value: str, *keys: str, quantiles: tuple[float, ...] = (0.5, 0.9, 0.95, 0.99)) -> DataFrame:
-    """min, max, mean and the values at index ``int(n * q)`` of the sorted list, without interpolation.
+def latency(df: DataFrame, value: str, *keys: str, quantiles: tuple[float, ...] = (0.5, 0.9, 0.95, 0.99), bins: int = 4096) -> DataFrame:
+    """n, min, max, mean and the values at index ``int(n * q)`` of the sorted list, without interpolation; nulls don't count.
 
-    Quantiles come from counts of distinct values (mergeable before the shuffle), not from a list of all values.
+    Two passes: equal bins between a key's least and greatest value are counted, and only the values of bins that hold a wanted
+    index are sorted, a bin a task, so a key with many rows is no hot task.
     """
     from pyspark.sql.window import Window
 
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("c"))
-    over = Window.partitionBy(*keys)
-    upto = F.sum("c").over(over.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    ranked = counts.withColumns({"upto": upto, "n": F.sum("c").over(over)})
-    at = lambda q: F.least(F.floor(F.col("n") * q), F.col("n") - 1)
-    picks = [F.min(F.when(F.col("upto") > at(q), F.col(value))).alias(f"p{round(q * 100)}") for q in quantiles]
-    return ranked.groupBy(*keys).agg(F.max("n").alias("n"), F.min(value).alias("min"), F.max(value).alias("max"), (F.sum(F.col(value) * F.col("c")) / F.max("n")).alias("mean"), *picks)
+    # structs are equal where their nulls stand in the same places, so null keys are keys like others
+    rows = df.where(F.col(value).isNotNull()).select(F.struct(*keys, F.lit(0).alias("__none")).alias("k"), F.col(value).alias("v"))
+    whole = rows.groupBy("k").agg(F.count("*").alias("n"), F.min("v").alias("min"), F.max("v").alias("max"), (F.sum("v") / F.count("*")).alias("mean"))
+    share = F.try_divide((F.col("v") - F.col("min")).cast("double"), (F.col("max") - F.col("min")).cast("double"))
+    place = F.coalesce(F.least(F.floor(share * bins), F.lit(bins - 1)), F.lit(0)).cast("int")
+    binned = rows.join(whole.select("k", "n", "min", "max"), "k").select("k", "v", "n", place.alias("bin"))
+    counted = binned.groupBy("k", "n", "bin").agg(F.count("*").alias("c"))
+    before = F.sum("c").over(Window.partitionBy("k").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)) - F.col("c")
+    wanted = F.array(*[F.struct(F.lit(f"p{round(q * 100)}").alias("q"), F.least(F.floor(F.col("n") * q), F.col("n") - 1).alias("at")) for q in quantiles])
+    held = counted.withColumn("before", before).withColumn("q", F.filter(wanted, lambda x: (x["at"] >= F.col("before")) & (x["at"] < F.col("before") + F.col("c"))))
+    values = binned.join(held.where(F.size("q") > 0).select("k", "bin", "before", "q"), ["k", "bin"]).groupBy("k", "bin", "before", "q", "v").agg(F.count("*").alias("c"))
+    upto = F.col("before") + F.sum("c").over(Window.partitionBy("k", "bin").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    reached = values.withColumn("upto", upto).select("k", "v", "upto", F.explode("q").alias("q")).where(F.col("upto") > F.col("q.at"))
+    picks = reached.groupBy("k").agg(*[F.min(F.when(F.col("q.q") == f"p{round(q * 100)}", F.col("v"))).alias(f"p{round(q * 100)}") for q in quantiles])
+    return whole.join(picks, "k").select(*[F.col(f"k.{k}").alias(k) for k in keys], "n", "min", "max", "mean", *[f"p{round(q * 100)}" for q in quantiles])
 
 
 def call_stats(results: DataFrame) -> DataFrame:

@@ -117,6 +117,17 @@ def test_union_and_samples(spark):
     assert stats.sample_exact(a, 5).count() == 1
 
 
+def test_latency_of_odd_values(spark):
+    values = {"one": [5.0], "ties": [1.0] * 7 + [2.0] * 3, None: [float(x) for x in range(1000)], "far": [*map(float, range(100)), 1e12]}
+    df = spark.createDataFrame([(k, v) for k, vs in values.items() for v in vs] + [("one", None)], "k string, v double")
+    for bins in (1, 3, 4096):
+        got = {r.k: r for r in stats.latency(df, "v", "k", bins=bins).collect()}
+        for k, vs in values.items():
+            want = [sorted(vs)[min(int(len(vs) * q), len(vs) - 1)] for q in (0.5, 0.9, 0.95, 0.99)]
+            assert [got[k].p50, got[k].p90, got[k].p95, got[k].p99] == want and (got[k].n, got[k].min, got[k].max) == (len(vs), min(vs), max(vs))
+    assert stats.latency(df.where("false"), "v", "k").count() == 0 and stats.latency(df.drop("k"), "v").first().n == sum(map(len, values.values()))
+
+
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([("Natural Sciences", "a", ["x & y", "x & y"]), ("Other", "b", ["z"])], "field string, v string, labels array<string>")
     writers.write_classes(df.drop("labels"), str(tmp_path / "c"), "field")
