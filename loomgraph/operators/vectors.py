@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomgraph.functions.taxonomy import DEFAULT_FIELD
+from loomgraph.sources.shared import ship
 
 
 def as_doubles(x: Column) -> Column:
@@ -43,16 +47,48 @@ def classify(rows: DataFrame, vector: str, classes: DataFrame, name: str, thresh
     return best.select(*rows.columns, F.col("__best.sim").alias("best_sim"), label.alias("label"))
 
 
-def routed_top_k(questions: DataFrame, triples: DataFrame, k: int = 100, own: bool = True) -> DataFrame:
+def routed_top_k(questions: DataFrame, triples: DataFrame, k: int = 100, own: bool = True, block: int = 20_000) -> DataFrame:
     """``question_id, rank, triple_id, similarity``: each question's k most similar triples of its subfields.
 
-    questions: ``question_id, q, subfields``; triples: ``triple_id, subfield, x``. A subfield without triples is skipped.
-    own: whether a triple with the question's own id counts. Ties go to later subfields of the list, then to larger triple ids. The join is on the subfield; the top k of each
-    partition are taken before the shuffle by question.
+    questions: ``question_id, q, subfields``; triples: ``triple_id, subfield, x``, all vectors of one length; rows without a vector are left out. A subfield without triples is skipped.
+    own: whether a triple with the question's own id counts. Ties go to later subfields of the list, then to larger triple ids. The triples of a
+    subfield are dealt into blocks of about ``block``; its questions go to each block, where one matrix product gives the scores and only the k best
+    go on to the shuffle by question.
     """
-    asked = questions.select("question_id", unit(as_doubles(F.col("q"))).alias("q"), F.posexplode("subfields").alias("at", "subfield"))
-    pairs = asked.join(triples.select("triple_id", "subfield", unit(as_doubles(F.col("x"))).alias("x")), "subfield")
-    pairs = pairs if own else pairs.where(F.col("question_id") != F.col("triple_id"))
-    scored = pairs.select("question_id", "at", "triple_id", dot(F.col("q"), F.col("x")).alias("similarity"))
+    ship(questions.sparkSession)
+    asked = questions.select("question_id", unit(as_doubles(F.col("q"))).alias("q"), F.posexplode("subfields").alias("at", "subfield")).where("q is not null")
+    stored = triples.select("triple_id", "subfield", unit(as_doubles(F.col("x"))).alias("x")).where("x is not null")
+    blocks = triples.groupBy("subfield").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    stored = stored.join(blocks, "subfield").select("triple_id", "x", "subfield", F.pmod(F.xxhash64("triple_id"), F.col("blocks")).cast("int").alias("block"))
+    asked = asked.join(blocks, "subfield").select("question_id", "q", "at", "subfield", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    kinds = {c: df.schema[c].dataType.simpleString() for c, df in (("question_id", questions), ("triple_id", triples))}
+
+    def matrix(column: pa.ChunkedArray) -> np.ndarray:
+        column = column.combine_chunks()
+        return np.asarray(column.flatten(), np.float64).reshape(len(column), -1)
+
+    def best(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = []
+        if len(left) and len(right):
+            right = right.take(pc.sort_indices(right, sort_keys=[("triple_id", "descending")]))
+            x = matrix(right.column("x"))
+            for a in range(0, len(left), 512):
+                part = left.slice(a, 512)
+                sims = matrix(part.column("q")) @ x.T
+                if not own:
+                    same = {v: j for j, v in enumerate(right.column("triple_id").to_pylist())}
+                    for i, v in enumerate(part.column("question_id").to_pylist()):
+                        if v in same:
+                            sims[i, same[v]] = -np.inf
+                top = np.argsort(-sims, axis=1, kind="stable")[:, :k]
+                rows, cols = np.repeat(np.arange(len(part)), top.shape[1]), top.ravel()
+                found = sims[rows, cols]
+                keep = found > -np.inf
+                out.append(pa.table({"question_id": part.column("question_id").take(pa.array(rows[keep])), "at": part.column("at").take(pa.array(rows[keep])), "triple_id": right.column("triple_id").take(pa.array(cols[keep])), "similarity": found[keep]}))
+        if out:
+            return pa.concat_tables(out)
+        return pa.table({"question_id": left.column("question_id").slice(0, 0), "at": left.column("at").slice(0, 0), "triple_id": right.column("triple_id").slice(0, 0), "similarity": pa.array([], pa.float64())})
+
+    scored = asked.groupBy("subfield", "block").cogroup(stored.groupBy("subfield", "block")).applyInArrow(best, f"question_id {kinds['question_id']}, at int, triple_id {kinds['triple_id']}, similarity double")
     rank = F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("similarity"), F.desc("at"), F.desc("triple_id")))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("question_id", "rank", "triple_id", "similarity")
