@@ -138,7 +138,8 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
 def predict(docs: DataFrame, model: LanguageFilters, text_col: str = "text", pred_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
     """All rows and columns plus the language and a score between 0 and 1.
 
-    A null text or one without a letter gets ``und`` and 0. Columns named as the results are replaced.
+    A null text or one without a letter gets ``und`` and 0. Columns named as the results are replaced. Texts of any length are judged whole; null ids
+    and repeated rows are rows like others; languages that tie go to the first by code point; an empty table gives no rows.
     """
     spark = docs.sparkSession
     ship(spark)
