@@ -226,9 +226,8 @@ def near(a: Column, b: Column) -> Column:
 
 
 def _alike(a: str, b: str) -> Column:
-    """Whether structs a and b (n, parity) may link by what their lengths and parity say; verification has the pair's own edits."""
-    longest = F.greatest(F.col(f"{a}.n"), F.col(f"{b}.n"))
-    most = F.greatest(edits_of(longest, CHAR_EDITS), edits_of(longest, WORD_EDITS))
+    """Whether structs a and b (n, tau, parity) may link by what their lengths and parities say; a pair has the shorter one's edits, which are the fewer."""
+    most = F.least(F.col(f"{a}.tau"), F.col(f"{b}.tau"))
     return (F.abs(F.col(f"{a}.n") - F.col(f"{b}.n")) <= most) & (_apart(a, b) <= 2 * most)
 
 
@@ -267,10 +266,10 @@ def edit_links(at: DataFrame, lines: DataFrame) -> DataFrame:
     found = shared_keys(once.unionByName(copied))
     ends = cut(found.select("h1").distinct(), "line-ends")
     texts = cut(at.where(_members(ends)(F.col("h1"))).join(ends, "h1", "left_semi").groupBy("h1").agg(F.min("line").alias("line")), "line-texts")
-    sketch = lambda units: _let(units, lambda u: F.struct(F.size(u).alias("n"), _parity(u).alias("parity")))
-    sketches = texts.select("h1", sketch(chars(F.col("line"))).alias("c"), sketch(words(F.col("line"))).alias("w"))
+    sketch = lambda units, bands: _let(units, lambda u: F.struct(F.size(u).alias("n"), edits_of(F.size(u), bands).alias("tau"), _parity(u).alias("parity")))
+    sketches = texts.select("h1", sketch(chars(F.col("line")), CHAR_EDITS).alias("c"), sketch(words(F.col("line")), WORD_EDITS).alias("w"))
     x = F.when(F.col("role").bitwiseAND(F.lit(2).cast("byte")) == 0, F.col("c")).otherwise(F.col("w"))
-    x = F.struct(x["n"].alias("n"), x["parity"].alias("parity"), (F.col("role").bitwiseAND(F.lit(1).cast("byte")) == 1).alias("own"))
+    x = F.struct(x["n"].alias("n"), x["tau"].alias("tau"), x["parity"].alias("parity"), (F.col("role").bitwiseAND(F.lit(1).cast("byte")) == 1).alias("own"))
     keys = cut(found.join(sketches, "h1").select("key", "h1", x.alias("x")), "line-keys")
     drop(found)
     a, b = (texts.select(F.col("h1").alias(c), F.col("line").alias(f"l{c}")) for c in "ab")
