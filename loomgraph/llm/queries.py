@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from loomgraph.llm import bpe, hnsw, langid, linededup, mixing, simhash, tokencount, topk, urlfilter, warc
+from loomgraph.llm import bpe, conversations, hnsw, langid, linededup, mixing, oracles, simhash, tokencount, topk, urlfilter, warc
 
 WORD_BPE = "word_bpe_49k.json"
 
@@ -69,6 +70,16 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conv_id, gaps, blank, duplicate, truncated, illegal, cost, audit, repaired_sha256."""
+    rows = table(spark, sf_dir, "conversations")
+    fixed = conversations.repair(conversations.damage(rows), "conv")
+    found = fixed.summary.join(conversations.digests(fixed.turns, "conv").withColumnRenamed("conv", "c"), F.col("conv").eqNullSafe(F.col("c")), "left").drop("c")
+    out = rows.select("conv_id").distinct().join(found, F.col("conv_id").eqNullSafe(F.col("conv")), "left")
+    numbers = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return out.select("conv_id", *numbers, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
 #: The rules of the URL query: (host, path, allow).
 URL_RULES = [
     urlfilter.Rule("org", "/", True),
@@ -80,7 +91,7 @@ URL_RULES = [
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_warc, op2_bpe, op3_language_id, op4_simhash, op5_line_dedup, op6_embedding_dedup, op7_top_k, op8_url_filter, op9_token_counts, op10_mixing)
+    for f in (op1_warc, op2_bpe, op3_language_id, op4_simhash, op5_line_dedup, op6_embedding_dedup, op7_top_k, op8_url_filter, op9_token_counts, op10_mixing, op13_conversation_repair)
 }
 
 ORACLE_SQL = {
@@ -105,4 +116,5 @@ ORACLE_SQL = {
               FROM v q JOIN v d ON q.vec_id % 100 = 0 AND q.vec_id <> d.vec_id),
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
         SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 10""",
+    "op13_conversation_repair": oracles.CONVERSATION_REPAIR,
 }
