@@ -62,3 +62,17 @@ CONVERSATION_REPAIR = f"""
     z AS (SELECT conv_id, least(s0, {WITH_ASSISTANT}) AS best FROM w QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY pos DESC) = 1)
     SELECT z.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, best.c AS cost, best.a AS audit, sha256(best.t[2:]) AS repaired_sha256
     FROM z LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM z.conv_id"""
+
+
+_FEATURES = r"""{name}_w AS (SELECT {key} AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{{80}}-\x{{10FFFF}}]+') AS w FROM {name}),
+    {name}_f AS (SELECT id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM {name}_w)"""
+IMPORTANCE = f"""
+    WITH {_FEATURES.format(name='documents', key='doc_id')}, {_FEATURES.format(name='benchmark', key='item_id')},
+    names AS (SELECT f, {crc32('f')} % 10000 AS bucket FROM (SELECT f FROM documents_f UNION SELECT f FROM benchmark_f)),
+    c AS (SELECT bucket, count(*) AS s FROM documents_f JOIN names USING (f) GROUP BY bucket), b AS (SELECT bucket, count(*) AS t FROM benchmark_f JOIN names USING (f) GROUP BY bucket),
+    g AS (SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT sum(s) FROM c) + 10000)::DOUBLE / ((s + 1)::DOUBLE * ((SELECT sum(t) FROM b) + 10000)::DOUBLE)))::BIGINT AS gain FROM c LEFT JOIN b USING (bucket)),
+    m AS (SELECT id, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight FROM documents_f JOIN names USING (f) JOIN g USING (bucket) GROUP BY id),
+    d AS (SELECT id AS doc_id, len(w) + greatest(len(w) - 1, 0) AS n_features, len(w) >= 20 AS fit, coalesce(weight, 0) AS weight, ('0x' || sha256('7:' || id)[1:8])::BIGINT AS h FROM documents_w LEFT JOIN m USING (id)),
+    x AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM d),
+    r AS (SELECT *, row_number() OVER (PARTITION BY fit ORDER BY score DESC, doc_id) AS place FROM x)
+    SELECT doc_id, n_features::BIGINT AS n_features, weight, score, CASE WHEN fit AND place <= (SELECT 25 * count(*) // 100 FROM d WHERE fit) THEN place END AS rank FROM r"""

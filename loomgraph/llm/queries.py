@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import bpe, conversations, hnsw, langid, linededup, mixing, oracles, simhash, tokencount, topk, urlfilter, warc
+from loomgraph.llm import bpe, conversations, hnsw, importance, langid, linededup, mixing, oracles, simhash, tokencount, topk, urlfilter, warc
+from loomgraph.sources.shared import cut
 
 WORD_BPE = "word_bpe_49k.json"
 
@@ -70,6 +71,12 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_features, weight, score, rank."""
+    weighed = importance.weigh(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return importance.draw(cut(weighed, "weighed")).select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """conv_id, gaps, blank, duplicate, truncated, illegal, cost, audit, repaired_sha256."""
     rows = table(spark, sf_dir, "conversations")
@@ -91,7 +98,7 @@ URL_RULES = [
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_warc, op2_bpe, op3_language_id, op4_simhash, op5_line_dedup, op6_embedding_dedup, op7_top_k, op8_url_filter, op9_token_counts, op10_mixing, op13_conversation_repair)
+    for f in (op1_warc, op2_bpe, op3_language_id, op4_simhash, op5_line_dedup, op6_embedding_dedup, op7_top_k, op8_url_filter, op9_token_counts, op10_mixing, op12_importance, op13_conversation_repair)
 }
 
 ORACLE_SQL = {
@@ -116,5 +123,6 @@ ORACLE_SQL = {
               FROM v q JOIN v d ON q.vec_id % 100 = 0 AND q.vec_id <> d.vec_id),
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
         SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 10""",
+    "op12_importance": oracles.IMPORTANCE,
     "op13_conversation_repair": oracles.CONVERSATION_REPAIR,
 }
