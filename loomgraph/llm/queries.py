@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import bpe, conversations, hnsw, importance, langid, linededup, mixing, oracles, simhash, tokencount, topk, urlfilter, warc
+from loomgraph.llm import bpe, conversations, hnsw, importance, langid, linededup, mixing, oracles, simhash, suffixtree, tokencount, topk, urlfilter, warc
 from loomgraph.sources.shared import cut
 
 WORD_BPE = "word_bpe_49k.json"
@@ -71,6 +71,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, n_contexts, train_tokens, base_score, score."""
+    return suffixtree.score(table(spark, sf_dir, "documents"))
+
+
 def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_features, weight, score, rank."""
     weighed = importance.weigh(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -98,7 +103,7 @@ URL_RULES = [
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_warc, op2_bpe, op3_language_id, op4_simhash, op5_line_dedup, op6_embedding_dedup, op7_top_k, op8_url_filter, op9_token_counts, op10_mixing, op12_importance, op13_conversation_repair)
+    for f in (op1_warc, op2_bpe, op3_language_id, op4_simhash, op5_line_dedup, op6_embedding_dedup, op7_top_k, op8_url_filter, op9_token_counts, op10_mixing, op11_suffix_tree, op12_importance, op13_conversation_repair)
 }
 
 ORACLE_SQL = {
