@@ -8,6 +8,7 @@ at most, and both the size of a block and the number of keys of a shard are para
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -186,8 +187,8 @@ ASKED = "kind int, shard long, block long, keys binary, counts binary"
 
 def asked(kind: int, block: int, shards: np.ndarray, keys: Callable[[int, int], bytes], counts: np.ndarray) -> Iterator[dict]:
     """A row for each shard that some of a block's keys belong to; shards: of each key, ascending."""
-    marks = np.flatnonzero(np.diff(shards, prepend=-1)) if len(shards) else np.zeros(0, np.int64)
-    for a, b in zip(marks, [*marks[1:], len(shards)], strict=True):
+    marks = np.flatnonzero(np.diff(shards, prepend=-1, append=-1)) if len(shards) else []
+    for a, b in itertools.pairwise(marks):
         yield {"kind": kind, "shard": int(shards[a]), "block": block, "keys": keys(int(a), int(b)), "counts": pack(counts[a:b].astype(np.int64))}
 
 
