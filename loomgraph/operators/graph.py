@@ -63,7 +63,7 @@ def component_index(edges: DataFrame, labels: DataFrame) -> DataFrame:
 def connectivity(triples: DataFrame, key: str) -> DataFrame:
     """A row for each value of ``key``: triples, nodes, distinct undirected edges, components, rate, largest, buckets.
 
-    triples counts repeats; rate is (triples - components) / triples, 0 without triples. Triples with a null part are left out.
+    triples counts repeats; rate is (triples - components) / triples, 0 without triples. Triples with a null part are left out; a value that has no others keeps its row, of zeros.
     """
     whole = triples.dropna(subset=["head", "relation", "tail"])
     sizes = components(whole, key).groupBy(key, "component").agg(F.count("*").alias("n"))
@@ -74,7 +74,8 @@ def connectivity(triples: DataFrame, key: str) -> DataFrame:
     edges = whole.select(key, F.least("head", "tail").alias("a"), F.greatest("head", "tail").alias("b")).distinct().groupBy(key).agg(F.count("*").alias("edges"))
     total = whole.groupBy(key).agg(F.count("*").alias("triples"))
     rate = F.coalesce(F.try_divide((F.col("triples") - F.col("components")).cast("double"), F.col("triples").cast("double")), F.lit(0.0))
-    return total.join(counted, key).join(edges, key).withColumn("connectivity_rate", rate)
+    found = triples.select(key).distinct().join(total, key, "left").join(counted, key, "left").join(edges, key, "left")
+    return found.fillna(0, [c for c in found.columns if c != key]).withColumn("connectivity_rate", rate)
 
 
 def connectivity_summary(per_domain: DataFrame) -> DataFrame:

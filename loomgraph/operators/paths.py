@@ -5,15 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.functions.text import strip
+
 
 def bounded_paths(triples: DataFrame, key: str, depth: int = 4, inner: int = 3) -> DataFrame:
     """``key, path`` for simple paths of each key's graph, rendered ``a->b->c``.
 
     Paths start at nodes without edges in, or at all heads when a graph has none. A path of one edge
     or more is given when its end has no edge out, or when it has at least ``inner`` edges; none is longer than ``depth``
-    edges. Each step is one equi-join of the frontier with the distinct edges.
+    edges. Names are stripped, and edges with a blank or null end count for nothing. Each step is one equi-join of the frontier with the distinct edges.
     """
-    edges = triples.where("head != '' and tail != ''").select(key, "head", "tail").distinct()
+    edges = triples.select(key, strip(F.col("head")).alias("head"), strip(F.col("tail")).alias("tail")).where("head != '' and tail != ''").distinct()
     heads = edges.select(key, F.col("head").alias("node")).distinct()
     tails = edges.select(key, F.col("tail").alias("node")).distinct()
     sources = heads.join(tails, [key, "node"], "left_anti")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from loomgraph.functions.render import bind
 from loomgraph.functions.taxonomy import DEFAULT_FIELD
 from loomgraph.sources.shared import ship
 
@@ -22,9 +23,11 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def unit(x: Column) -> Column:
-    """A vector of length 1; a zero vector stays as it is, so that its cosine with anything is 0. Normalise once, before a join."""
-    length = F.sqrt(dot(x, x))
-    return F.when(length > 0, F.transform(x, lambda v: v / length)).otherwise(x)
+    """A vector of length 1; a zero vector stays as it is, so that its cosine with anything is 0. Normalise once, before a join.
+
+    The length is bound to a lambda's variable: the optimiser would otherwise compute it anew for each component.
+    """
+    return bind(F.named_struct(F.lit("x"), x, F.lit("n"), F.sqrt(dot(x, x))), lambda s: F.when(s["n"] > 0, F.transform(s["x"], lambda v: v / s["n"])).otherwise(s["x"]))
 
 
 def prototypes(vectors: DataFrame, keys: list[str], vector: str) -> DataFrame:
@@ -33,18 +36,80 @@ def prototypes(vectors: DataFrame, keys: list[str], vector: str) -> DataFrame:
     return means.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda x: x["m"]).alias("prototype"))
 
 
+def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Vectors of one length as the rows of a matrix of doubles."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return np.asarray(column.flatten(), np.float64).reshape(len(column), -1)
+
+
+class Prototypes:
+    """Classes of a fixed taxonomy by key: names in order and their vectors as a matrix; of equal vectors the first counts, as ties go to it."""
+
+    def __init__(self, rows: list[tuple], most: int = 10_000):
+        if len(rows) > most:
+            raise ValueError(f"{len(rows)} classes: more than a taxonomy of {most}")
+        self.names: dict = {}
+        self.units: dict = {}
+        for key, _, name, vector in sorted(rows, key=lambda r: (str(r[0]), r[1], str(r[2]))):
+            if vector is not None:
+                names, seen = self.names.setdefault(key, []), self.units.setdefault(key, [])
+                x = np.asarray(vector, np.float64)
+                length = np.sqrt(x @ x)
+                x = x / length if length > 0 else x
+                if not any(np.array_equal(x, y) for y in seen):
+                    names.append(name)
+                    seen.append(x)
+
+    def nearest(self, key: object, vectors: pa.Array) -> tuple[np.ndarray, list[str | None]]:
+        """(similarity, class) of each vector; NaN and None for one that is null or has another length than the classes."""
+        sims, labels = np.full(len(vectors), np.nan), [None] * len(vectors)
+        names = self.names.get(key)
+        if names:
+            classes = np.stack(self.units[key])
+            fit = np.flatnonzero(pc.fill_null(pc.equal(pc.list_value_length(vectors), classes.shape[1]), False).to_numpy(zero_copy_only=False))
+            if len(fit):
+                x = matrix(vectors.take(pa.array(fit)))
+                length = np.sqrt(np.einsum("ij,ij->i", x, x))
+                scores = (x / np.where(length > 0, length, 1.0)[:, None]) @ classes.T
+                best = np.argmax(scores, axis=1)
+                sims[fit] = scores[np.arange(len(fit)), best]
+                for i, b in zip(fit, best, strict=True):
+                    labels[i] = names[b]
+        return sims, labels
+
+
+def _nearest(rows: DataFrame, vector: str, key: Column, table: Prototypes, threshold: float, default: str) -> DataFrame:
+    ship(rows.sparkSession)
+
+    @F.arrow_udf("struct<sim:double,c:string>")
+    def best(vectors: pa.Array, keys: pa.Array) -> pa.Array:
+        sims, labels = np.full(len(vectors), np.nan), np.full(len(vectors), None, object)
+        listed = np.array(keys.to_pylist(), object)
+        for k in set(listed.tolist()):
+            at = np.flatnonzero(listed == k)
+            sims[at], labels[at] = table.nearest(k, vectors.take(pa.array(at)))
+        return pa.StructArray.from_arrays([pa.array(sims, from_pandas=True), pa.array(labels.tolist(), pa.string())], names=["sim", "c"])
+
+    scored = rows.withColumn("__best", best(as_doubles(F.col(vector)), key))
+    label = F.when(F.col("__best.sim") >= threshold, F.col("__best.c")).otherwise(F.lit(default))
+    return scored.select(*rows.columns, F.col("__best.sim").alias("best_sim"), label.alias("label"))
+
+
 def classify(rows: DataFrame, vector: str, classes: DataFrame, name: str, threshold: float = 0.0, default: str = DEFAULT_FIELD) -> DataFrame:
     """Rows with ``best_sim`` and ``label``: the class of the most similar prototype, ties to the smaller ``ord``.
 
-    Below the threshold the label is ``default``. classes: ``name, ord, prototype`` with one row for each class of a fixed
-    taxonomy; they are folded into one array of a single row, so no row of ``rows`` is multiplied.
+    Below the threshold, and for a null vector or one of another length, the label is ``default``. classes: ``name, ord, prototype`` with one row for each class of a fixed
+    taxonomy (at most 10,000, checked); a batch of rows is scored by one matrix product, and no row of ``rows`` is multiplied or moved.
     """
-    table = classes.select(F.struct(F.col("ord").alias("o"), F.col(name).cast("string").alias("c"), unit(F.col("prototype")).alias("p")).alias("x")).agg(F.array_sort(F.collect_list("x")).alias("__classes"))
-    scored = rows.withColumn("__u", unit(as_doubles(F.col(vector)))).join(F.broadcast(table))
-    sims = F.transform("__classes", lambda x: F.struct(dot(x["p"], F.col("__u")).alias("sim"), (-x["o"]).alias("o"), x["c"].alias("c")))
-    best = scored.withColumn("__best", F.array_max(sims))
-    label = F.when(F.col("__best.sim") >= threshold, F.col("__best.c")).otherwise(F.lit(default))
-    return best.select(*rows.columns, F.col("__best.sim").alias("best_sim"), label.alias("label"))
+    table = Prototypes([("", r[0], r[1], r[2]) for r in classes.select("ord", F.col(name).cast("string"), as_doubles(F.col("prototype"))).collect()])
+    return _nearest(rows, vector, F.lit(""), table, threshold, default)
+
+
+def classify_within(rows: DataFrame, vector: str, key: str, classes: DataFrame, name: str, threshold: float = 0.0, default: str = "other") -> DataFrame:
+    """The same by the classes ``key, name, ord, prototype`` of each row's own key; rows whose key has no class are left out."""
+    listed = classes.select(F.col(key).cast("string"), "ord", F.col(name).cast("string"), as_doubles(F.col("prototype"))).collect()
+    table = Prototypes([tuple(r) for r in listed if r[0] is not None])
+    return _nearest(rows.where(F.col(key).cast("string").isin(list(table.names))), vector, F.col(key).cast("string"), table, threshold, default)
 
 
 def routed_top_k(questions: DataFrame, triples: DataFrame, k: int = 100, own: bool = True, block: int = 20_000) -> DataFrame:
@@ -63,10 +128,6 @@ def routed_top_k(questions: DataFrame, triples: DataFrame, k: int = 100, own: bo
     asked = asked.join(blocks, "subfield").select("question_id", "q", "at", "subfield", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
     kinds = {c: df.schema[c].dataType.simpleString() for c, df in (("question_id", questions), ("triple_id", triples))}
 
-    def matrix(column: pa.ChunkedArray) -> np.ndarray:
-        column = column.combine_chunks()
-        return np.asarray(column.flatten(), np.float64).reshape(len(column), -1)
-
     def best(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
         if len(left) and len(right):

@@ -49,14 +49,9 @@ def classify_triples(triples: DataFrame, classes: DataFrame, threshold: float =
 def sub_classify(rows: DataFrame, classes: DataFrame, key: str, threshold: float = 0.0, vector: str = "vec", default: str = "other") -> DataFrame:
     """Rows of those values of ``key`` that have prototypes, with ``best_sim, label``: the most similar class of the row's own value.
 
-    classes: ``key, name, ord, prototype``, a fixed taxonomy; each value's are folded into one row, so rows are never multiplied.
+    classes: ``key, name, ord, prototype``, a fixed taxonomy, whose vectors every task gets; rows are neither multiplied nor moved.
     """
-    entry = F.struct(F.col("ord").alias("o"), F.col("name").cast("string").alias("c"), vectors.unit(F.col("prototype")).alias("p"))
-    table = classes.groupBy(key).agg(F.array_sort(F.collect_list(entry)).alias("__classes"))
-    scored = rows.withColumn("__u", vectors.unit(vectors.as_doubles(F.col(vector)))).join(table, key)
-    sims = F.transform("__classes", lambda x: F.struct(vectors.dot(x["p"], F.col("__u")).alias("sim"), (-x["o"]).alias("o"), x["c"].alias("c")))
-    best = scored.withColumn("__best", F.array_max(sims))
-    return best.select(*rows.columns, F.col("__best.sim").alias("best_sim"), F.when(F.col("__best.sim") >= threshold, F.col("__best.c")).otherwise(F.lit(default)).alias("label"))
+    return vectors.classify_within(rows, vector, key, classes, "name", threshold, default)
 
 
 def merge_folder(spark: SparkSession, base: str) -> DataFrame:

@@ -78,7 +78,8 @@ CONNECT = f"""{CC}, sizes AS (SELECT domain, component, count(*) AS n FROM cc GR
         count(*) FILTER (n BETWEEN 100 AND 999) AS medium, count(*) FILTER (n BETWEEN 10 AND 99) AS small, count(*) FILTER (n < 10) AS tiny FROM sizes GROUP BY domain),
     edges AS (SELECT domain, count(*) AS edges FROM (SELECT DISTINCT domain, least(head, tail), greatest(head, tail) FROM kg) GROUP BY domain),
     total AS (SELECT domain, count(*) AS triples FROM kg GROUP BY domain),
-    joined AS (SELECT *, (triples - components) / triples::DOUBLE AS connectivity_rate FROM total JOIN counted USING (domain) JOIN edges USING (domain))"""
+    joined AS (SELECT *, (triples - components) / triples::DOUBLE AS connectivity_rate FROM total JOIN counted USING (domain) JOIN edges USING (domain)
+        UNION ALL BY NAME SELECT 'void' AS domain, 0 AS triples, 0 AS components, 0 AS nodes, 0 AS largest_component, 0 AS large, 0 AS medium, 0 AS small, 0 AS tiny, 0 AS edges, 0.0 AS connectivity_rate)"""
 
 SAMPLE_LINES = """li AS (SELECT l_orderkey AS id, l_linenumber AS n, l_linenumber % 3 AS m,
         'e' || ((l_orderkey + l_linenumber * 3) % 7) AS head,
@@ -170,10 +171,9 @@ ORACLE_SQL = {
         SELECT domain, node, sum(i)::BIGINT AS in_degree, sum(o)::BIGINT AS out_degree FROM u GROUP BY ALL""",
     "kg_merge_union": f"WITH {KG} SELECT head, relation, tail, CASE WHEN domain <> 'customer' THEN pos END AS pos, domain AS source_file FROM kg",
     "kg_class_counts": f"WITH {KG} SELECT {_sub('pos')} AS label, count(*) FILTER ({ISA}) AS isa, count(*) FILTER (NOT {ISA}) AS non_isa, count(*) AS total FROM kg GROUP BY 1",
-    "kg_component_classify": f"""WITH {KG}, {VEC}, {PROTO}, g AS (SELECT *, min(head) OVER (PARTITION BY domain, tail) AS mh FROM kg WHERE domain IN ('geo', 'brand')),
-        c AS (SELECT domain, tail, least(min(head), tail) AS component, arg_min(head, pos) AS head, count(*) AS edges FROM g GROUP BY domain, tail),
-        n AS (SELECT *, (split_part(head, '#', 2)::BIGINT + CASE WHEN domain = 'geo' THEN 0 ELSE 25 END) % (SELECT count(*) FROM embeddings) AS vec_id FROM c),
-        s AS (SELECT component, edges, cl.label, list_cosine_similarity(v.vec, cl.p) AS sim, row_number() OVER (PARTITION BY component ORDER BY list_cosine_similarity(v.vec, cl.p) DESC, cl.label) AS rn FROM n JOIN v USING (vec_id), cl)
+    "kg_component_classify": f"""WITH RECURSIVE {CC}, {VEC}, {PROTO}, i AS (SELECT k.domain, component, head, tail, pos FROM kg k JOIN cc ON cc.domain = k.domain AND cc.node = k.head),
+        c AS (SELECT domain || ':' || component AS component, arg_min(length(domain || head) * 31 + length(domain || tail) * 7 + 38, pos) % (SELECT count(*) FROM embeddings) AS vec_id, count(*) AS edges FROM i GROUP BY ALL),
+        s AS (SELECT component, edges, cl.label, list_cosine_similarity(v.vec, cl.p) AS sim, row_number() OVER (PARTITION BY component ORDER BY list_cosine_similarity(v.vec, cl.p) DESC, cl.label) AS rn FROM c JOIN v USING (vec_id), cl)
         SELECT component, CASE WHEN sim >= 0 THEN 'class' || label ELSE 'Other' END AS label, edges FROM s WHERE rn = 1""",
     "kg_paths_bounded": f"WITH RECURSIVE {PATHS} SELECT * FROM out",
     "render_nodesequence": f"WITH RECURSIVE {PATHS} SELECT ids.id, coalesce(string_agg(path, chr(10) ORDER BY path), '') AS text FROM ids LEFT JOIN out USING (id) GROUP BY ids.id",

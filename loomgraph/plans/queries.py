@@ -119,14 +119,20 @@ def kg_size_histogram(spark, sf_dir):
     return sizes.groupBy("domain", graph.size_bucket(F.col("n"), labelled=True).alias("bucket")).agg(F.count("*").alias("components"), F.sum("n").alias("nodes"))
 
 
+def _with_void(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The graph and a domain that has no complete triple."""
+    void = views.table(spark, sf_dir, "region").select(F.lit("void").alias("domain"), F.col("r_name").alias("head"), F.lit("isA").alias("relation"), F.lit(None).cast("string").alias("tail"), F.col("r_regionkey").cast("long").alias("pos"))
+    return views.kg(spark, sf_dir).unionByName(void)
+
+
 @query
 def kg_connectivity_by_domain(spark, sf_dir):
-    return _rounded(graph.connectivity(views.kg(spark, sf_dir), "domain"), "connectivity_rate")
+    return _rounded(graph.connectivity(_with_void(spark, sf_dir), "domain"), "connectivity_rate")
 
 
 @query
 def kg_connectivity_summary(spark, sf_dir):
-    return _rounded(graph.connectivity_summary(graph.connectivity(views.kg(spark, sf_dir), "domain")), "mean_rate")
+    return _rounded(graph.connectivity_summary(graph.connectivity(_with_void(spark, sf_dir), "domain")), "mean_rate")
 
 
 @query
@@ -170,14 +176,14 @@ def kg_class_counts(spark, sf_dir):
 
 @query
 def kg_component_classify(spark, sf_dir):
-    """The first edge of a component is classified; the class holds for all its edges."""
-    triples = views.kg(spark, sf_dir, "geo", "brand").drop("domain")
+    """The first edge of a component is classified; the class holds for all its edges. Domains are graphs of their own."""
+    own = lambda c: F.concat_ws(":", "domain", c)
+    triples = views.kg(spark, sf_dir).withColumns({"head": own("head"), "tail": own("tail")}).drop("domain")
     labels = graph.components(triples)
     first = graph.representative_edges(triples, labels)
     embedded = views.vec(spark, sf_dir)
     classes = vectors.prototypes(embedded, ["label"], "vec").select(F.concat(F.lit("class"), F.col("label")).alias("name"), F.col("label").alias("ord"), "prototype")
-    size = embedded.count()
-    number = F.when(F.col("tail").startswith("region#"), F.substring_index("head", "#", -1).cast("long")).otherwise(F.substring_index("head", "#", -1).cast("long") + 25) % size
+    number = (F.length("head") * 31 + F.length("tail") * 7) % embedded.count()
     placed = first.withColumn("vec_id", number).join(embedded.select("vec_id", "vec"), "vec_id")
     chosen = vectors.classify(placed, "vec", classes, "name").select("component", F.col("label"))
     inside = triples.join(labels, F.col("head") == F.col("node")).join(chosen, "component")
@@ -186,8 +192,11 @@ def kg_component_classify(spark, sf_dir):
 
 @query
 def kg_paths_bounded(spark, sf_dir):
-    flat = views.samples(spark, sf_dir).select("id", F.explode(F.concat("related", "hierarchical", "enriched")).alias("t")).select("id", "t.*")
-    return paths.bounded_paths(flat, "id")
+    """Some names stand between blanks, and each graph has an edge without a head."""
+    flat = views.samples(spark, sf_dir).select("id", F.posexplode(F.concat("related", "hierarchical", "enriched")).alias("i", "t")).select("id", "i", "t.*")
+    padded = flat.withColumns({"head": F.when(F.col("i") % 2 == 0, F.concat(F.lit(" "), "head", F.lit("\t"))).otherwise(F.col("head")), "tail": F.when(F.col("i") % 3 == 0, F.concat("tail", F.lit("\u3000"))).otherwise(F.col("tail"))})
+    blank = flat.where("i = 0").withColumn("head", F.lit("  "))
+    return paths.bounded_paths(padded.unionByName(blank), "id")
 
 
 @query

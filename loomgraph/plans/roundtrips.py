@@ -75,19 +75,22 @@ def scan_subfields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.load_subfield_triples(spark, base, rest[0])
 
 
-@query("SELECT 'subject=' || o_orderpriority AS subject, o_orderkey AS id, 'q' || o_orderkey AS question, CASE WHEN o_orderkey % 2 = 0 THEN 'x' END AS \"A\", NULL::VARCHAR AS \"H\" FROM orders")
+@query("SELECT o_orderpriority || ' 50%+x' AS subject, o_orderkey AS id, 'q' || o_orderkey AS question, CASE WHEN o_orderkey % 2 = 0 THEN 'x' END AS \"A\", NULL::VARCHAR AS \"H\" FROM orders")
 def scan_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Folders of subjects in one scan; options that no file has are null."""
+    """Folders of subjects, their names with blanks and signs, in one scan; options that no file has are null."""
     path, k = new_dir(spark, "subjects"), F.col("o_orderkey")
-    writers.write_subjects(views.table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("subject"), k.alias("id"), F.concat(F.lit("q"), k.cast("string")).alias("question"), F.when(k % 2 == 0, "x").alias("A")), path)
-    return readers.read_questions(spark, path, "*.parquet").select(F.regexp_replace("subject", "%20", " ").alias("subject"), "id", "question", "A", "H")
+    writers.write_subjects(views.table(spark, sf_dir, "orders").select(F.concat("o_orderpriority", F.lit(" 50%+x")).alias("subject"), k.alias("id"), F.concat(F.lit("q"), k.cast("string")).alias("question"), F.when(k % 2 == 0, "x").alias("A")), path)
+    return readers.read_questions(spark, path, "*.parquet").select("subject", "id", "question", "A", "H")
 
 
-@query("SELECT o_orderkey AS id, o_orderpriority AS dataset FROM orders")
+@query("SELECT o_orderkey AS id, o_orderpriority AS dataset FROM orders UNION ALL SELECT n_nationkey, n_name FROM nation")
 def scan_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = new_dir(spark, "json")
-    writers.as_json(views.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("dataset")), "value").write.text(path)
-    return spark.read.schema("id bigint, dataset string").json(path)
+    """One object a line, and a whole file that is a list of objects."""
+    path, schema = new_dir(spark, "json"), "id bigint, dataset string"
+    writers.as_json(views.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("dataset")), "value").write.text(f"{path}/lines")
+    nations = views.table(spark, sf_dir, "nation").select(F.struct(F.col("n_nationkey").alias("id"), F.col("n_name").alias("dataset")).alias("x"))
+    nations.agg(F.to_json(F.collect_list("x")).alias("value")).write.text(f"{path}/list")
+    return readers.read_json(spark, f"{path}/lines", schema, lines=True).unionByName(readers.read_json(spark, f"{path}/list", schema))
 
 
 STORE_SQL = f"""{CC}, whole AS (SELECT domain || ':' || component AS component, domain || ':' || node AS node FROM cc), n AS (SELECT component, count(*) AS node_count FROM whole GROUP BY 1),
@@ -97,13 +100,13 @@ STORE_SQL = f"""{CC}, whole AS (SELECT domain || ':' || component AS component,
 
 def _store(spark: SparkSession, sf_dir: str) -> str:
     own = lambda c: F.concat_ws(":", "domain", c)
-    triples = views.kg(spark, sf_dir).where("domain != 'supply'").withColumns({"head": own("head"), "tail": own("tail")})
+    triples = views.kg(spark, sf_dir).withColumns({"head": own("head"), "tail": own("tail")})
     edges, labels, path = graph.simple_digraph(triples), graph.components(triples), new_dir(spark, "store")
     writers.write_components(edges, labels, graph.component_index(edges, labels), path)
     return path
 
 
-@query(f"WITH RECURSIVE {STORE_SQL} SELECT * FROM s WHERE component NOT LIKE 'supply:%'")
+@query(f"WITH RECURSIVE {STORE_SQL} SELECT * FROM s")
 def component_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges written by size group and read again, each group by its partition."""
     path = f"{_store(spark, sf_dir)}/components"
@@ -111,7 +114,7 @@ def component_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.union_all(dict(zip("lmst", parts, strict=True))).drop("source_file").select("src", "dst", "relation", "component", "size_group")
 
 
-@query(f"WITH RECURSIVE {STORE_SQL} SELECT src, dst, relation FROM s WHERE component = (SELECT min(component) FROM s WHERE component NOT LIKE 'supply:%')")
+@query(f"WITH RECURSIVE {STORE_SQL} SELECT src, dst, relation FROM s WHERE component = (SELECT min(component) FROM s)")
 def component_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One component, rebuilt from the store by its name."""
     path = _store(spark, sf_dir)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
@@ -39,8 +41,12 @@ def listing(spark: SparkSession, path: str, suffix: str = "", recursive: bool =
 
 
 def subjects(spark: SparkSession, path: str) -> list[str]:
-    """Names of the sub-folders, sorted; each is a subject or a domain."""
-    return [f.rsplit("/", 1)[1] for f in listing(spark, path, folders=True)]
+    """Names of the sub-folders, sorted; each is a subject or a domain. A folder ``subject=name``, as a sink writes it, is named by its value."""
+    return sorted(_subject(f.rsplit("/", 1)[1]) for f in listing(spark, path, folders=True))
+
+
+def _subject(folder: str) -> str:
+    return unquote(folder.removeprefix("subject=")) if folder.startswith("subject=") else folder
 
 
 def domains_with_prototypes(spark: SparkSession, data: str, prototypes: str) -> list[str]:
@@ -119,14 +125,15 @@ def load_subfield_triples(spark: SparkSession, base: str, other: str | None = No
 
 
 def read_questions(spark: SparkSession, base: str, glob: str = "test*.parquet", names: list[str] | None = None) -> DataFrame:
-    """Parquet files of all subject folders in one scan, with ``subject``; unreadable files are skipped, missing columns null.
+    """Parquet files of all subject folders (or those named) in one scan, with ``subject``; unreadable files are skipped, missing columns null.
 
     Options A to H are always there, as nullable strings.
     """
-    own = names or subjects(spark, base)
-    paths = [f"{base}/{s}" for s in own]
-    df = spark.read.options(mergeSchema="true", ignoreCorruptFiles="true", pathGlobFilter=glob).parquet(*paths)
-    df = df.withColumn("subject", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2))
+    folders = [f for f in listing(spark, base, folders=True) if names is None or _subject(f.rsplit("/", 1)[1]) in names]
+    df = spark.read.options(mergeSchema="true", ignoreCorruptFiles="true", pathGlobFilter=glob).parquet(*folders)
+    decoded = lambda x: F.url_decode(F.replace(x, F.lit("+"), F.lit("%2B")))
+    folder = decoded(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2))  # paths are URLs
+    df = df.withColumn("subject", F.when(folder.startswith("subject="), decoded(F.substring(folder, len("subject=") + 1, 1 << 30))).otherwise(folder))
     return df.withColumns({c: F.lit(None).cast("string") for c in "ABCDEFGH" if c not in df.columns})
 
 
@@ -137,8 +144,9 @@ def read_components(spark: SparkSession, path: str, size_group: str | None = Non
     return df.where(F.col("component") == component) if component else df
 
 
-def read_json(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    reader = spark.read.option("multiLine", "true")
+def read_json(spark: SparkSession, path: str, schema: str | None = None, lines: bool = False) -> DataFrame:
+    """Objects of JSON files: a file is one object or list of objects, or (lines) has an object a line and can be split."""
+    reader = spark.read.option("multiLine", not lines)
     return (reader.schema(schema) if schema else reader).json(path)
 
 

@@ -17,13 +17,18 @@ _written: list[tuple[SparkSession, str]] = []
 _shipped: set[str] = set()
 
 
+def one_machine(spark: SparkSession) -> bool:
+    """Whether tasks run inside the driver's process: master ``local`` or ``local[...]``."""
+    return spark.sparkContext.master.partition("[")[0] == "local"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named in ``spark.checkpoint.dir``; one of our own only where that is unset (tests, notebooks)."""
     if base := spark.conf.get("spark.checkpoint.dir", None):
         return base.rstrip("/")
     if base := spark.sparkContext.getCheckpointDir():
         return base.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    if not one_machine(spark):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     base = f"file://{tempfile.mkdtemp(prefix='loomgraph-')}"
     spark.sparkContext.setCheckpointDir(base)
@@ -64,9 +69,9 @@ def drop(df: DataFrame) -> None:
 
 def ship(spark: SparkSession) -> None:
     """Let executors import this package; only a local master's workers may already see the repository."""
-    app, master = spark.sparkContext.applicationId, spark.sparkContext.master
+    app = spark.sparkContext.applicationId
     seen = [os.path.realpath(p) for p in [*os.environ.get("PYTHONPATH", "").split(":"), os.getcwd()] if p]
-    if app in _shipped or master.startswith("local[") and str(ROOT) in seen:
+    if app in _shipped or one_machine(spark) and str(ROOT) in seen:
         return
     target = Path(tempfile.mkdtemp(prefix="loomgraph-")) / "loomgraph.zip"
     with zipfile.ZipFile(target, "w") as out:
