@@ -10,6 +10,7 @@ from pyspark.sql.utils import AnalysisException
 
 from loomgraph.functions.taxonomy import TAXONOMY
 from loomgraph.functions.text import na_to_null, textualize
+from loomgraph.sources import csvfiles
 
 TRIPLE = ["head", "relation", "tail"]
 CSV_OPTIONS = {"header": "true", "multiLine": "true", "escape": '"', "encoding": "UTF-8"}
@@ -31,7 +32,7 @@ def listing(spark: SparkSession, path: str, suffix: str = "", recursive: bool =
     if not fs.exists(target):
         return []
     out = []
-    for status in fs.listStatus(target):
+    for status in fs.listStatus(target):  # of a file: itself
         name = status.getPath().toString()
         if status.isDirectory():
             out += [name] if folders else listing(spark, name, suffix, True) if recursive else []
@@ -54,23 +55,25 @@ def domains_with_prototypes(spark: SparkSession, data: str, prototypes: str) ->
     return [d for d in subjects(spark, data) if listing(spark, f"{prototypes}/{d}", ".csv")]
 
 
-def header(spark: SparkSession, path: str) -> list[str]:
-    """Column names of a CSV file, or an empty list when it has none or can't be read."""
-    try:
-        return spark.read.options(**CSV_OPTIONS).csv(path).columns
-    except AnalysisException:
-        return []
+def csv_files(spark: SparkSession, paths: list[str] | str) -> list[str]:
+    """The files that paths name: of a folder all below it but hidden ones."""
+    found = [f for path in ([paths] if isinstance(paths, str) else paths) for f in listing(spark, path, recursive=True)]
+    return [f for f in found if not f.rsplit("/", 1)[1].startswith(("_", "."))]
 
 
 def read_csv(spark: SparkSession, paths: list[str] | str, na: bool = True) -> DataFrame:
-    """CSV rows as strings, with missing-value tokens as null; several files must share a header."""
-    df = spark.read.options(**CSV_OPTIONS).csv(paths)
+    """CSV rows as strings, with missing-value tokens as null; several files must share a header. Large files are read by many tasks."""
+    files = csv_files(spark, paths)
+    names = csvfiles.headers(spark, files)
+    if len(kinds := {tuple(n) for n in names.values() if n}) > 1:
+        raise ValueError(f"{len(kinds)} different headers")
+    df = csvfiles.read(spark, files, list(*kinds)) if kinds else spark.createDataFrame([], "value string")
     return df.select([na_to_null(F.col(f"`{c}`")).alias(c) for c in df.columns]) if na else df
 
 
 def read_positional(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
     """The first columns of a CSV by position, under new names; rows with fewer fields are left out."""
-    df = spark.read.options(**CSV_OPTIONS).csv(path)
+    df = read_csv(spark, path, na=False)
     first = df.columns[: len(names)]
     return df.select([F.col(f"`{c}`").alias(n) for c, n in zip(first, names, strict=False)]).dropna(subset=names[-1:] if len(first) == len(names) else None)
 
@@ -84,19 +87,18 @@ def triple_columns(columns: list[str], capitalised_only: bool = False) -> list[s
 def read_triples(spark: SparkSession, paths: list[str], drop_null: bool = True, capitalised_only: bool = False) -> DataFrame:
     """``head, relation, tail, source_file`` of CSV files; files without the three columns are skipped.
 
-    drop_null: leave out triples with a missing part. The header of each file is looked at once; files that share one
-    are read by one scan.
+    drop_null: leave out triples with a missing part. The headers of all files are read side by side without a job; files that share one
+    are read by one scan, large ones by many tasks.
     """
     groups: dict[tuple[str, ...], list[str]] = {}
-    for path in paths:
-        columns = header(spark, path)
+    for path, columns in csvfiles.headers(spark, csv_files(spark, paths)).items():
         if triple_columns(columns, capitalised_only):
             groups.setdefault(tuple(columns), []).append(path)
     out = spark.createDataFrame([], "head string, relation string, tail string, source_file string")
     for columns, files in groups.items():
         own = triple_columns(list(columns), capitalised_only)
-        part = spark.read.options(**CSV_OPTIONS).csv(files).select([na_to_null(F.col(f"`{c}`")).alias(n) for c, n in zip(own, TRIPLE, strict=True)] + [F.col("_metadata.file_name").alias("source_file")])
-        out = out.unionByName(part)
+        part = csvfiles.read(spark, files, list(columns), own, "source_file")
+        out = out.unionByName(part.select(*[na_to_null(F.col(f"`{c}`")).alias(n) for c, n in zip(own, TRIPLE, strict=True)], "source_file"))
     return out.dropna(subset=TRIPLE) if drop_null else out
 
 
