@@ -12,7 +12,6 @@ import itertools
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
@@ -101,18 +100,48 @@ def split(texts: pa.Array, inside: np.ndarray) -> tuple[pa.Array, np.ndarray]:
 
 
 def coded(words: pa.Array) -> tuple[np.ndarray, pa.Array]:
-    """(codes, distinct words), the most frequent word first."""
+    """(codes, distinct words), the most frequent word first, equally frequent ones by name."""
     found = words.dictionary_encode()
     codes, distinct = found.indices.to_numpy(zero_copy_only=False), found.dictionary
-    order = np.argsort(-np.bincount(codes, minlength=len(distinct)), kind="stable")
+    by_name = pc.array_sort_indices(distinct).to_numpy(zero_copy_only=False)
+    order = by_name[np.argsort(-np.bincount(codes, minlength=len(distinct))[by_name], kind="stable")]
     rank = np.empty(len(order), np.int32)
     rank[order] = np.arange(len(order), dtype=np.int32)
     return rank[codes], distinct.take(pa.array(order))
 
 
 def hashes(words: pa.Array) -> np.ndarray:
-    """A 64-bit hash of each word."""
-    return pd.util.hash_array(words.to_numpy(zero_copy_only=False).astype(object), categorize=False) if len(words) else np.zeros(0, np.uint64)
+    """A 64-bit hash of each word (none is empty): the exclusive or of a mixed number for each byte at its place."""
+    offsets = _offsets(words)
+    if not len(words):
+        return np.zeros(0, np.uint64)
+    chars = np.frombuffer(words.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+    starts = offsets[:-1] - offsets[0]
+    place = np.arange(len(chars)) - np.repeat(starts, np.diff(offsets))
+    x = ((place.astype(np.uint64) << np.uint64(8)) | chars) + np.uint64(1)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x * np.uint64(0x9E3779B97F4A7C15)) if shift == 30 else x
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return np.bitwise_xor.reduceat(x ^ (x >> np.uint64(31)), starts)
+
+
+def distinct_keys(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ascending distinct keys, place of each among them), as np.unique gives them.
+
+    Keys are hashes, so they are sorted by their leading bits with their places in the trailing ones, which needs no indirect sort; only where distinct keys
+    agree in all leading bits the general way is taken.
+    """
+    bits = max(1, int(len(keys)).bit_length())
+    low = np.uint64((1 << bits) - 1)
+    order = (np.sort((keys & ~low) | np.arange(len(keys), dtype=np.uint64)) & low).astype(np.int64)
+    ordered = keys[order]
+    if len(keys) and (ordered[1:] < ordered[:-1]).any():
+        return np.unique(keys, return_inverse=True)
+    new = np.ones(len(keys), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    which = np.empty(len(keys), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return ordered[new], which
 
 
 def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -201,8 +230,8 @@ def total_numbers(table: pa.Table) -> list[tuple[int, np.ndarray]]:
     """(block, totals in the order asked) of a shard's rows."""
     lists = [unpack_keys(x) for x in table.column("keys").to_pylist()]
     counts = [unpack(x, np.int64) for x in table.column("counts").to_pylist()]
-    _, inverse = np.unique(np.concatenate(lists), return_inverse=True)
-    totals = np.zeros(int(inverse.max()) + 1, np.int64)
+    found, inverse = distinct_keys(np.concatenate(lists))
+    totals = np.zeros(len(found), np.int64)
     np.add.at(totals, inverse, np.concatenate(counts))
     ends = np.cumsum([len(x) for x in lists])
     return list(zip(table.column("block").to_pylist(), np.split(totals[inverse], ends[:-1]), strict=True))

@@ -21,11 +21,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.blocks import ASKED, NOT_SPACE, Words, answers, asked, asked_numbers, blocks, hashes, mix, pack, pack_words, shard_of, shards_for, total_numbers, total_words, words_in
+from loomgraph.llm.blocks import ASKED, NOT_SPACE, Words, answers, asked, asked_numbers, blocks, distinct_keys, hashes, mix, pack, pack_words, shard_of, shards_for, total_numbers, total_words, words_in
 from loomgraph.sources.shared import cut
 
 WORDS, PAIRS, TRIPLES, GAIN_1, GAIN_2 = range(1, 6)
-KINDS = dict.fromkeys((WORDS, PAIRS, TRIPLES, GAIN_1, GAIN_2), np.int64)
+#: What answers hold: totals, and whether a context is retained.
+KINDS = dict.fromkeys((WORDS, PAIRS, TRIPLES), np.int64) | dict.fromkeys((GAIN_1, GAIN_2), np.uint8)
 #: Stands for the end of a text.
 END = np.uint64(0xA5A3564E27F8865B)
 UNIT = 10_000
@@ -36,55 +37,52 @@ def held_out(doc_id: Column, part: int = 10) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(part)) == 0
 
 
-def _distinct(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(ascending keys, place of each, sums of counts)."""
-    found, which = np.unique(keys, return_inverse=True)
-    sums = np.zeros(len(found), np.int64)
-    np.add.at(sums, which, counts)
-    return found, which, sums
-
-
 class Tokens:
-    """The tokens of a block in order, each text's end included: ``code``, ``doc``, ``place`` in its text, whether it is ``learned`` from."""
+    """The tokens of a block in order, each text's end included: ``code``, where texts ``begin``, and whether each is ``learned`` from."""
 
     def __init__(self, row: dict):
         self.words = words = Words(row)
-        n, d = len(words.distinct), len(words.sizes)
-        self.code = np.insert(words.codes.astype(np.int64), words.ends, n)
+        n = len(words.distinct)
+        self.code = np.insert(words.codes, words.ends, n)
         lengths = words.sizes + 1
-        self.doc = np.repeat(np.arange(d), lengths)
         self.begins = np.cumsum(lengths) - lengths
-        self.place = np.arange(len(self.code)) - self.begins[self.doc]
-        self.learned = np.array([not x["held"] for x in words.docs], bool)[self.doc]
+        self.learned = np.repeat(np.array([not x["held"] for x in words.docs], bool), lengths)
         self.hash = np.append(hashes(words.distinct), END)
-        self.second = np.flatnonzero(self.place >= 1)  # tokens with a word before them
-        self.before = self.code[self.second - 1]
-        self.pair_key = mix(self.hash[self.before], self.hash[self.code[self.second]])
-        self.pairs, self.pair, self.pair_count = _distinct(self.pair_key, self.learned[self.second])
-
-    def words_by_shard(self, shards: int) -> tuple[np.ndarray, np.ndarray]:
+        first = np.zeros(len(self.code) + 1, bool)
+        first[self.begins] = True
+        self.second = np.flatnonzero(~first[:-1])  # tokens with a word before them
+        self.after_first = first[self.second - 1]  # those with one word only
+        self.before, self.now, self.learned_2 = self.code[self.second - 1], self.code[self.second], self.learned[self.second]
+        self.pair_key = mix(self.hash[self.before], self.hash[self.now])
+        self.pairs, self.pair = distinct_keys(self.pair_key)
+
+    def by_shard(self, shards: int) -> tuple[np.ndarray, np.ndarray]:
+        """(shards, words) in the order in which words are asked for."""
         shard = shard_of(self.hash[:-1], shards)
         order = np.argsort(shard, kind="stable")
         return shard[order], order
 
     def know(self, told: dict[int, np.ndarray], shards: int, model: Model) -> None:
         """Counts and probabilities from the answers of the first round."""
-        _, order = self.words_by_shard(shards)
+        _, order = self.by_shard(shards)
         self.seen = np.zeros(len(order) + 1, np.int64)
         self.seen[order] = told[WORDS]
         self.seen[-1] = model.texts
-        self.base = (self.seen[self.code] + 0.1) / (model.tokens + 0.1 * (model.distinct + 1))
-        self.pair_total = told[PAIRS]
-        self.context_1 = self.seen[self.before]
-        self.count_1 = self.pair_total[self.pair]
-        self.p_1 = (self.count_1 + model.mass * self.base[self.second]) / (self.context_1 + model.mass)
-        # tokens with two words before them, as places in ``second``; only contexts that were seen twice can be retained
-        at = np.flatnonzero(self.place[self.second] >= 2)
-        self.context_2 = self.pair_total[self.pair[at - 1]]
-        self.third = at[self.context_2 >= 2]
-        self.context_2 = self.context_2[self.context_2 >= 2]
-        self.triples, self.triple, self.triple_count = _distinct(mix(self.pair_key[self.third - 1], self.hash[self.code[self.second[self.third]]]), self.learned[self.second[self.third]])
-        self.heads, self.head, _ = _distinct(self.hash[self.before], np.zeros(len(self.before), np.int64))
+        self.share = (self.seen + 0.1) / (model.tokens + 0.1 * (model.distinct + 1))
+        total = told[PAIRS]
+        self.context_1, self.count_1, self.p_0 = self.seen[self.before], total[self.pair], self.share[self.now]
+        self.p_1 = (self.count_1 + model.mass * self.p_0) / (self.context_1 + model.mass)
+        # tokens with two words before them whose context was seen twice, as places in ``second``: no other can be retained
+        context = np.where(self.after_first, 0, np.concatenate((np.zeros(1, np.int64), self.count_1[:-1]))) if len(self.pair) else self.pair
+        self.third = np.flatnonzero(context >= 2)
+        self.context_2 = context[self.third]
+        self.triples, self.triple = distinct_keys(mix(self.pair_key[self.third - 1], self.hash[self.now[self.third]]))
+        # contexts of one word in the order of their hashes, those of two words in that of their pairs
+        self.heads = np.argsort(self.hash[:-1])
+        used = np.zeros(len(self.pairs), bool)
+        used[self.pair[self.third - 1]] = True
+        self.couples = self.pairs[used]
+        self.couple = (np.cumsum(used) - 1)[self.pair[self.third - 1]]
 
     def gains(self, count: np.ndarray, context: np.ndarray, shorter: np.ndarray, learned: np.ndarray, mass: float) -> np.ndarray:
         """Of each occurrence, left out of its own counts, in units; 0 where it isn't learned from."""
@@ -96,31 +94,34 @@ class Tokens:
     def know_triples(self, told: dict[int, np.ndarray], mass: float) -> None:
         self.count_2 = told[TRIPLES][self.triple]
         self.p_2 = (self.count_2 + mass * self.p_1[self.third]) / (self.context_2 + mass)
-        self.couples, self.couple, _ = _distinct(self.pair_key[self.third - 1], np.zeros(len(self.third), np.int64))
 
 
 class Model:
-    """What holds for all blocks: tokens, texts and distinct tokens learned from, and the parameters."""
+    """What holds for all blocks: tokens, texts and distinct tokens learned from, and the smoothing mass."""
+
+    def __init__(self, tokens: int, texts: int, distinct: int, mass: float):
+        self.tokens, self.texts, self.distinct, self.mass = tokens, texts, distinct, mass
+
 
-    def __init__(self, tokens: int, texts: int, distinct: int, mass: float, least_gain: float):
-        self.tokens, self.texts, self.distinct, self.mass, self.least_gain = tokens, texts, distinct, mass, least_gain
+def _sums(places: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    out = np.zeros(n, np.int64)
+    np.add.at(out, places, values)
+    return out
 
 
 def _first(block: int, t: Tokens, told: dict, shards: int) -> Iterator[dict]:
-    shard, order = t.words_by_shard(shards)
-    count = np.zeros(len(t.hash), np.int64)
-    np.add.at(count, t.code, t.learned)
-    yield from asked(WORDS, block, shard, lambda a, b: pack_words(t.words.distinct.take(pa.array(order[a:b]))), count[order])
-    yield from asked_numbers(PAIRS, block, t.pairs, t.pair_count, shards)
+    shard, order = t.by_shard(shards)
+    count, words = np.bincount(t.code[t.learned], minlength=len(t.hash)), t.words.distinct.take(pa.array(order))
+    yield from asked(WORDS, block, shard, lambda a, b: pack_words(words[a:b]), count[order])
+    yield from asked_numbers(PAIRS, block, t.pairs, np.bincount(t.pair[t.learned_2], minlength=len(t.pairs)), shards)
 
 
 def _second(model: Model) -> Callable:
     def ask(block: int, t: Tokens, told: dict, shards: int) -> Iterator[dict]:
         t.know(told, shards, model)
-        yield from asked_numbers(TRIPLES, block, t.triples, t.triple_count, shards)
-        gain, sums = t.gains(t.count_1, t.context_1, t.base[t.second], t.learned[t.second], model.mass), np.zeros(len(t.heads), np.int64)
-        np.add.at(sums, t.head, gain)
-        yield from asked_numbers(GAIN_1, block, t.heads, sums, shards)
+        yield from asked_numbers(TRIPLES, block, t.triples, np.bincount(t.triple[t.learned_2[t.third]], minlength=len(t.triples)), shards)
+        gain = _sums(t.before, t.gains(t.count_1, t.context_1, t.p_0, t.learned_2, model.mass), len(t.heads))
+        yield from asked_numbers(GAIN_1, block, t.hash[t.heads], gain[t.heads], shards)
 
     return ask
 
@@ -129,9 +130,8 @@ def _third(model: Model) -> Callable:
     def ask(block: int, t: Tokens, told: dict, shards: int) -> Iterator[dict]:
         t.know(told, shards, model)
         t.know_triples(told, model.mass)
-        gain, sums = t.gains(t.count_2, t.context_2, t.p_1[t.third], t.learned[t.second[t.third]], model.mass), np.zeros(len(t.couples), np.int64)
-        np.add.at(sums, t.couple, gain)
-        yield from asked_numbers(GAIN_2, block, t.couples, sums, shards)
+        gain = _sums(t.couple, t.gains(t.count_2, t.context_2, t.p_1[t.third], t.learned_2[t.third], model.mass), len(t.couples))
+        yield from asked_numbers(GAIN_2, block, t.couples, gain, shards)
 
     return ask
 
@@ -140,7 +140,7 @@ _ASKED = pa.schema([("kind", pa.int32()), ("shard", pa.int64()), ("block", pa.in
 _TOLD = "block long, kind int, shard long, data binary, tokens long, distinct long"
 
 
-def _round(table: DataFrame, told: DataFrame | None, ask: Callable, shards: int) -> DataFrame:
+def _round(table: DataFrame, told: DataFrame | None, ask: Callable, shards: int, least: float = 0.0) -> DataFrame:
     """Ask all blocks, add up by shard, answer: ``block, kind, shard, data``; for words also a row with their number and how many are distinct."""
 
     def of(rows: list[dict], answers_: dict[int, np.ndarray]) -> pa.Table:
@@ -163,6 +163,8 @@ def _round(table: DataFrame, told: DataFrame | None, ask: Callable, shards: int)
             out.append({"kind": kind, "shard": shard, "tokens": int(totals.sum()), "distinct": int(np.count_nonzero(totals))})
         else:
             found = total_numbers(rows)
+        if kind in (GAIN_1, GAIN_2):
+            found = [(block, (x >= least * UNIT).astype(np.uint8)) for block, x in found]
         out += [{"block": block, "kind": kind, "shard": shard, "data": pack(x)} for block, x in found]
         return pa.Table.from_pylist(out, pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("shard", pa.int64()), ("data", pa.binary()), ("tokens", pa.int64()), ("distinct", pa.int64())]))
 
@@ -186,11 +188,11 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held:
     shards = shards_for(table, words_in(table), per_shard)
     counted = _round(table, None, _first, shards)
     words, distinct = counted.agg(F.sum("tokens"), F.sum("distinct")).first()
-    model = Model((words or 0) + texts, texts, (distinct or 0) + (texts > 0), mass, least_gain)
+    model = Model((words or 0) + texts, texts, (distinct or 0) + (texts > 0), mass)
     known = counted.where("block is not null").select("block", "kind", "shard", "data")
     told = [known]
     for ask in (_second(model), _third(model)):
-        told.append(_round(table, known, ask, shards).select("block", "kind", "shard", "data"))
+        told.append(_round(table, known, ask, shards, least_gain).select("block", "kind", "shard", "data"))
         known = known.unionByName(told[-1])
 
     def judge(block: pa.Table, answered: pa.Table) -> pa.Table:
@@ -199,11 +201,13 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held:
             t, all_told = Tokens(row), answers(answered, KINDS)
             t.know(all_told, shards, model)
             t.know_triples(all_told, mass)
-            best, long = np.log10(t.base), np.zeros(len(t.base), np.int64)
-            base = best.copy()
-            kept = all_told[GAIN_1][t.head] >= least_gain * UNIT
+            base = np.log10(t.share)[t.code]
+            best, long = base.copy(), np.zeros(len(base), np.int64)
+            retained = np.zeros(len(t.heads), bool)
+            retained[t.heads] = all_told[GAIN_1]
+            kept = retained[t.before]
             best[t.second[kept]], long[t.second[kept]] = np.log10(t.p_1[kept]), 1
-            kept = all_told[GAIN_2][t.couple] >= least_gain * UNIT
+            kept = all_told[GAIN_2][t.couple].astype(bool)
             at = t.second[t.third[kept]]
             best[at], long[at] = np.log10(t.p_2[kept]), 1
             by_text = lambda x, t=t: np.add.reduceat(x, t.begins) if len(t.begins) else x
