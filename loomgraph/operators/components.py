@@ -1,8 +1,10 @@
-"""Connected components by label propagation with pointer jumping.
+"""Connected components by alternating large-star and small-star contractions.
 
-Every round writes one table: a join with the neighbours' labels and one aggregation with map-side combine, on labels that have jumped
-once to their label's own. Join inputs are plain exchanges, so AQE can split a hub's rows over many tasks, and a
-round starts from files in the shared folder, so a lost executor costs one round at most.
+Nodes get long numbers once, in the order of their names, and rounds work on edges (u, v) with u > v. Large-star joins the larger neighbours of
+each node to its least neighbour, small-star the smaller ones and the node itself; both keep components as they are, and together they
+shrink every component to a star around its least node in about log n rounds, a path too. An operation is one aggregation with map-side
+combine and one join on plain exchanges, so AQE can split a hub's rows over many tasks. A round writes one table, so a lost executor costs
+one round at most; edges never grow beyond the first round's.
 """
 
 from __future__ import annotations
@@ -10,30 +12,48 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.operators.numbering import number_nodes
 from loomgraph.sources.shared import cut, drop
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
+def _large_star(edges: DataFrame) -> DataFrame:
+    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+
+
+def _small_star(edges: DataFrame) -> DataFrame:
+    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    moved = edges.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*")
+    return moved.where("u != v").distinct()
+
+
+def _is_stars(edges: DataFrame) -> bool:
+    """Whether each node has one parent at most, and no parent has one itself."""
+    roles = edges.select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))).alias("e")).select("e.*")
+    return roles.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or up > 0 and down > 0").isEmpty()
+
+
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", report: list[int] | None = None) -> DataFrame:
     """Label every node of an undirected edge list with the smallest node of its component.
 
     Rows with a null end are ignored; repeated edges and self-loops are harmless (a self-loop
-    makes its node a component). Returns ``node, component``; an empty edge list gives no rows.
+    makes its node a component). Returns ``node, component``; an empty edge list gives no rows. report: gets the number of edges of each round.
     """
-    pairs = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null")
-    links = cut(pairs.union(pairs.select("b", "a")).distinct(), "links")
-    labels = links.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "node")
-    before = None
+    pairs, nodes = number_nodes(edges, src, dst)
+    links = cut(pairs.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links", dictionary=False)
+    drop(pairs)
     while True:
-        near = links.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("near"))
-        moved = labels.join(near.withColumnRenamed("a", "node"), "node", "left").select(
-            "node", F.col("label").alias("old"), F.least("label", F.coalesce("near", "label")).alias("label"))
-        step = cut(moved, "labels")
-        if before is not None:
-            drop(before)
-        # when no label moved, all neighbours share theirs
-        if step.where("label != old").isEmpty():
-            drop(links)
-            return step.select("node", F.col("label").alias("component"))
-        up = step.select(F.col("node").alias("label"), F.col("label").alias("top"))
-        labels = step.join(up, "label", "left").select("node", F.least("label", F.coalesce("top", "label")).alias("label"))
-        before = step
+        if report is not None:
+            report.append(links.count())
+        if _is_stars(links):
+            break
+        after = cut(_small_star(_large_star(links)), "links", dictionary=False)
+        drop(links)
+        links = after
+    # a star's edges are its labels; a node without any is its own
+    labelled = nodes.join(links.withColumnRenamed("u", "id"), "id", "left").select("node", F.coalesce("v", "id").alias("id"))
+    found = cut(labelled.join(nodes.withColumnRenamed("node", "component"), "id").select("node", "component"), "components")
+    drop(links)
+    drop(nodes)
+    return found

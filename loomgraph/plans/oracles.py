@@ -163,6 +163,15 @@ ORACLE_SQL = {
         SELECT domain, {BUCKET.format(n='n', a=' (>=1000)', b=' (100-999)', c=' (10-99)', d=' (<10)')} AS bucket, count(*) AS components, sum(n)::BIGINT AS nodes FROM s GROUP BY ALL""",
     "kg_connectivity_by_domain": f"WITH RECURSIVE {CONNECT} SELECT domain, triples, components, nodes, largest_component, large, medium, small, tiny, edges, round(connectivity_rate, 6) AS connectivity_rate FROM joined",
     "kg_connectivity_summary": f"WITH RECURSIVE {CONNECT} SELECT sum(triples)::BIGINT AS triples, sum(components)::BIGINT AS components, round(avg(connectivity_rate), 6) AS mean_rate FROM joined",
+    "kg_inferred": f"""WITH RECURSIVE {KG}, said AS (SELECT head AS h, relation AS r, tail AS t FROM kg
+            UNION SELECT head, CASE WHEN lower(replace(relation, ' ', '')) = 'isa' THEN 'Hypernym_isA' WHEN relation = '属于' THEN 'Induction_belongTo' WHEN relation = 'locateAt' THEN 'Hypernym_locateAt' WHEN relation = 'supplies' THEN 'tradesWith' END AS r, tail FROM kg WHERE relation <> 'placedBy'),
+        base AS (SELECT * FROM said UNION SELECT t, 'places', h FROM said WHERE r = 'placedBy' UNION SELECT t, 'tradesWith', h FROM said WHERE r = 'tradesWith'),
+        rules(x, y, z) AS (VALUES ('Hypernym_isA', 'Hypernym_isA', 'Hypernym_isA'), ('Hypernym_locateAt', 'Hypernym_locateAt', 'Hypernym_locateAt'), ('Induction_belongTo', 'Induction_belongTo', 'Induction_belongTo'),
+            ('Hypernym_locateAt', 'Hypernym_isA', 'Hypernym_locateAt'), ('placedBy', 'Hypernym_locateAt', 'Hypernym_locateAt'), ('supplies', 'Hypernym_isA', 'supplies')),
+        k(h, r, t, n) USING KEY (h, r, t) AS (SELECT h, r, t, 0 FROM base UNION
+            (SELECT DISTINCT h, r, t, 1 FROM (SELECT a.h, z AS r, b.t FROM k a JOIN rules ON x = a.r JOIN recurring.k b ON b.h = a.t AND b.r = y UNION SELECT a.h, z, b.t FROM recurring.k a JOIN rules ON x = a.r JOIN k b ON b.h = a.t AND b.r = y) f
+             WHERE h <> t AND NOT EXISTS (SELECT 1 FROM recurring.k o WHERE o.h = f.h AND o.r = f.r AND o.t = f.t)))
+        SELECT h AS head, r AS relation, t AS tail FROM k WHERE (h, r, t) NOT IN (SELECT head, relation, tail FROM kg)""",
     "kg_entities": f"WITH {KG}, {ENT} SELECT * FROM ent",
     "kg_entity_totals": f"WITH {KG}, {ENT}, p AS (SELECT domain, count(*) AS entities FROM ent GROUP BY 1) SELECT * FROM p UNION ALL SELECT '(sum)', sum(entities)::BIGINT FROM p",
     "kg_distinct_counts": f"WITH {KG} SELECT domain, count(DISTINCT head) AS heads, count(DISTINCT relation) AS relations, count(DISTINCT tail) AS tails FROM kg GROUP BY domain",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import render, text
 from loomgraph.functions.taxonomy import SUBFIELDS, directory_name, field_of, taxonomy
-from loomgraph.operators import evaluate, graph, paths, stats, vectors
+from loomgraph.operators import evaluate, graph, inference, paths, stats, vectors
 from loomgraph.plans import views, workflow
 from loomgraph.sources.readers import json_list
 from loomgraph.sources.shared import new_dir
@@ -135,6 +135,20 @@ def kg_connectivity_summary(spark, sf_dir):
     return _rounded(graph.connectivity_summary(graph.connectivity(_with_void(spark, sf_dir), "domain")), "mean_rate")
 
 
+#: Located in a nation is located in its region; who supplies a part supplies its type; whom an order was placed by is where the order is located.
+KG_RULES = inference.Rules(
+    inverse={"placedBy": "places", "places": "placedBy", "tradesWith": "tradesWith"},
+    hierarchy=inference.DEFAULT_HIERARCHY | {"supplies": "tradesWith"},
+    compose=(*inference.Rules().compose, ("Hypernym_locateAt", "Hypernym_isA", "Hypernym_locateAt"), ("placedBy", "Hypernym_locateAt", "Hypernym_locateAt"), ("supplies", "Hypernym_isA", "supplies")),
+)
+
+
+@query
+def kg_inferred(spark, sf_dir):
+    """All triples that follow over the whole graph, its domains taken together."""
+    return inference.infer(views.kg(spark, sf_dir), KG_RULES).drop("round")
+
+
 @query
 def kg_entities(spark, sf_dir):
     return graph.entities(views.kg(spark, sf_dir), "domain")

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from loomgraph.operators import graph
+from loomgraph.operators import graph, inference
 from loomgraph.operators.components import connected_components
 
 
@@ -30,6 +30,52 @@ def test_components(spark, seed):
     assert {r.node: r.component for r in connected_components(df).collect()} == brute(edges)
 
 
+def test_a_long_path_takes_few_rounds(spark):
+    """The order of names is not that of the path; edges don't grow."""
+    n, rounds = 100_000, []
+    name = lambda i: F.xxhash64(i)
+    path = spark.range(n - 1).select(name(F.col("id")).alias("src"), name(F.col("id") + 1).alias("dst"))
+    found = connected_components(path, report=rounds)
+    assert found.agg(F.count("*"), F.count_distinct("component"), F.min("node") == F.min("component")).first()[:] == (n, 1, True)
+    assert len(rounds) <= 2 * 17 and max(rounds) == rounds[0] == n - 1
+
+
+def closure(edges):
+    """Pairs of a transitive relation, those of a node with itself left out."""
+    found = {(a, b) for a, b in edges if a != b}
+    while more := {(a, d) for a, b in found for c, d in found if b == c and a != d} - found:
+        found |= more
+    return found
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_closure_of_random_graphs(spark, seed):
+    """Cycles, self-loops, repeats and nulls; two graphs by key, a null key among them."""
+    rng = random.Random(seed)
+    edges = {k: [(f"n{rng.randrange(14)}", f"n{rng.randrange(14)}") for _ in range(18)] for k in ("x", None)}
+    rows = [(k, a, "is a", b) for k, e in edges.items() for a, b in [*e, e[0]]] + [("x", None, "is a", "n1"), ("x", "n1", None, "n2"), ("x", "n1", "likes", "n2")]
+    df = spark.createDataFrame(rows, "g string, head string, relation string, tail string")
+    got = {(r.g, r.head, r.relation, r.tail) for r in inference.infer(df, key="g").collect()}
+    assert got == {(k, a, "Hypernym_isA", b) for k, e in edges.items() for a, b in closure(e)}
+
+
+def test_symmetry_composition_and_rounds(spark):
+    df = spark.createDataFrame([("a", "near", "b"), ("b", "in", "c"), ("c", "near", "b")], "head string, relation string, tail string")
+    rules = inference.Rules(hierarchy={}, inverse={"near": "near"}, compose=(("near", "in", "close to"),))
+    got = {(r.head, r.relation, r.tail, r["round"]) for r in inference.infer(df, rules).collect()}
+    assert got == {("b", "near", "a", 0), ("b", "near", "c", 0), ("a", "close to", "c", 1)}
+    assert inference.infer(df.where("false"), rules).count() == 0 and inference.infer(df, inference.Rules(hierarchy={}, compose=())).count() == 0
+
+
+def test_chains_double(spark):
+    n, rounds = 1500, []
+    chain = spark.range(n).select(F.col("id").cast("string").alias("head"), F.lit("partOf").alias("relation"), (F.col("id") + 1).cast("string").alias("tail"))
+    got = inference.infer(chain, report=rounds)
+    assert got.agg(F.count("*"), F.max("round")).first()[:] == (n * (n + 1) // 2, 11) and sum(rounds) == n * (n - 1) // 2
+    with pytest.raises(RuntimeError, match="no fixpoint"):
+        inference.infer(chain, most_rounds=3)
+
+
 def test_components_of_nothing(spark):
     assert connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
 
