@@ -1,12 +1,15 @@
 """External services behind a contract: text to text (language models) and text to vector (encoders).
 
-A provider is a plain picklable object. It runs inside ``mapInPandas`` with a bounded number of calls at once; a call that
-fails is retried, and a row whose calls all fail gets an empty text and a status, never an exception.
+A provider is a plain picklable object. It runs inside ``mapInPandas`` with a bounded number of calls at once and a deadline for each; a call that
+fails or hangs is retried, and a row whose calls all fail gets an empty text and a status, never an exception. A service with keys is a
+:class:`KeyedClient`, whose transport is the caller's own.
 """
 
 from __future__ import annotations
 
 import hashlib
+import queue
+import threading
 import time
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
@@ -55,26 +58,138 @@ class KeyRotation:
 
     keys: list[str]
     at: int = 0
-    rotate_on: frozenset[int] = frozenset({400, 401, 403, 413, 500, 502, 503, 504})
+    rotate_on: frozenset[int] = frozenset({400, 401, 403, 413, *range(500, 600)})
 
     def key(self) -> str:
         if not self.keys:
             raise ValueError("no key")
         return self.keys[self.at % len(self.keys)]
 
-    def after(self, status: int, retry_after: float | None = None) -> float | None:
+    def next(self, used: str) -> None:
+        """Go on to the next key, unless another call has done so since ``used`` was taken."""
+        if self.key() == used:
+            self.at += 1
+
+    def after(self, status: int, retry_after: float | None = None, used: str | None = None) -> float | None:
         """Seconds to wait before the next attempt; None: don't try again."""
         if status == 429:
             return retry_after if retry_after is not None else 5.0
         if status in self.rotate_on:
-            self.at += 1
+            self.next(self.key() if used is None else used)
             return 0.0
         return None
 
 
+@dataclass
+class Reply:
+    """What a service answered: an HTTP status, the text, and the seconds after which it may be asked again."""
+
+    status: int
+    text: str = ""
+    retry_after: float | None = None
+
+
+class ServiceError(Exception):
+    """A status that no other attempt would change, or the last one when all attempts are used up."""
+
+    def __init__(self, status: int):
+        super().__init__(f"HTTP {status}")
+        self.status = status
+
+
+#: Key states by their keys: all calls of a worker share one, whichever copy of a client they use.
+_rotations: dict[tuple[str, ...], KeyRotation] = {}
+_lock = threading.Lock()
+
+
+@dataclass
+class KeyedClient:
+    """A provider on top of a transport: ``send(prompt, key)`` gives a :class:`Reply` or raises.
+
+    An attempt that is refused for its key (400, 401, 403, 413), fails on the server's side (5xx), doesn't end within ``deadline`` seconds or raises goes on with the next key; a
+    429 waits as long as it says (else 5 s) and keeps the key; any other status ends the call. What the last attempt met is raised: TimeoutError
+    or :class:`ServiceError`.
+    """
+
+    send: Callable[[str, str], Reply]
+    keys: list[str]
+    attempts: int = 5
+    deadline: float = 60.0
+    sleep: Callable[[float], None] = field(default=time.sleep)
+
+    def rotation(self) -> KeyRotation:
+        with _lock:
+            return _rotations.setdefault(tuple(self.keys), KeyRotation(self.keys))
+
+    def __call__(self, prompt: str) -> str:
+        keys, last = self.rotation(), RuntimeError("no attempt")
+        for _ in range(self.attempts):
+            key = keys.key()
+            try:
+                reply = within(self.deadline, self.send, prompt, key)
+            except Exception as error:  # whatever a transport raises, another key may do
+                last = error
+                with _lock:
+                    keys.next(key)
+                continue
+            if 200 <= reply.status < 300:
+                return reply.text
+            last = ServiceError(reply.status)
+            with _lock:
+                wait = keys.after(reply.status, reply.retry_after, key)
+            if wait is None:
+                break
+            if wait:
+                self.sleep(wait)
+        raise last
+
+
+def within(seconds: float | None, f: Callable, *args: object) -> object:
+    """f's result, or TimeoutError after so many seconds.
+
+    The call runs on a thread of its own that is left behind when it hangs, so it holds neither the caller's place among the calls at once nor the process's end.
+    """
+    if seconds is None:
+        return f(*args)
+    answer: queue.Queue = queue.Queue(1)
+
+    def run() -> None:
+        try:
+            answer.put((f(*args), None))
+        except BaseException as error:  # handed to the caller below
+            answer.put((None, error))
+
+    threading.Thread(target=run, daemon=True).start()
+    try:
+        result, error = answer.get(timeout=seconds)
+    except queue.Empty:
+        raise TimeoutError(f"no answer within {seconds} s") from None
+    if error is not None:
+        raise error
+    return result
+
+
+class Pace:
+    """At most ``rate`` calls a second begin, over all threads of a worker."""
+
+    def __init__(self, rate: float | None):
+        self.gap, self.free, self.lock = 1 / rate if rate else 0.0, 0.0, threading.Lock()
+
+    def wait(self) -> None:
+        if self.gap:
+            with self.lock:
+                begin = max(time.monotonic(), self.free)
+                self.free = begin + self.gap
+            time.sleep(max(0.0, begin - time.monotonic()))
+
+
 @dataclass
 class Policy:
-    """attempts for a prompt, pauses in seconds, calls at once in a task, pause after each call."""
+    """attempts for a prompt, pauses in seconds, calls at once in a task, pause after each call, and limits.
+
+    deadline: seconds for a call, as :func:`within` counts them. width: calls run in so many tasks, whatever the input's partitions; rate: calls a second over the whole
+    cluster, which needs a width as each task takes its share.
+    """
 
     attempts: int = 3
     pause: float = 0.2
@@ -82,23 +197,35 @@ class Policy:
     at_once: int = 10
     delay: float = 0.0
     sleep: Callable[[float], None] = field(default=time.sleep)
+    deadline: float | None = 120.0
+    width: int | None = None
+    rate: float | None = None
 
-    def call(self, provider: Provider, prompt: str) -> tuple[str, str, int]:
-        """(text, status, attempts): status is ok, empty (no prompt), timeout or the error's name."""
+    def __post_init__(self) -> None:
+        if self.rate and not self.width:
+            raise ValueError("a rate over all tasks needs the number of tasks: width")
+
+    def call(self, provider: Provider, prompt: str, pace: Pace | None = None) -> tuple[str, str, int]:
+        """(text, status, attempts): status is ok, empty (no prompt), blank (no answer), timeout, http_<status> or the error's name."""
         if not (prompt or "").strip():
             return "", "empty", 0
         status = "error"
         for n in range(self.attempts):
             try:
-                text = provider(prompt)
+                if pace:
+                    pace.wait()
+                text = within(self.deadline, provider, prompt)
                 if self.delay:
                     self.sleep(self.delay)
-                return text, "ok", n + 1
+                if text:
+                    return text, "ok", n + 1
+                status = "blank"
+                self.sleep(self.pause)
             except TimeoutError:
                 status = "timeout"
                 self.sleep(self.timeout_pause * (n + 1))
             except Exception as error:  # a provider may raise anything; the row carries what it was
-                status = type(error).__name__
+                status = f"http_{error.status}" if isinstance(error, ServiceError) else type(error).__name__
                 self.sleep(self.pause)
         return "", status, self.attempts
 
@@ -110,10 +237,14 @@ def call_provider(df: DataFrame, provider: Provider, prompt: str = "prompt", pol
     kept = df.drop("response", "status", "attempts")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
 
+    if policy.width:
+        kept = kept.repartition(policy.width)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pace = Pace(policy.rate / policy.width if policy.rate else None)
         with ThreadPoolExecutor(policy.at_once) as pool:
             for batch in batches:
-                done = list(pool.map(lambda p: policy.call(provider, p), batch[prompt]))
+                done = list(pool.map(lambda p: policy.call(provider, p, pace), batch[prompt]))
                 yield batch.assign(response=[d[0] for d in done], status=[d[1] for d in done], attempts=[d[2] for d in done])
 
     return kept.mapInPandas(run, f"{schema}, response string, status string, attempts int")

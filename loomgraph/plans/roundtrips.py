@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ from loomgraph.functions.text import PROMPTS, prompt
 from loomgraph.operators import graph, stats, vectors
 from loomgraph.plans import classification, views, workflow
 from loomgraph.plans.oracles import BUCKET, CC, ISA, KG, PROTO, SAMPLE_LINES, VEC
-from loomgraph.plans.providers import Policy, RuleProvider, call_provider
+from loomgraph.plans.providers import KeyedClient, Policy, Reply, RuleProvider, call_provider
 from loomgraph.sources import readers, writers
 from loomgraph.sources.shared import new_dir
 
@@ -181,18 +183,36 @@ def prompt_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), prompt(PROMPTS["qa_knowledge"], question=F.col("p_name"), knowledge=F.col("p_type")).alias("prompt"))
 
 
-def _answer(text: str) -> str:
-    if "YELLOW" in text.upper():
-        raise TimeoutError
-    return text.upper()[::-1]
+def _serve(text: str, key: str) -> Reply:
+    """A service that refuses one of its keys; some texts hang, some are unknown, some break it, some get no answer, and each is put off once."""
+    if text.startswith("~"):
+        time.sleep(2)
+    if text.startswith(("!", "?", "-")):
+        return Reply({"!": 404, "?": 500, "-": 200}[text[0]])
+    if key == "revoked":
+        return Reply(401)
+    if text not in _asked:
+        _asked.add(text)
+        return Reply(429, retry_after=0.001)
+    return Reply(200, text.upper()[::-1])
+
+
+#: What a worker's service has been asked before.
+_asked: set[str] = set()
 
 
-@query("""SELECT p_partkey AS id, CASE WHEN contains(upper(p_name), 'YELLOW') OR p_partkey % 6 = 0 THEN '' ELSE reverse(upper(p_name)) END AS response,
-    CASE WHEN p_partkey % 6 = 0 THEN 'empty' WHEN contains(upper(p_name), 'YELLOW') THEN 'timeout' ELSE 'ok' END AS status, CASE WHEN p_partkey % 6 = 0 THEN 0 WHEN contains(upper(p_name), 'YELLOW') THEN 2 ELSE 1 END AS attempts FROM part""")
+@query("""WITH p AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 29 = 5 THEN '~' WHEN p_partkey % 11 = 1 THEN '!' WHEN p_partkey % 11 = 2 THEN '?' WHEN p_partkey % 11 = 3 THEN '-' ELSE '' END AS mark, CASE WHEN p_partkey % 6 <> 0 THEN p_name ELSE ' ' END AS name FROM part),
+    s AS (SELECT id, name, CASE WHEN trim(mark || name) = '' THEN 'empty' WHEN mark = '~' THEN 'timeout' WHEN mark = '!' THEN 'http_404' WHEN mark = '?' THEN 'http_500' WHEN mark = '-' THEN 'blank' ELSE 'ok' END AS status FROM p)
+    SELECT id, CASE WHEN status = 'ok' THEN reverse(upper(name)) ELSE '' END AS response, status, CASE status WHEN 'empty' THEN 0 WHEN 'ok' THEN 1 ELSE 2 END AS attempts FROM s""")
 def provider_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Calls with failures that are tried again and given up, and blank prompts that are never sent."""
-    p = views.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") % 6 != 0, F.col("p_name")).otherwise(F.lit(" ")).alias("prompt"))
-    return call_provider(p, RuleProvider(_answer), policy=Policy(attempts=2, pause=0, timeout_pause=0)).drop("prompt")
+    """Calls of a service of which one key fails and whose answers hang, come late, break or are blank; every row ends with a status, and blank prompts are never sent."""
+    k, name = F.col("p_partkey"), F.when(F.col("p_partkey") % 6 != 0, F.col("p_name")).otherwise(F.lit(" "))
+    mark = F.when(k % 29 == 5, "~").when(k % 11 == 1, "!").when(k % 11 == 2, "?").when(k % 11 == 3, "-").otherwise("")
+    p = views.table(spark, sf_dir, "part").select(k.alias("id"), F.concat(mark, name).alias("prompt"), mark.isin("~", "?").alias("bad"))
+    policy = Policy(attempts=2, pause=0, timeout_pause=0, at_once=32, width=8)
+    answered = call_provider(p.where("not bad"), KeyedClient(_serve, ["revoked", "good"], attempts=5), policy=policy)
+    failed = call_provider(p.where("bad"), KeyedClient(_serve, ["a", "b"], attempts=2, deadline=0.05), policy=policy)
+    return answered.unionByName(failed).drop("prompt", "bad")
 
 
 def _letter(text: str) -> str:

@@ -1,11 +1,13 @@
 """Sources, providers and the stages end to end, with recorded answers and injected faults."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 from loomgraph.operators import evaluate, stats, vectors
 from loomgraph.plans import workflow
-from loomgraph.plans.providers import HashingEncoder, KeyRotation, Policy, RecordedProvider, RuleProvider, call_provider, encode
+from loomgraph.plans.providers import HashingEncoder, KeyedClient, KeyRotation, Policy, RecordedProvider, Reply, RuleProvider, ServiceError, call_provider, encode
 from loomgraph.sources import readers, writers
 from loomgraph.streaming.incremental import process_new_files
 
@@ -61,6 +63,48 @@ def test_policy_retries_and_keys():
     assert keys.after(429) == 5.0 and keys.key() == "k" and keys.after(503) == 0.0 and keys.key() == "l" and keys.after(404) is None
 
 
+def test_a_client_goes_on_after_every_kind_of_failure():
+    naps, seen = [], []
+
+    def send(prompt, key):
+        seen.append(key)
+        return {"k0": lambda: Reply(401), "k1": lambda: time.sleep(5), "k2": lambda: Reply(429, retry_after=7.0) if seen.count("k2") < 3 else Reply(500), "k3": lambda: 1 / 0, "k4": lambda: Reply(200, prompt)}[key]()
+
+    began = time.time()
+    assert KeyedClient(send, [f"k{i}" for i in range(5)], attempts=9, deadline=0.05, sleep=naps.append)("hello") == "hello"
+    assert seen == ["k0", "k1", "k2", "k2", "k2", "k3", "k4"] and naps == [7.0, 7.0] and time.time() - began < 2
+    seen.clear()
+    assert KeyedClient(send, [f"k{i}" for i in range(5)], attempts=1)("next") == "next" and seen == ["k4"], "a worker's clients share the state of their keys"
+    with pytest.raises(ServiceError, match="404"):
+        KeyedClient(lambda p, k: Reply(404), ["x"], sleep=naps.append)("p")
+    with pytest.raises(ServiceError, match="503"):
+        KeyedClient(lambda p, k: Reply(503), ["y", "z"], attempts=3)("p")
+    with pytest.raises(ValueError, match="no key"):
+        KeyedClient(lambda p, k: Reply(200), [])("p")
+
+
+def test_a_hanging_call_gives_its_place_back():
+    from concurrent.futures import ThreadPoolExecutor
+
+    policy = Policy(attempts=1, deadline=0.05, timeout_pause=0)
+    began = time.time()
+    with ThreadPoolExecutor(1) as pool:
+        got = list(pool.map(lambda p: policy.call(lambda q: time.sleep(3) if q == "hang" else q, p), ["hang", "a", "hang", "b", "quiet"]))
+    assert [g[1] for g in got] == ["timeout", "ok", "timeout", "ok", "ok"] and time.time() - began < 2
+    assert Policy(attempts=2, pause=0).call(lambda p: "", "p") == ("", "blank", 2)
+
+
+def test_a_rate_over_the_cluster(spark):
+    df = spark.range(40).select(F.col("id").cast("string").alias("prompt")).repartition(7)
+    began = time.time()
+    got = call_provider(df, RuleProvider(lambda p: f"{time.time()}"), policy=Policy(width=2, rate=20.0, at_once=8)).collect()
+    times = sorted(float(r.response) for r in got)
+    assert len(got) == 40 and times[-1] - times[0] >= 0.8 * 40 / 20 - 0.2 and time.time() - began < 60
+    assert max(sum(a <= t < a + 0.5 for t in times) for a in times) <= 14, "no half second holds more than its share of calls"
+    with pytest.raises(ValueError, match="width"):
+        Policy(rate=1.0)
+
+
 def questions(spark):
     rows = [("s", i, f"question {i} about court", "one", "two", None, "", "A") for i in range(4)]
     return spark.createDataFrame(rows, "subject string, id long, question string, A string, B string, C string, D string, answer string")
