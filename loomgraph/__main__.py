@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 from loomgraph.functions.render import FORMATS
 from loomgraph.functions.taxonomy import DEFAULT_FIELD, TAXONOMY
 from loomgraph.operators import evaluate, graph, stats, vectors
-from loomgraph.plans import classification, workflow
+from loomgraph.plans import classification, embeddings, workflow
 from loomgraph.plans.providers import HashingEncoder, Policy, encode
 from loomgraph.sources import readers, writers
-from loomgraph.sources.shared import cut
+from loomgraph.sources.shared import cut, new_dir
 
 
 def provider(name: str):
@@ -35,7 +35,7 @@ def parser() -> argparse.ArgumentParser:
             p.add_argument(f"--{n.replace('_', '-')}", default=d, type=type(d) if d is not None else str)
         return p
 
-    stage("retrieve", "questions", "triples", "output", "provider", other=None, encoder=None, top_k=100, attempts=3, concurrency=10)
+    stage("retrieve", "questions", "triples", "output", "provider", other=None, encoder=None, embeddings=None, top_k=100, attempts=3, concurrency=10)
     stage("enrich", "input", "output", "provider", template=None, delay=0.1, attempts=3, concurrency=2)
     stage("reason", "input", "output", "provider", formats="", max_triples=10, attempts=3, concurrency=10, batch=10_000)
     stage("progress", "input", "output")
@@ -83,10 +83,13 @@ def main(argv: list[str] | None = None) -> None:
     spark = SparkSession.builder.appName(f"loomgraph {a.stage}").getOrCreate()
     if a.stage == "retrieve":
         triples = cut(readers.load_subfield_triples(spark, a.triples, a.other).withColumn("triple_id", F.monotonically_increasing_id()), "triples")
-        encoder = provider(a.encoder) if a.encoder else HashingEncoder()
-        encoded = lambda df, text: encode(df, encoder, text)
+        encoder, name = (provider(a.encoder), a.encoder) if a.encoder else (HashingEncoder(), "hashing")
         questions = readers.read_questions(spark, a.questions)
-        out = workflow.retrieve(encoded(questions, "question"), encoded(triples, "text"), provider(a.provider), a.top_k, Policy(attempts=a.attempts, at_once=a.concurrency))
+        store = a.embeddings or new_dir(spark, "embeddings")
+        known = embeddings.store(triples, store, encoder, name, group="subfield")
+        print(f"{known} texts of triples were encoded")
+        with_vectors = embeddings.embedded(triples, store, name, group="subfield")
+        out = workflow.retrieve(encode(questions, encoder, "question"), with_vectors, provider(a.provider), a.top_k, Policy(attempts=a.attempts, at_once=a.concurrency))
         writers.write_subjects(out, a.output)
     elif a.stage == "enrich":
         template = readers.read_template(spark, a.template, workflow.PROMPTS["enrich"])

@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import time
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.functions.render import FORMATS
 from loomgraph.functions.taxonomy import SUBFIELDS
+from loomgraph.functions import text as text_functions
 from loomgraph.functions.text import PROMPTS, prompt
 from loomgraph.operators import graph, stats, vectors
-from loomgraph.plans import classification, views, workflow
+from loomgraph.plans import classification, embeddings, views, workflow
 from loomgraph.plans.oracles import BUCKET, CC, ISA, KG, PROTO, SAMPLE_LINES, VEC
 from loomgraph.plans.providers import KeyedClient, Policy, Reply, RuleProvider, call_provider
 from loomgraph.sources import readers, writers
@@ -215,6 +217,25 @@ def provider_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answered.unionByName(failed).drop("prompt", "bad")
 
 
+def _fails_for_brands(texts: list[str]) -> np.ndarray:
+    if any("属于" in t for t in texts):
+        raise MemoryError
+    return np.array([[len(t), t.count("#"), 1.0] for t in texts])
+
+
+@query(f"""WITH {KG}, t AS (SELECT DISTINCT domain, head || ' ' || relation || ' ' || tail AS text FROM kg), n AS (SELECT count(*) AS first FROM t)
+    SELECT domain, 'first' AS run, CASE WHEN domain = 'brand' THEN 'MemoryError' ELSE 'ok' END AS status, count(*) AS texts, CASE WHEN domain = 'brand' THEN 0 ELSE sum(length(text)) END::DOUBLE AS total, (SELECT first FROM n) AS encoded, 0::BIGINT AS encoded_again FROM t GROUP BY domain""")
+def embedding_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text of a domain once, by an encoder that fails for one domain; a second run encodes nothing, and the broken domain has no rows in what stages read."""
+    path, kg = f"{new_dir(spark, 'vectors')}/store", views.kg(spark, sf_dir)
+    texts = kg.select("domain", text_functions.textualize(F.col("head"), F.col("relation"), F.col("tail")).alias("text"))
+    first = embeddings.store(texts, path, _fails_for_brands, "lengths", group="domain")
+    again = embeddings.store(texts, path, _fails_for_brands, "lengths", group="domain")
+    total = embeddings.embedded(texts.distinct(), path, "lengths", group="domain").groupBy("domain").agg(F.sum(F.col("vec")[0]).alias("total"))
+    found = embeddings.statuses(spark, path, "lengths").withColumnRenamed("group", "domain").join(total, "domain", "left")
+    return found.select("domain", F.lit("first").alias("run"), "status", "texts", F.coalesce("total", F.lit(0.0)).alias("total"), F.lit(first).cast("long").alias("encoded"), F.lit(again).cast("long").alias("encoded_again"))
+
+
 def _letter(text: str) -> str:
     return "I say B." if "Knowledge" in text else "A"
 

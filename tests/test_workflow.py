@@ -2,11 +2,12 @@
 
 import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from loomgraph.operators import evaluate, stats, vectors
-from loomgraph.plans import workflow
+from loomgraph.plans import embeddings, workflow
 from loomgraph.plans.providers import HashingEncoder, KeyedClient, KeyRotation, Policy, RecordedProvider, Reply, RuleProvider, ServiceError, call_provider, encode
 from loomgraph.sources import readers, writers
 from loomgraph.streaming.incremental import process_new_files
@@ -134,6 +135,28 @@ def test_stages_and_resume(spark, csvs, tmp_path):
         workflow.reason_into(more, out, model, ["tables"])
 
 
+def test_embeddings_are_made_once_and_failures_stay_apart(spark, tmp_path):
+    path, calls = f"file://{tmp_path}/store", spark.sparkContext.accumulator(0)
+
+    def encoder(texts):
+        calls.add(len(texts))
+        if "bad" in texts:
+            raise OSError
+        return [[len(t), 1.0] for t in texts]
+
+    rows = [("law", "one"), ("law", "one"), ("law", None), ("law", ""), ("arts", "bad"), ("arts", "good"), (None, "one"), ("arts2", "good")]
+    df = spark.createDataFrame(rows, "sub string, text string").repartition(3)
+    assert embeddings.store(df, path, encoder, "e", group="sub", batch=2) == 6 == calls.value, "a null text reads as empty, a repeated one is encoded once"
+    assert embeddings.store(df, path, encoder, "e", group="sub") == 0 and calls.value == 6
+    found = {(r.sub, r.text, r.vec[0]) for r in embeddings.embedded(df, path, "e", group="sub").collect()}
+    assert found == {("law", "one", 3.0), ("law", None, 0.0), ("law", "", 0.0), (None, "one", 3.0), ("arts2", "good", 4.0)}, "a subfield with a failure has no vectors"
+    assert embeddings.store(df, path, lambda t: np.ones((len(t), 2)), "e", group="sub", again=True) >= 1
+    assert embeddings.embedded(df, path, "e", group="sub").count() == len(rows)
+    assert embeddings.store(df, path, lambda t: np.ones((len(t), 3)), "other", group="sub") == 6
+    assert embeddings.store(df.where("false"), f"file://{tmp_path}/none", encoder, "e") == 0
+    assert embeddings.store(df, f"file://{tmp_path}/odd", lambda t: np.ones(3), "odd") == 4 and {r.status for r in embeddings.statuses(spark, f"file://{tmp_path}/odd", "odd").collect()} == {"ValueError"}
+
+
 def test_top_k_is_sorted_and_within_candidates(spark):
     q = spark.createDataFrame([(1, [1.0, 0.0], ["a", "b"]), (2, [0.0, 0.0], ["a"]), (3, [1.0, 1.0], ["none"])], "question_id int, q array<double>, subfields array<string>")
     t = spark.createDataFrame([(1, "a", [1.0, 0.0]), (2, "a", [2.0, 0.0]), (3, "b", [0.0, 1.0]), (4, "c", [1.0, 0.0])], "triple_id int, subfield string, x array<double>")
