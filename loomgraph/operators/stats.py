@@ -24,9 +24,10 @@ def row_counts(files: DataFrame) -> DataFrame:
     return files.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count("*").alias("rows"))
 
 
-def folder_summary(counts: DataFrame) -> DataFrame:
-    """Files, rows and bytes of ``file, rows, bytes``; a file of no rows is a file that was read."""
-    return counts.agg(F.count("*").alias("files"), F.count_if(F.col("rows").isNotNull()).alias("ok"), F.count_if(F.col("rows").isNull()).alias("failed"), F.sum("rows").alias("rows"), (F.sum("bytes") / (1 << 20)).alias("mb"))
+def folder_summary(facts: DataFrame) -> DataFrame:
+    """Files, how many have rows and how many don't or can't be read, rows and MB of ``file, bytes, rows, status``."""
+    good = F.count_if(F.col("status") == "ok")
+    return facts.agg(F.count("*").alias("files"), good.alias("ok"), (F.count("*") - good).alias("failed"), F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), (F.coalesce(F.sum("bytes"), F.lit(0)) / (1 << 20)).alias("mb"))
 
 
 def class_counts(classified: DataFrame, label: str, kind: str) -> DataFrame:
@@ -65,13 +66,37 @@ def call_stats(results: DataFrame) -> DataFrame:
     return results.agg(F.count("*").alias("calls"), good.alias("successes"), (F.count("*") - good).alias("failures"), F.sum("attempts").alias("attempts"), F.coalesce(F.try_divide(good.cast("double"), F.count("*").cast("double")), F.lit(0.0)).alias("success_rate"))
 
 
-def sample_exact(df: DataFrame, n: int, seed: int = 0, key: list[str | Column] | None = None) -> DataFrame:
-    """n rows without replacement (all if fewer), the same for the same seed: the n smallest hashes, kept by a bounded heap in each task.
+def sample_exact(df: DataFrame, n: int, seed: int = 0, key: list[str | Column] | None = None, most_sorted: int = 10_000) -> DataFrame:
+    """n rows without replacement (all if fewer), the same for the same seed: those of the n smallest hashes.
 
-    The hash is MD5 of the seed and the columns as text, which other engines have too; equal rows are interchangeable.
+    The hash is MD5 of the seed and the columns as text, which other engines have too; equal rows are interchangeable. Rows are counted by leading digits of their hashes (at most 65,536
+    counts a pass) until the n-th stands among ``most_sorted`` rows at most, or among equal hashes; only those are sorted, and all before them are taken where they
+    are, so no task gets the sample. ``df`` is read once a pass and must give the same rows.
     """
     columns = [F.col(c) if isinstance(c, str) else c for c in key or df.columns]
-    return df.orderBy(F.md5(F.concat_ws("\x01", F.lit(str(seed)), *[c.cast("string") for c in columns])), *columns).limit(n)
+    hashed = df.withColumn("__h", F.md5(F.concat_ws("\x01", F.lit(str(seed)), *[c.cast("string") for c in columns])))
+    known, left = "", max(n, 0)
+    while True:
+        digits = F.substring("__h", len(known) + 1, 4)
+        counts = {r.d: r.c for r in hashed.where(F.col("__h").startswith(known)).groupBy(digits.alias("d")).agg(F.count("*").alias("c")).collect()}
+        edge = None
+        for d in sorted(counts):
+            if counts[d] > left:
+                edge = d
+                break
+            left -= counts[d]
+        if edge is None:  # all rows of the whole table
+            return df
+        known += edge
+        if left == 0 or counts[edge] <= max(most_sorted, 1) or len(known) == 32:
+            break
+    before = hashed.where(F.col("__h") < known).drop("__h")
+    if not left:
+        return before
+    among = hashed.where(F.col("__h").startswith(known))
+    if len(known) == 32 and key is None:  # copies of one row
+        return before.unionByName(df.sparkSession.range(left).select(F.lit(1).alias("__n")).join(F.broadcast(among.drop("__h").limit(1))).select(*df.columns))
+    return before.unionByName(among.orderBy("__h", *columns).limit(left).drop("__h"))
 
 
 def sample_rows(df: DataFrame, n: int, seed: int = 0, subset: list[str] | None = None) -> DataFrame:

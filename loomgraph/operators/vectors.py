@@ -112,20 +112,23 @@ def classify_within(rows: DataFrame, vector: str, key: str, classes: DataFrame,
     return _nearest(rows.where(F.col(key).cast("string").isin(list(table.names))), vector, F.col(key).cast("string"), table, threshold, default)
 
 
-def routed_top_k(questions: DataFrame, triples: DataFrame, k: int = 100, own: bool = True, block: int = 20_000) -> DataFrame:
+def routed_top_k(questions: DataFrame, triples: DataFrame, k: int = 100, own: bool = True, block: int = 20_000, question_block: int = 20_000) -> DataFrame:
     """``question_id, rank, triple_id, similarity``: each question's k most similar triples of its subfields.
 
     questions: ``question_id, q, subfields``; triples: ``triple_id, subfield, x``, all vectors of one length; rows without a vector are left out. A subfield without triples is skipped.
     own: whether a triple with the question's own id counts. Ties go to later subfields of the list, then to larger triple ids. The triples of a
-    subfield are dealt into blocks of about ``block``; its questions go to each block, where one matrix product gives the scores and only the k best
-    go on to the shuffle by question.
+    subfield are dealt into blocks of about ``block``, its questions into blocks of about ``question_block``; each pair of blocks meets in one task, where matrix products give the scores and only the k best
+    of a question go on to the shuffle by question. So the two parameters bound a task's memory.
     """
     ship(questions.sparkSession)
     asked = questions.select("question_id", unit(as_doubles(F.col("q"))).alias("q"), F.posexplode("subfields").alias("at", "subfield")).where("q is not null")
     stored = triples.select("triple_id", "subfield", unit(as_doubles(F.col("x"))).alias("x")).where("x is not null")
     blocks = triples.groupBy("subfield").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    stored = stored.join(blocks, "subfield").select("triple_id", "x", "subfield", F.pmod(F.xxhash64("triple_id"), F.col("blocks")).cast("int").alias("block"))
-    asked = asked.join(blocks, "subfield").select("question_id", "q", "at", "subfield", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    dealt = lambda df, c, n: df.withColumn(n, F.pmod(F.xxhash64(c), F.col(f"{n}s")).cast("int"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(f"{n}s") - 1)).alias(n)
+    sizes = asked.groupBy("subfield").agg(F.ceil(F.count("*") / question_block).cast("int").alias("parts")).join(blocks, "subfield")
+    stored = dealt(stored.join(sizes, "subfield"), "triple_id", "block").select("triple_id", "x", "subfield", "block", every("part"))
+    asked = dealt(asked.join(sizes, "subfield"), "question_id", "part").select("question_id", "q", "at", "subfield", "part", every("block"))
     kinds = {c: df.schema[c].dataType.simpleString() for c, df in (("question_id", questions), ("triple_id", triples))}
 
     def best(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -150,6 +153,6 @@ def routed_top_k(questions: DataFrame, triples: DataFrame, k: int = 100, own: bo
             return pa.concat_tables(out)
         return pa.table({"question_id": left.column("question_id").slice(0, 0), "at": left.column("at").slice(0, 0), "triple_id": right.column("triple_id").slice(0, 0), "similarity": pa.array([], pa.float64())})
 
-    scored = asked.groupBy("subfield", "block").cogroup(stored.groupBy("subfield", "block")).applyInArrow(best, f"question_id {kinds['question_id']}, at int, triple_id {kinds['triple_id']}, similarity double")
+    scored = asked.groupBy("subfield", "block", "part").cogroup(stored.groupBy("subfield", "block", "part")).applyInArrow(best, f"question_id {kinds['question_id']}, at int, triple_id {kinds['triple_id']}, similarity double")
     rank = F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("similarity"), F.desc("at"), F.desc("triple_id")))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("question_id", "rank", "triple_id", "similarity")

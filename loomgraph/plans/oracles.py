@@ -235,6 +235,7 @@ ORACLE_SQL = {
     "call_success_stats": """SELECT count(*) AS calls, count(*) FILTER (event_id % 7 <> 0) AS successes, count(*) FILTER (event_id % 7 = 0) AS failures, sum(event_id % 3 + 1)::BIGINT AS attempts,
         round(count(*) FILTER (event_id % 7 <> 0) / count(*)::DOUBLE, 6) AS success_rate FROM events""",
     "sample_exact_n": f"WITH {KG} SELECT domain, head, relation, tail, pos FROM kg ORDER BY md5(concat_ws(chr(1), '7', domain, head, relation, tail, pos)), domain, pos LIMIT 50",
+    "sample_half": f"WITH {KG} SELECT domain, head, relation, tail, pos FROM kg ORDER BY md5(concat_ws(chr(1), '11', domain, head, relation, tail, pos)), domain, pos LIMIT (SELECT count(*) // 2 FROM kg)",
     "sample_remainder": f"""WITH {KG}, taken AS (SELECT domain, pos FROM kg ORDER BY md5(concat_ws(chr(1), '7', domain, head, relation, tail, pos)), domain, pos LIMIT 50)
         SELECT count(*) AS rest, 50::BIGINT AS taken FROM kg WHERE (domain, pos) NOT IN (SELECT domain, pos FROM taken)""",
     "reason_caps": f"""WITH {SAMPLE_LINES}, k AS (SELECT *, row_number() OVER (PARTITION BY id, m ORDER BY i) AS r FROM good), s AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY i) AS q FROM k WHERE r <= 2)

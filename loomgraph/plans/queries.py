@@ -330,6 +330,13 @@ def sample_exact_n(spark, sf_dir):
     return stats.sample_exact(views.kg(spark, sf_dir), 50, seed=7)
 
 
+@query
+def sample_half(spark, sf_dir):
+    """Half of the rows, taken where they are."""
+    whole = views.kg(spark, sf_dir)
+    return stats.sample_exact(whole, whole.count() // 2, seed=11)
+
+
 @query
 def sample_remainder(spark, sf_dir):
     """The rows whose keys a sample doesn't hold."""

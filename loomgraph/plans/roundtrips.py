@@ -113,17 +113,17 @@ def _store(spark: SparkSession, sf_dir: str) -> str:
 @query(f"WITH RECURSIVE {STORE_SQL} SELECT * FROM s")
 def component_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges written by size group and read again, each group by its partition."""
-    path = f"{_store(spark, sf_dir)}/components"
+    path = _store(spark, sf_dir)
     parts = [readers.read_components(spark, path, g) for g in ("large", "medium", "small", "tiny")]
     return stats.union_all(dict(zip("lmst", parts, strict=True))).drop("source_file").select("src", "dst", "relation", "component", "size_group")
 
 
 @query(f"WITH RECURSIVE {STORE_SQL} SELECT src, dst, relation FROM s WHERE component = (SELECT min(component) FROM s)")
 def component_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One component, rebuilt from the store by its name."""
+    """One component, rebuilt from the partition and files that the index names."""
     path = _store(spark, sf_dir)
-    name = readers.read_components(spark, f"{path}/index").agg(F.min("component")).first()[0]
-    return readers.read_components(spark, f"{path}/components", component=name).select("src", "dst", "relation")
+    name = spark.read.parquet(f"{path}/index").agg(F.min("component")).first()[0]
+    return readers.read_component(spark, path, name).select("src", "dst", "relation")
 
 
 @query("SELECT lower(replace(replace(p_type, ' & ', '_'), ' ', '_')) AS type_dir, lower(replace(replace(p_brand, ' & ', '_'), ' ', '_')) AS brand_dir, count(*) AS n, min(p_partkey) AS first FROM part GROUP BY ALL")
@@ -150,14 +150,30 @@ def entity_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.text(path).select("domain", "value")
 
 
-@query("SELECT count(*) AS files, count(*) AS ok, 0::BIGINT AS failed, sum(n)::BIGINT AS rows FROM (SELECT count(*) AS n FROM region UNION ALL SELECT count(*) FROM nation UNION ALL SELECT count(*) FROM customer)")
-def folder_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files, rows and failures of a folder of CSV files."""
+def _folder(spark: SparkSession, sf_dir: str) -> str:
+    """CSV files with a header, one without, one that has no rows and one that is no text."""
     base = new_dir(spark, "folder")
     for t in ("region", "nation", "customer"):
         writers.write_report(views.table(spark, sf_dir, t), f"{base}/{t}")
-    files = readers.listing(spark, base, ".csv", recursive=True)
-    return stats.folder_summary(stats.row_counts(spark.read.options(**readers.CSV_OPTIONS).csv(files)).withColumn("bytes", F.lit(1))).drop("mb")
+    views.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").coalesce(1).write.csv(f"{base}/bare")
+    writers.write_report(views.table(spark, sf_dir, "region").where("false"), f"{base}/none")
+    views.table(spark, sf_dir, "region").select(F.decode(F.encode(F.lit("a,b"), "utf-8"), "utf-8").alias("value")).limit(1).coalesce(1).write.option("encoding", "UTF-16").option("header", True).csv(f"{base}/broken")
+    return base
+
+
+@query("SELECT 6::BIGINT AS files, 4::BIGINT AS ok, 2::BIGINT AS failed, sum(n)::BIGINT AS rows, true AS size_agrees FROM (SELECT count(*) AS n FROM region UNION ALL SELECT count(*) FROM nation UNION ALL SELECT count(*) FROM customer UNION ALL SELECT count(*) - 1 FROM orders)")
+def folder_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files, rows, failures and MB of a folder, of which one file is no text; the size is the one that the file system gives."""
+    base = _folder(spark, sf_dir)
+    size = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv").load(base).agg(F.sum("length")).first()[0]
+    return stats.folder_summary(readers.file_facts(spark, base)).withColumn("size_agrees", F.abs(F.col("mb") * (1 << 20) - size) < 1).drop("mb")
+
+
+@query("""SELECT status, has_header, count(*) AS files, sum(n)::BIGINT AS rows, max(columns) AS columns FROM (SELECT 'ok' AS status, true AS has_header, count(*) AS n, 5 AS columns FROM customer UNION ALL SELECT 'ok', true, count(*), 3 FROM region UNION ALL SELECT 'ok', true, count(*), 3 FROM nation UNION ALL SELECT 'ok', false, count(*) - 1, NULL FROM orders) GROUP BY ALL""")
+def header_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readable files by whether their first row is a header."""
+    facts = readers.file_facts(spark, _folder(spark, sf_dir)).where("status = 'ok'")
+    return facts.groupBy("status", "has_header").agg(F.count("*").alias("files"), F.sum("rows").alias("rows"), F.max(F.size("header")).alias("columns"))
 
 
 @query("SELECT (SELECT count(*) FROM orders) + (SELECT count(*) FROM nation) + 2 AS lines, (SELECT count(*) FROM orders) + (SELECT count(*) FROM nation) AS parsed")
@@ -252,6 +268,18 @@ def reason_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path).select("id", "origin_prediction", "edgetable_prediction", "triple_count")
 
 
+@query("SELECT 3::BIGINT AS batches, count(*) AS processed, count(*) AS total, 100.0::DOUBLE AS percentage, true AS in_order FROM part WHERE p_partkey % 2 = 0")
+def progress_by_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What three batches of a run leave in the progress table: counts grow with the time."""
+    path = new_dir(spark, "logged")
+    asked = views.table(spark, sf_dir, "part").where("p_partkey % 2 = 0").select(F.lit("s").alias("subject"), F.col("p_partkey").alias("id"), F.col("p_name").alias("question"), *[F.lit(None).cast(workflow.ENRICHED).alias(c) for c in ("relatedTriples", "hierarchical_enhancements", "enrich_triples")])
+    workflow.reason_into(asked, path, RuleProvider(_letter), ["origin"], -(-asked.count() // 3))
+    log = workflow.progress_log(spark, path)
+    grows = F.sort_array(F.collect_list(F.struct("at", "processed")))
+    ordered = F.forall(F.sequence(F.lit(1), F.size("g") - 1), lambda i: F.element_at("g", i)["processed"] <= F.element_at("g", i + 1)["processed"])
+    return log.agg(F.count("*").alias("batches"), F.max("processed").alias("processed"), F.max("total").alias("total"), F.max("percentage").alias("percentage"), grows.alias("g")).withColumn("in_order", ordered).drop("g")
+
+
 def _judge(text: str) -> str:
     return f"Perhaps [{SUBFIELDS[len(text) % len(SUBFIELDS)]}] or [{SUBFIELDS[len(text) * 7 % len(SUBFIELDS)]}] [nothing]" if len(text) % 4 else "none"
 

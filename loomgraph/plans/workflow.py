@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ from loomgraph.sources.readers import exists
 from loomgraph.sources.shared import cut, drop
 
 DIRECT = "origin"
+LOG = "batch long, processed long, total long, percentage double, at timestamp"
 ENRICHED = "array<struct<head:string,relation:string,tail:string,source:string>>"
 
 
@@ -39,6 +42,18 @@ def progress(spark: SparkSession, path: str, totals: DataFrame) -> DataFrame:
     return out.withColumn("percentage", F.coalesce(F.try_divide(100.0 * F.col("processed"), F.col("total")), F.lit(0.0))).select("subject", "processed", "total", "percentage")
 
 
+def log_progress(spark: SparkSession, path: str, batch: int, processed: int, total: int | None) -> None:
+    """Append a row with the time to the progress table beside an output; a table of its own, so that reading the output is not disturbed."""
+    row = [(batch, processed, total, None if total is None else 100.0 * processed / total if total else 0.0, datetime.now(timezone.utc))]
+    spark.createDataFrame(row, LOG).coalesce(1).write.mode("append").parquet(f"{path.rstrip('/')}_progress")
+
+
+def progress_log(spark: SparkSession, path: str) -> DataFrame:
+    """``batch, processed, total, percentage, at`` of an output, by time; none when nothing has been logged."""
+    log = f"{path.rstrip('/')}_progress"
+    return (spark.read.schema(LOG).parquet(log) if exists(spark, log) else spark.createDataFrame([], LOG)).orderBy("at", "batch")
+
+
 def retrieve(questions: DataFrame, triples: DataFrame, router: Provider, k: int = 100, policy: Policy | None = None, strict: bool = True) -> DataFrame:
     """Questions with ``subdomains`` and ``relatedTriples``.
 
@@ -96,15 +111,17 @@ def reason_into(samples: DataFrame, path: str, model: Provider, formats: list[st
     """Reason about what the output lacks and append it batch by batch; the number of samples that were left to do.
 
     A batch of about ``batch`` samples, dealt by a hash of their keys, is in the output as soon as it ends, so that a run that
-    breaks off loses the calls of one batch at most; the next run takes what is missing.
+    breaks off loses the calls of one batch at most; the next run takes what is missing. Each batch leaves a row in the progress table.
     """
     check_formats(formats or FORMATS)
     left = pending(samples, path)
     left = cut(left.withColumn("__batch", F.xxhash64("subject", "id")), "pending")
     n = left.count()
-    batches = -(-n // batch)
+    batches, seen, spark = -(-n // batch), 0, samples.sparkSession
     for k in range(batches):
         part = left.where(F.pmod("__batch", F.lit(batches)) == k).drop("__batch")
         reason(part, model, formats, **options).write.mode("append").partitionBy("subject").parquet(path)
+        seen += part.count()
+        log_progress(spark, path, k, seen, n)
     drop(left)
     return n

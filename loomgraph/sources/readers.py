@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+from concurrent.futures import ThreadPoolExecutor
 from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -139,11 +141,19 @@ def read_questions(spark: SparkSession, base: str, glob: str = "test*.parquet",
     return df.withColumns({c: F.lit(None).cast("string") for c in "ABCDEFGH" if c not in df.columns})
 
 
-def read_components(spark: SparkSession, path: str, size_group: str | None = None, component: str | None = None) -> DataFrame:
-    """A component store; a size group prunes partitions."""
-    df = spark.read.parquet(path)
-    df = df.where(F.col("size_group") == size_group) if size_group else df
-    return df.where(F.col("component") == component) if component else df
+def read_components(spark: SparkSession, path: str, size_group: str | None = None) -> DataFrame:
+    """The edges of a component store; a size group prunes partitions."""
+    df = spark.read.parquet(f"{path}/components")
+    return df.where(F.col("size_group") == size_group) if size_group else df
+
+
+def read_component(spark: SparkSession, path: str, component: str) -> DataFrame:
+    """The edges of one component: the index tells its partition and files, in which row groups are passed over by their bounds; none for a name that isn't there."""
+    found = spark.read.parquet(f"{path}/index").where(F.col("component") == component).select("size_group", "files").first()
+    reader = spark.read.option("basePath", f"{path}/components")
+    if found is None or not found.files:
+        return reader.parquet(f"{path}/components").where("false")
+    return reader.parquet(*[f"{path}/components/size_group={found.size_group}/{f}" for f in found.files]).where(F.col("component") == component)
 
 
 def read_json(spark: SparkSession, path: str, schema: str | None = None, lines: bool = False) -> DataFrame:
@@ -168,3 +178,44 @@ def json_list(x: Column, schema: str) -> Column:
 def count_lines(spark: SparkSession, paths: list[str] | str) -> int:
     """Lines of text files, counted without parsing."""
     return spark.read.text(paths).count()
+
+
+def file_facts(spark: SparkSession, folder: str, suffix: str = ".csv") -> DataFrame:
+    """``file, bytes, rows, status, has_header, header`` of every file below a folder.
+
+    rows: records less the first one; status: ok, empty (no row), unreadable (can't be opened, or isn't UTF-8); has_header: as the csv module's sniffer says of the first 1024
+    characters, null where it can't tell. Sizes and heads are read by the driver, some KB a file; lines and records are counted by all tasks.
+    """
+    fs, _ = _fs(spark, folder)
+    files = [(f, fs.getFileStatus(spark._jvm.org.apache.hadoop.fs.Path(f)).getLen()) for f in listing(spark, folder, suffix, recursive=True)]
+    if not files:
+        return spark.createDataFrame([], "file string, bytes long, rows long, status string, has_header boolean, header array<string>")
+    with ThreadPoolExecutor(16) as pool:
+        sniffed = list(pool.map(lambda f: _sniff(csvfiles.head(spark, f[0], 4096)), files))
+    known = spark.createDataFrame([(f, n, h, c) for (f, n), (h, c) in zip(files, sniffed, strict=True)], "file string, bytes long, has_header boolean, header array<string>")
+    # paths are URLs in metadata
+    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    plain = lambda c: F.regexp_replace(c, "^file:/+", "/")
+    lines = spark.read.options(lineSep="\n", ignoreCorruptFiles="true").text([f for f, _ in files]).groupBy(plain(path).alias("at")).agg(F.bool_and(F.is_valid_utf8("value")).alias("valid"))
+    checked = known.withColumn("at", plain("file")).join(lines, "at", "left").withColumn("readable", F.when(F.col("bytes") == 0, True).otherwise(F.coalesce("valid", F.lit(False))))
+    good = [r.file for r in checked.where("readable and bytes > 0").select("file").collect()]  # names the driver has listed
+    if good:
+        url = F.url_decode(F.replace(F.col("file"), F.lit("+"), F.lit("%2B")))
+        counted = csvfiles.records(spark, good).groupBy(plain(url).alias("at")).agg(F.count("*").alias("n"))
+        checked = checked.join(counted, "at", "left")
+    else:
+        checked = checked.withColumn("n", F.lit(0).cast("long"))
+    rows = F.when(F.col("readable"), F.greatest(F.coalesce("n", F.lit(0)) - 1, F.lit(0)))
+    status = F.when(~F.col("readable"), "unreadable").when(rows > 0, "ok").otherwise("empty")
+    return checked.select("file", "bytes", rows.cast("long").alias("rows"), status.alias("status"), "has_header", "header")
+
+
+def _sniff(data: bytes) -> tuple[bool | None, list[str] | None]:
+    """(whether a file's first row is a header, that row), by its first 1024 characters."""
+    text = data.decode("utf-8", "ignore")[:1024]
+    try:
+        if csv.Sniffer().has_header(text):
+            return True, next(csv.reader(text.splitlines()))
+        return False, None
+    except (csv.Error, StopIteration):
+        return None, None

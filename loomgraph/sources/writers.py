@@ -25,10 +25,17 @@ def write_labels(df: DataFrame, path: str, labels: str) -> None:
 
 
 def write_components(edges: DataFrame, labels: DataFrame, index: DataFrame, path: str) -> None:
-    """The component store: edges with their component, by size group; the index beside it."""
+    """The component store: edges by size group, sorted by component with Bloom filters; the index beside it names each component's files.
+
+    Edges are range-partitioned by component and node, so a file holds a range of components and a large component several files.
+    """
     sized = edges.join(labels, F.col("src") == F.col("node")).drop("node").join(index.select("component", "size_group"), "component")
-    sized.write.mode("overwrite").partitionBy("size_group").parquet(f"{path}/components")
-    index.write.mode("overwrite").parquet(f"{path}/index")
+    order = ["size_group", "component", "src", "dst"]
+    dealt = sized.repartitionByRange(*order).sortWithinPartitions(*order)
+    dealt.write.mode("overwrite").option("parquet.bloom.filter.enabled#component", "true").partitionBy("size_group").parquet(f"{path}/components")
+    held = edges.sparkSession.read.parquet(f"{path}/components").groupBy("component").agg(F.array_sort(F.collect_set("_metadata.file_name")).alias("files"))
+    listed = index.join(held, "component", "left").repartitionByRange("component").sortWithinPartitions("component")
+    listed.write.mode("overwrite").option("parquet.bloom.filter.enabled#component", "true").parquet(f"{path}/index")
 
 
 def write_batches(df: DataFrame, path: str, rows: int = 1_000_000) -> None:

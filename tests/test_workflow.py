@@ -1,16 +1,19 @@
 """Sources, providers and the stages end to end, with recorded answers and injected faults."""
 
+import hashlib
+import re
 import time
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomgraph.operators import evaluate, stats, vectors
+from loomgraph.operators import evaluate, graph, stats, vectors
 from loomgraph.plans import embeddings, workflow
 from loomgraph.plans.providers import HashingEncoder, KeyedClient, KeyRotation, Policy, RecordedProvider, Reply, RuleProvider, ServiceError, call_provider, encode
 from loomgraph.sources import readers, writers
-from loomgraph.streaming.incremental import process_new_files
+from loomgraph.streaming.incremental import process_new_files, sample_new_files
 
 QUIET = Policy(attempts=2, pause=0, timeout_pause=0, at_once=2)
 
@@ -164,6 +167,36 @@ def test_top_k_is_sorted_and_within_candidates(spark):
     assert got == [(1, 1, 2), (1, 2, 1), (2, 1, 2), (2, 2, 1)]
 
 
+def test_blocks_on_both_sides_change_nothing(spark):
+    rng = np.random.default_rng(1)
+    q = spark.createDataFrame([(i, rng.normal(size=4).tolist(), ["a", "b"]) for i in range(40)], "question_id int, q array<double>, subfields array<string>")
+    t = spark.createDataFrame([(i, "ab"[i % 2], rng.normal(size=4).tolist()) for i in range(90)], "triple_id int, subfield string, x array<double>")
+    found = [sorted((r.question_id, r["rank"], r.triple_id, round(r.similarity, 9)) for r in vectors.routed_top_k(q, t, 5, **blocks).collect()) for blocks in ({}, {"block": 7, "question_block": 9})]
+    assert found[0] == found[1] and len(found[0]) == 200
+
+
+def test_long_vectors_take_seconds(spark):
+    """The length of a vector is computed once, not for each component."""
+    v = spark.range(4000).select("id", F.transform(F.sequence(F.lit(1), F.lit(512)), lambda i: F.sin(i * F.col("id"))).alias("v")).cache()
+    v.count()
+    classes = spark.createDataFrame([("x", 0, [1.0] * 512), ("y", 1, [-1.0] * 512)], "name string, ord int, prototype array<double>")
+    began = time.time()
+    lengths = v.select(vectors.unit(F.col("v")).alias("u")).select(F.sqrt(vectors.dot(F.col("u"), F.col("u"))).alias("n"))
+    assert lengths.where("abs(n - 1) > 1e-9").count() == 1, "the zero vector"
+    assert vectors.classify(v, "v", classes, "name").groupBy("label").count().count() == 2
+    assert time.time() - began < 30
+
+
+def test_odd_vectors_and_classes(spark):
+    rows = spark.createDataFrame([(1, [1.0, 0.0], "k"), (2, None, "k"), (3, [1.0], "k"), (4, [0.0, 0.0], "k"), (5, [1.0, 1.0], None), (6, [1.0, 1.0], "other")], "id int, v array<double>, g string")
+    classes = spark.createDataFrame([("k", "x", 0, [1.0, 0.0]), ("k", "n", 1, None)], "g string, name string, ord int, prototype array<double>")
+    got = {r.id: (r.best_sim, r.label) for r in vectors.classify_within(rows, "v", "g", classes, "name", 0.5).collect()}
+    assert got == {1: (1.0, "x"), 2: (None, "other"), 3: (None, "other"), 4: (0.0, "other")}
+    assert {r.label for r in vectors.classify(rows, "v", classes.where("false"), "name").collect()} == {"Other"}
+    with pytest.raises(ValueError, match="more than a taxonomy"):
+        vectors.Prototypes([("", i, "c", [1.0]) for i in range(11)], most=10)
+
+
 def test_threshold_and_ties(spark):
     classes = spark.createDataFrame([("x", 0, [1.0, 0.0]), ("y", 1, [1.0, 0.0])], "name string, ord int, prototype array<double>")
     rows = spark.createDataFrame([(1, [2.0, 0.0]), (2, [-1.0, 0.0])], "id int, v array<double>")
@@ -184,6 +217,23 @@ def test_union_and_samples(spark):
     assert stats.sample_exact(a, 5).count() == 1
 
 
+def test_samples_of_any_size(spark):
+    """Against sorting: few, half, all; copies of one row make up most of a table."""
+    df = spark.range(300).select(F.col("id"), F.when(F.col("id") % 3 == 0, F.lit(None)).otherwise(F.lit("x")).alias("s")).unionByName(spark.createDataFrame([(-1, "copy")], "id long, s string").withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(500)))).drop("n")).cache()
+    in_order = [tuple(r)[1:] for r in sorted((hashlib.md5("\x01".join(["5", str(r.id), *([r.s] if r.s else [])]).encode()).hexdigest(), r.id, r.s) for r in df.collect())]
+    for n in (0, 1, 40, 399, 799, 800, 5000):
+        got = stats.sample_exact(df, n, seed=5, most_sorted=20)
+        assert Counter(map(tuple, got.collect())) == Counter(in_order[:n]), n
+    assert stats.sample_exact(df.where("false"), 3).count() == 0
+
+
+def test_sampling_half_sorts_no_half(spark):
+    df = spark.range(20_000).select("id", F.sha2(F.col("id").cast("string"), 256).alias("s"))
+    plan = stats.sample_exact(df, 10_000, most_sorted=100)._jdf.queryExecution().executedPlan().toString()
+    limits = [int(x) for x in re.findall(r"limit=(\d+)", plan)]
+    assert max(limits, default=0) <= 100 and "Exchange SinglePartition" not in plan
+
+
 def test_latency_of_odd_values(spark):
     values = {"one": [5.0], "ties": [1.0] * 7 + [2.0] * 3, None: [float(x) for x in range(1000)], "far": [*map(float, range(100)), 1e12]}
     df = spark.createDataFrame([(k, v) for k, vs in values.items() for v in vs] + [("one", None)], "k string, v double")
@@ -206,6 +256,40 @@ def test_sinks(spark, tmp_path):
     assert not writers.write_sample(df.where("false").drop("labels"), str(tmp_path / "s"))
 
 
+def test_facts_of_files(spark, tmp_path):
+    files = {"a b%+.csv": b"id,name\n1,\"x\ny\"\n2,z\n", "sub/bare.csv": b"1,2\n3,4\n5,6\n", "empty.csv": b"", "head.csv": b"id,name\n", "binary.csv": b"a,b\n\xff\xfe\x00,1\n", "x.txt": b"no"}
+    for name, data in files.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(data)
+    got = {r.file.rsplit("/", 1)[1]: (r.bytes, r.rows, r.status, r.has_header) for r in readers.file_facts(spark, f"file://{tmp_path}").collect()}
+    assert {k: v[:3] for k, v in got.items()} == {"a b%+.csv": (20, 2, "ok"), "bare.csv": (12, 2, "ok"), "empty.csv": (0, 0, "empty"), "head.csv": (8, 0, "empty"), "binary.csv": (10, None, "unreadable")}
+    assert (got["a b%+.csv"][3], got["bare.csv"][3], got["empty.csv"][3]) == (True, False, None)
+    summary = stats.folder_summary(readers.file_facts(spark, str(tmp_path))).first()
+    assert (summary.files, summary.ok, summary.failed, summary.rows, round(summary.mb * (1 << 20))) == (5, 2, 3, 4, 50)
+    assert readers.file_facts(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_one_component_is_read_from_its_files(spark, tmp_path):
+    edges = spark.range(4000).select(F.concat(F.lit("n"), F.col("id") - F.col("id") % 8).alias("src"), F.concat(F.lit("n"), F.col("id")).alias("dst"), F.lit("isa").alias("relation"))
+    triples = edges.toDF("head", "tail", "relation")
+    labels, path = graph.components(triples), str(tmp_path / "store")
+    writers.write_components(edges, labels, graph.component_index(edges, labels), path)
+    one = readers.read_component(spark, path, "n10")
+    assert one.count() == 8 and len(one.inputFiles()) == 1 and "size_group=tiny" in one.inputFiles()[0]
+    assert readers.read_components(spark, path).where("component = 'n10'").exceptAll(one).count() == 0 and readers.read_component(spark, path, "none").count() == 0
+
+
+def test_progress_and_samples_over_many_batches(spark, tmp_path):
+    """Each batch leaves its time; a sample over batches is that of all rows at once."""
+    source, target = str(tmp_path / "in"), str(tmp_path / "out")
+    spark.range(2000).repartition(200).write.parquet(source)
+    batches = process_new_files(spark, source, "id long", target, str(tmp_path / "mark"), lambda df: df, "*.parquet", files_per_batch=20)
+    log = workflow.progress_log(spark, target).collect()
+    assert [r.batch for r in log] == list(range(batches)) and batches >= 9 and sum(r.processed for r in log) == 2000 and all(a.at <= b.at for a, b in zip(log, log[1:], strict=False))
+    sample = sample_new_files(spark, source, "id long", str(tmp_path / "kept"), str(tmp_path / "mark2"), 70, seed=3, files_per_batch=50)
+    assert {r.id for r in sample.collect()} == {r.id for r in stats.sample_exact(spark.read.parquet(source), 70, seed=3).collect()}
+
+
 def test_streaming_takes_new_files_once(spark, tmp_path):
     source, target, mark = (str(tmp_path / x) for x in ("in", "out", "mark"))
     run = lambda: process_new_files(spark, source, "id long", target, mark, lambda df: df.withColumn("twice", F.col("id") * 2), "*.parquet")
