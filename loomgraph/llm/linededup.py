@@ -323,23 +323,16 @@ def line_classes(at: DataFrame, places: Positions) -> DataFrame:
 
 
 def _ids_of_rows(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str]:
-    """(docs, name of a column that tells all rows apart): the id itself where no id is null or repeats, else one in the order of
-    the ids (null last), then of a hash of the text, then of a tie number for equal rows."""
-    row, same_id, tie = unused(docs, "row", "same", "tie")
-    twice = docs.groupBy(id_col).count().where(F.col(id_col).isNull() | (F.col("count") > 1)).select(F.col(id_col).alias(same_id))
-    twice = cut(twice, "line-ids")
-    if twice.isEmpty():
+    """(docs, name of a column that tells all rows apart): the id itself where no id is null or repeats, else a number in the order of
+    the ids (null last), then of a hash of the text, then of the rows as they were read. Rows are numbered in range partitions, so rows without an id, or equal ones, however many, are no hot task."""
+    row, number, other = unused(docs, "row", "number", "other")
+    if docs.groupBy(id_col).count().where(F.col(id_col).isNull() | (F.col("count") > 1)).isEmpty():
         return docs, id_col
     rows = cut(docs.withColumn(row, F.monotonically_increasing_id()), "line-docs")
-    same = rows.join(twice, F.col(id_col).eqNullSafe(F.col(same_id)), "left_semi").select(F.col(id_col).alias("i"), F.xxhash64(text_col).alias("h"), F.col(row).alias("r"))
-    # ties are counted within buckets of the texts, so that rows without an id are no hot task
-    bucket = F.pmod("h", F.lit(1024))
-    order = F.row_number().over(Window.partitionBy("i", bucket).orderBy("h", "r"))
-    ties = same.select(F.col("r").alias(same_id), (order.cast("long") * 1024 + bucket).alias(tie))
-    known = rows.join(ties, F.col(row) == F.col(same_id), "left")
-    whole = F.coalesce(F.col(id_col).cast("decimal(20,0)"), F.lit("9223372036854775808").cast("decimal(20,0)"))
-    own = whole * F.lit(10**8).cast("decimal(9,0)") + F.coalesce(tie, F.lit(0)).cast("decimal(9,0)")
-    return cut(known.withColumn(row, own.cast("decimal(28,0)")).drop(same_id, tie), "line-docs"), row
+    order = [F.asc_nulls_last("i"), F.asc("h"), F.asc("r")]
+    thin = rows.select(F.col(id_col).alias("i"), F.xxhash64(text_col).alias("h"), F.col(row).alias("r"))
+    numbered = cut(thin.repartitionByRange(*order).sortWithinPartitions(*order).select(F.col("r").alias(other), F.monotonically_increasing_id().alias(number)), "line-ids")
+    return cut(rows.join(numbered, F.col(row) == F.col(other)).drop(row, other), "line-docs"), number
 
 
 def near_duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -342,6 +342,16 @@ def water_fill(sizes, weights, total, most):
         fixed |= set(over)
 
 
+def test_many_equal_rows_of_one_id(spark):
+    """Their order is that of the ids, however many there are, and the first of them keeps its line."""
+    same, own = "The very same line stands in all of these rows.", "Only the second document holds this other line."
+    many = spark.range(100_000).select(F.lit(1).cast("long").alias("doc_id"), F.lit(same).alias("text"))
+    few = spark.createDataFrame([(2, f"{same}\n{own}"), (3, same), (None, same)], "doc_id long, text string")
+    began = time.time()
+    got = linededup.dedup_lines(few.unionByName(many)).collect()
+    assert sorted((r.doc_id, r.text) for r in got) == [(1, same), (2, own)] and time.time() - began < 120
+
+
 def test_mixing(spark, docs):
     extra = spark.createDataFrame([(10**6, None, "src1"), (10**6 + 1, "a b c", None), (10**6 + 1, "a b c", None), (None, "d", "src1"), (10**6 + 2, "", "empty")], "doc_id long, text string, source string")
     rows = docs.select("doc_id", "text", "source").unionByName(extra)
