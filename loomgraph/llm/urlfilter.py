@@ -22,14 +22,14 @@ from loomgraph.sources.shared import ship
 
 #: Words that hosts of unwanted kinds are made of, by kind; general knowledge of what URL block lists hold.
 UNWANTED = {
-    "adult": "adult porn sex xxx nude erotic escort camgirls",
-    "gambling": "casino poker bet bets slots lottery jackpot roulette",
-    "medicine": "pills viagra cialis steroids pharma weightloss",
-    "piracy": "torrent warez crack keygen cracked serials nulled",
-    "lures": "free win bonus prize cheap discount giveaway replica",
-    "spam": "spam farm seo backlinks linkfarm clickbait",
-    "advertising": "ads adserver track tracker banner popup clicks",
-    "money": "loan loans payday forex credit quickcash",
+    "adult": "porn sex xxx nude erotic escort camgirls hentai",
+    "gambling": "poker roulette blackjack lottery jackpot slots sportsbook wager",
+    "medicine": "viagra cialis steroids pharma weightloss tramadol xanax botox",
+    "piracy": "torrent warez crack keygen cracked serials nulled bootleg",
+    "lures": "bonus prize discount giveaway replica coupon voucher sweepstake",
+    "spam": "seo backlinks linkwheel clickbait doorway autoblog phish scraper",
+    "advertising": "banner popup clicks popunder telemetry beacon affiliate sponsor",
+    "money": "loan loans payday forex credit quickcash mortgage bitcoin",
 }
 HARMLESS = (
     "news docs library school wiki garden music travel recipes science history weather forum city museum health maps books cinema sports "
@@ -62,18 +62,39 @@ def _url(host: str, k: int) -> str:
     return f"http{'s' * (k % 2)}://{lead}{host}.{('', 'example.')[k // 2 % 2]}{ENDS[k % 5]}/{PATHS[k % 10]}/{(37 * k) % 997}{tail}"
 
 
+@dataclass(frozen=True)
+class Labelled:
+    """A row of the table: its words (none of a harmless name) and its kind (empty for harmless rows) are for measuring only."""
+
+    url: str
+    blocked: bool
+    words: tuple[str, ...]
+    kind: str
+
+
+def labelled_rows() -> list[Labelled]:
+    """A small table of URLs by rule: hosts of one or two words of a kind, against hosts of harmless words and of names that mean nothing."""
+    hosts: list[tuple[str, tuple[str, ...], str]] = []
+    for kind, text in UNWANTED.items():
+        words = text.split()
+        for j, w in enumerate(words):
+            then, third = words[(j + 1) % len(words)], words[(j + 3) % len(words)]
+            hosts += [(w, (w,), kind), (f"{w}-{then}", (w, then), kind), (f"{w}{third}", (w, third), kind), (f"my{w}", (w,), kind), (f"best{w}", (w,), kind)]
+    for j, w in enumerate(HARMLESS):
+        then, third = HARMLESS[(j + 1) % len(HARMLESS)], HARMLESS[(j + 7) % len(HARMLESS)]
+        hosts += [(w, (w,), ""), (f"{w}-{then}", (w, then), ""), (f"{w}{third}", (w, third), ""), (f"best{w}", (w,), "")]
+    hosts += [(f"{_name(k)}{('', '-' + _name(k + 40))[k % 3 == 0]}", (_name(k),), "") for k in range(20 * len(HARMLESS))]
+    return [Labelled(_url(h, 7 * k), bool(kind), words, kind) for k, (h, words, kind) in enumerate(hosts)]
+
+
 def labelled_urls() -> list[tuple[str, bool]]:
-    """A small table of (url, blocked) by rule: hosts of one or two words of a kind or of neighbouring kinds, against hosts of harmless words and of names."""
-    kinds = [w.split() for w in UNWANTED.values()]
-    bad = [h for k, words in enumerate(kinds) for j, w in enumerate(words) for h in (w, f"{w}-{words[(j + 1) % len(words)]}", f"{w}{kinds[(k + 1) % len(kinds)][j % 6]}", f"{w}-{kinds[(k + 3) % len(kinds)][(j + 2) % 6]}", f"best{w}")]
-    good = [h for j, w in enumerate(HARMLESS) for h in (w, f"{w}-{HARMLESS[(j + 1) % len(HARMLESS)]}", f"{w}{HARMLESS[(j + 7) % len(HARMLESS)]}", f"best{w}")]
-    good += [f"{_name(k)}{('', '-' + _name(k + 40))[k % 3 == 0]}" for k in range(20 * len(HARMLESS))]
-    return [(_url(h, 7 * k), blocked) for hosts, blocked in ((bad, True), (good, False)) for k, h in enumerate(hosts)]
+    """(url, blocked) of the whole table."""
+    return [(r.url, r.blocked) for r in labelled_rows()]
 
 
-def held_out(url: str) -> bool:
-    """A quarter of the labelled hosts, by their hash; for measuring."""
-    return zlib.crc32(split_url(url)[0].encode()) % 4 == 2
+def held_out_word(word: str) -> bool:
+    """A quarter of all words, by their hash. A row whose words are all held out is measured, one without any is learned from, others are neither."""
+    return zlib.crc32(word.encode()) % 4 == 2
 
 
 URL = re.compile(r"[^/?#]*")
