@@ -251,3 +251,6 @@ ORACLE_SQL = {
     "scalar_accessors": """SELECT p_partkey AS id, coalesce(CASE WHEN p_partkey % 3 <> 0 THEN p_brand END, '') AS scalar_text, CASE WHEN p_partkey % 4 <> 0 THEN p_name ELSE '' END AS scalar_list,
         p_partkey % 3 <> 0 AS present_text, p_partkey % 4 <> 0 AS present_list FROM part""",
 }
+
+ORACLE_SQL |= {"sql_router": ORACLE_SQL["parse_router_strict"], "sql_answers": ORACLE_SQL["eval_accuracy_by_dataset_format"]}
+ORACLE_SQL |= {f"sql_{name}": sql for name, sql in ORACLE_SQL.items() if name.startswith("render_")}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.functions import render, text
+from loomgraph.functions import render, sqlnames, text
 from loomgraph.functions.taxonomy import SUBFIELDS, directory_name, field_of, taxonomy
 from loomgraph.operators import evaluate, graph, inference, paths, stats, vectors
 from loomgraph.plans import views, workflow
@@ -407,3 +407,34 @@ def scalar_accessors(spark, sf_dir):
     k = F.col("p_partkey")
     one, many = F.when(k % 3 != 0, F.col("p_brand")), F.when(k % 4 != 0, F.array("p_name", "p_type")).otherwise(F.array().cast("array<string>"))
     return views.table(spark, sf_dir, "part").select(k.alias("id"), text.scalar(one).alias("scalar_text"), text.scalar(many, "array<string>").alias("scalar_list"), text.present(one).alias("present_text"), text.present(many, "array<string>").alias("present_list"))
+
+
+@query
+def sql_router(spark, sf_dir):
+    """The router's parser called from SQL text."""
+    sqlnames.register(spark)
+    return spark.sql("SELECT id, array_join(loom_parse_router(response), '|') AS subfields FROM {r}", r=views.responses(spark, sf_dir))
+
+
+@query
+def sql_answers(spark, sf_dir):
+    """Accuracy of each dataset and format by SQL text."""
+    sqlnames.register(spark)
+    long = evaluate.long_predictions(views.qa_wide(spark, sf_dir)).where(views.qa_filter())
+    return spark.sql("""
+        WITH judged AS (SELECT dataset, prediction_format, loom_valid_prediction(prediction) AS valid, loom_answer_matches(answer, prediction) AS right FROM {p})
+        SELECT dataset, prediction_format, count_if(valid AND right) AS correct_count, count_if(valid) AS valid_total, count(*) AS total_samples, round(coalesce(try_divide(double(count_if(valid AND right)), double(count_if(valid))), 0.0D), 6) AS accuracy
+        FROM judged GROUP BY dataset, prediction_format""", p=long)
+
+
+def _sql_rendered(name):
+    def run(spark, sf_dir):
+        sqlnames.register(spark)
+        s = views.samples(spark, sf_dir)
+        short = F.transform(F.concat("related", "hierarchical", "enriched"), lambda x: F.struct(x["head"].alias("h"), x["relation"].alias("r"), x["tail"].alias("t")))
+        return spark.sql(f"SELECT id, loom_render_{name}(t) AS text FROM {{s}}", s=s.select("id", short.alias("t")))
+
+    return run
+
+
+QUERIES |= {f"sql_render_{'graphml' if f == 'code' else f}": _sql_rendered(f) for f in render.FORMATS}
