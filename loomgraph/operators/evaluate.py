@@ -104,3 +104,10 @@ def matrix_ranking(matrix: DataFrame, columns: list[str], page: int = 10) -> Dat
     mean = ratio(F.aggregate(values, F.lit(0.0), lambda s, v: s + v), F.size(values))
     out = ranked(matrix.withColumn("row_mean", mean), F.desc("row_mean"), F.col("dataset"))
     return out.withColumn("page", F.floor((F.col("rank") - 1) / page).cast("int"))
+
+
+def matrix_of(spark, accuracies: dict[str, dict[str, float | None]]) -> DataFrame:
+    """A matrix ``dataset, <formats>`` from figures given in code, for :func:`matrix_ranking`; formats in the order of the first dataset's, missing ones null."""
+    formats = list(dict.fromkeys(f for row in accuracies.values() for f in row))
+    rows = [(name, *[row.get(f) for f in formats]) for name, row in accuracies.items()]
+    return spark.createDataFrame(rows, ", ".join(["dataset string", *[f"`{f}` double" for f in formats]]))

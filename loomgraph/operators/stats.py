@@ -66,6 +66,16 @@ def call_stats(results: DataFrame) -> DataFrame:
     return results.agg(F.count("*").alias("calls"), good.alias("successes"), (F.count("*") - good).alias("failures"), F.sum("attempts").alias("attempts"), F.coalesce(F.try_divide(good.cast("double"), F.count("*").cast("double")), F.lit(0.0)).alias("success_rate"))
 
 
+def throughput(results: DataFrame, began: str, seconds: str, *keys: str) -> DataFrame:
+    """``keys, successes, elapsed, qps``: successes a second from the first call's beginning to the last one's end; 0 where no time passes.
+
+    results: ``status`` and each call's beginning and length in seconds; calls without either count for nothing.
+    """
+    timed = results.where(F.col(began).isNotNull() & F.col(seconds).isNotNull())
+    summed = timed.groupBy(*keys).agg(F.count_if(F.col("status") == "ok").alias("successes"), (F.max(F.col(began) + F.col(seconds)) - F.min(began)).cast("double").alias("elapsed"))
+    return summed.withColumn("qps", F.coalesce(F.try_divide(F.col("successes").cast("double"), "elapsed"), F.lit(0.0)))
+
+
 def sample_exact(df: DataFrame, n: int, seed: int = 0, key: list[str | Column] | None = None, most_sorted: int = 10_000) -> DataFrame:
     """n rows without replacement (all if fewer), the same for the same seed: those of the n smallest hashes.
 

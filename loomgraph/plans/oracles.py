@@ -234,6 +234,8 @@ ORACLE_SQL = {
         SELECT event_type, len(v)::BIGINT AS n, v[1] AS min, v[-1] AS max, round(list_avg(v), 6) AS mean, """ + ", ".join(f"v[least(floor(len(v) * {q})::BIGINT, len(v) - 1) + 1] AS p{round(q * 100)}" for q in (0.5, 0.9, 0.95, 0.99)) + " FROM l",
     "call_success_stats": """SELECT count(*) AS calls, count(*) FILTER (event_id % 7 <> 0) AS successes, count(*) FILTER (event_id % 7 = 0) AS failures, sum(event_id % 3 + 1)::BIGINT AS attempts,
         round(count(*) FILTER (event_id % 7 <> 0) / count(*)::DOUBLE, 6) AS success_rate FROM events""",
+    "call_throughput": """WITH t AS (SELECT event_type, count(*) FILTER (event_id % 7 <> 0) AS successes, max(event_id / 10.0::DOUBLE + abs(value)) - min(event_id / 10.0::DOUBLE) AS elapsed FROM events WHERE value IS NOT NULL GROUP BY 1)
+        SELECT event_type, successes, round(elapsed, 6) AS elapsed, round(successes / elapsed, 6) AS qps FROM t""",
     "sample_exact_n": f"WITH {KG} SELECT domain, head, relation, tail, pos FROM kg ORDER BY md5(concat_ws(chr(1), '7', domain, head, relation, tail, pos)), domain, pos LIMIT 50",
     "sample_half": f"WITH {KG} SELECT domain, head, relation, tail, pos FROM kg ORDER BY md5(concat_ws(chr(1), '11', domain, head, relation, tail, pos)), domain, pos LIMIT (SELECT count(*) // 2 FROM kg)",
     "sample_remainder": f"""WITH {KG}, taken AS (SELECT domain, pos FROM kg ORDER BY md5(concat_ws(chr(1), '7', domain, head, relation, tail, pos)), domain, pos LIMIT 50)
@@ -241,8 +243,8 @@ ORACLE_SQL = {
     "reason_caps": f"""WITH {SAMPLE_LINES}, k AS (SELECT *, row_number() OVER (PARTITION BY id, m ORDER BY i) AS r FROM good), s AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY i) AS q FROM k WHERE r <= 2)
         SELECT ids.id, coalesce(string_agg(head || '|' || relation || '|' || tail, ';' ORDER BY i), '') AS triples FROM ids LEFT JOIN (SELECT * FROM s WHERE q <= 4) s USING (id) GROUP BY ids.id""",
     "workflow_progress": "SELECT o_orderpriority AS subject, count(*) FILTER (o_orderkey % 3 = 0) AS processed, count(*) AS total, round(100.0 * count(*) FILTER (o_orderkey % 3 = 0) / count(*), 6) AS percentage FROM orders GROUP BY 1",
-    "taxonomy_lookup": f"""WITH x(subfield, ord) AS (VALUES {TAX_ROWS}), f AS (SELECT *, {FIELD} AS field FROM x)
-        SELECT field, lower(replace(replace(field, ' & ', '_'), ' ', '_')) AS field_path, subfield, lower(replace(replace(subfield, ' & ', '_'), ' ', '_')) AS subfield_path, ord::INT AS ord, field AS looked_up, 'Other' AS unknown FROM f""",
+    "taxonomy_lookup": f"""WITH x(subfield, ord) AS (VALUES {TAX_ROWS}), f AS (SELECT *, {FIELD} AS field FROM x), p AS (SELECT p_partkey AS id, {_sub('p_partkey')} AS subfield FROM part)
+        SELECT id, field, lower(replace(replace(field, ' & ', '_'), ' ', '_')) AS field_path, subfield, lower(replace(replace(subfield, ' & ', '_'), ' ', '_')) AS subfield_path, ord::INT AS ord, field AS looked_up, 'Other' AS unknown FROM p JOIN f USING (subfield)""",
     "field_directories": "SELECT p_partkey AS id, lower(replace(replace(p_type || ' & Co', ' & ', '_'), ' ', '_')) AS dir FROM part",
     "textualized_triples": f"""WITH {KG}, k AS (SELECT domain, pos, head AS h, coalesce(CASE WHEN pos % 4 <> 0 THEN relation END, 'nan') AS r, tail AS t FROM kg)
         SELECT domain, pos, h || ' ' || r || ' ' || t AS retrieval, h || ' -> ' || r || ' -> ' || t AS classification FROM k""",

@@ -325,6 +325,13 @@ def call_success_stats(spark, sf_dir):
     return _rounded(stats.call_stats(e), "success_rate")
 
 
+@query
+def call_throughput(spark, sf_dir):
+    """Calls that begin ten a second and take as long as their value."""
+    e = views.table(spark, sf_dir, "events").select("event_type", F.when(F.col("event_id") % 7 == 0, "timeout").otherwise("ok").alias("status"), (F.col("event_id") / 10.0).alias("began"), F.abs("value").alias("seconds"))
+    return _rounded(stats.throughput(e, "began", "seconds", "event_type"), "elapsed", "qps")
+
+
 @query
 def sample_exact_n(spark, sf_dir):
     return stats.sample_exact(views.kg(spark, sf_dir), 50, seed=7)
@@ -347,7 +354,10 @@ def sample_remainder(spark, sf_dir):
 
 @query
 def taxonomy_lookup(spark, sf_dir):
-    return taxonomy(spark).withColumn("looked_up", field_of(F.col("subfield"))).withColumn("unknown", field_of(F.concat(F.col("subfield"), F.lit("?"))))
+    """The subfield of every part with its field and folders, by the table of the taxonomy and by its function."""
+    parts = views.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), views.subfield_at(F.col("p_partkey")).alias("subfield"))
+    found = parts.join(taxonomy(spark), "subfield")
+    return found.withColumn("looked_up", field_of(F.col("subfield"))).withColumn("unknown", field_of(F.concat(F.col("subfield"), F.lit("?"))))
 
 
 @query

@@ -175,9 +175,17 @@ def json_list(x: Column, schema: str) -> Column:
     return F.coalesce(F.from_json(x, schema), F.array().cast(schema))
 
 
-def count_lines(spark: SparkSession, paths: list[str] | str) -> int:
-    """Lines of text files, counted without parsing."""
-    return spark.read.text(paths).count()
+def count_methods(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """``file, rows, records, lines, line_breaks`` of CSV files: ways to count that differ.
+
+    rows: records but the header; records: what quotes hold together counts once, empty lines don't count; lines: without a look at quotes; line_breaks: one less than lines where the last line doesn't end.
+    One scan counts lines, and bytes that are no line breaks.
+    """
+    text = spark.read.option("lineSep", "\n").text(paths)
+    lines = text.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count("*").alias("lines"), (F.max("_metadata.file_size") - F.sum(F.octet_length("value"))).alias("line_breaks"))
+    records = csvfiles.records(spark, paths).groupBy("file").agg(F.count("*").alias("records"))
+    counted = lines.join(records, "file", "left").withColumn("records", F.coalesce("records", F.lit(0)))
+    return counted.select("file", F.greatest(F.col("records") - 1, F.lit(0)).alias("rows"), "records", "lines", "line_breaks")
 
 
 def file_facts(spark: SparkSession, folder: str, suffix: str = ".csv") -> DataFrame:

@@ -211,6 +211,17 @@ def test_overall_is_the_sum_of_cells(spark):
     assert bands["Excellent (90-100%)"] == 1 and sum(bands.values()) == 2
 
 
+def test_a_matrix_from_figures_is_ranked(spark):
+    matrix = evaluate.matrix_of(spark, {"a": {"x": 0.5, "y": 0.7}, "b": {"y": 0.9}, "c": {"x": 0.1, "y": None}})
+    assert matrix.columns == ["dataset", "x", "y"]
+    assert [(r.dataset, round(r.row_mean, 9), r["rank"]) for r in evaluate.matrix_ranking(matrix, ["x", "y"], 2).orderBy("rank").collect()] == [("b", 0.9, 1), ("a", 0.6, 2), ("c", 0.1, 3)]
+
+
+def test_throughput(spark):
+    calls = spark.createDataFrame([("ok", 0.0, 2.0), ("ok", 1.0, 3.0), ("timeout", 3.5, 0.5), ("ok", None, 1.0)], "status string, began double, seconds double")
+    assert stats.throughput(calls, "began", "seconds").first()[:] == (2, 4.0, 0.5) and stats.throughput(calls.limit(1).withColumn("seconds", F.lit(0.0)), "began", "seconds").first().qps == 0.0
+
+
 def test_union_and_samples(spark):
     a, b = spark.createDataFrame([("x", "y")], "Head string, Tail string"), spark.createDataFrame([("z",)], "HEAD string")
     assert {(r.head, r.tail, r.source_file) for r in stats.union_all({"a": a, "b": b}).collect()} == {("x", "y", "a"), ("z", None, "b")}
