@@ -100,6 +100,7 @@ def main(argv: list[str] | None = None) -> None:
         print(f"{n} samples were left to do")
     elif a.stage == "progress":
         workflow.progress(spark, a.output, spark.read.parquet(a.input).groupBy("subject").agg(F.count("*").alias("total"))).show(100, False)
+        workflow.progress_log(spark, a.output).show(100, False)
     elif a.stage == "evaluate":
         cells = evaluate.accuracy(evaluate.long_predictions(spark.read.parquet(a.input).withColumnRenamed("subject", "dataset"))).cache()
         reports = {"detailed": cells, "overall": evaluate.overall(cells), "datasets": evaluate.dataset_summary(cells), "matrix": evaluate.accuracy_matrix(cells), "coverage": evaluate.format_coverage(cells)}
@@ -138,8 +139,9 @@ def main(argv: list[str] | None = None) -> None:
     elif a.stage == "sample":
         writers.write_sample(stats.sample_exact(readers.read_triples(spark, [a.csv]).drop("source_file"), a.rows, a.seed), a.output)
     elif a.stage == "count":
-        files = readers.listing(spark, a.folder, ".csv", recursive=True)
-        stats.row_counts(spark.read.options(**readers.CSV_OPTIONS).csv(files)).show(1000, False)
+        facts = readers.file_facts(spark, a.folder)
+        facts.drop("header").show(1000, False)
+        stats.folder_summary(facts).show()
 
 
 if __name__ == "__main__":

@@ -50,6 +50,27 @@ def test_label_classify_subclassify_merge(spark, triples, tmp_path, capsys):
     assert sorted((r.head, r.source_file) for r in merged.collect()) == [("a", "a.csv"), ("b", "a.csv"), ("q", "x.csv")]
 
 
+def router():
+    return RuleProvider(lambda p: "Answer: [law]")
+
+
+def test_retrieve_keeps_subjects_and_embeddings(spark, tmp_path, capsys):
+    """A subject with a blank and signs in its name, an unreadable file among its files, a store that a second run only reads."""
+    folder = tmp_path / "q/high school 5%+"
+    spark.createDataFrame([(1, "which court?", "x")], "id long, question string, A string").coalesce(1).write.parquet(str(folder))
+    next(folder.glob("part*.parquet")).rename(folder / "test-0.parquet")
+    (folder / "test-broken.parquet").write_bytes(b"no parquet")
+    (tmp_path / "kg/social_sciences/law").mkdir(parents=True)
+    (tmp_path / "kg/social_sciences/law/a.csv").write_text("head,relation,tail\ncourt,is,place\n\"a\nb\",r,c\n")
+    run = lambda out: main(["retrieve", "--questions", str(tmp_path / "q"), "--triples", str(tmp_path / "kg"), "--output", str(tmp_path / out), "--provider", "test_cli:router", "--embeddings", str(tmp_path / "store")])
+    run("one")
+    assert "2 texts of triples were encoded" in capsys.readouterr().out
+    row = spark.read.parquet(str(tmp_path / "one")).first()
+    assert row.subject == "high school 5%+" and row.subdomains == ["law"] and {t.head for t in row.relatedTriples} == {"court", "a\nb"}
+    run("two")
+    assert "0 texts of triples were encoded" in capsys.readouterr().out
+
+
 def test_evaluate(spark, tmp_path):
     rows = [("s", 1, "A", "A"), ("s", 2, "B", "x")]
     spark.createDataFrame(rows, "subject string, id long, answer string, origin_prediction string").write.parquet(str(tmp_path / "in"))
