@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from loomgraph.llm.names import unused
 from loomgraph.sources.shared import ship
 
 UNDETERMINED = "und"
@@ -145,15 +146,16 @@ def predict(docs: DataFrame, model: LanguageFilters, text_col: str = "text", pre
     ship(spark)
     shared = spark.sparkContext.broadcast(model)  # filters of a size set by the parameters
     kept = docs.drop(pred_col, score_col)
-    names = [*kept.columns, pred_col, score_col]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = [shared.value.predict(t.as_py()) for t in batch.column(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([x[0] for x in out]), pa.array([x[1] for x in out], pa.float64())], names)
+    @F.arrow_udf("struct<lang:string,score:double>")
+    def guess(texts: pa.Array) -> pa.Array:
+        out = [shared.value.predict(t.as_py()) for t in texts]
+        return pa.StructArray.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64())], names=["lang", "score"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
-    return kept.select("*", F.col(text_col).cast("string").alias("__text")).mapInArrow(run, f"{schema}, `{pred_col}` string, `{score_col}` double")
+    # only the text travels to Python, and once: a filter on what comes back must not judge again
+    (found,) = unused(kept, "guess")
+    judged = kept.withColumn(found, guess.asNondeterministic()(F.col(text_col).cast("string")))
+    return judged.select(*kept.columns, F.col(f"{found}.lang").alias(pred_col), F.col(f"{found}.score").alias(score_col))
 
 
 def held_out(id_col: str = "doc_id"):
