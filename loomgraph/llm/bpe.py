@@ -39,10 +39,10 @@ NO_RULE = (2**40, -1)
 class WordBPE:
     """Encoder and decoder for a ``tokenizers`` BPE file whose words end in a suffix and never hold white space.
 
-    cache: entries kept of words' and of chunks' results; a full cache is emptied, so memory is bounded (about 100 MB, which a worker keeps between tasks).
+    cache: entries kept of words' and of chunks' results; a full cache is emptied, so memory is bounded (some 250 MB, which a worker keeps between tasks).
     """
 
-    def __init__(self, path: str, cache: int = 150_000):
+    def __init__(self, path: str, cache: int = 400_000):
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as file:
