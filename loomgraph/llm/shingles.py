@@ -9,6 +9,9 @@ order is in which all sets are sorted. The order puts shingles that are frequent
 only how many candidates there are, never whether a pair is found. Equal sets are one node. Each group of sets
 that share such a shingle is first compared with its smallest set alone; what that leaves in different components is
 then compared pair by pair, so that groups of near copies don't make all their pairs.
+
+Nearly all candidates are false, and a set is larger than its text. So sets are never stored: a sketch of fixed size rules out pairs first, and only the
+texts of what is left are fetched and compared.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm.simhash import hamming_components, majority, shingle_hashes
@@ -27,15 +30,28 @@ from loomgraph.operators.components import connected_components
 from loomgraph.sources.shared import cut, drop, ship
 
 
+#: Bits of a sketch.
+SKETCH = 1024
+
+
+def sketch_of(hashes: np.ndarray) -> np.ndarray:
+    """Parities of the number of a set's hashes in each of :data:`SKETCH` bins, as longs.
+
+    A hash that only one of two sets has changes one bit, so sketches differ in no more bits than the sets in hashes.
+    """
+    odd = np.bincount((hashes >> np.uint64(20)).astype(np.int64) & (SKETCH - 1), minlength=SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def prefix_size(n: int, least: float) -> int:
     """How many shingles of a set of n have to be looked up."""
     return n - math.ceil(least * n - 1e-9) + 1 if n else 0
 
 
 def shingle_sets(docs: DataFrame, id_col: str, text_col: str, words: int, least: float, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """``id, key, n, fp, prefix, hashes``: a row for each row; ``key`` is the 128-bit identity of the set, ``fp`` the text's fingerprint, ``hashes`` the whole set in the common order.
+    """``id, key, n, fp, prefix, sketch, t1, t2``: a row for each row; ``key`` is the 128-bit identity of the set, ``fp`` the text's fingerprint, ``t1`` and ``t2`` are that of the text.
 
-    frequent: sorted hashes and their counts. Texts of fewer words are one shingle; texts without words are the empty set.
+    frequent: sorted hashes and their counts, which give the order of prefixes. Texts of fewer words are one shingle; texts without words are the empty set.
     """
     known, counts = frequent
 
@@ -43,23 +59,27 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, words: int, least:
         for batch in batches:
             for a in range(0, batch.num_rows, 512):
                 part = batch.slice(a, 512)
-                keys, sizes, fps, firsts, sets = [], [], [], [], []
+                keys, sizes, fps, firsts, sketches = [], [], [], [], []
                 for text in part.column(1):
                     h = shingle_hashes(text.as_py(), words)
                     fps.append(majority(h))
                     h = np.unique(h)
                     keys.append(xxhash.xxh3_128_digest(h.astype("<u8").tobytes()))
+                    sketches.append(sketch_of(h))
                     if len(known) and len(h):
                         at = np.minimum(np.searchsorted(known, h), len(known) - 1)
                         h = h[np.argsort(np.where(known[at] == h, counts[at], 0), kind="stable")]
                     sizes.append(len(h))
                     firsts.append(h[: prefix_size(len(h), least)].view(np.int64))
-                    sets.append(h.view(np.int64))
-                lists = [pa.ListArray.from_arrays(np.cumsum([0, *map(len, x)]).astype(np.int32), np.concatenate(x)) for x in (firsts, sets)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(np.array(fps, np.uint64).view(np.int64)), *lists], ["id", "key", "n", "fp", "prefix", "hashes"])
+                lists = [pa.ListArray.from_arrays(np.cumsum([0, *map(len, x)]).astype(np.int32), np.concatenate(x)) for x in (firsts, sketches)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(np.array(fps, np.uint64).view(np.int64)), *lists, part.column(2), part.column(3)], ["id", "key", "n", "fp", "prefix", "sketch", "t1", "t2"])
 
-    picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string"))
-    return picked.mapInArrow(run, f"id {picked.schema[0].dataType.simpleString()}, key binary, n int, fp bigint, prefix array<bigint>, hashes array<bigint>")
+    picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).select("id", "text", *_text_identity("text"))
+    return picked.mapInArrow(run, f"id {picked.schema[0].dataType.simpleString()}, key binary, n int, fp bigint, prefix array<bigint>, sketch array<bigint>, t1 bigint, t2 bigint")
+
+
+def _text_identity(text: str) -> list[Column]:
+    return [F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2")]
 
 
 def frequent_shingles(docs: DataFrame, text_col: str, words: int, sample: int, most: int = 100_000) -> tuple[np.ndarray, np.ndarray]:
@@ -122,15 +142,46 @@ def _groups(sets: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "gid binary, members array<struct<n:int,key:binary>>").dropDuplicates(["gid"])
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """``src, dst`` of the pairs ``a, b`` of keys whose sets are as similar as that."""
-    ends = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
-    whole = cut(sets.select("key", "hashes").join(ends, "key", "left_semi").dropDuplicates(["key"]), "shingle-ends")
-    x = whole.select(F.col("key").alias("a"), F.col("hashes").alias("x"))
-    y = whole.select(F.col("key").alias("b"), F.col("hashes").alias("y"))
-    both = F.size(F.array_intersect("x", "y"))
-    links = cut(pairs.join(x, "a").join(y, "b").where(both / (F.size("x") + F.size("y") - both) >= least).select(F.col("a").alias("src"), F.col("b").alias("dst")), "shingle-links")
+def _possible(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs ``a, b`` of keys that their sketches don't rule out.
+
+    Sets of n and m hashes with a similarity of ``least`` differ in (n + m)(1 - least) / (1 + least) hashes at most, and their sketches in no more bits.
+    """
+    sketch = sets.select("key", "n", "sketch").dropDuplicates(["key"])
+    x = sketch.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("x"))
+    y = sketch.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("y"))
+    apart = F.aggregate(F.zip_with("x", "y", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
+    fits = apart <= (F.col("na") + F.col("nb")) * ((1 - least) / (1 + least)) + 1e-6
+    return cut(pairs.join(x, "a").join(y, "b").where(fits).select("a", "b"), "shingle-possible", dictionary=False)
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, words: int, least: float, report: list[int] | None = None) -> DataFrame:
+    """``src, dst`` of the pairs ``a, b`` of keys whose sets are as similar as that; texts: ``t1, t2, text`` of all rows. report: gets the number of pairs that are compared."""
+    possible = _possible(pairs, sets, least)
+    if report is not None:
+        report.append(possible.count())
+    ends = possible.select(F.col("a").alias("key")).union(possible.select("b")).distinct()
+    # of each set one text
+    named = sets.select("key", "t1", "t2").join(ends, "key", "left_semi").groupBy("key").agg(F.min(F.struct("t1", "t2")).alias("t")).select("key", "t.*")
+    whole = cut(texts.join(named, ["t1", "t2"]).select("key", "text").dropDuplicates(["key"]), "shingle-ends")
+    x = whole.select(F.col("key").alias("a"), F.col("text").alias("x"))
+    y = whole.select(F.col("key").alias("b"), F.col("text").alias("y"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, q = None, np.empty(0, np.uint64)
+        for batch in batches:
+            keep = []
+            for b, x, y in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+                p = np.unique(shingle_hashes(x.as_py(), words))
+                # pairs come from the join by b
+                last, q = b, q if b == last else np.unique(shingle_hashes(y.as_py(), words))
+                both = len(np.intersect1d(p, q, assume_unique=True))
+                keep.append(both / (len(p) + len(q) - both) >= least)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["src", "dst"]).filter(pa.array(keep, pa.bool_()))
+
+    links = cut(possible.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "src binary, dst binary"), "shingle-links")
     drop(whole)
+    drop(possible)
     return links
 
 
@@ -143,7 +194,7 @@ def _by_fingerprint(sets: DataFrame, least: float, max_bits: int) -> DataFrame:
     return members.join(first, "component").where((F.col("key") != F.col("a")) & (F.col("na") >= least * F.col("n") - 1e-9)).select("a", F.col("key").alias("b"))
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8, sample: int = 20_000, max_bits: int = 3) -> DataFrame:
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8, sample: int = 20_000, max_bits: int = 3, report: list[int] | None = None) -> DataFrame:
     """``id_col, component_id`` of every row: the smallest id reachable by links of Jaccard similarity ``least`` or more.
 
     Rows without an id take the component of their text; a component that only such rows have is null. Rows that repeat an id stay repeated. Null and blank texts are copies of each
@@ -153,13 +204,15 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ship(docs.sparkSession)
     sets = cut(shingle_sets(docs, id_col, text_col, words, least, frequent_shingles(docs, text_col, words, sample)), "shingle-sets")
     alike = cut(_by_fingerprint(sets, least, max_bits), "shingle-pairs")
-    early = _verified(alike, sets, least)
+    texts = docs.select(F.col(text_col).cast("string").alias("text")).select("text", *_text_identity("text"))
+    verified = lambda pairs: _verified(pairs, sets, texts, words, least, report)
+    early = verified(alike)
     groups = cut(_groups(sets), "shingle-groups")
     fits = F.col("na") >= least * F.col("nb") - 1e-9
     first = F.col("members")[0]
     star = groups.select(first["key"].alias("a"), first["n"].alias("na"), F.explode(F.slice("members", 2, F.size("members") - 1)).alias("m"))
     star = cut(star.select("a", "na", F.col("m.key").alias("b"), F.col("m.n").alias("nb")).where(fits).select("a", "b").distinct(), "shingle-pairs")
-    links = early.union(_verified(star.join(alike, ["a", "b"], "left_anti"), sets, least))
+    links = early.union(verified(star.join(alike, ["a", "b"], "left_anti")))
     known = connected_components(links)
     labelled = groups.select("gid", F.explode("members").alias("m")).select("gid", F.col("m.n").alias("n"), F.col("m.key").alias("key"))
     labelled = labelled.join(known, F.col("key") == F.col("node"), "left").select("gid", "n", "key", F.coalesce("component", "key").alias("c"))
@@ -170,7 +223,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ahead = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
     rest = a.join(b, "gid").where(ahead & fits & (F.col("ca") != F.col("cb"))).select("a", "b").distinct()
     rest = cut(rest.join(star, ["a", "b"], "left_anti"), "shingle-pairs")
-    more = _verified(rest, sets, least)
+    more = verified(rest)
     labels = connected_components(links.union(more))
     rows = sets.select(F.col("id").alias(id_col), "key").join(labels, F.col("key") == F.col("node"), "left").select(id_col, F.coalesce("component", "key").alias("c"))
     rows = cut(rows, "shingle-rows")

@@ -217,6 +217,27 @@ def test_near_copies_of_the_pipeline(spark):
     assert shingles.near_copies(docs.where("false")).count() == 0
 
 
+def test_near_copies_fetch_texts_of_possible_pairs_only(spark):
+    """Documents that share a phrase are candidates; sketches rule them out before any text moves, and never a pair that links."""
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    phrase = " ".join(word() for _ in range(20))
+    texts = [phrase + " " + " ".join(word() for _ in range(300)) for _ in range(60)]
+    texts += [texts[0].rsplit(" ", 30)[0]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    none = (np.empty(0, np.uint64), np.empty(0))
+    candidates = shingles._groups(shingles.shingle_sets(docs, "doc_id", "text", 5, 0.8, none)).selectExpr("max(size(members))").first()[0]
+    report = []
+    got = {r.doc_id: r.component_id for r in shingles.near_copies(docs, sample=0, report=report).collect()}
+    assert candidates > 30 and sum(report) == 1
+    assert got == {i: i for i in range(60)} | {60: 0}
+    for n, m in ((5, 1), (40, 8), (900, 180), (9000, 900)):
+        a = np.unique(np.array([rng.getrandbits(64) for _ in range(n)], np.uint64))
+        b = np.unique(np.concatenate([a[m // 2 :], np.array([rng.getrandbits(64) for _ in range(m - m // 2)], np.uint64)]))
+        x, y = (shingles.sketch_of(h).view(np.uint64) for h in (a, b))
+        assert len(x) == shingles.SKETCH // 64 and np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b))
+
+
 def edits(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
