@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from loomgraph.functions.taxonomy import DEFAULT_FIELD
 from loomgraph.functions.text import PROMPTS, bracket_labels, prompt, textualize
 from loomgraph.operators import graph, stats, vectors
-from loomgraph.plans.providers import Policy, Provider, call_provider
+from loomgraph.plans.providers import Policy, Provider, call_provider, spread
 from loomgraph.sources import readers
 from loomgraph.sources.shared import cut
 
@@ -25,7 +25,7 @@ def label_triples(triples: DataFrame, model: Provider, classes: list[str], defau
 
     An answer without a known class gives ``default``, or no row when that is None. Take a sample first (:func:`stats.sample_exact`).
     """
-    asked = text_of(triples, "__text").withColumn("prompt", prompt(PROMPTS["judge"], labels=F.lit(", ".join(classes)), triple=F.col("__text")))
+    asked = text_of(spread(triples), "__text").withColumn("prompt", prompt(PROMPTS["judge"], labels=F.lit(", ".join(classes)), triple=F.col("__text")))
     answered = cut(call_provider(asked, model, policy=policy).drop("prompt", "__text", "status", "attempts"), "labelled")
     return answered.withColumn("label", F.explode(bracket_labels(F.col("response"), classes, default))).drop("response")
 

@@ -12,7 +12,6 @@ import queue
 import threading
 import time
 from collections.abc import Callable, Iterator
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from typing import Protocol
 
@@ -207,14 +206,17 @@ class Policy:
 
     def call(self, provider: Provider, prompt: str, pace: Pace | None = None) -> tuple[str, str, int]:
         """(text, status, attempts): status is ok, empty (no prompt), blank (no answer), timeout, http_<status> or the error's name."""
+        return self.attempt(lambda p: within(self.deadline, provider, p), prompt, pace)
+
+    def attempt(self, ask: Callable[[str], str], prompt: str, pace: Pace | None = None, begin: int = 0, status: str = "error") -> tuple[str, str, int]:
+        """What :meth:`call` gives, from attempt ``begin`` on; ``ask`` keeps the deadline."""
         if not (prompt or "").strip():
             return "", "empty", 0
-        status = "error"
-        for n in range(self.attempts):
+        for n in range(begin, self.attempts):
             try:
                 if pace:
                     pace.wait()
-                text = within(self.deadline, provider, prompt)
+                text = ask(prompt)
                 if self.delay:
                     self.sleep(self.delay)
                 if text:
@@ -230,6 +232,73 @@ class Policy:
         return "", status, self.attempts
 
 
+class Calls:
+    """The calls of a batch, by ``at_once`` threads that take prompt after prompt; a call beyond the deadline loses its thread to a new one, which goes on with the prompt's next attempt.
+
+    So a call costs no thread of its own, and a hanging one still holds neither a place among the calls at once nor the process's end.
+    """
+
+    def __init__(self, policy: Policy, provider: Provider, prompts: list[str], pace: Pace | None = None):
+        self.policy, self.provider, self.prompts, self.pace = policy, provider, prompts, pace
+        self.out: list = [None] * len(prompts)
+        self.next, self.left, self.lock, self.ended = 0, len(prompts), threading.Lock(), threading.Event()
+        #: [prompt's number, attempts begun, when the call began or None] of each thread that counts
+        self.places: list[list] = []
+
+    def work(self, place: list, begin: int) -> None:
+        """Take prompts until none is left; the first is the place's own, from attempt ``begin`` on."""
+
+        def ask(prompt: str) -> str:
+            place[1] += 1
+            place[2] = time.monotonic()
+            try:
+                return self.provider(prompt)
+            finally:
+                place[2] = None
+
+        while True:
+            i = place[0]
+            try:
+                place[1] = begin
+                if begin:
+                    self.policy.sleep(self.policy.timeout_pause * begin)
+                done = self.policy.attempt(ask, self.prompts[i], self.pace, begin, "timeout" if begin else "error")
+            except BaseException as error:  # a place must not be lost
+                done = "", type(error).__name__, place[1]
+            with self.lock:
+                if not any(p is place for p in self.places):
+                    return  # given up: another thread has the prompt
+                self.out[i], begin = done, 0
+                self.left -= 1
+                if not self.left:
+                    self.ended.set()
+                if self.next >= len(self.prompts):
+                    self.places = [p for p in self.places if p is not place]
+                    return
+                place[0], self.next = self.next, self.next + 1
+
+    def start(self, i: int, begin: int = 0) -> None:
+        place = [i, begin, None]
+        self.places.append(place)
+        threading.Thread(target=self.work, args=(place, begin), daemon=True).start()
+
+    def run(self) -> list[tuple[str, str, int]]:
+        with self.lock:
+            while self.next < min(self.policy.at_once, len(self.prompts)):
+                self.next += 1
+                self.start(self.next - 1)
+        limit = self.policy.deadline
+        while self.left and not self.ended.wait(None if limit is None else min(1.0, limit / 4)):
+            with self.lock:
+                now = time.monotonic()
+                for place in list(self.places):
+                    since = place[2]
+                    if since is not None and now - since > limit:
+                        self.places = [p for p in self.places if p is not place]
+                        self.start(place[0], place[1])
+        return self.out
+
+
 def call_provider(df: DataFrame, provider: Provider, prompt: str = "prompt", policy: Policy | None = None) -> DataFrame:
     """``df`` with ``response, status, attempts``. Store the result before using it twice: calls cost money."""
     ship(df.sparkSession)
@@ -242,14 +311,18 @@ def call_provider(df: DataFrame, provider: Provider, prompt: str = "prompt", pol
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pace = Pace(policy.rate / policy.width if policy.rate else None)
-        with ThreadPoolExecutor(policy.at_once) as pool:
-            for batch in batches:
-                done = list(pool.map(lambda p: policy.call(provider, p, pace), batch[prompt]))
-                yield batch.assign(response=[d[0] for d in done], status=[d[1] for d in done], attempts=[d[2] for d in done])
+        for batch in batches:
+            done = Calls(policy, provider, batch[prompt].tolist(), pace).run()
+            yield batch.assign(response=[d[0] for d in done], status=[d[1] for d in done], attempts=[d[2] for d in done])
 
     return kept.mapInPandas(run, f"{schema}, response string, status string, attempts int")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt evenly over three times the cluster's cores: calls take their time by the row, whatever files the rows lie in. Do it before prompts are made, which are larger than rows."""
+    return df.repartition(3 * df.sparkSession.sparkContext.defaultParallelism)
+
+
 @dataclass
 class HashingEncoder:
     """Stand-in for a sentence encoder: signed hashed words, unit length, deterministic."""

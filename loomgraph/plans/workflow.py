@@ -11,7 +11,7 @@ from loomgraph.functions.render import FORMATS, cap_triples, json_triples, rende
 from loomgraph.functions.taxonomy import SUBFIELDS
 from loomgraph.functions.text import OPTIONS, PROMPTS, format_triples, parse_answer, parse_enrichment, parse_router, prompt, question_with_options
 from loomgraph.operators.vectors import routed_top_k
-from loomgraph.plans.providers import Policy, Provider, call_provider
+from loomgraph.plans.providers import Policy, Provider, call_provider, spread
 from loomgraph.sources.readers import exists
 from loomgraph.sources.shared import cut, drop
 
@@ -95,7 +95,7 @@ def reason(samples: DataFrame, model: Provider, formats: list[str] | None = None
     formats = formats or [DIRECT, *FORMATS]
     check_formats(formats)
     options = {k: F.col(k) for k in OPTIONS if k in samples.columns}
-    base = samples.withColumn("__q", question_with_options(F.col("question"), options)).withColumn("__t", cap_triples(*triple_columns(samples), n))
+    base = spread(samples).withColumn("__q", question_with_options(F.col("question"), options)).withColumn("__t", cap_triples(*triple_columns(samples), n))
     knowledge = lambda f: F.lit(None).cast("string") if f == DIRECT else render(f, F.col("__t"))
     long = base.select("subject", "id", "__q", F.explode(F.array(*[F.struct(F.lit(f).alias("format"), knowledge(f).alias("knowledge")) for f in formats])).alias("x")).select("subject", "id", "__q", "x.*")
     asked = F.when(F.col("format") == DIRECT, prompt(PROMPTS["qa"], question=F.col("__q"))).when(F.col("knowledge") != "", prompt(PROMPTS["qa_knowledge"], question=F.col("__q"), knowledge=F.col("knowledge"))).otherwise("")

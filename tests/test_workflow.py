@@ -309,3 +309,25 @@ def test_streaming_takes_new_files_once(spark, tmp_path):
     spark.range(3, 5).coalesce(1).write.parquet(f"{source}/s2")
     run()
     assert sorted(r.twice for r in spark.read.parquet(target).collect()) == [0, 2, 4, 6, 8]
+
+
+def test_calls_share_threads_and_rows_are_spread(spark, monkeypatch):
+    """A thousand calls take ten threads, a hanging one loses its own, and rows of one file are asked about by all tasks."""
+    import threading
+    import time
+
+    from loomgraph.plans import classification, providers
+
+    begun, real = [], threading.Thread
+    monkeypatch.setattr(providers.threading, "Thread", lambda *a, **k: begun.append(1) or real(*a, **k))
+    hung = lambda p: time.sleep(1.5) if p == "hang" else p.upper()
+    policy = providers.Policy(attempts=2, pause=0, timeout_pause=0, deadline=0.2)
+    prompts = ["a"] * 1000 + ["hang", " ", None] + ["b"] * 100
+    found = providers.Calls(policy, hung, prompts).run()
+    assert found == [("A", "ok", 1)] * 1000 + [("", "timeout", 2), ("", "empty", 0), ("", "empty", 0)] + [("B", "ok", 1)] * 100
+    assert len(begun) <= 12
+    monkeypatch.undo()
+    triples = spark.range(1000).coalesce(1).selectExpr("cast(id as string) head", "'r' relation", "'t' tail", "id pos")
+    assert providers.spread(triples).rdd.getNumPartitions() == 3 * spark.sparkContext.defaultParallelism
+    labelled = classification.label_triples(triples, providers.RuleProvider(str.lower), ["x"])
+    assert labelled.count() == 1000 and len(labelled.select("pos").inputFiles()) == 3 * spark.sparkContext.defaultParallelism
