@@ -13,7 +13,7 @@ from loomgraph.functions.text import OPTIONS, PROMPTS, format_triples, parse_ans
 from loomgraph.operators.vectors import routed_top_k
 from loomgraph.plans.providers import Policy, Provider, call_provider, spread
 from loomgraph.sources.readers import exists
-from loomgraph.sources.shared import cut, drop
+from loomgraph.sources.shared import cut, drop, new_dir, remove
 
 DIRECT = "origin"
 LOG = "batch long, processed long, total long, percentage double, at timestamp"
@@ -44,8 +44,9 @@ def progress(spark: SparkSession, path: str, totals: DataFrame) -> DataFrame:
 
 def log_progress(spark: SparkSession, path: str, batch: int, processed: int, total: int | None) -> None:
     """Append a row with the time to the progress table beside an output; a table of its own, so that reading the output is not disturbed."""
-    row = [(batch, processed, total, None if total is None else 100.0 * processed / total if total else 0.0, datetime.now(timezone.utc))]
-    spark.createDataFrame(row, LOG).coalesce(1).write.mode("append").parquet(f"{path.rstrip('/')}_progress")
+    row = (batch, processed, total, None if total is None else 100.0 * processed / total if total else 0.0, datetime.now(timezone.utc))
+    fields = [f.split() for f in LOG.split(", ")]
+    spark.range(1).coalesce(1).select(*[F.lit(v).cast(kind).alias(name) for v, (name, kind) in zip(row, fields, strict=True)]).write.mode("append").parquet(f"{path.rstrip('/')}_progress")
 
 
 def progress_log(spark: SparkSession, path: str) -> DataFrame:
@@ -114,14 +115,24 @@ def reason_into(samples: DataFrame, path: str, model: Provider, formats: list[st
     breaks off loses the calls of one batch at most; the next run takes what is missing. Each batch leaves a row in the progress table.
     """
     check_formats(formats or FORMATS)
-    left = pending(samples, path)
-    left = cut(left.withColumn("__batch", F.xxhash64("subject", "id")), "pending")
+    spark, key = samples.sparkSession, [F.col("subject"), F.col("id")]
+    left = cut(pending(samples, path), "pending")
     n = left.count()
-    batches, seen, spark = -(-n // batch), 0, samples.sparkSession
+    if not n:
+        drop(left)
+        return n
+    # a folder for each batch, so that a batch reads its own rows and not all that is left
+    batches, seen, dealt = -(-n // batch), 0, new_dir(spark, "batches")
+    salts = max(1, 3 * spark.sparkContext.defaultParallelism // batches)
+    numbered = left.withColumn("__batch", F.pmod(F.xxhash64(*key), F.lit(batches)))
+    numbered.repartition("__batch", F.pmod(F.xxhash64(F.lit(1), *key), F.lit(salts))).write.partitionBy("__batch").parquet(dealt)
+    drop(left)
+    sizes = {r[0]: r[1] for r in spark.read.parquet(dealt).groupBy("__batch").count().collect()}
     for k in range(batches):
-        part = left.where(F.pmod("__batch", F.lit(batches)) == k).drop("__batch")
-        reason(part, model, formats, **options).write.mode("append").partitionBy("subject").parquet(path)
-        seen += part.count()
+        if k in sizes:
+            part = spark.read.schema(left.schema).parquet(f"{dealt}/__batch={k}")
+            reason(part, model, formats, **options).write.mode("append").partitionBy("subject").parquet(path)
+            seen += sizes[k]
         log_progress(spark, path, k, seen, n)
-    drop(left)
+    remove(spark, dealt)
     return n

@@ -331,3 +331,18 @@ def test_calls_share_threads_and_rows_are_spread(spark, monkeypatch):
     assert providers.spread(triples).rdd.getNumPartitions() == 3 * spark.sparkContext.defaultParallelism
     labelled = classification.label_triples(triples, providers.RuleProvider(str.lower), ["x"])
     assert labelled.count() == 1000 and len(labelled.select("pos").inputFiles()) == 3 * spark.sparkContext.defaultParallelism
+
+
+def test_a_batch_reads_its_own_rows(spark, tmp_path, monkeypatch):
+    """Each of eight batches scans the files of its own samples, not all that is left."""
+    read, whole = [], workflow.reason
+    monkeypatch.setattr(workflow, "reason", lambda part, *a, **k: read.append((part.count(), sum(map(size_of, part.inputFiles())))) or whole(part, *a, **k))
+    size_of = lambda f: spark.read.parquet(f).count()
+    empty = [f"cast(null as {workflow.ENRICHED}) as {c}" for c in ("relatedTriples", "hierarchical_enhancements", "enrich_triples")]
+    samples = spark.range(80).selectExpr("'s' subject", "id", "concat('q', id) question", *empty)
+    assert workflow.reason_into(samples, f"{tmp_path}/out", RuleProvider(lambda p: "A"), ["origin"], 10) == 80
+    assert len(read) == 8 and sum(n for n, _ in read) == 80 and all(n == seen for n, seen in read)
+    assert spark.read.parquet(f"{tmp_path}/out").select("id").distinct().count() == 80
+    assert workflow.reason_into(samples, f"{tmp_path}/out", RuleProvider(lambda p: "A"), ["origin"], 10) == 0
+    log = workflow.progress_log(spark, f"{tmp_path}/out").collect()
+    assert len(log) == 8 and log[-1].processed == log[-1].total == 80
