@@ -346,3 +346,11 @@ def test_a_batch_reads_its_own_rows(spark, tmp_path, monkeypatch):
     assert workflow.reason_into(samples, f"{tmp_path}/out", RuleProvider(lambda p: "A"), ["origin"], 10) == 0
     log = workflow.progress_log(spark, f"{tmp_path}/out").collect()
     assert len(log) == 8 and log[-1].processed == log[-1].total == 80
+
+
+def test_a_sample_is_drawn_by_many_tasks(spark, tmp_path):
+    """One file is written, but the rows in it come from all partitions of the scan."""
+    rows = spark.range(0, 80, 1, 8).withColumn("p", F.spark_partition_id())
+    assert writers.write_sample(rows, f"{tmp_path}/s")
+    read = spark.read.option("header", True).csv(f"{tmp_path}/s")
+    assert read.select("p").distinct().count() == 8 and len(read.inputFiles()) == 1
