@@ -1,6 +1,7 @@
 """Graph operators against plain Python over random small graphs."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -76,6 +77,17 @@ def test_chains_double(spark):
         inference.infer(chain, most_rounds=3)
 
 
+def test_facts_that_no_rule_puts_together_do_not_meet(spark):
+    """A hub with n edges in and n out whose rules need other partners: pairs would be n * n."""
+    n, began = 20_000, time.time()
+    name = lambda c: F.concat(F.lit(c), F.col("id").cast("string"))
+    into = spark.range(n).select(name("a").alias("head"), F.lit("p").alias("relation"), F.lit("hub").alias("tail"))
+    out = spark.range(n).select(F.lit("hub").alias("head"), F.lit("q").alias("relation"), name("b").alias("tail"))
+    last = spark.createDataFrame([("hub", "x", "end")], into.schema)
+    got = inference.infer(into.union(out).union(last), inference.Rules(hierarchy={}, compose=(("p", "x", "z"), ("y", "q", "z"))))
+    assert got.groupBy("relation", "tail").count().collect() == [("z", "end", n)] and time.time() - began < 60
+
+
 def test_components_of_nothing(spark):
     assert connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
 
