@@ -10,7 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomgraph.operators import evaluate, graph, stats, vectors
-from loomgraph.plans import embeddings, workflow
+from loomgraph.plans import embeddings, roundtrips, workflow
+from loomgraph.plans.queries import QUERIES
 from loomgraph.plans.providers import HashingEncoder, KeyedClient, KeyRotation, Policy, RecordedProvider, Reply, RuleProvider, ServiceError, call_provider, encode
 from loomgraph.sources import readers, writers
 from loomgraph.streaming.incremental import process_new_files, sample_new_files
@@ -354,3 +355,16 @@ def test_a_sample_is_drawn_by_many_tasks(spark, tmp_path):
     assert writers.write_sample(rows, f"{tmp_path}/s")
     read = spark.read.option("header", True).csv(f"{tmp_path}/s")
     assert read.select("p").distinct().count() == 8 and len(read.inputFiles()) == 1
+
+
+def test_files_are_written_by_as_many_tasks_as_read(spark, tmp_path, monkeypatch):
+    """Tables in four files give more CSV files than one or two tasks write."""
+    for t in ("nation", "region", "customer", "part", "orders", "lineitem"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet").repartition(4).write.parquet(f"{tmp_path}/{t}.parquet")
+    seen, read = [], readers.read_triples
+    monkeypatch.setattr(readers, "read_triples", lambda s, files, *a, **k: (seen.extend(files), read(s, files, *a, **k))[1])
+    roundtrips.merge_files(spark, str(tmp_path))
+    assert len([f for f in seen if "supply" in f]) > 1
+    seen.clear()
+    roundtrips.scan_triples_csv(spark, str(tmp_path))
+    assert len(seen) > 9
