@@ -200,8 +200,9 @@ def kg_component_classify(spark, sf_dir):
     number = (F.length("head") * 31 + F.length("tail") * 7) % embedded.count()
     placed = first.withColumn("vec_id", number).join(embedded.select("vec_id", "vec"), "vec_id")
     chosen = vectors.classify(placed, "vec", classes, "name").select("component", F.col("label"))
-    inside = triples.join(labels, F.col("head") == F.col("node")).join(chosen, "component")
-    return inside.groupBy("component", "label").agg(F.count("*").alias("edges"))
+    # edges are counted before classes are looked up, so a large component is one row of that join
+    counted = triples.join(labels, F.col("head") == F.col("node")).groupBy("component").agg(F.count("*").alias("edges"))
+    return counted.join(chosen, "component").select("component", "label", "edges")
 
 
 @query

@@ -357,6 +357,12 @@ def test_a_sample_is_drawn_by_many_tasks(spark, tmp_path):
     assert read.select("p").distinct().count() == 8 and len(read.inputFiles()) == 1
 
 
+def test_edges_are_counted_before_classes_are_joined(spark):
+    plan = QUERIES["kg_component_classify"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    at = next(i for i, line in enumerate(plan) if "Join Inner" in line)
+    assert "Aggregate [component" in plan[at + 1]
+
+
 def test_files_are_written_by_as_many_tasks_as_read(spark, tmp_path, monkeypatch):
     """Tables in four files give more CSV files than one or two tasks write."""
     for t in ("nation", "region", "customer", "part", "orders", "lineitem"):
