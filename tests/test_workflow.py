@@ -357,6 +357,17 @@ def test_a_sample_is_drawn_by_many_tasks(spark, tmp_path):
     assert read.select("p").distinct().count() == 8 and len(read.inputFiles()) == 1
 
 
+def test_a_large_component_is_stored_like_others(spark, tmp_path):
+    """Size groups reach the edges of large components without a shuffle by component; the store is the same whatever counts as large."""
+    edges = spark.range(300).select(F.concat(F.lit("n"), F.when(F.col("id") < 200, 0).otherwise(F.col("id") - F.col("id") % 8)).alias("src"), F.concat(F.lit("n"), F.col("id")).alias("dst"), F.lit("isa").alias("relation"))
+    labels = graph.components(edges.toDF("head", "tail", "relation"))
+    index, found = graph.component_index(edges, labels), []
+    for large in (1, 50, 10**9):
+        writers.write_components(edges, labels, index, f"{tmp_path}/{large}", large_edges=large)
+        found.append(sorted(tuple(r) for r in spark.read.parquet(f"{tmp_path}/{large}/components").select("src", "dst", "relation", "component", "size_group").collect()))
+    assert found[0] == found[1] == found[2] and len(found[0]) == 300
+
+
 def test_edges_are_counted_before_classes_are_joined(spark):
     plan = QUERIES["kg_component_classify"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().split("\n")
     at = next(i for i, line in enumerate(plan) if "Join Inner" in line)
