@@ -136,8 +136,9 @@ def routed_top_k(questions: DataFrame, triples: DataFrame, k: int = 100, own: bo
         if len(left) and len(right):
             right = right.take(pc.sort_indices(right, sort_keys=[("triple_id", "descending")]))
             x = matrix(right.column("x"))
-            for a in range(0, len(left), 512):
-                part = left.slice(a, 512)
+            rows_at_once = max(1, 1_000_000 // len(right))  # scores, their negatives and their order stand in memory together
+            for a in range(0, len(left), rows_at_once):
+                part = left.slice(a, rows_at_once)
                 sims = matrix(part.column("q")) @ x.T
                 if not own:
                     same = {v: j for j, v in enumerate(right.column("triple_id").to_pylist())}

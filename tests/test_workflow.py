@@ -385,3 +385,14 @@ def test_files_are_written_by_as_many_tasks_as_read(spark, tmp_path, monkeypatch
     seen.clear()
     roundtrips.scan_triples_csv(spark, str(tmp_path))
     assert len(seen) > 9
+
+
+def test_top_k_over_several_slabs(spark):
+    """A block's scores are made for so many questions at once as a million scores allow; the rows are those of plain Python."""
+    rng = np.random.default_rng(5)
+    asked, stored = rng.normal(size=(30, 2)), rng.normal(size=(60_000, 2))
+    q = spark.createDataFrame([(i, x.tolist(), ["a"]) for i, x in enumerate(asked)], "question_id int, q array<double>, subfields array<string>")
+    t = spark.createDataFrame([(i, "a", x.tolist()) for i, x in enumerate(stored)], "triple_id int, subfield string, x array<double>")
+    sims = (asked / np.linalg.norm(asked, axis=1)[:, None]) @ (stored / np.linalg.norm(stored, axis=1)[:, None]).T
+    want = {(i, int(j)) for i in range(30) for j in np.argsort(-sims[i])[:3]}
+    assert {(r.question_id, r.triple_id) for r in vectors.routed_top_k(q, t, 3, block=60_000).collect()} == want
