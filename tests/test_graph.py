@@ -3,11 +3,13 @@
 import random
 import time
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from loomgraph.operators import graph, inference
-from loomgraph.operators.components import connected_components
+from loomgraph.operators import components, graph, inference
+from loomgraph.operators.components import connected_components, named_components
 
 
 def brute(edges):
@@ -41,6 +43,33 @@ def test_a_long_path_takes_few_rounds(spark):
     assert len(rounds) <= 2 * 17 and max(rounds) == rounds[0] == n - 1
 
 
+@pytest.mark.parametrize("buckets", [None, 7])
+def test_components_of_names(spark, buckets):
+    """Also with a hash that many names share, and names that are the same in two graphs."""
+    rng = random.Random(5)
+    edges = [(f"n{rng.randrange(60)}", f"n{rng.randrange(60)}") for _ in range(45)]
+    df = spark.createDataFrame([*edges, (None, "n3")], "src string, dst string")
+    hashed = F.xxhash64 if buckets is None else lambda c: F.pmod(F.xxhash64(c), F.lit(buckets))
+    assert {r.node: r.component for r in named_components(df, "src", "dst", hashed).collect()} == brute(edges)
+    keyed = graph.components(df.selectExpr("src as head", "dst as tail", "explode(array('x', null)) as g"), "g")
+    assert {(r.g, r.node): r.component for r in keyed.collect()} == {(g, n): c for g in ("x", None) for n, c in brute(edges).items()}
+
+
+def test_tasks_keep_forests_of_their_edges(monkeypatch):
+    """A dense graph leaves an edge for each node but one; what is held is bounded, and given in parts if it must be."""
+    rng = random.Random(6)
+    edges = [(rng.randrange(-40, 40), rng.randrange(-40, 40)) for _ in range(2000)]
+    batches = [pa.RecordBatch.from_arrays([pa.array([e[i] for e in edges[k : k + 90]]) for i in (0, 1)], names=["a", "b"]) for k in range(0, 2000, 90)]
+    whole = [tuple(e.values()) for b in components._forests(iter(batches)) for e in b.to_pylist()]
+    assert len(whole) == len(set(brute(edges))) - len(set(brute(edges).values())) and brute([*whole, *((x, x) for x in brute(edges))]) == brute(edges)
+    monkeypatch.setattr(components, "HELD", 100)
+    parts = list(components._forests(iter(batches)))
+    assert len(parts) > 1 and brute([tuple(e.values()) for b in parts for e in b.to_pylist()] + [(x, x) for x in brute(edges)]) == brute(edges)
+    n = 100_000
+    path = np.random.default_rng(1).permutation(n)
+    assert [len(z) for z in components._forest(path[:-1], path[1:])] == [n - 1, n - 1] and set(components._forest(path[:-1], path[1:])[1]) == {0}
+
+
 def closure(edges):
     """Pairs of a transitive relation, those of a node with itself left out."""
     found = {(a, b) for a, b in edges if a != b}
