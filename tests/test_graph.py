@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from loomgraph.operators import components, graph, inference
+from loomgraph.operators import components, graph, inference, paths
 from loomgraph.operators.components import connected_components, named_components
 
 
@@ -150,3 +150,13 @@ def test_entities(triples):
 def test_buckets(spark):
     got = [r[0] for r in spark.createDataFrame([(n,) for n in (9, 10, 99, 100, 999, 1000)], "n int").select(graph.size_bucket(F.col("n"))).collect()]
     assert got == ["tiny", "small", "small", "medium", "medium", "large"]
+
+
+def test_paths_of_small_and_large_graphs(spark):
+    """Graphs that are one row and graphs that are walked by joins have the same paths; small ones meet nothing."""
+    rng = random.Random(8)
+    rows = [(k, f" n{rng.randrange(7)}", f"n{rng.randrange(9)}\t") for k in range(30) for _ in range(rng.randrange(1, 16))] + [(1, " ", "n1"), (2, None, "n1"), (None, "n1", "n2")]
+    df = spark.createDataFrame(rows, "g int, head string, tail string")
+    whole = {small: sorted(map(tuple, paths.bounded_paths(df, "g", small=small).collect())) for small in (0, 8, 32)}
+    assert whole[0] == whole[8] == whole[32] and len(whole[0]) == len(set(whole[0])) > 100
+    assert "Join" not in paths.bounded_paths(df, "g")._jdf.queryExecution().optimizedPlan().toString()
