@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from loomgraph.sources.readers import exists
@@ -21,6 +21,11 @@ def key_of(text: str = "text") -> str:
     return f"unhex(sha2(coalesce({text}, ''), 256))"
 
 
+def _identity(h: str) -> Column:
+    """A text in its group as one key to join by, null groups being equal: the first half of the hash, 128 bits, and the group."""
+    return F.struct(F.substring(F.expr(h), 1, 16).alias("h"), "group")
+
+
 def _encode(encoder: Encoder, batch: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Batches of one group at a time; one that fails gives its rows a status and no vectors, and the others go on."""
 
@@ -56,16 +61,20 @@ def store(texts: DataFrame, path: str, encoder: Encoder, name: str, text: str =
     """
     spark = texts.sparkSession
     ship(spark)
-    grouped = texts.select(F.expr(key_of(text)).alias("h"), (F.col(group).cast("string") if group else F.lit("")).alias("group"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    missing = grouped.groupBy("h", "group").agg(F.first("text").alias("text"))
+    named = texts.select((F.col(group).cast("string") if group else F.lit("")).alias("group"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     if exists(spark, path):
-        done = read(spark, path, name, failed=not again).select(F.struct("h", "group").alias("k"))
-        missing = missing.withColumn("k", F.struct("h", "group")).join(done, "k", "left_anti").drop("k")
-    made = cut(missing.mapInArrow(_encode(encoder, batch), "h binary, group string, vec array<double>, status string"), "embedded")
-    n = made.count()
-    if n:
-        made.withColumn("encoder", F.lit(name)).write.mode("append").partitionBy("encoder").parquet(path)
-    return n
+        # hashes alone find what is missing; texts travel only for that
+        done = read(spark, path, name, failed=not again).select(_identity("h").alias("k"))
+        keyed = named.withColumn("k", _identity(key_of()))
+        both = keyed.select("k", F.lit(0).alias("had")).unionByName(done.withColumn("had", F.lit(1)))
+        lacking = cut(both.groupBy("k").agg(F.max("had").alias("had")).where("had = 0").select("k"), "lacking")
+        if lacking.isEmpty():
+            return 0
+        named = keyed.join(lacking, "k").drop("k")
+    missing = named.distinct().withColumn("h", F.expr(key_of()))
+    made, seen = missing.mapInArrow(_encode(encoder, batch), "h binary, group string, vec array<double>, status string"), Observation()
+    made.observe(seen, F.count(F.lit(1)).alias("n")).withColumn("encoder", F.lit(name)).write.mode("append").partitionBy("encoder").parquet(path)
+    return seen.get["n"]
 
 
 def read(spark, path: str, name: str, failed: bool = False) -> DataFrame:
@@ -80,13 +89,13 @@ def embedded(rows: DataFrame, path: str, name: str, text: str = "text", group: s
     whole_groups: a group with a text that never succeeded is left out whole, as its ranking would pass over what is missing.
     """
     spark = rows.sparkSession
-    found = read(spark, path, name, failed=True).groupBy("h", "group").agg(F.max_by("vec", F.col("vec").isNotNull()).alias(vector))
-    keyed = rows.withColumn("__k", F.struct(F.expr(key_of(text)).alias("h"), (F.col(group).cast("string") if group else F.lit("")).alias("group")))
+    found = read(spark, path, name, failed=True).groupBy(_identity("h").alias("__k")).agg(F.max_by("vec", F.col("vec").isNotNull()).alias(vector))
+    own = F.struct(F.substring(F.expr(key_of(text)), 1, 16).alias("h"), (F.col(group).cast("string") if group else F.lit("")).alias("group"))
+    keyed = rows.withColumn("__k", own)
     if whole_groups:
-        broken = found.where(F.col(vector).isNull()).select(F.struct("group").alias("__g")).distinct()
+        broken = found.where(F.col(vector).isNull()).select(F.struct("__k.group").alias("__g")).distinct()
         keyed = keyed.withColumn("__g", F.struct(F.col("__k.group").alias("group"))).join(broken, "__g", "left_anti").drop("__g")
-    named = found.where(F.col(vector).isNotNull()).select(F.struct("h", "group").alias("__k"), vector)
-    return keyed.join(named, "__k").drop("__k")
+    return keyed.join(found.where(F.col(vector).isNotNull()), "__k").drop("__k")
 
 
 def statuses(spark, path: str, name: str) -> DataFrame:

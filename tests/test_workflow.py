@@ -14,6 +14,7 @@ from loomgraph.plans import embeddings, roundtrips, workflow
 from loomgraph.plans.queries import QUERIES
 from loomgraph.plans.providers import HashingEncoder, KeyedClient, KeyRotation, Policy, RecordedProvider, Reply, RuleProvider, ServiceError, call_provider, encode
 from loomgraph.sources import readers, writers
+from loomgraph.sources.shared import cut
 from loomgraph.streaming.incremental import process_new_files, sample_new_files
 
 QUIET = Policy(attempts=2, pause=0, timeout_pause=0, at_once=2)
@@ -161,6 +162,18 @@ def test_embeddings_are_made_once_and_failures_stay_apart(spark, tmp_path):
     assert embeddings.store(df, f"file://{tmp_path}/odd", lambda t: np.ones(3), "odd") == 4 and {r.status for r in embeddings.statuses(spark, f"file://{tmp_path}/odd", "odd").collect()} == {"ValueError"}
 
 
+def test_a_run_writes_vectors_once(spark, tmp_path, monkeypatch):
+    """Vectors go to the store only, and a run that lacks nothing writes none; half a store is filled up, by group, null ones too."""
+    written = []
+    monkeypatch.setattr(embeddings, "cut", lambda df, name, **more: (written.append(df.columns), cut(df, name, **more))[1])
+    df, path = spark.range(40).selectExpr("concat('t', id) as text", "if(id % 4 = 0, null, string(id % 4)) as sub"), f"file://{tmp_path}/store"
+    encoder = lambda texts: np.array([[len(t), 1.0] for t in texts])
+    assert embeddings.store(df.where("text < 't2'"), path, encoder, "e", group="sub") == 12
+    assert embeddings.store(df.unionByName(df), path, encoder, "e", group="sub") == 28 and embeddings.store(df, path, encoder, "e", group="sub") == 0
+    assert all("vec" not in c for c in written)
+    assert embeddings.embedded(df, path, "e", group="sub").count() == 40 and sorted(r[:] for r in embeddings.statuses(spark, path, "e").select(F.coalesce("group", F.lit("-")), "status", "texts").collect()) == [(g, "ok", 10) for g in "-123"]
+
+
 def test_top_k_is_sorted_and_within_candidates(spark):
     q = spark.createDataFrame([(1, [1.0, 0.0], ["a", "b"]), (2, [0.0, 0.0], ["a"]), (3, [1.0, 1.0], ["none"])], "question_id int, q array<double>, subfields array<string>")
     t = spark.createDataFrame([(1, "a", [1.0, 0.0]), (2, "a", [2.0, 0.0]), (3, "b", [0.0, 1.0]), (4, "c", [1.0, 0.0])], "triple_id int, subfield string, x array<double>")
