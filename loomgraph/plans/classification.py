@@ -36,13 +36,13 @@ def classify_triples(triples: DataFrame, classes: DataFrame, threshold: float =
     triples: ``head, relation, tail, pos`` and a vector of the text; classes: ``name, ord, prototype``. ISA triples are classified by component: the edge at the first position
     speaks for all of a component's edges; other triples each for themselves, with a null component. Triples with a null end and ISA relation are left out.
     """
-    isa, other = graph.split_isa(triples)
+    # every row is scored where it stands, so labels are shuffled instead of vectors
+    isa, other = graph.split_isa(vectors.classify(triples, vector, classes, name="name", threshold=threshold).drop("best_sim"))
     labels = graph.components(isa)
     inside = isa.join(labels, F.col("head") == F.col("node")).drop("node")
-    first = inside.groupBy("component").agg(F.min_by(vector, "pos").alias("__v"))
-    chosen = vectors.classify(first, "__v", classes, "name", threshold).select("component", "label")
-    by_component = inside.join(chosen, "component").withColumnRenamed("component", "component_id").withColumn("type", F.lit("ISA_Component"))
-    alone = vectors.classify(other, vector, classes, "name", threshold).drop("best_sim").withColumns({"component_id": F.lit(None).cast("string"), "type": F.lit("Non_ISA")})
+    chosen = inside.groupBy("component").agg(F.min_by("label", "pos").alias("__label"))
+    by_component = inside.drop("label").join(chosen, "component").withColumnsRenamed({"component": "component_id", "__label": "label"}).withColumn("type", F.lit("ISA_Component"))
+    alone = other.withColumns({"component_id": F.lit(None).cast("string"), "type": F.lit("Non_ISA")})
     return by_component.unionByName(alone)
 
 
