@@ -160,3 +160,30 @@ def test_paths_of_small_and_large_graphs(spark):
     whole = {small: sorted(map(tuple, paths.bounded_paths(df, "g", small=small).collect())) for small in (0, 8, 32)}
     assert whole[0] == whole[8] == whole[32] and len(whole[0]) == len(set(whole[0])) > 100
     assert "Join" not in paths.bounded_paths(df, "g")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_classification_shuffles_no_vectors(spark):
+    from loomgraph.plans.classification import classify_triples
+
+    rows = [("a", "isa", "b", 2, [1.0, 0.0]), ("b", "isa", "c", 1, [0.0, 1.0]), ("x", "likes", "y", 3, [1.0, 0.0])]
+    df = spark.createDataFrame(rows, "head string, relation string, tail string, pos long, vec array<double>")
+    classes = spark.createDataFrame([("p", 0, [1.0, 0.0]), ("q", 1, [0.0, 1.0])], "name string, ord int, prototype array<double>")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = classify_triples(df, classes).select("pos", "component_id", "label")
+        plan = found._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+        assert {r[:] for r in found.collect()} == {(1, "a", "q"), (2, "a", "q"), (3, None, "p")}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    moved = [part for part in plan.split("\n\n") if "Exchange" in part.split("\n")[0]]
+    assert moved and not any("vec#" in part for part in moved)
+
+
+def test_index_counts_edges_by_node_before_labels(spark):
+    """A hub's edges are one row of the join with the labels."""
+    edges = spark.range(500).selectExpr("'hub' as src", "concat('n', id) as dst", "'r' as relation")
+    labels = graph.components(edges.selectExpr("src as head", "dst as tail"))
+    index = graph.component_index(edges, labels)
+    assert [r[:4] for r in index.collect()] == [("hub", 501, 500, "medium")]
+    assert "Aggregate [src" in index._jdf.queryExecution().optimizedPlan().toString()
