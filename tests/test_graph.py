@@ -182,7 +182,7 @@ def test_classification_shuffles_no_vectors(spark):
 
 def test_index_counts_edges_by_node_before_labels(spark):
     """A hub's edges are one row of the join with the labels."""
-    edges = spark.range(500).selectExpr("'hub' as src", "concat('n', id) as dst", "'r' as relation")
+    edges = spark.createDataFrame([("hub", f"n{i}", "r") for i in range(500)], "src string, dst string, relation string")
     labels = graph.components(edges.selectExpr("src as head", "dst as tail"))
     index = graph.component_index(edges, labels)
     assert [r[:4] for r in index.collect()] == [("hub", 501, 500, "medium")]
