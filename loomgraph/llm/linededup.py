@@ -139,6 +139,11 @@ def _parity(units: Column) -> Column:
     return F.aggregate(units, F.lit(0).cast("long"), lambda s, x: s.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.xxhash64(x).bitwiseAND(F.lit(63)).cast("int"))))
 
 
+def _bigrams(units: Column) -> Column:
+    """The same of pairs of neighbours, which an edit changes four of at most; it knows the units' order."""
+    return _parity(F.zip_with(F.slice(units, 1, F.greatest(F.size(units) - 1, F.lit(0))), F.slice(units, 2, F.size(units)), lambda p, q: F.concat_ws(" ", p, q)))
+
+
 def chars(line: Column) -> Column:
     """The characters of a line as an array."""
     return F.when(line == "", F.array().cast("array<string>")).otherwise(F.split(line, ""))
@@ -226,13 +231,13 @@ def near(a: Column, b: Column) -> Column:
 
 
 def _alike(a: str, b: str) -> Column:
-    """Whether structs a and b (n, tau, parity) may link by what their lengths and parities say; a pair has the shorter one's edits, which are the fewer."""
+    """Whether structs a and b (n, tau, parity, pairs) may link by what their lengths and parities say; a pair has the shorter one's edits, which are the fewer."""
     most = F.least(F.col(f"{a}.tau"), F.col(f"{b}.tau"))
-    return (F.abs(F.col(f"{a}.n") - F.col(f"{b}.n")) <= most) & (_apart(a, b) <= 2 * most)
+    return (F.abs(F.col(f"{a}.n") - F.col(f"{b}.n")) <= most) & (_apart(a, b) <= 2 * most) & (_apart(a, b, "pairs") <= 4 * most)
 
 
-def _apart(a: str, b: str) -> Column:
-    return F.bit_count(F.col(f"{a}.parity").bitwiseXOR(F.col(f"{b}.parity")))
+def _apart(a: str, b: str, of: str = "parity") -> Column:
+    return F.bit_count(F.col(f"{a}.{of}").bitwiseXOR(F.col(f"{b}.{of}")))
 
 
 def shared_keys(lines: DataFrame, hot_share: int = 1000, sample: int = 64) -> DataFrame:
@@ -266,10 +271,10 @@ def edit_links(at: DataFrame, lines: DataFrame) -> DataFrame:
     found = shared_keys(once.unionByName(copied))
     ends = cut(found.select("h1").distinct(), "line-ends")
     texts = cut(at.where(_members(ends)(F.col("h1"))).join(ends, "h1", "left_semi").groupBy("h1").agg(F.min("line").alias("line")), "line-texts")
-    sketch = lambda units, bands: _let(units, lambda u: F.struct(F.size(u).alias("n"), edits_of(F.size(u), bands).alias("tau"), _parity(u).alias("parity")))
+    sketch = lambda units, bands: _let(units, lambda u: F.struct(F.size(u).alias("n"), edits_of(F.size(u), bands).alias("tau"), _parity(u).alias("parity"), _bigrams(u).alias("pairs")))
     sketches = texts.select("h1", sketch(chars(F.col("line")), CHAR_EDITS).alias("c"), sketch(words(F.col("line")), WORD_EDITS).alias("w"))
     x = F.when(F.col("role").bitwiseAND(F.lit(2).cast("byte")) == 0, F.col("c")).otherwise(F.col("w"))
-    x = F.struct(x["n"].alias("n"), x["tau"].alias("tau"), x["parity"].alias("parity"), (F.col("role").bitwiseAND(F.lit(1).cast("byte")) == 1).alias("own"))
+    x = F.struct(x["n"].alias("n"), x["tau"].alias("tau"), x["parity"].alias("parity"), x["pairs"].alias("pairs"), (F.col("role").bitwiseAND(F.lit(1).cast("byte")) == 1).alias("own"))
     keys = cut(found.join(sketches, "h1").select("key", "h1", x.alias("x")), "line-keys")
     drop(found)
     a, b = (texts.select(F.col("h1").alias(c), F.col("line").alias(f"l{c}")) for c in "ab")

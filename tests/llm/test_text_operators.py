@@ -274,6 +274,17 @@ def linked(a, b):
     return tau and abs(len(x) - len(y)) <= tau and edits(x, y) <= tau
 
 
+def test_lines_of_the_same_words_in_another_order_are_no_candidates(spark):
+    """An edit changes four pairs of neighbours at most; an anagram has the parity of its units but not of their pairs."""
+    rng = random.Random(12)
+    base = [f"w{i}" for i in range(30)]
+    rows = [(base, rng.sample(base, 30), 30)] + [(base, base[:k] + new + base[k + cut :], 1) for k in range(30) for new, cut in ((["n"], 1), (["n"], 0), ([], 1))] + [([], ["a"], 1), (["a"], ["b"], 1)]
+    made = spark.createDataFrame(rows, "a array<string>, b array<string>, edits int")
+    for c in "ab":
+        made = made.withColumn(c, F.struct(F.size(c).alias("n"), F.lit(1).alias("tau"), linededup._parity(F.col(c)).alias("parity"), linededup._bigrams(F.col(c)).alias("pairs")))
+    assert {r[:] for r in made.select("edits", linededup._alike("a", "b")).distinct().collect()} == {(30, False), (1, True)}
+
+
 def test_line_classes(spark):
     rng = random.Random(4)
     lines = ["".join(rng.choice("ea ") for _ in range(rng.randrange(18, 40))) for _ in range(40)] + ["".join(rng.choice("ab") for _ in range(rng.randrange(3, 13))) for _ in range(20)]
