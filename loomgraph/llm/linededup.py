@@ -10,8 +10,8 @@ does so for the class below too. Candidates have lengths within tau and parities
 verified by edit distance: for e = 0..tau a word of 2 tau + 1 bits holds the diagonals that e edits can reach, and one step
 takes a unit on all diagonals at once. Links between distinct lines give classes; equal lines are one node.
 
-Variants of one line share their segments, so the lines under a key are first tried against one of them, then what is left against
-another and against the likeliest one of those that have found each other; only lines that are not connected by then are
+Variants of one line share their segments, so the lines under a key are first tried against the one that occurs most often, as that is
+likely what the others were made from; what is left against the next such one and against the likeliest one of those that have found each other; only lines that are not connected by then are
 compared in pairs. A class so takes about as many verifications as it has lines, and no link between classes is lost.
 """
 
@@ -141,7 +141,7 @@ def _parity(units: Column) -> Column:
 
 def _bigrams(units: Column) -> Column:
     """The same of pairs of neighbours, which an edit changes four of at most; it knows the units' order."""
-    return _parity(F.zip_with(F.slice(units, 1, F.greatest(F.size(units) - 1, F.lit(0))), F.slice(units, 2, F.size(units)), lambda p, q: F.concat_ws(" ", p, q)))
+    return _parity(F.zip_with(F.slice(units, 1, F.greatest(F.size(units) - 1, F.lit(0))), F.slice(units, 2, F.size(units)), lambda p, q: F.xxhash64(p, q)))
 
 
 def chars(line: Column) -> Column:
@@ -246,7 +246,7 @@ def shared_keys(lines: DataFrame, hot_share: int = 1000, sample: int = 64) -> Da
     A key that one in ``hot_share`` of a sample's lines or more has (a ``sample``-th, by hash) is hot: its rows are dealt by line too and all kept. The
     sample decides only where rows go, and hot keys are at most ``hot_share`` times a line's number of keys.
     """
-    drawn = lines.where(F.pmod(F.xxhash64(F.lit(3), "h1"), F.lit(sample)) == 0)
+    drawn = cut(lines.where(F.pmod(F.xxhash64(F.lit(3), "h1"), F.lit(sample)) == 0), "line-sample")
     counts = cut(signatures(drawn).groupBy("key").agg(F.count_distinct("h1").alias("c")), "line-hot-keys")
     hot = counts.where(F.col("c") > max(64, drawn.select("h1").count() // hot_share)).select("key", F.lit(True).alias("hot"))
     rows = signatures(lines).join(F.broadcast(hot), "key", "left")
@@ -255,6 +255,7 @@ def shared_keys(lines: DataFrame, hot_share: int = 1000, sample: int = 64) -> Da
     alive = F.coalesce("hot", (F.min("h1").over(deal) < F.max("h1").over(deal)) & own)
     found = cut(rows.withColumn("alive", alive).where("alive").groupBy("key", "h1").agg(F.max("role").alias("role")), "line-keys")
     drop(counts)
+    drop(drawn)
     return found
 
 
@@ -270,11 +271,14 @@ def edit_links(at: DataFrame, lines: DataFrame) -> DataFrame:
     copied = at.where(often(F.col("h1"))).groupBy("h1", "h2").agg(*[F.min(c).alias(c) for c in fields[1:]]).select(fields)
     found = shared_keys(once.unionByName(copied))
     ends = cut(found.select("h1").distinct(), "line-ends")
-    texts = cut(at.where(_members(ends)(F.col("h1"))).join(ends, "h1", "left_semi").groupBy("h1").agg(F.min("line").alias("line")), "line-texts")
+    texts = cut(at.where(_members(ends)(F.col("h1"))).join(ends, "h1", "left_semi").groupBy("h1").agg(F.min("line").alias("line"), F.count("*").alias("copies")), "line-texts")
     sketch = lambda units, bands: _let(units, lambda u: F.struct(F.size(u).alias("n"), edits_of(F.size(u), bands).alias("tau"), _parity(u).alias("parity"), _bigrams(u).alias("pairs")))
-    sketches = texts.select("h1", sketch(chars(F.col("line")), CHAR_EDITS).alias("c"), sketch(words(F.col("line")), WORD_EDITS).alias("w"))
+    # a line has sketches of the units that it is compared by, as in signatures
+    n_words = F.size(words(F.col("line")))
+    c, w = F.when(n_words < LONG + CHAR_EDITS[-1][1], sketch(chars(F.col("line")), CHAR_EDITS)), F.when(n_words >= LONG, sketch(words(F.col("line")), WORD_EDITS))
+    sketches = texts.select("h1", "copies", c.alias("c"), w.alias("w"))
     x = F.when(F.col("role").bitwiseAND(F.lit(2).cast("byte")) == 0, F.col("c")).otherwise(F.col("w"))
-    x = F.struct(x["n"].alias("n"), x["tau"].alias("tau"), x["parity"].alias("parity"), x["pairs"].alias("pairs"), (F.col("role").bitwiseAND(F.lit(1).cast("byte")) == 1).alias("own"))
+    x = F.struct(x["n"].alias("n"), x["tau"].alias("tau"), x["parity"].alias("parity"), x["pairs"].alias("pairs"), (F.col("role").bitwiseAND(F.lit(1).cast("byte")) == 1).alias("own"), F.col("copies").alias("copies"))
     keys = cut(found.join(sketches, "h1").select("key", "h1", x.alias("x")), "line-keys")
     drop(found)
     a, b = (texts.select(F.col("h1").alias(c), F.col("line").alias(f"l{c}")) for c in "ab")
@@ -285,7 +289,7 @@ def edit_links(at: DataFrame, lines: DataFrame) -> DataFrame:
     state, links = keys.withColumn("group", F.lit(None).cast("long")), []
     for _ in range(2):
         open_, closed = state.where("group is null"), state.where("group is not null")
-        first = open_.where("x.own").groupBy("key").agg(F.min(F.struct("h1", "x")).alias("r")).select("key", F.col("r.h1").alias("to"), F.col("r.x").alias("y"))
+        first = open_.where("x.own").groupBy("key").agg(F.min(F.struct((-F.col("x.copies")).alias("d"), "h1", "x")).alias("r")).select("key", F.col("r.h1").alias("to"), F.col("r.x").alias("y"))
         trials = open_.join(first, "key").where((F.col("h1") != F.col("to")) & _alike("x", "y")).select("key", "h1", "to", F.col("to").alias("group"))
         if links:
             mine = closed.select("key", F.col("h1").alias("to"), F.col("x").alias("y"), F.col("group").alias("g"))

@@ -336,6 +336,26 @@ def test_line_classes(spark):
     assert linededup.near_duplicate_lines(docs.where("false")).count() == 0 and linededup.dedup_lines(docs.where("false")).count() == 0
 
 
+def test_variants_meet_the_line_that_they_were_made_from(spark, monkeypatch):
+    """Variants of a line are within its edits, but hardly within those of each other; the first trials link them all, so none is left to be paired."""
+    rng = random.Random(13)
+    letter = lambda: rng.choice("abcdefghijklmnopqrstuvwxyz")
+    base = "".join(letter() for _ in range(60))
+    variants = {base[:k] + letter().upper() + base[k + 1 : 59 - k] + letter().upper() + base[60 - k :] for k in range(29) for _ in range(4)}
+    docs = spark.createDataFrame([(0, "\n".join([base] * 9)), *enumerate(variants, 1)], "doc_id long, text string")
+    first, write = [], linededup.cut
+
+    def watched(df, name, **more):
+        out = write(df, name, **more)
+        first.extend([out.where(F.xxhash64(F.lit(base)).isin(F.col("a"), F.col("b"))).count()] if name == "line-links" and not first else [])
+        return out
+
+    monkeypatch.setattr(linededup, "cut", watched)
+    got = linededup.near_duplicate_lines(docs).collect()
+    assert len(got) == len(variants) + 1 and {(r.class_doc_id, r.class_line_no) for r in got} == {(0, 0)}
+    assert first == [len(variants)]
+
+
 def test_every_occurrence_of_a_line_is_a_member(docs, spark):
     """Against the classes of distinct lines: no occurrence and no document is left out."""
     at = {(r.doc_id, k): s for r in docs.collect() for k, x in enumerate((r.text or "").split("\n")) if (s := x.rstrip("\r")).strip(" ")}
