@@ -55,6 +55,18 @@ def test_components_of_names(spark, buckets):
     assert {(r.g, r.node): r.component for r in keyed.collect()} == {(g, n): c for g in ("x", None) for n, c in brute(edges).items()}
 
 
+@pytest.mark.parametrize("buckets", [None, 7])
+def test_sizes_of_components_take_no_names(spark, buckets, monkeypatch):
+    """Stars, components of a single node that is linked with itself, also with a hash that many nodes share; names are not labelled where hashes differ."""
+    edges = [("a", "p", "q"), ("a", "q", "r"), ("a", "s", "s"), ("b", "p", "p"), ("c", "x", "y"), ("c", "z", "w"), ("c", "y", "x"), (None, "x", "y"), ("d", None, "y")] + [("e", "hub", f"n{i}") for i in range(120)]
+    df = spark.createDataFrame(edges, "g string, head string, tail string")
+    hashed = F.xxhash64 if buckets is None else lambda c: F.pmod(F.xxhash64(c), F.lit(buckets))
+    found = {r[0]: r[1:] for r in graph.component_counts(df, "g", hashed).select("g", "components", "nodes", "largest_component", "large", "medium", "small", "tiny").collect()}
+    assert found == {"a": (2, 4, 3, 0, 0, 0, 2), "b": (1, 1, 1, 0, 0, 0, 1), "c": (2, 4, 2, 0, 0, 0, 2), None: (1, 2, 2, 0, 0, 0, 1), "e": (1, 121, 121, 0, 1, 0, 0)}
+    monkeypatch.setattr(graph, "named_components", None)
+    assert graph.connectivity(df.withColumn("relation", F.lit("r")), "g").count() == 6
+
+
 def test_tasks_keep_forests_of_their_edges(monkeypatch):
     """A dense graph leaves an edge for each node but one; what is held is bounded, and given in parts if it must be."""
     rng = random.Random(6)
