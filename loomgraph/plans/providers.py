@@ -143,8 +143,24 @@ class KeyedClient:
         raise last
 
 
+#: A deadline is waited for in so many turns. A worker that gets no processor, or whose threads wait for each other, takes its turns later, so a call that only stood in line isn't one that hangs.
+TURNS = 20
+
+
+def start_thread(target: Callable, *args: object, patience: float = 60.0) -> None:
+    """Start a thread; where the system has none left (calls that hang keep theirs until they end) wait for one up to ``patience`` seconds, as that says nothing about the call."""
+    last = time.monotonic() + patience
+    while True:
+        try:
+            return threading.Thread(target=target, args=args, daemon=True).start()
+        except RuntimeError:
+            if time.monotonic() > last:
+                raise
+            time.sleep(0.02)
+
+
 def within(seconds: float | None, f: Callable, *args: object) -> object:
-    """f's result, or TimeoutError after so many seconds.
+    """f's result, or TimeoutError after so many seconds, in :data:`TURNS`.
 
     The call runs on a thread of its own that is left behind when it hangs, so it holds neither the caller's place among the calls at once nor the process's end.
     """
@@ -158,11 +174,15 @@ def within(seconds: float | None, f: Callable, *args: object) -> object:
         except BaseException as error:  # handed to the caller below
             answer.put((None, error))
 
-    threading.Thread(target=run, daemon=True).start()
-    try:
-        result, error = answer.get(timeout=seconds)
-    except queue.Empty:
-        raise TimeoutError(f"no answer within {seconds} s") from None
+    start_thread(run)
+    for _ in range(TURNS):
+        try:
+            result, error = answer.get(timeout=seconds / TURNS)
+            break
+        except queue.Empty:
+            continue
+    else:
+        raise TimeoutError(f"no answer within {seconds} s")
     if error is not None:
         raise error
     return result
@@ -242,7 +262,9 @@ class Calls:
         self.policy, self.provider, self.prompts, self.pace = policy, provider, prompts, pace
         self.out: list = [None] * len(prompts)
         self.next, self.left, self.lock, self.ended = 0, len(prompts), threading.Lock(), threading.Event()
-        #: [prompt's number, attempts begun, when the call began or None] of each thread that counts
+        #: seconds that the watcher's turns took, each counted as twice its length at most
+        self.clock = 0.0
+        #: [prompt's number, attempts begun, the clock when the call began or None] of each thread that counts
         self.places: list[list] = []
 
     def work(self, place: list, begin: int) -> None:
@@ -250,7 +272,7 @@ class Calls:
 
         def ask(prompt: str) -> str:
             place[1] += 1
-            place[2] = time.monotonic()
+            place[2] = self.clock
             try:
                 return self.provider(prompt)
             finally:
@@ -280,7 +302,7 @@ class Calls:
     def start(self, i: int, begin: int = 0) -> None:
         place = [i, begin, None]
         self.places.append(place)
-        threading.Thread(target=self.work, args=(place, begin), daemon=True).start()
+        start_thread(self.work, place, begin)
 
     def run(self) -> list[tuple[str, str, int]]:
         with self.lock:
@@ -288,12 +310,14 @@ class Calls:
                 self.next += 1
                 self.start(self.next - 1)
         limit = self.policy.deadline
-        while self.left and not self.ended.wait(None if limit is None else min(1.0, limit / 4)):
+        turn, last = None if limit is None else min(1.0, limit / TURNS), time.monotonic()
+        while self.left and not self.ended.wait(turn):
             with self.lock:
                 now = time.monotonic()
+                self.clock, last = self.clock + min(now - last, 2 * turn), now
                 for place in list(self.places):
                     since = place[2]
-                    if since is not None and now - since > limit:
+                    if since is not None and self.clock - since > limit + turn:  # it may have begun at any moment of its turn
                         self.places = [p for p in self.places if p is not place]
                         self.start(place[0], place[1])
         return self.out

@@ -100,6 +100,44 @@ def test_a_hanging_call_gives_its_place_back():
     assert Policy(attempts=2, pause=0).call(lambda p: "", "p") == ("", "blank", 2)
 
 
+def test_a_busy_worker_makes_no_timeouts(monkeypatch):
+    """Calls that answer at once keep their status however long their threads stand in line, or wait for a thread; one that hangs still ends."""
+    import threading
+
+    from loomgraph.plans import providers
+
+    over = threading.Event()
+
+    def spin():
+        while not over.is_set():
+            sum(range(200))
+
+    busy = [threading.Thread(target=spin, daemon=True) for _ in range(24)]
+    [t.start() for t in busy]
+    try:
+        once, client = Policy(attempts=1, pause=0, timeout_pause=0, deadline=0.05), KeyedClient(lambda p, key: time.sleep(5) if p == "hang" else Reply(500), ["busy", "worker"], attempts=1, deadline=0.05)
+        assert [once.attempt(client, "p")[1] for _ in range(6)] == ["http_500"] * 6
+        assert providers.Calls(once, str.upper, ["a"] * 30).run() == [("A", "ok", 1)] * 30
+        assert once.attempt(client, "hang")[1] == "timeout"
+    finally:
+        over.set()
+        [t.join() for t in busy]
+    real, refused = threading.Thread, []
+
+    def refuse():
+        raise RuntimeError("can't start new thread")
+
+    def none_left(*args, **kwargs):
+        thread = real(*args, **kwargs)
+        if len(refused) < 3:
+            refused.append(1)
+            thread.start = refuse
+        return thread
+
+    monkeypatch.setattr(providers.threading, "Thread", none_left)
+    assert once.attempt(client, "p")[1] == "http_500" and len(refused) == 3
+
+
 def test_a_rate_over_the_cluster(spark):
     df = spark.range(40).select(F.col("id").cast("string").alias("prompt")).repartition(7)
     began = time.time()
