@@ -61,14 +61,14 @@ def inside_after(line: str, inside: bool, separator: str = SEPARATOR) -> bool:
 
 
 def head(spark: SparkSession, path: str, size: int = 1 << 16) -> bytes:
-    """The first bytes of a file, through the file system that owns it; empty where it can't be read."""
+    """The first bytes of a file, through the file system that owns it; a file that can't be read raises OSError."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     stream = None
     try:
         stream = target.getFileSystem(spark._jsc.hadoopConfiguration()).open(target)
         return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(spark._jvm.org.apache.commons.io.input.BoundedInputStream(stream, size)))
-    except Exception:  # a file that can't be opened has no header; reading it fails or is reported where that is asked for
-        return b""
+    except Exception as error:  # whatever the file system's driver raises; a file without a header would be left out like an empty one
+        raise OSError(f"can't read {path}: {error}") from error
     finally:
         if stream is not None:
             stream.close()

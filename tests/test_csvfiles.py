@@ -64,6 +64,22 @@ def test_many_files_headers_without_jobs(spark, tmp_path):
     assert rows == {(f"h{k}", f"t\n{k}" if k % 3 else "t", f"f {k}%20+.csv") for k in range(30)}
 
 
+def test_a_file_that_cannot_be_read_is_no_empty_file(spark, tmp_path):
+    """Its rows would be missing without a word: reading fails, facts say so, and an empty file beside it is none."""
+    for name in ("good", "gone"):
+        (tmp_path / f"{name}.csv").write_text("head,relation,tail\n" + f"{name},r,t\n" * 200)
+    (tmp_path / "empty.csv").write_text("")
+    files = readers.listing(spark, f"file://{tmp_path}", ".csv")
+    assert len(files) == 3 and readers.read_triples(spark, files).count() == 400
+    sums = tmp_path / ".gone.csv.crc"  # a checksum that doesn't fit: the file system raises on reading, whoever reads
+    sums.write_bytes(b"crc\0\0\0\x02\0" + b"\0" * 64)
+    for read in (readers.read_triples, readers.read_csv):
+        with pytest.raises(OSError, match="gone.csv"):
+            read(spark, files)
+    facts = {r.file.rsplit("/", 1)[1]: (r.status, r.header) for r in readers.file_facts(spark, f"file://{tmp_path}").collect()}
+    assert facts["gone.csv"] == ("unreadable", None) and facts["good.csv"][0] == "ok" and facts["empty.csv"][0] == "empty"
+
+
 @pytest.mark.parametrize(("line", "from_outside", "from_inside"), [("a,b", False, True), ('a,"b', True, False), ('"', True, False), ('""', False, True), ('a",b', False, False), ('x","y', True, True), ('a,"b""', True, False), ('"a"b"c,"d', True, True)])
 def test_lines_as_functions(line, from_outside, from_inside):
     assert (csvfiles.inside_after(line, False), csvfiles.inside_after(line, True)) == (from_outside, from_inside)
