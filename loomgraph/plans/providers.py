@@ -13,12 +13,15 @@ import threading
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 from typing import Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from loomgraph.sources.shared import ship
 
@@ -342,6 +345,26 @@ def call_provider(df: DataFrame, provider: Provider, prompt: str = "prompt", pol
     return kept.mapInPandas(run, f"{schema}, response string, status string, attempts int")
 
 
+def call_lists(df: DataFrame, provider: Provider, prompts: str = "prompts", name: str = "responses", policy: Policy | None = None) -> DataFrame:
+    """``df`` with the answers to each row's list of prompts as a list; what isn't answered is empty. All prompts of a batch of rows share its calls at once, and other columns pass as they are."""
+    ship(df.sparkSession)
+    policy = policy or Policy()
+    schema = StructType([*df.schema.fields, StructField(name, ArrayType(StringType()))])
+
+    if policy.width:
+        df = df.repartition(policy.width)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pace = Pace(policy.rate / policy.width if policy.rate else None)
+        for batch in batches:
+            asked = batch.column(prompts).to_pylist()
+            done = Calls(policy, provider, [p for row in asked for p in row], pace).run()
+            ends = pa.array([0, *accumulate(map(len, asked))], pa.int32())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(ends, pa.array([d[0] for d in done], pa.string()))], names=[*batch.schema.names, name])
+
+    return df.mapInArrow(run, schema)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` dealt evenly over three times the cluster's cores: calls take their time by the row, whatever files the rows lie in. Do it before prompts are made, which are larger than rows."""
     return df.repartition(3 * df.sparkSession.sparkContext.defaultParallelism)

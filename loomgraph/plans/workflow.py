@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,7 +12,7 @@ from loomgraph.functions.render import FORMATS, cap_triples, json_triples, rende
 from loomgraph.functions.taxonomy import SUBFIELDS
 from loomgraph.functions.text import OPTIONS, PROMPTS, format_triples, parse_answer, parse_enrichment, parse_router, prompt, question_with_options
 from loomgraph.operators.vectors import routed_top_k
-from loomgraph.plans.providers import Policy, Provider, call_provider, spread
+from loomgraph.plans.providers import Policy, Provider, call_lists, call_provider, spread
 from loomgraph.sources.readers import exists
 from loomgraph.sources.shared import cut, drop, new_dir, remove
 
@@ -27,11 +28,12 @@ def check_formats(formats: list[str]) -> None:
 
 
 def pending(rows: DataFrame, path: str, keys: tuple[str, ...] = ("subject", "id")) -> DataFrame:
-    """Rows whose keys aren't in the output yet; all when there is none."""
+    """Rows whose keys aren't in the output yet, null ones included; all when there is none."""
     spark = rows.sparkSession
     if not exists(spark, path):
         return rows
-    return rows.join(spark.read.parquet(path).select(*keys), list(keys), "left_anti")
+    seen = spark.read.parquet(path).select(*[F.col(k).alias(f"__seen_{k}") for k in keys])
+    return rows.join(seen, [F.col(k).eqNullSafe(F.col(f"__seen_{k}")) for k in keys], "left_anti")
 
 
 def progress(spark: SparkSession, path: str, totals: DataFrame) -> DataFrame:
@@ -91,21 +93,23 @@ def triple_columns(samples: DataFrame) -> list[Column]:
 def reason(samples: DataFrame, model: Provider, formats: list[str] | None = None, n: int = 10, policy: Policy | None = None) -> DataFrame:
     """A row for each sample with ``<format>_knowledge, _prompt, _prediction, _response``, ``origin_prediction, _response`` and ``triple_count``.
 
-    Prompts are a long table (sample, format), so calls spread over all tasks; a blank knowledge text is not asked about.
+    Samples are dealt over all tasks and carry their prompts as a list, so nothing is shuffled or joined again and equal keys are rows of their own; a blank knowledge text is not asked about.
     """
     formats = formats or [DIRECT, *FORMATS]
     check_formats(formats)
     options = {k: F.col(k) for k in OPTIONS if k in samples.columns}
     base = spread(samples).withColumn("__q", question_with_options(F.col("question"), options)).withColumn("__t", cap_triples(*triple_columns(samples), n))
-    knowledge = lambda f: F.lit(None).cast("string") if f == DIRECT else render(f, F.col("__t"))
-    long = base.select("subject", "id", "__q", F.explode(F.array(*[F.struct(F.lit(f).alias("format"), knowledge(f).alias("knowledge")) for f in formats])).alias("x")).select("subject", "id", "__q", "x.*")
-    asked = F.when(F.col("format") == DIRECT, prompt(PROMPTS["qa"], question=F.col("__q"))).when(F.col("knowledge") != "", prompt(PROMPTS["qa_knowledge"], question=F.col("__q"), knowledge=F.col("knowledge"))).otherwise("")
-    answered = cut(call_provider(long.withColumn("prompt", asked).drop("__q"), model, policy=policy).withColumn("prediction", parse_answer(F.col("response"))), "answers")
-    fields = ("knowledge", "prompt", "prediction", "response")
-    wide = answered.groupBy("subject", "id").pivot("format", formats).agg(*[F.first(c).alias(c) for c in fields])
-    wide = wide.drop(f"{DIRECT}_knowledge")
-    own = base.withColumn("triple_count", F.size("__t")).drop("__q", "__t", "relatedTriples", "hierarchical_enhancements", "enrich_triples")
-    return own.join(wide, ["subject", "id"])
+    base = base.withColumn("triple_count", F.size("__t")).withColumns({f"{f}_knowledge": render(f, F.col("__t")) for f in formats if f != DIRECT})
+    known = lambda f: F.when(F.col(f"{f}_knowledge") != "", prompt(PROMPTS["qa_knowledge"], question=F.col("__q"), knowledge=F.col(f"{f}_knowledge"))).otherwise("")
+    asked = base.withColumn("__p", F.array(*[prompt(PROMPTS["qa"], question=F.col("__q")) if f == DIRECT else known(f) for f in formats]))
+    answered = call_lists(asked.drop("__q", "__t", "relatedTriples", "hierarchical_enhancements", "enrich_triples"), model, "__p", "__r", policy)
+    made = {f"{f}_{c}" for f in formats for c in ("knowledge", "prompt", "prediction", "response")}
+    own = [c for c in answered.columns if c not in made and c not in ("__p", "__r", "subject", "id")]
+    wide = []
+    for i, f in enumerate(formats):
+        wide += [] if f == DIRECT else [F.col(f"{f}_knowledge")]
+        wide += [F.col("__p")[i].alias(f"{f}_prompt"), parse_answer(F.col("__r")[i]).alias(f"{f}_prediction"), F.col("__r")[i].alias(f"{f}_response")]
+    return answered.select("subject", "id", *own, *wide)
 
 
 def reason_into(samples: DataFrame, path: str, model: Provider, formats: list[str] | None = None, batch: int = 10_000, **options) -> int:
@@ -128,11 +132,17 @@ def reason_into(samples: DataFrame, path: str, model: Provider, formats: list[st
     numbered.repartition("__batch", F.pmod(F.xxhash64(F.lit(1), *key), F.lit(salts))).write.partitionBy("__batch").parquet(dealt)
     drop(left)
     sizes = {r[0]: r[1] for r in spark.read.parquet(dealt).groupBy("__batch").count().collect()}
-    for k in range(batches):
-        if k in sizes:
-            part = spark.read.schema(left.schema).parquet(f"{dealt}/__batch={k}")
-            reason(part, model, formats, **options).write.mode("append").partitionBy("subject").parquet(path)
-            seen += sizes[k]
-        log_progress(spark, path, k, seen, n)
+    ready = lambda k: reason(spark.read.schema(left.schema).parquet(f"{dealt}/__batch={k}"), model, formats, **options) if k in sizes else None
+    # planning a batch and logging the last one take as long as a small batch itself, so they go on beside it; calls are made for one batch at a time
+    with ThreadPoolExecutor(1) as beside:
+        planned, logged = beside.submit(ready, 0), []
+        for k in range(batches):
+            part, planned = planned.result(), beside.submit(ready, k + 1)
+            if part is not None:
+                part.write.mode("append").partitionBy("subject").parquet(path)
+                seen += sizes[k]
+            logged.append(beside.submit(log_progress, spark, path, k, seen, n))
+        for row in logged:
+            row.result()
     remove(spark, dealt)
     return n

@@ -400,6 +400,33 @@ def test_a_batch_reads_its_own_rows(spark, tmp_path, monkeypatch):
     assert len(log) == 8 and log[-1].processed == log[-1].total == 80
 
 
+def test_a_batch_is_one_job(spark, tmp_path):
+    """Reasoning writes its answers in one pass, with one shuffle and no join; equal keys are rows of their own, and each prompt is asked once."""
+    listed = "array(named_struct('head', concat('h', id), 'relation', 'r', 'tail', 't', 'source', 's'))"
+    none = [f"cast(null as {workflow.ENRICHED}) as {c}" for c in ("hierarchical_enhancements", "enrich_triples")]
+    asked = spark.range(40).selectExpr("'s' subject", "id div 2 as id", "concat('q', id) question", f"if(id % 4 = 0, {listed}, cast(null as {workflow.ENRICHED})) as relatedTriples", *none, "named_struct('x', id) as extra")
+    log = str(tmp_path / "asked")
+
+    def model(text):
+        with open(log, "a") as out:
+            out.write(f"{text!r}\n")
+        return f"{text.count('Knowledge')} {'B' if 'Knowledge' in text else 'A'}"
+
+    found = workflow.reason(cut(asked, "asked"), RuleProvider(model), ["origin", "edgetable"], policy=QUIET)
+    spark.sparkContext.setJobGroup("reason", "reason")
+    found.write.parquet(f"{tmp_path}/out")
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("reason")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(jobs) <= 2, "with a stage of its own for the shuffle"
+    assert found.columns == ["subject", "id", "question", "extra", "triple_count", "origin_prompt", "origin_prediction", "origin_response", "edgetable_knowledge", "edgetable_prompt", "edgetable_prediction", "edgetable_response"]
+    rows = sorted((r.extra.x, r.id, r.question, r.triple_count, r.origin_prediction, r.edgetable_prediction, r.edgetable_knowledge) for r in spark.read.parquet(f"{tmp_path}/out").collect())
+    assert rows == [(i, i // 2, f"q{i}", int(i % 4 == 0), "A", "B" if i % 4 == 0 else "", f"(h{i},r,t)" if i % 4 == 0 else "") for i in range(40)]
+    assert len(open(log).read().splitlines()) == 50
+    odd = asked.withColumn("id", F.when(F.col("id") != 3, F.col("id"))).drop("extra")
+    assert [workflow.reason_into(odd, f"{tmp_path}/odd", RuleProvider(lambda p: "A"), ["origin"], policy=QUIET) for _ in range(2)] == [40, 0], "a row without an id is kept and not asked about again"
+    assert spark.read.parquet(f"{tmp_path}/odd").where("id is null").count() == 2
+
+
 def test_a_sample_is_drawn_by_many_tasks(spark, tmp_path):
     """One file is written, but the rows in it come from all partitions of the scan."""
     rows = spark.range(0, 80, 1, 8).withColumn("p", F.spark_partition_id())
