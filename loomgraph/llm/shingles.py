@@ -10,7 +10,7 @@ only how many candidates there are, never whether a pair is found. Equal sets ar
 that share such a shingle is first compared with its smallest set alone; what that leaves in different components is
 then compared pair by pair, so that groups of near copies don't make all their pairs.
 
-Nearly all candidates are false, and a set is larger than its text. So sets are never stored: a sketch of fixed size rules out pairs first, and only the
+Nearly all candidates are false, and a set is larger than its text. So sets are never stored: a sketch of a bit for each shingle rules out pairs first, and only the
 texts of what is left are fetched and compared.
 """
 
@@ -30,19 +30,32 @@ from loomgraph.operators.components import connected_components
 from loomgraph.sources.shared import cut, drop, ship
 
 
-#: Bits of a sketch.
+#: Bits of a sketch of a small set.
 SKETCH = 1024
 
 
-def sketch_of(hashes: np.ndarray) -> np.ndarray:
-    """Parities of the number of a set's hashes in each of :data:`SKETCH` bins, as longs.
+def sketch_size(n: int) -> int:
+    """Bits of the sketch of a set of n: a power of two, as many as hashes at least, since a smaller sketch of a large set looks like any other."""
+    return max(SKETCH, 1 << (n - 1).bit_length() if n else 0)
 
-    A hash that only one of two sets has changes one bit, so sketches differ in no more bits than the sets in hashes.
+
+def sketch_of(hashes: np.ndarray, bits: int = SKETCH) -> np.ndarray:
+    """Parities of the number of a set's hashes in each of so many bins, as longs.
+
+    A hash that only one of two sets has changes one bit, so sketches differ in no more bits than the sets in hashes. Bins go by the last bits of a number, so the
+    halves of a sketch together (exclusive or) are that of half its size.
     """
-    odd = np.bincount((hashes >> np.uint64(20)).astype(np.int64) & (SKETCH - 1), minlength=SKETCH) & 1
+    odd = np.bincount((hashes >> np.uint64(20)).astype(np.int64) & (bits - 1), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def bits_apart(x: Column, y: Column) -> Column:
+    """In how many bits two sketches differ; the larger one is folded to the other's size, or to half of it at most, which is all that sets of alike sizes need."""
+    folded = lambda v: F.zip_with(F.slice(v, F.lit(1), (F.size(v) / 2).cast("int")), F.slice(v, (F.size(v) / 2).cast("int") + 1, (F.size(v) / 2).cast("int")), lambda p, q: p.bitwiseXOR(q))
+    to = lambda v, w: F.when(F.size(v) > F.size(w), folded(v)).otherwise(v)
+    return F.aggregate(F.zip_with(to(x, y), to(y, x), lambda p, q: F.bit_count(F.coalesce(p, F.lit(0)).bitwiseXOR(F.coalesce(q, F.lit(0))))), F.lit(0), lambda s, v: s + v)
+
+
 def prefix_size(n: int, least: float) -> int:
     """How many shingles of a set of n have to be looked up."""
     return n - math.ceil(least * n - 1e-9) + 1 if n else 0
@@ -65,7 +78,7 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, words: int, least:
                     fps.append(majority(h))
                     h = np.unique(h)
                     keys.append(xxhash.xxh3_128_digest(h.astype("<u8").tobytes()))
-                    sketches.append(sketch_of(h))
+                    sketches.append(sketch_of(h, sketch_size(len(h))))
                     if len(known) and len(h):
                         at = np.minimum(np.searchsorted(known, h), len(known) - 1)
                         h = h[np.argsort(np.where(known[at] == h, counts[at], 0), kind="stable")]
@@ -150,8 +163,9 @@ def _possible(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     sketch = sets.select("key", "n", "sketch").dropDuplicates(["key"])
     x = sketch.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("x"))
     y = sketch.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("y"))
-    apart = F.aggregate(F.zip_with("x", "y", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
-    fits = apart <= (F.col("na") + F.col("nb")) * ((1 - least) / (1 + least)) + 1e-6
+    # sets of sizes that are too far apart can't be as similar, and their sketches may differ by more than one halving
+    near = F.least("na", "nb") >= least * F.greatest("na", "nb") - 1e-9
+    fits = near & (bits_apart(F.col("x"), F.col("y")) <= (F.col("na") + F.col("nb")) * ((1 - least) / (1 + least)) + 1e-6)
     return cut(pairs.join(x, "a").join(y, "b").where(fits).select("a", "b"), "shingle-possible", dictionary=False)
 
 

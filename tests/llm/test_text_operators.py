@@ -238,6 +238,23 @@ def test_near_copies_fetch_texts_of_possible_pairs_only(spark):
         assert len(x) == shingles.SKETCH // 64 and np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b))
 
 
+def test_sketches_grow_with_sets(spark):
+    """Long texts that share a phrase are ruled out too, and sketches of two sizes are compared at the smaller one."""
+    rng = np.random.default_rng(5)
+    text = lambda n: " ".join(rng.choice(30_000, n).astype(str))
+    long = [f"the one and only phrase {text(4000)}" for _ in range(6)]
+    docs = spark.createDataFrame([*enumerate(long), (6, f"{long[0]} {text(300)}")], "doc_id long, text string")  # 4001 and 4301 shingles: 4096 and 8192 bits
+    report = []
+    got = {r.doc_id: r.component_id for r in shingles.near_copies(docs, sample=0, report=report).collect()}
+    assert got == {i: i if i < 6 else 0 for i in range(7)} and sum(report) == 1
+    for n, more in ((900, 200), (2000, 400), (5000, 1), (4000, 900)):
+        a = np.unique(rng.integers(0, 1 << 63, n, np.uint64))
+        b = np.union1d(a[more // 4 :], rng.integers(0, 1 << 63, more, np.uint64))
+        df = spark.createDataFrame([tuple(shingles.sketch_of(h, shingles.sketch_size(len(h))).tolist() for h in (a, b))], "x array<long>, y array<long>")
+        there, back = df.select(shingles.bits_apart(F.col("x"), F.col("y")), shingles.bits_apart(F.col("y"), F.col("x"))).first()
+        assert 0 < there == back <= len(np.setxor1d(a, b))
+
+
 def edits(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
